@@ -159,7 +159,13 @@ def train(
 
 
 def predict(
-    docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None
+    docs: DataFrame,
+    model: LanguageFilter,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: dict[str, Column] | None = None,
+    keep_text: bool = False,
 ) -> DataFrame:
     """``(doc_id, .., lang_pred, score, coverage)`` for each row.
 
@@ -169,7 +175,8 @@ def predict(
     a known n-gram get the first language with score 0. Ties go to the
     language with more training texts, then by name. Without any training
     text all is ``und``. Whole texts count, however long; ids may be null or
-    repeat; other columns are ignored. ``keep`` passes further columns.
+    repeat; other columns are ignored. ``keep`` passes
+    further columns, ``keep_text`` the text.
     """
     kept = list(keep or {})
     rows = docs.select(
@@ -195,10 +202,12 @@ def predict(
                     score[lo:hi] = np.where(ok, top / np.maximum(shares.sum(1), 1e-12), 0)
                     cover[lo:hi] = np.where(ok, top, 0)
             said = pa.array([names[i] if i >= 0 else UNDETERMINED for i in pred], pa.string())
-            columns = [batch.column("doc_id"), *[batch.column(n) for n in kept]]
+            names_out = ["doc_id", *kept, *["text"] * keep_text]
             yield pa.RecordBatch.from_arrays(
-                [*columns, said, pa.array(score), pa.array(cover)], ["doc_id", *kept, "lang_pred", "score", "coverage"]
+                [*[batch.column(n) for n in names_out], said, pa.array(score), pa.array(cover)],
+                [*names_out, "lang_pred", "score", "coverage"],
             )
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    kinds += ", text string" * keep_text
     return rows.mapInArrow(judge, f"doc_id long{kinds}, lang_pred string, score double, coverage double")

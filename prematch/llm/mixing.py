@@ -217,8 +217,8 @@ def mix_sql(
     keys = ", ".join(names)
     ctes += [
         f"plan AS (SELECT *, leaf_budget // tokens AS whole, leaf_budget % tokens AS part FROM b{len(names)} WHERE leaf_budget > 0)",
-        f"dealt AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', '{seed}', whole, doc_id)), 1, {_HASH_BITS // 4}) AS BIGINT) AS at FROM base JOIN plan USING ({keys}))",
-        f"run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY at, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM dealt)",
+        f"dealt AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', '{seed}', whole, doc_id)), 1, {_HASH_BITS // 4}) AS BIGINT) AS spot FROM base JOIN plan USING ({keys}))",
+        f"run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY spot, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM dealt)",
     ]
     return (
         f"WITH {', '.join(ctes)} SELECT doc_id, {keys}, CAST(epoch AS INTEGER) AS epoch, n_tokens, n_tokens AS n_taken, leaf_budget "

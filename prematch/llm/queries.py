@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import langid, minhash, mixing, packing, substrings
 
+#: Production parameters of the mix: the tree's columns, weights, share of all tokens, most epochs, seed.
+MIX_DOMAINS = 4
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (1, 2), 4, 17
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def fold(modulus: int) -> Column:
+    """A document's fold: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def mix_levels() -> dict[str, Column]:
+    """domain (sources in groups, by the number at the end of their names), language, source."""
+    number = F.expr(r"try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS INT)")
+    return {"domain": F.concat(F.lit("d"), (number % MIX_DOMAINS).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.mix(
+        docs, levels=mix_levels(), weights=MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED
+    )
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +44,46 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle=5, percent=85)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = fold(4).eqNullSafe(2)
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model, keep={"held_out": held_out})
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.pack(docs, tokenizer_path(), capacity=1024)
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = substrings.remove_repeats(docs, window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash": op5_minhash}
+    return {
+        "op2_mixing": op2_mixing,
+        "op5_minhash": op5_minhash,
+        "op7_langid": op7_langid,
+        "op8_packing": op8_packing,
+        "op9_substrings": op9_substrings,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mixing": mixing.mix_sql(
+            table="documents",
+            levels={
+                "domain": rf"'d' || CAST(TRY_CAST(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INTEGER) % {MIX_DOMAINS} AS VARCHAR)",
+                "lang": "lang",
+                "source": "source",
+            },
+            weights=MIX_WEIGHTS,
+            share=MIX_SHARE,
+            max_epochs=MIX_EPOCHS,
+            seed=MIX_SEED,
+        )
+    }
