@@ -5,20 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prematch.llm import minhash
+from prematch.llm import langid, minhash, mixing, packing, substrings
 from prematch.llm._session import written
+from prematch.llm.queries import MIX_SEED, MIX_WEIGHTS, mix_levels, tokenizer_path
 
+#: A text with less of its n-grams in its best language is in none that was learned.
+LEAST_COVERAGE = 0.05
+#: The mix keeps this share of the tokens it is given, each document at most once.
+MIX_SHARE = (9, 10)
 
-def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay; those without letters or like no learned language go."""
+    said = langid.predict(docs, langid.train(docs), keep={c: docs[c] for c in docs.columns if c not in ("doc_id", "text")}, keep_text=True)
+    rejected = (F.col("lang_pred") == langid.UNDETERMINED) | ((F.col("coverage") < LEAST_COVERAGE) & (F.length("text") >= 200))
+    return said.where(~rejected).select(docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest id."""
-    keep = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    keep = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    return out.dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; untouched texts stay as they are; a document that is nothing but repeats goes."""
+    cut = substrings.remove_repeats(docs).where("n_removed > 0").select(
+        F.col("doc_id").alias("cut_id"), "kept_text", (F.col("n_removed") == F.col("n_words")).alias("nothing_left")
+    )
+    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_id"]), "left")
+    out = out.where(~F.coalesce("nothing_left", F.lit(False)))
+    text = F.coalesce("kept_text", "text")
+    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the hierarchical budgets take, in whole or in part, stay, each once."""
+    taken = mixing.mix(docs, levels=mix_levels(), weights=MIX_WEIGHTS, share=MIX_SHARE, max_epochs=1, seed=MIX_SEED)
+    taken = taken.select("doc_id").distinct()
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]), "left_semi").select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens, placed in sequences."""
+    return packing.pack(docs, tokenizer_path(), capacity=1024)
 
 
-STAGES = [("minhash_near_dedup", minhash_stage)]
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -27,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Packing reads a tokenizer and language ID is learned: SQL cannot express them.
+#: Language ID is learned and packing needs a tokenizer: SQL cannot express these stages.
 ORACLE_SQL = None
