@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, substrings
+from . import langid, minhash, mixing, packing, quality, recurrent, substrings
 
 #: Production parameters of the mix: the tree's columns, weights, share of all tokens, most epochs, seed.
 MIX_DOMAINS = 4
@@ -39,6 +39,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return recurrent.score(docs, fold(7).eqNullSafe(2))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return minhash.near_duplicates(docs, shingle=5, percent=85)
@@ -62,13 +67,23 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    held_out = fold(3).eqNullSafe(1)
+    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    return quality.score(docs, quality.train(labelled), keep={"held_out": held_out})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
+        "op4_recurrent": op4_recurrent,
         "op5_minhash": op5_minhash,
         "op7_langid": op7_langid,
         "op8_packing": op8_packing,
         "op9_substrings": op9_substrings,
+        "op10_quality": op10_quality,
     }
 
 
