@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, quality, recurrent, substrings
+from . import hnsw, langid, minhash, mixing, packing, pq, quality, recurrent, substrings, urls
 
 #: Production parameters of the mix: the tree's columns, weights, share of all tokens, most epochs, seed.
 MIX_DOMAINS = 4
@@ -15,6 +15,15 @@ MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4,
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = (1, 2), 4, 17
 
 
+#: (verdict, host suffix, start of the path)
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -32,6 +41,11 @@ def mix_levels() -> dict[str, Column]:
     return {"domain": F.concat(F.lit("d"), (number % MIX_DOMAINS).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hnsw.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mixing.mix(
@@ -39,6 +53,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pq.near_duplicates(vectors, cosine=0.98)
+
+
 def op4_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return recurrent.score(docs, fold(7).eqNullSafe(2))
@@ -49,6 +68,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle=5, percent=85)
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.judge(pages, URL_RULES)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = fold(4).eqNullSafe(2)
@@ -77,9 +101,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hnsw": op1_hnsw,
         "op2_mixing": op2_mixing,
+        "op3_pq": op3_pq,
         "op4_recurrent": op4_recurrent,
         "op5_minhash": op5_minhash,
+        "op6_urls": op6_urls,
         "op7_langid": op7_langid,
         "op8_packing": op8_packing,
         "op9_substrings": op9_substrings,
