@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that no later step reads."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextlib.contextmanager
 def scoped(spark: SparkSession, conf: dict[str, str]):
     """Settings for the actions inside the block, put back afterwards."""

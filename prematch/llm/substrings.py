@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import written
+from ._session import discard, written
 from ._words import text_chunks, window_hashes, windows_inside, word_hashes, words
 
 #: Perfect difference sets (fixed values): every residue modulo the period is a difference of two members.
@@ -38,18 +38,13 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
     return period, COVERS[period], window - period + 1
 
 
-def _batch(batch: pa.RecordBatch, doc: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    ids = batch.column("doc_id").take(pa.array(doc))
-    return pa.RecordBatch.from_arrays([ids, *[pa.array(c.view(np.int64)) for c in columns]], ["doc_id", *names])
-
-
 def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_text)``, one row for each row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it starts, word for
     word, anywhere else, in another document or in the same one; windows are
     judged on the input. ``kept_text`` is the rest, joined by one space.
-    Windows are told apart by 128-bit hashes. Anchors are counted before they
+    Windows are told apart by 96-bit hashes. Anchors are counted before they
     are joined, so a passage that very many documents share is combined before
     its shuffle and joined as a skewed key.
 
@@ -78,7 +73,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
                 at = np.arange(len(h)) - woffs[doc]
                 good = on_cover[at % period] & windows_inside(woffs, size) & (lengths[doc] >= window)
                 doc, at = doc[good] + lo, at[good]
-                yield _batch(batch, doc, [h[good], (sums[doc] << 32) | at], ["anchor", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(doc)),
+                        pa.array(h[good].view(np.int64)),
+                        pa.array((sums[doc] << 32) | at),
+                    ],
+                    ["doc_id", "anchor", "place"],
+                )
 
     found = rows.mapInArrow(anchors, "doc_id long, anchor long, place long")
     twice = written(found.groupBy("anchor").count().where("count > 1").select("anchor"), "repeats")
@@ -86,11 +88,13 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     near = near.groupBy("doc_id", F.shiftrightunsigned("place", 32).alias("sum")).agg(
         F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places")
     )
-    near = written(near, "repeats")
+    # A short number for each such text: its windows carry it instead of id and checksum.
+    near = written(near.withColumn("slot", F.monotonically_increasing_id()), "repeats")
+    discard(twice)
 
     def candidates(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, places = batch.column("sum").to_numpy(), batch.column("places")
+            slots, places = batch.column("slot"), batch.column("places")
             for lo, hi, buf, offs in text_chunks(batch.column("text")):
                 starts, ends, woffs = words(buf, offs)
                 if woffs[-1] < window:
@@ -105,15 +109,25 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
                 good = (np.cumsum(mark)[: len(h[0])] > 0) & windows_inside(woffs, window)
                 doc = np.repeat(np.arange(hi - lo), np.diff(woffs))[: len(good)][good]
                 at = np.flatnonzero(good) - woffs[doc]
-                yield _batch(batch, doc + lo, [h[0][good], h[1][good], (sums[doc + lo] << 32) | at], ["a", "b", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        slots.take(pa.array(doc + lo)),
+                        pa.array(h[0][good].view(np.int64)),
+                        pa.array((h[1][good] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(at.astype(np.int32)),
+                    ],
+                    ["slot", "a", "b", "start"],
+                )
 
     keyed = rows.alias("d").join(
         near.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.sum = n.sum")
-    ).select("d.doc_id", "d.text", "d.sum", "n.places")
-    found = written(keyed.mapInArrow(candidates, "doc_id long, a long, b long, place long"), "repeats")
-    twice = found.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    gone = found.join(twice, ["a", "b"]).groupBy("doc_id", F.shiftrightunsigned("place", 32).alias("sum"))
-    gone = written(gone.agg(F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places")), "repeats")
+    ).select("n.slot", "d.text", "n.places")
+    found = written(keyed.mapInArrow(candidates, "slot long, a long, b int, start int"), "repeats")
+    twice = written(found.groupBy("a", "b").count().where("count > 1").select("a", "b"), "repeats")
+    starts = found.join(twice, ["a", "b"]).groupBy("slot").agg(F.collect_list("start").alias("places"))
+    gone = written(starts.join(near.select("slot", "doc_id", "sum"), "slot"), "repeats")
+    discard(found)
+    discard(twice)
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
