@@ -155,9 +155,11 @@ def _forecasts(spark: SparkSession, d: str) -> DataFrame:
     df = dataset.temporal_split(_oriented(spark, d), "match_date", TRAIN_UNTIL, VAL, TEST)
     rank = lambda a, b: F.coalesce(F.when(F.col("a_is_w"), F.col(a)).otherwise(F.col(b)), F.lit(500))
     gap = (rank("w_rank", "l_rank") - rank("l_rank", "w_rank")) / 150
-    return df.select(
+    out = df.select(
         "match_id", "match_date", "y", "book_used", "split", F.round("p_book_A", 9).alias("p_book"), F.round(1 / (1 + F.exp(gap)), 9).alias("p_model")
     )
+    # Evaluation reads forecasts several times; kept, they are computed once, and plans stay small.
+    return out.persist()
 
 
 def _told(spark: SparkSession, d: str) -> DataFrame:
