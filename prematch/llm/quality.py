@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._session import written
@@ -133,7 +133,8 @@ def fit(texts: list[bytes], y: np.ndarray, *, filters: int = 24, epochs: int = 1
 
 
 def train(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     *,
     per_class: int = 1000,
     most_bytes: int = 65_536,
@@ -143,31 +144,30 @@ def train(
     text_col: str = "text",
     label_col: str = "quality",
 ) -> Weights | None:
-    """Fit on at most ``per_class`` texts of each label (0 and 1), those of the smallest hash of their id.
+    """Fit on at most ``per_class`` documents of each label (0 and 1), those of the smallest hash of their id.
 
-    Of a training text longer than ``most_bytes`` only that many bytes train
-    (scoring always reads whole texts); the sample is bounded whatever the
-    corpus. The classes' true shares among all labelled rows set the threshold.
-    Without both labels there is no model (None).
+    Ids are chosen from ``labels`` alone and sent to the documents, so no text
+    is shuffled but the sample's. Of a training text longer than ``most_bytes``
+    only that many bytes train (scoring always reads whole texts); the sample
+    is bounded whatever the corpus. The labels' true shares set the threshold.
+    Without texts of both labels there is no model (None).
     """
-    rows = labelled.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")
-    ).where("y IN (0, 1)")
-    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    told = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL")
+    sizes = {r.y: r["count"] for r in told.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "y").distinct()
-    chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).drop("k")
+    told = told.distinct()
+    few = [told.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # Bounded: per_class rows of each label.
-    chosen = written(chosen, "quality")
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "y"], "left_semi").select(
+    chosen = written(few[0].unionByName(few[1]), "quality")
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sample = sample.join(F.broadcast(chosen), "doc_id").select(
         F.xxhash64("doc_id").alias("h"), "y", F.coalesce("text", F.lit("")).alias("text")
     )
 
     def learn(batches) -> Iterator[pa.RecordBatch]:
         got = sorted((h, t.encode()[:most_bytes], y) for b in batches for h, y, t in zip(*(b.column(c).to_pylist() for c in ("h", "y", "text"))))
-        if got:
+        if {r[2] for r in got} == {0, 1}:
             y = np.array([r[2] for r in got], np.float32)
             w = fit([r[1] for r in got], y, filters=filters, epochs=epochs)
             w["shift"] = w["shift"] - np.float32(np.log(max(1, y.sum()) / max(1, (1 - y).sum())))

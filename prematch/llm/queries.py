@@ -95,8 +95,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held_out = fold(3).eqNullSafe(1)
-    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
-    return quality.score(docs, quality.train(labelled), keep={"held_out": held_out})
+    model = quality.train(docs.where(~held_out), labels.where(~held_out))
+    return quality.score(docs, model, keep={"held_out": held_out})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,7 +60,8 @@ def test_language_id_without_training(spark):
 
 def test_quality(spark):
     df = spark.createDataFrame(_docs() + ODD + [_docs()[0]], SCHEMA)
-    w = quality.train(df.where("doc_id % 3 <> 1"), per_class=60, epochs=8)
+    learn = df.where("doc_id % 3 <> 1")
+    w = quality.train(learn, learn, per_class=60, epochs=8)
     rows = {r.doc_id: r for r in quality.score(df, w).collect()}
     held = [(rows[d].predicted, q) for d, _, _, q, _, _ in _docs() if d % 3 == 1]
     assert np.mean([a == b for a, b in held]) > 0.95
@@ -96,7 +97,7 @@ def test_quality_scores_do_not_depend_on_neighbours():
 
 def test_quality_without_labels(spark):
     df = spark.createDataFrame(_docs(4), SCHEMA)
-    assert quality.train(df.where("false")) is None
+    assert quality.train(df, df.where("false")) is None
     assert {r.score for r in quality.score(df, None).collect()} == {0.5}
 
 
