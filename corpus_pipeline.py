@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest id."""
-    keep = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each group of near copies (similarity 0.8 or more) stays: the one of the smallest id."""
+    keep = minhash.near_duplicates(docs, percent=80, bands=36).where("kept").select("doc_id").distinct()
     out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
     return out.dropDuplicates(["doc_id"]).select(docs.columns)
 
