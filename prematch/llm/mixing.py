@@ -26,6 +26,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 _BUCKET_BITS = 12
 _HASH_BITS = 60
+#: A leaf's documents are joined to its budget in so many parts, so a hot source is no hot task.
+_SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -154,13 +156,15 @@ def mix(
         16,
         10,
     ).cast("long")
-    dealt = base.join(plan, names).withColumn("at", at)
+    salted = lambda leaf: leaf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    dealt = dealt.join(salted(plan), [*names, "salt"]).withColumn("at", at)
     dealt = dealt.withColumn("bucket", F.shiftright("at", _HASH_BITS - _BUCKET_BITS))
     sums = dealt.where("part > 0").groupBy(*names, "bucket", "part").agg(F.sum("n_tokens").alias("tokens"))
     run = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = sums.withColumn("upto", F.sum("tokens").over(run)).where("upto >= part AND upto - tokens < part")
     cut = cut.select(*names, F.col("bucket").alias("cut"), (F.col("upto") - F.col("tokens")).alias("before"))
-    dealt = dealt.join(cut, names, "left")
+    dealt = dealt.join(salted(cut), [*names, "salt"], "left")
 
     whole = dealt.where("whole > 0").select(
         "doc_id", *names, F.explode(F.expr("sequence(0L, whole - 1)")).alias("epoch"), "n_tokens",
