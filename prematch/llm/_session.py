@@ -15,11 +15,13 @@ _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary
+    Only where the session has none, on one machine (tests), a temporary
     folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a folder that the cluster shares in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
