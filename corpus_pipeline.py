@@ -17,9 +17,11 @@ MIX_SHARE = (9, 10)
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; those without letters or like no learned language go."""
-    said = langid.predict(docs, langid.train(docs), keep={c: docs[c] for c in docs.columns if c not in ("doc_id", "text")}, keep_text=True)
+    names = {f"__{i}": c for i, c in enumerate(docs.columns) if c != "text"}
+    said = langid.predict(docs, langid.train(docs), keep={k: docs[c] for k, c in names.items()}, keep_text=True)
     rejected = (F.col("lang_pred") == langid.UNDETERMINED) | ((F.col("coverage") < LEAST_COVERAGE) & (F.length("text") >= 200))
-    return said.where(~rejected).select(docs.columns)
+    back = {c: k for k, c in names.items()} | {"text": "text"}
+    return said.where(~rejected).select(*[F.col(back[c]).alias(c) for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +34,15 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; untouched texts stay as they are; a document that is nothing but repeats goes."""
     cut = substrings.remove_repeats(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("cut_id"), "kept_text", (F.col("n_removed") == F.col("n_words")).alias("nothing_left")
+        F.col("doc_id").alias("__id"), F.col("kept_text").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__none")
     )
-    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_id"]), "left")
-    out = out.where(~F.coalesce("nothing_left", F.lit(False)))
-    text = F.coalesce("kept_text", "text")
-    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]), "left")
+    out = out.where(~F.coalesce("__none", F.lit(False)))
+    new = {
+        "text": F.coalesce("__kept", docs["text"]),
+        "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long")),
+    }
+    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
