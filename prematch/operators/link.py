@@ -116,7 +116,9 @@ def link_staged(
     """Each stage links what the stages before it left open; adds ``stage`` (null: not linked).
 
     A stage without a tolerance is a strict one. Rows that a stage links leave
-    the plan's later joins, so their inputs shrink.
+    the plan's later joins, so their inputs shrink. Each stage's rows are kept
+    (memory, then disk), since its links and the next stage both read them;
+    ``spark.catalog.clearCache()`` lets go of them.
     """
     done = None
     found = f"td_{right_id}"
@@ -125,6 +127,7 @@ def link_staged(
             out = link_strict(left, right, s.keys)
         else:
             out = link_nearest(left, right, s.keys, t_left, t_right, s.tolerance_days, s.prefer, left_id, right_id, s.bucket)
+        out = out.persist()
         hit = out.where(F.col(found).isNotNull()).withColumn("stage", F.lit(s.name))
         done = hit if done is None else done.unionByName(hit)
         columns = left.columns
