@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prematch.llm import langid, minhash, mixing, packing, substrings
@@ -24,25 +24,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.where(~rejected).select(*[F.col(back[c]).alias(c) for c in docs.columns])
 
 
+def _key(docs: DataFrame) -> Column:
+    """A document is known by its id and its text: ids may be null or repeat."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 or more) stays: the one of the smallest id."""
-    keep = minhash.near_duplicates(docs, percent=80, bands=36).where("kept").select("doc_id").distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near copies (similarity 0.8 or more) stays: the one of the smallest id.
+
+    A null id comes after all others, equal ids go by a hash of the text, then
+    of the whole row. Texts without words are no copies of each other.
+    """
+    keyed = docs.withColumn("__key", _key(docs))
+    found = minhash.near_duplicates(keyed, id_col="__key", percent=80, bands=36, keep={"__id": keyed["doc_id"]})
+    found = found.select(
+        F.col("doc_id").alias("__key"), "component_id", "__id", (F.col("n_shingles") == 0).alias("__empty")
+    )
+    found = written(found, "near")
+    first = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__key"))).alias("m")
+    keep = found.where("NOT __empty").groupBy("component_id").agg(first).select("m.__key", F.lit(False).alias("__empty"))
+    keep = keep.unionByName(found.where("__empty").select("__key", "__empty").distinct())
+    # Rows of equal id and text share a key.
+    out = keyed.join(keep, "__key").withColumn("__n", F.when(F.col("__empty"), F.monotonically_increasing_id()))
+    order = Window.partitionBy("__key", "__n").orderBy(F.xxhash64(*docs.columns))
+    return out.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; untouched texts stay as they are; a document that is nothing but repeats goes."""
-    cut = substrings.remove_repeats(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("__id"), F.col("kept_text").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__none")
-    )
-    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]), "left")
-    out = out.where(~F.coalesce("__none", F.lit(False)))
-    new = {
-        "text": F.coalesce("__kept", docs["text"]),
-        "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long")),
-    }
-    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    names = {f"__{i}": c for i, c in enumerate(docs.columns) if c != "text"}
+    keyed = docs.withColumn("__key", _key(docs))
+    keep = {k: keyed[c] for k, c in names.items()} | {"__null": keyed["text"].isNull()}
+    out = substrings.remove_repeats(keyed, id_col="__key", keep=keep, as_is=True)
+    out = out.where("n_removed = 0 OR n_removed < n_words")
+    back = {c: F.col(k) for k, c in names.items()}
+    back["text"] = F.when(~F.col("__null"), F.col("kept_text"))
+    if "n_chars" in back:
+        back["n_chars"] = F.when(F.col("n_removed") == 0, back["n_chars"]).otherwise(F.length("kept_text").cast("long"))
+    return out.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._session import connected_components, written
@@ -100,8 +100,9 @@ def near_duplicates(
     bands: int = 30,
     rows: int = 5,
     coordinates: int = 480,
+    keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs``.
+    """``(doc_id, n_shingles, component_id, kept, ..)``, one row for each row of ``docs``.
 
     Documents link when ``100 * intersection >= percent * union`` of their
     sets of distinct word shingles (A-Z lower-cased). Steps: equal sets become
@@ -118,10 +119,17 @@ def near_duplicates(
     nothing and is its own component. A null id stays null. Texts of fewer
     than ``shingle`` words are one shingle. Repeated rows are copies of each
     other (one component under their id; each is ``kept`` by the rule id =
-    component). Other columns are ignored.
+    component). Other columns are ignored; ``keep`` passes further columns.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = list(keep or {})
+    kept_rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        *[c.alias(n) for n, c in (keep or {}).items()],
+        F.col(text_col).cast("string").alias("text"),
+    )
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept_rows.schema if f.name in kept)
+    docs = kept_rows.select("doc_id", "text")
     if coordinates < bands * rows:
         raise ValueError("the bands need bands * rows coordinates")
 
@@ -135,7 +143,7 @@ def near_duplicates(
                     key = mix64(key * np.uint64(0x9FB21C651E98DF25) + sig[:, j : bands * rows : rows])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, len(n)),
+                        *[batch.column(c).slice(lo, len(n)) for c in ("doc_id", *kept)],
                         pa.array(n, pa.int64()),
                         pa.array(_fingerprints(sets, at), pa.binary()),
                         pa.ListArray.from_arrays(
@@ -146,11 +154,14 @@ def near_duplicates(
                             pa.array(sig.astype(np.uint8).view(np.int8).ravel()),
                         ),
                     ],
-                    ["doc_id", "n_shingles", "fp", "bands", "sig"],
+                    ["doc_id", *kept, "n_shingles", "fp", "bands", "sig"],
                 )
 
     feats = written(
-        docs.mapInArrow(features, "doc_id long, n_shingles long, fp binary, bands array<long>, sig array<tinyint>"), "minhash"
+        kept_rows.mapInArrow(
+            features, f"doc_id long{kinds}, n_shingles long, fp binary, bands array<long>, sig array<tinyint>"
+        ),
+        "minhash",
     )
     full = feats.where("n_shingles > 0")
     # The signature is a function of the set: the row of the smallest id stands for its class.
@@ -223,8 +234,10 @@ def near_duplicates(
     )
     lowest = classes.groupBy("part").agg(F.min("rep").alias("component_id"))
     classes = classes.join(lowest, "part").select("fp", "component_id")
-    out = feats.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
+    out = feats.select("doc_id", *kept, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
     out = out.join(classes, "fp", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *kept
+    )
+    return out.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *kept
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

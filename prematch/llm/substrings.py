@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._session import discard, written
@@ -38,8 +38,16 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
     return period, COVERS[period], window - period + 1
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_text)``, one row for each row of ``docs``.
+def remove_repeats(
+    docs: DataFrame,
+    *,
+    window: int = 35,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: dict[str, Column] | None = None,
+    as_is: bool = False,
+) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_text, ..)``, one row for each row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it starts, word for
     word, anywhere else, in another document or in the same one; windows are
@@ -51,14 +59,19 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     Null texts have no words. Texts of fewer than ``window`` words lose
     nothing. Repeated rows are copies: all their windows repeat. Ids may be
     null or repeat, since a text is known by its id and its checksum. Other
-    columns are ignored.
+    columns are ignored; ``keep`` passes further columns with their rows. With
+    ``as_is`` a text that loses nothing keeps its white space too.
     """
     period, cover, size = cover_for(window)
     on_cover = np.zeros(period, bool)
     on_cover[list(cover)] = True
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    kept_names = list(keep or {})
+    kept_rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        *[c.alias(n) for n, c in (keep or {}).items()],
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).withColumn("sum", F.crc32("text"))
+    rows = kept_rows.select("doc_id", "text", "sum")
 
     def anchors(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +155,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
                     mark[p + window] -= 1
                     w = [w[k] for k in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
                 n_removed.append(n_words[-1] - len(w))
-                kept.append(b" ".join(w).decode())
+                kept.append(t.as_py() if as_is and not n_removed[-1] else b" ".join(w).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_text"],
-            )
-
-    marked = rows.alias("d").join(gone.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.sum = n.sum"), "left")
-    return marked.select("d.doc_id", "d.text", "n.places").mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, kept_text string"
+                [
+                    batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                    pa.array(kept, pa.string()), *[batch.column(c) for c in kept_names],
+                ],
+                ["doc_id", "n_words", "n_removed", "kept_text", *kept_names],
+            )
+
+    marked = kept_rows.alias("d").join(gone.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.sum = n.sum"), "left")
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept_rows.schema if f.name in kept_names)
+    return marked.select("d.doc_id", "d.text", "n.places", *[f"d.{c}" for c in kept_names]).mapInArrow(
+        cut, f"doc_id long, n_words long, n_removed long, kept_text string{kinds}"
     )

@@ -144,3 +144,44 @@ def test_packing_places_every_token(stages):
 def test_registered_queries_run(spark, name):
     df = queries.queries()[name](spark, DATA)
     assert df.count() > 0
+
+
+def _prose(seed, n=60):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+
+
+def _odd_ids(spark):
+    """Null ids, one id with two texts, equal rows."""
+    near = _prose(1) + " " + _prose(2, 1)
+    rows = [
+        (None, _prose(3)), (None, _prose(4)), (None, _prose(4)), (None, None), (None, "  "), (None, _prose(1)),
+        (5, near), (7, near), (7, _prose(5)), (7, _prose(6)), (7, _prose(6)), (9, _prose(7)),
+    ]
+    return spark.createDataFrame([(d, t, "en", "src1", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _pairs(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_near_copies_by_row_not_by_id(spark):
+    got = _pairs(corpus_pipeline.minhash_near_dedup(spark, _odd_ids(spark), DATA))
+    near = _prose(1) + " " + _prose(2, 1)
+    want = [
+        (None, _prose(3)), (None, _prose(4)), (None, None), (None, "  "), (5, near), (7, _prose(5)), (7, _prose(6)), (9, _prose(7)),
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_repeats_by_row_not_by_id(spark):
+    shared = _prose(8, 40)
+    rows = [
+        (None, f"{shared} {_prose(11, 3)}"), (None, f"{_prose(12, 3)}  {shared}"), (None, "a  b"), (None, None), (None, shared),
+        (7, f"{_prose(13, 3)} {shared}"), (7, "c  d"), (7, "c  d"),
+    ]
+    docs = spark.createDataFrame([(t, d, len(t or "")) for d, t in rows], "text string, doc_id long, n_chars long")
+    out = corpus_pipeline.substring_dedup(spark, docs, DATA)
+    want = [(None, _prose(11, 3)), (None, _prose(12, 3)), (None, "a  b"), (None, None), (7, _prose(13, 3)), (7, "c  d"), (7, "c  d")]
+    assert out.columns == docs.columns and _pairs(out) == sorted(want, key=str)
+    assert all(r.n_chars == len(r.text or "") for r in out.collect())
