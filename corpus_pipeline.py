@@ -9,17 +9,23 @@ from prematch.llm import langid, minhash, mixing, packing, substrings
 from prematch.llm._session import written
 from prematch.llm.queries import MIX_SEED, MIX_WEIGHTS, mix_levels, tokenizer_path
 
-#: A text with less of its n-grams in its best language is in none that was learned.
-LEAST_COVERAGE = 0.05
+#: One text in so many tells the language stage how much coverage a learned language has; the others train it.
+LANGUAGE_FOLDS = 5
 #: The mix keeps this share of the tokens it is given, each document at most once.
 MIX_SHARE = (9, 10)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; those without letters or like no learned language go."""
+    """Documents in a learned language stay; those without letters or like no learned language go.
+
+    The bound on coverage comes from held-out texts, by their length.
+    """
     names = {f"__{i}": c for i, c in enumerate(docs.columns) if c != "text"}
-    said = langid.predict(docs, langid.train(docs), keep={k: docs[c] for k, c in names.items()}, keep_text=True)
-    rejected = (F.col("lang_pred") == langid.UNDETERMINED) | ((F.col("coverage") < LEAST_COVERAGE) & (F.length("text") >= 200))
+    held_out = F.pmod(F.xxhash64("text"), F.lit(LANGUAGE_FOLDS)) == 0
+    model = langid.train(docs.where(~held_out))
+    least = langid.least_coverage(docs.where(held_out), model)
+    said = langid.predict(docs, model, keep={k: docs[c] for k, c in names.items()}, keep_text=True, keep_grams=True)
+    rejected = (F.col("lang_pred") == langid.UNDETERMINED) | (F.col("coverage") < least)
     back = {c: k for k, c in names.items()} | {"text": "text"}
     return said.where(~rejected).select(*[F.col(back[c]).alias(c) for c in docs.columns])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,7 @@ def predict(
     text_col: str = "text",
     keep: dict[str, Column] | None = None,
     keep_text: bool = False,
+    keep_grams: bool = False,
 ) -> DataFrame:
     """``(doc_id, .., lang_pred, score, coverage)`` for each row.
 
@@ -176,7 +178,7 @@ def predict(
     language with more training texts, then by name. Without any training
     text all is ``und``. Whole texts count, however long; ids may be null or
     repeat; other columns are ignored. ``keep`` passes
-    further columns, ``keep_text`` the text.
+    further columns, ``keep_text`` the text, ``keep_grams`` adds ``n_grams``.
     """
     kept = list(keep or {})
     rows = docs.select(
@@ -192,9 +194,10 @@ def predict(
             letters = np.asarray(batch.column("letters").to_pylist(), bool)
             pred = np.full(batch.num_rows, -1)
             score, cover = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            grams = np.zeros(batch.num_rows, np.int64)
             if names:
                 for lo, hi, buf, offs in text_chunks(batch.column("text")):
-                    shares, _ = model.shares(buf, offs)
+                    shares, grams[lo:hi] = model.shares(buf, offs)
                     best = shares.argmax(1)
                     top = shares[np.arange(hi - lo), best]
                     ok = letters[lo:hi]
@@ -204,10 +207,62 @@ def predict(
             said = pa.array([names[i] if i >= 0 else UNDETERMINED for i in pred], pa.string())
             names_out = ["doc_id", *kept, *["text"] * keep_text]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names_out], said, pa.array(score), pa.array(cover)],
-                [*names_out, "lang_pred", "score", "coverage"],
+                [*[batch.column(n) for n in names_out], said, pa.array(score), pa.array(cover), *[pa.array(grams)] * keep_grams],
+                [*names_out, "lang_pred", "score", "coverage", *["n_grams"] * keep_grams],
             )
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
     kinds += ", text string" * keep_text
-    return rows.mapInArrow(judge, f"doc_id long{kinds}, lang_pred string, score double, coverage double")
+    return rows.mapInArrow(judge, f"doc_id long{kinds}, lang_pred string, score double, coverage double{', n_grams long' * keep_grams}")
+
+
+def least_coverage(
+    held_out: DataFrame,
+    model: LanguageFilter,
+    *,
+    quantile: float = 0.01,
+    margin: float = 2 / 3,
+    pool: int = 300,
+    least_grams: int = 32,
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> Column:
+    """The least coverage of a text in a learned language, by ``n_grams``; learned from texts the model has not seen.
+
+    The held-out texts that get their own label are pooled by octaves of their
+    n-grams' number, from the longest down, at least ``pool`` texts a pool; a
+    pool's rate is a low quantile of its coverages, and no pool is stricter
+    than a longer one. Fewer than ``pool`` texts in all lower the rate in
+    proportion to the quantile's relative error. ``margin`` of the rate is
+    asked for, so rare texts in a learned language (lists, capitals, mixed
+    languages) stay. A text's bound is that less the same quantile of a binomial share: a byte takes part in as many
+    n-grams as they have bytes, so only so many are independent. So bounds
+    widen as texts get shorter, down to none. Without held-out texts it is 0.
+    """
+    said = predict(held_out.withColumn("doc_id", F.lit(0)), model, text_col=text_col, keep={"said": held_out[lang_col]}, keep_grams=True)
+    said = said.where((F.col("said") == F.col("lang_pred")) & (F.col("n_grams") >= least_grams))
+    steps = 200
+    found = said.groupBy(F.floor(F.log2("n_grams")).alias("octave"), F.floor(F.col("coverage") * steps).alias("c")).count().collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.octave, np.zeros(steps + 1, np.int64))[min(r.c, steps)] += r["count"]
+    rates, hist, rate = {}, np.zeros(steps + 1, np.int64), 1.0
+    total = sum(int(h.sum()) for h in by.values())
+    pool = min(pool, total)
+    for octave in sorted(by, reverse=True):
+        hist = hist + by[octave]
+        if hist.sum() >= pool:
+            low = int(np.searchsorted(np.cumsum(hist), quantile * hist.sum(), "right")) / steps
+            rate = min(rate, margin * low * (1 - 1 / np.sqrt(hist.sum())))
+            hist = np.zeros(steps + 1, np.int64)
+        rates[octave] = rate
+    if not rates:
+        return F.lit(0.0)
+    # Octaves before the first full pool, longer than any of it, share its rate; shorter ones have the last rate.
+    full = [rates[o] for o in sorted(rates, reverse=True) if rates[o] < 1]
+    z = NormalDist().inv_cdf(1 - quantile)
+    here = F.lit(float(min(rates.values())))
+    for octave in sorted(rates):
+        r = rates[octave] if rates[octave] < 1 or not full else full[0]
+        here = F.when(F.col("n_grams") >= F.lit(2**octave), F.lit(float(r))).otherwise(here)
+    return F.greatest(F.lit(0.0), here - z * F.sqrt(here * (1 - here) * _GRAM / F.greatest(F.col("n_grams"), F.lit(1))))

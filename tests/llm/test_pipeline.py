@@ -185,3 +185,18 @@ def test_repeats_by_row_not_by_id(spark):
     want = [(None, _prose(11, 3)), (None, _prose(12, 3)), (None, "a  b"), (None, None), (7, _prose(13, 3)), (7, "c  d"), (7, "c  d")]
     assert out.columns == docs.columns and _pairs(out) == sorted(want, key=str)
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
+
+
+def test_language_stage_rejects_unlearned_languages_short_and_long(spark):
+    """Foreign texts of both scripts go at any length that tells; clean short ones stay."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    russian = "Рано утром старый рыбак спускался в порт с сетью на плечах и смотрел на море под облаками, оно было серым."
+    italian = "La mattina il vecchio pescatore scendeva verso il porto con la rete sulle spalle e guardava il mare che cambiava colore sotto le nuvole. "
+    finnish = "Varhain aamulla vanha kalastaja laskeutui satamaan verkko olkapaillaan ja katseli merta, joka vaihtoi variaan pilvien alla. "
+    foreign = [russian[:99], russian * 4, italian * 4, finnish * 4]
+    long = max((r.text or "" for r in docs.where("lang = 'en'").collect()), key=len)
+    clean = [" ".join(long.split()[:n]) for n in (2, 5, 20, 100)]
+    planted = [(800000 + i, t) for i, t in enumerate(foreign)] + [(900000 + i, t) for i, t in enumerate(clean)]
+    rows = spark.createDataFrame([(d, t, None, "src1", len(t)) for d, t in planted], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language_id(spark, docs.unionByName(rows, allowMissingColumns=True), DATA)
+    assert [d for d in _ids(r.asDict() for r in out.collect()) if d >= 800000] == [900000 + i for i in range(len(clean))]
