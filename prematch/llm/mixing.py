@@ -111,8 +111,9 @@ def mix(
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """``(doc_id, levels.., epoch, n_tokens, n_taken, leaf_budget)``: one row for each document and epoch taken.
+    """``(doc_id, levels.., epoch, n_tokens, n_taken, leaf_budget, ..)``: one row for each document and epoch taken.
 
     ``levels`` names the tree's levels from the top and gives their columns.
     Epoch e of a leaf is all its documents in the order of a 60-bit hash of
@@ -125,13 +126,14 @@ def mix(
     Nulls and missing names count as the node ``none``; a null text is empty.
     Documents without tokens are never taken. Ties of the hash go by id, then
     by tokens. Repeated rows are documents of their own. Without documents the
-    result is empty.
+    result is empty. ``keep`` passes further columns, which break later ties.
     """
-    names = list(levels)
+    names, kept = list(levels), list(keep or {})
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         *[F.coalesce(c.cast("string"), F.lit("none")).alias(n) for n, c in levels.items()],
         word_count(F.col(text_col)).alias("n_tokens"),
+        *[c.alias(n) for n, c in (keep or {}).items()],
     )
     base = written(base.where("n_tokens > 0"), "mix")
     leaves = base.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
@@ -168,19 +170,20 @@ def mix(
 
     whole = dealt.where("whole > 0").select(
         "doc_id", *names, F.explode(F.expr("sequence(0L, whole - 1)")).alias("epoch"), "n_tokens",
-        F.col("n_tokens").alias("n_taken"), "leaf_budget",
+        F.col("n_tokens").alias("n_taken"), "leaf_budget", *kept,
     )
     head = dealt.where("bucket < cut").select(
-        "doc_id", *names, F.col("whole").alias("epoch"), "n_tokens", F.col("n_tokens").alias("n_taken"), "leaf_budget"
-    )
-    order = Window.partitionBy(*names).orderBy("at", "doc_id", "n_tokens")
+        "doc_id", *names, F.col("whole").alias("epoch"), "n_tokens", F.col("n_tokens").alias("n_taken"), "leaf_budget",
+        *kept,
+    )
+    order = Window.partitionBy(*names).orderBy("at", "doc_id", "n_tokens", *kept)
     order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = dealt.where("bucket = cut").withColumn(
         "before", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")
     )
     edge = edge.where("before < part").select(
         "doc_id", *names, F.col("whole").alias("epoch"), "n_tokens",
-        F.least(F.col("n_tokens"), F.col("part") - F.col("before")).alias("n_taken"), "leaf_budget",
+        F.least(F.col("n_tokens"), F.col("part") - F.col("before")).alias("n_taken"), "leaf_budget", *kept,
     )
     return whole.unionByName(head).unionByName(edge).withColumn("epoch", F.col("epoch").cast("int"))
 

@@ -200,3 +200,22 @@ def test_language_stage_rejects_unlearned_languages_short_and_long(spark):
     rows = spark.createDataFrame([(d, t, None, "src1", len(t)) for d, t in planted], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.language_id(spark, docs.unionByName(rows, allowMissingColumns=True), DATA)
     assert [d for d in _ids(r.asDict() for r in out.collect()) if d >= 800000] == [900000 + i for i in range(len(clean))]
+
+
+def test_mix_reaches_the_targets_to_the_word(spark):
+    """Domains of equal size, null and repeated ids: token shares are the weights', cut documents included."""
+    rows = []
+    for k in range(480):
+        d = None if k % 5 == 0 else k // 2
+        lang = ("en", "de", "fr", "es")[k // 4 % 4]
+        rows.append((d, f" {k}\n" + " ".join(f"w{i}" for i in range(29)), lang, f"src{k % 4}", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    total = 480 * 30 * corpus_pipeline.MIX_SHARE[0] // corpus_pipeline.MIX_SHARE[1]
+    for k, w in enumerate((4, 3, 2, 1)):
+        assert abs(sum(len(r.text.split()) for r in out if r.source == f"src{k}") - total * w / 10) <= 1
+    texts = {r[1] for r in rows}
+    part = [r for r in out if r.text not in texts]
+    assert len(part) <= 16 and all(r.n_chars == len(r.text) for r in part)
+    assert all(any(" ".join(t.split()).startswith(r.text + " ") for t in texts) for r in part)
+    assert len({r.text.split()[0] for r in out}) == len(out)
