@@ -19,16 +19,16 @@ MIX_SHARE = (1, 3)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; those without letters or like no learned language go.
 
-    The bound on coverage comes from held-out texts, by their length.
+    The bound on coverage comes from held-out texts, by their length. Null
+    texts go; ids may be null or repeat, rows are judged one by one.
     """
-    names = {f"__{i}": c for i, c in enumerate(docs.columns) if c != "text"}
     held_out = F.pmod(F.xxhash64("text"), F.lit(LANGUAGE_FOLDS)) == 0
     model = langid.train(docs.where(~held_out))
-    least = langid.least_coverage(docs.where(held_out), model)
-    said = langid.predict(docs, model, keep={k: docs[c] for k, c in names.items()}, keep_text=True, keep_grams=True)
-    rejected = (F.col("lang_pred") == langid.UNDETERMINED) | (F.col("coverage") < least)
-    back = {c: k for k, c in names.items()} | {"text": "text"}
-    return said.where(~rejected).select(*[F.col(back[c]).alias(c) for c in docs.columns])
+    at = "__said"
+    least = langid.least_coverage(docs.where(held_out), model, F.col(f"{at}.n_grams"))
+    said = docs.withColumn(at, langid.judged(docs["text"], model))
+    rejected = (F.col(f"{at}.lang_pred") == langid.UNDETERMINED) | (F.col(f"{at}.coverage") < least)
+    return said.where(~rejected).select(*docs.columns)
 
 
 def _key(docs: DataFrame) -> Column:

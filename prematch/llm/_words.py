@@ -21,6 +21,8 @@ _BYTE_VALUE_LOWER = _BYTE_VALUE.copy()
 _BYTE_VALUE_LOWER[65:91] = _BYTE_VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes, or neighbours, hashed together: the tables of powers and all temporaries have this size, however long a text is.
+_BLOCK = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -28,7 +30,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     found = _powers.get(base)
     if found is None or len(found[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, _BLOCK + 64)
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(size, b, np.uint64)
@@ -47,7 +49,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past last row, bytes, byte offsets) of runs of rows of about ``limit`` bytes; null counts as empty.
 
     A row is never cut, so a longer text makes a longer chunk.
@@ -70,27 +72,50 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the word offsets of each text."""
-    n = len(buf)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    space = _SPACE[buf]
-    word = ~space
-    first, last = word.copy(), word.copy()
-    first[1:] &= space[:-1]
-    last[:-1] &= space[1:]
-    edge = offs[offs < n]
-    first[edge] = word[edge]
-    edge = offs[offs > 0] - 1
-    last[edge] = word[edge]
-    starts = np.flatnonzero(first)
-    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(buf), 1 << 20):
+        b = min(len(buf), a + (1 << 20))
+        word = ~_SPACE[buf[a:b]]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        if a and not _SPACE[buf[a - 1]]:
+            first[0] = False
+        if b < len(buf) and not _SPACE[buf[b]]:
+            last[-1] = False
+        edge = offs[(offs >= a) & (offs < b)] - a
+        first[edge] = word[edge]
+        edge = offs[(offs > a) & (offs <= b)] - a - 1
+        last[edge] = word[edge]
+        starts.append(np.flatnonzero(first) + a)
+        ends.append(np.flatnonzero(last) + a + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    return starts, ends, np.searchsorted(starts, offs)
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    p, inverse = powers(_BYTE_BASE, len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[buf] * p[: len(buf)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts])
+    value = _BYTE_VALUE_LOWER if lower else _BYTE_VALUE
+    p, inverse = powers(_BYTE_BASE, _BLOCK)
+    out = np.empty(len(starts), np.uint64)
+    total = np.zeros(_BLOCK + 1, np.uint64)
+    lo = 0
+    while lo < len(starts):
+        begin = starts[lo]
+        hi = int(np.searchsorted(ends, begin + _BLOCK, "right"))
+        if hi == lo:  # one word longer than a block
+            sum_ = 0
+            for a in range(int(begin), int(ends[lo]), _BLOCK):
+                part = buf[a : min(a + _BLOCK, int(ends[lo]))]
+                sum_ += int((value[part] * p[: len(part)]).sum()) * pow(_BYTE_BASE, a - int(begin), 1 << 64)
+            out[lo] = np.uint64(sum_ & _MASK)
+            lo += 1
+            continue
+        seg = buf[begin : ends[hi - 1]]
+        np.cumsum(value[seg] * p[: len(seg)], out=total[1 : len(seg) + 1])
+        s, e = starts[lo:hi] - begin, ends[lo:hi] - begin
+        out[lo:hi] = (total[e] - total[s]) * inverse[s]
+        lo = hi
+    return mix64(out)
 
 
 def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -98,10 +123,15 @@ def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    p, inverse = powers(base, len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * p[: len(h)], out=total[1:])
-    return mix64((total[size:] - total[:-size]) * inverse[:n])
+    p, inverse = powers(base, _BLOCK + size)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, _BLOCK):
+        seg = h[a : a + _BLOCK + size - 1]
+        total = np.zeros(len(seg) + 1, np.uint64)
+        np.cumsum(seg * p[: len(seg)], out=total[1:])
+        m = len(seg) - size + 1
+        out[a : a + m] = (total[size:] - total[:-size]) * inverse[:m]
+    return mix64(out)
 
 
 def windows_inside(word_offs: np.ndarray, size: int) -> np.ndarray:

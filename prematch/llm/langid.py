@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._session import written
 from ._words import text_chunks
 
 _GRAM = 4
+_PIECE = 1 << 18
 _HASHES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -54,6 +54,16 @@ def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[good], at[np.minimum(offs, n)]
 
 
+def _blocks(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts; one long text comes in pieces that overlap by an n-gram, so memory does not follow its length."""
+    if len(offs) > 2 or len(buf) <= _PIECE:
+        yield buf, offs
+        return
+    for a in range(0, max(1, len(buf) - _GRAM + 1), _PIECE):
+        piece = buf[a : a + _PIECE + _GRAM - 1]
+        yield piece, np.array([0, len(piece)])
+
+
 @dataclass
 class LanguageFilter:
     languages: list[str]
@@ -74,15 +84,16 @@ class LanguageFilter:
 
     def shares(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Corrected share of each text's n-grams in each language, and the n-grams' number."""
-        grams, at = _grams(buf, offs)
-        n = np.diff(at)
-        hits = np.zeros((len(n), len(self.languages)))
-        for i in range(len(self.languages)):
-            if i % 64 == 0:
-                masks = self.masks(grams, i // 64)
-            bit = (masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1)
-            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(bit, dtype=np.int64)])
-            hits[:, i] = total[at[1:]] - total[at[:-1]]
+        n, hits = np.zeros(len(offs) - 1, np.int64), np.zeros((len(offs) - 1, len(self.languages)))
+        for piece, cuts in _blocks(buf, offs):
+            grams, at = _grams(piece, cuts)
+            n += np.diff(at)
+            for i in range(len(self.languages)):
+                if i % 64 == 0:
+                    masks = self.masks(grams, i // 64)
+                bit = (masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1)
+                total = np.concatenate([np.zeros(1, np.int64), np.cumsum(bit, dtype=np.int64)])
+                hits[:, i] += total[at[1:]] - total[at[:-1]]
         fp = self.false_positive
         return np.maximum(0, (hits / np.maximum(n, 1)[:, None] - fp) / (1 - fp)), n
 
@@ -118,30 +129,38 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageFilter:
-    """Learn from at most ``per_language`` texts of each language, those of the smallest hash of their id.
+    """Learn from at most ``per_language`` texts of each language, those of the smallest hash of their id and text.
 
     An n-gram belongs to a language if at least ``min_share`` of its sampled
     texts contain it, so a language's set is bounded by the texts' mean number
     of distinct n-grams over ``min_share``, whatever the corpus's size.
     """
+    spot = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11)
     rows = labelled.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")
+        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), spot.alias("spot")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    chosen = written(chosen.select("lang", "doc_id"), "langid")
-    sizes = {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()}
-    if not sizes:
+    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not totals:
         return _filter([], [], fill)
-    # Bounded: per_language rows of each language.
-    sample = rows.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"], "left_semi")
+    by_lang = lambda x: F.create_map(*[F.lit(v) for kv in x.items() for v in kv])[F.col("lang")]
+    # Three times as many as are wanted lie below this bound, so only they are ranked, not a language's whole rows.
+    low = rows.where(F.col("spot") < by_lang({k: int(min(1.0, 3 * per_language / n) * 2.0**53) for k, n in totals.items()}))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    cuts = low.select("lang", "spot").distinct().withColumn("k", place).where(F.col("k") <= per_language)
+    cuts = {r.lang: (r.spot, r.n) for r in cuts.groupBy("lang").agg(F.max("spot").alias("spot"), F.count("*").alias("n")).collect()}
+    sizes = {k: n for k, (_, n) in cuts.items()}
+    sample = rows.where(F.col("lang").isin(list(sizes)) & (F.col("spot") <= by_lang({k: c for k, (c, _) in cuts.items()})))
+    sample = sample.dropDuplicates(["lang", "spot"])
 
     def grams(batches):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lo, hi, buf, offs in text_chunks(batch.column("text")):
-                g, at = _grams(buf, offs)
-                parts = [np.unique(g[at[i] : at[i + 1]]) for i in range(hi - lo)]
+                if hi - lo == 1:
+                    parts = [np.unique(np.concatenate([np.unique(_grams(*piece)[0]) for piece in _blocks(buf, offs)]))]
+                else:
+                    g, at = _grams(buf, offs)
+                    parts = [np.unique(g[at[i] : at[i + 1]]) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x for i, p in enumerate(parts) for x in [langs[lo + i]] * len(p)], pa.string()),
@@ -159,15 +178,33 @@ def train(
     return _filter(languages, [(at[r.lang], r.gram) for r in found.select("lang", "gram").collect()], fill)
 
 
+def judged(text: Column, model: LanguageFilter) -> Column:
+    """A struct ``(lang_pred, score, coverage, n_grams)`` for each text; only texts travel to Python, other columns stay.
+
+    See :func:`predict` for the values.
+    """
+    names = model.languages
+
+    @F.arrow_udf("lang_pred string, score double, coverage double, n_grams long")
+    def judge(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        n = len(texts)
+        ok = np.asarray(letters.to_pylist(), bool)
+        best, score, cover, grams = np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        for lo, hi, buf, offs in text_chunks(texts) if names else ():
+            shares, grams[lo:hi] = model.shares(buf, offs)
+            best[lo:hi] = np.where(ok[lo:hi], shares.argmax(1), -1)
+            top = np.where(ok[lo:hi], shares.max(1), 0)
+            score[lo:hi], cover[lo:hi] = top / np.maximum(shares.sum(1), 1e-12), top
+        said = pa.array([names[i] if i >= 0 else UNDETERMINED for i in best], pa.string())
+        return pa.StructArray.from_arrays([said, pa.array(score), pa.array(cover), pa.array(grams)], ["lang_pred", "score", "coverage", "n_grams"])
+
+    text = text.cast("string")
+    # Non-deterministic for the optimiser: a filter on its result is not pushed below it, which would run it twice.
+    return judge.asNondeterministic()(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
 def predict(
-    docs: DataFrame,
-    model: LanguageFilter,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    keep: dict[str, Column] | None = None,
-    keep_text: bool = False,
-    keep_grams: bool = False,
+    docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None
 ) -> DataFrame:
     """``(doc_id, .., lang_pred, score, coverage)`` for each row.
 
@@ -177,48 +214,17 @@ def predict(
     a known n-gram get the first language with score 0. Ties go to the
     language with more training texts, then by name. Without any training
     text all is ``und``. Whole texts count, however long; ids may be null or
-    repeat; other columns are ignored. ``keep`` passes
-    further columns, ``keep_text`` the text, ``keep_grams`` adds ``n_grams``.
+    repeat; other columns are ignored. ``keep`` passes further columns.
     """
-    kept = list(keep or {})
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        *[c.alias(n) for n, c in (keep or {}).items()],
-        F.col(text_col).cast("string").alias("text"),
-        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-    )
-    names = model.languages
-
-    def judge(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters = np.asarray(batch.column("letters").to_pylist(), bool)
-            pred = np.full(batch.num_rows, -1)
-            score, cover = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            grams = np.zeros(batch.num_rows, np.int64)
-            if names:
-                for lo, hi, buf, offs in text_chunks(batch.column("text")):
-                    shares, grams[lo:hi] = model.shares(buf, offs)
-                    best = shares.argmax(1)
-                    top = shares[np.arange(hi - lo), best]
-                    ok = letters[lo:hi]
-                    pred[lo:hi] = np.where(ok, best, -1)
-                    score[lo:hi] = np.where(ok, top / np.maximum(shares.sum(1), 1e-12), 0)
-                    cover[lo:hi] = np.where(ok, top, 0)
-            said = pa.array([names[i] if i >= 0 else UNDETERMINED for i in pred], pa.string())
-            names_out = ["doc_id", *kept, *["text"] * keep_text]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names_out], said, pa.array(score), pa.array(cover), *[pa.array(grams)] * keep_grams],
-                [*names_out, "lang_pred", "score", "coverage", *["n_grams"] * keep_grams],
-            )
-
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
-    kinds += ", text string" * keep_text
-    return rows.mapInArrow(judge, f"doc_id long{kinds}, lang_pred string, score double, coverage double{', n_grams long' * keep_grams}")
+    said = judged(F.col(text_col), model)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(n) for n, c in (keep or {}).items()], said.alias("_said"))
+    return rows.select("doc_id", *(keep or {}), "_said.lang_pred", "_said.score", "_said.coverage")
 
 
 def least_coverage(
     held_out: DataFrame,
     model: LanguageFilter,
+    n_grams: Column,
     *,
     quantile: float = 0.01,
     margin: float = 2 / 3,
@@ -239,7 +245,7 @@ def least_coverage(
     n-grams as they have bytes, so only so many are independent. So bounds
     widen as texts get shorter, down to none. Without held-out texts it is 0.
     """
-    said = predict(held_out.withColumn("doc_id", F.lit(0)), model, text_col=text_col, keep={"said": held_out[lang_col]}, keep_grams=True)
+    said = held_out.select(F.col(lang_col).alias("said"), judged(F.col(text_col), model).alias("j")).select("said", "j.*")
     said = said.where((F.col("said") == F.col("lang_pred")) & (F.col("n_grams") >= least_grams))
     steps = 200
     found = said.groupBy(F.floor(F.log2("n_grams")).alias("octave"), F.floor(F.col("coverage") * steps).alias("c")).count().collect()
@@ -264,5 +270,5 @@ def least_coverage(
     here = F.lit(float(min(rates.values())))
     for octave in sorted(rates):
         r = rates[octave] if rates[octave] < 1 or not full else full[0]
-        here = F.when(F.col("n_grams") >= F.lit(2**octave), F.lit(float(r))).otherwise(here)
-    return F.greatest(F.lit(0.0), here - z * F.sqrt(here * (1 - here) * _GRAM / F.greatest(F.col("n_grams"), F.lit(1))))
+        here = F.when(n_grams >= F.lit(2**octave), F.lit(float(r))).otherwise(here)
+    return F.greatest(F.lit(0.0), here - z * F.sqrt(here * (1 - here) * _GRAM / F.greatest(n_grams, F.lit(1))))

@@ -84,8 +84,14 @@ def signatures(sets: np.ndarray, at: np.ndarray, coordinates: int) -> np.ndarray
         hi = max(lo + 1, int(np.searchsorted(at[full], at[full[lo]] + (1 << 16))))
         part, begin = full[lo:hi], at[full[lo]]
         piece, cuts = x[begin : at[full[hi - 1] + 1]], at[part] - begin
-        for k in range(coordinates):
-            out[part, k] = np.minimum.reduceat(_pi(piece + np.uint32(k + 1)), cuts)
+        if len(part) == 1:  # one set, of any size
+            for a in range(0, len(piece), 1 << 16):
+                block = piece[a : a + (1 << 16)]
+                low = np.array([_pi(block + np.uint32(k + 1)).min() for k in range(coordinates)])
+                out[part[0]] = low if a == 0 else np.minimum(out[part[0]], low)
+        else:
+            for k in range(coordinates):
+                out[part, k] = np.minimum.reduceat(_pi(piece + np.uint32(k + 1)), cuts)
         lo = hi
     return out
 

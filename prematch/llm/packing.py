@@ -1,96 +1,87 @@
 """Best-fit packing of tokenized documents, in bulk-synchronous supersteps.
 
-Documents and gaps are kept in order of length as runs of equal lengths (at
-most ``capacity`` of each, counted by a distributed aggregation). A superstep
-takes the longest run of documents still open and sweeps the gaps from the
-smallest that is large enough; equal documents that want equal gaps settle it
-by rank, gaps shrink, and the next step follows. The result of the steps is a
-short list of rank ranges; each document finds its own by its rank among
-equals, which is computed in salted ranges. That is best-fit decreasing,
-exactly, with one shuffle of the pieces.
+Documents and gaps are kept in order of size as runs of equal sizes (at most
+``capacity`` of each, counted by a distributed aggregation). A superstep is a
+Spark query over these runs. It sorts documents and gaps together, downwards,
+and sweeps them: running sums give each run its place, and each document the
+successor among the gaps that are still free, the smallest that is large
+enough. Conflicts are settled by rank, longer documents first, so a document
+that loses a gap gets the next larger one in the same step. Then gaps shrink
+and the next step follows. Where no gap is large enough, new sequences open
+for the longest documents. The steps' result is a short list of rank ranges;
+each document finds its own by its rank among equals, which is computed in
+salted ranges, with one shuffle of the pieces.
 """
 
 from __future__ import annotations
 
-import bisect
+import json
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._session import written
 
 END = 2
-_CACHE_LIMIT = 1_000_000
-_SALTS = 256
-_tokenizers: dict[str, "_Pieces"] = {}
-_MARKS = ".,;:!?|#$%&*"
+#: At least so many rank ranges of one length, and one for so many pieces.
+_SALTS, _SALT_ROWS = 256, 100_000
+#: New sequences open for this part of the open documents' volume at once, for all of it below ``_FEW`` sequences.
+_OPEN, _FEW = (3, 4), 32
+#: How byte-level BPE cuts a text before merging (a fixed value of these vocabularies).
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: One blank between two characters that no Unicode version calls white space: tokens never cross its left side.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"[^\S \n]")
+_LONG = 1 << 18
+_encoders: dict[str, tuple] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_of_letter() -> dict[str, int]:
     """Byte-level BPE's letter of each byte: printable ones are themselves, the others follow from 256."""
     plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
     others = iter(range(256, 512))
-    return {b: chr(b if b in plain else next(others)) for b in range(256)}
-
-
-_LETTERS = _byte_letters()
-
-
-class _Pieces(dict):
-    """Piece of text to the bytes of its ids, filled on demand."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-
-    def __missing__(self, piece: str) -> bytes:
-        # A mark after a letter begins a token of its own, so stems are shared by "word", "word," and "word."
-        stem = piece.rstrip(_MARKS)
-        if stem and len(stem) < len(piece) and stem[-1].isalpha():
-            found = self[stem] + self[piece[len(stem) :]]
-        elif piece[piece[0] == " " :].isalpha():  # one pre-token: merges alone are needed
-            letters = piece.encode().decode("latin-1").translate(_LETTERS)
-            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        else:
-            found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
-
-
-def _tokenizer(path: str) -> _Pieces:
-    """The pieces that this Python worker remembers; their number is bounded."""
-    found = _tokenizers.get(path)
-    if found is None or len(found) > _CACHE_LIMIT:
-        _tokenizers.clear()
-        found = _tokenizers[path] = _Pieces(path)
-    return found
-
-
-def _units(text: str) -> list[str]:
-    """The text in pieces that the byte-level pre-tokenizer treats alone."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD.search(text):
-        found = _CUT.split(text)
-    else:
-        found = text.split(" ")
-    return [found[0], *[" " + u for u in found[1:]]] if text else []
-
-
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers."""
-    known = _tokenizer(path)
-    return [b"".join(map(known.__getitem__, _units(t))) for t in texts]
+    return {chr(b if b in plain else next(others)): b for b in range(256)}
+
+
+def _encoder(path: str) -> tuple:
+    """The merging engine of a byte-level BPE file and the strings of its added tokens; one a Python worker."""
+    if path not in _encoders:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            told = json.load(f)
+        vocab, added = told["model"]["vocab"], {t["content"]: t["id"] for t in told["added_tokens"]}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
+        ids = [vocab["".join(m)] for m in merges]
+        if told["pre_tokenizer"]["type"] != "ByteLevel" or told["pre_tokenizer"]["add_prefix_space"] or told["normalizer"] or ids != sorted(ids):
+            raise ValueError(f"{path} is no byte-level BPE whose ids follow its merges")
+        byte = _byte_of_letter()
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
+        _encoders[path] = tiktoken.Encoding("bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=added), list(added)
+    return _encoders[path]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text; a long one in parts between which no token lies."""
+    at = 0
+    while len(text) - at > _LONG and (cut := _CUT.search(text, at + _LONG)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def token_ids(text: str, path: str) -> np.ndarray:
+    """Ids of a text as unsigned 32-bit numbers; the vocabulary's added tokens are recognised in it."""
+    engine, added = _encoder(path)
+    ids = []
+    for part in _parts(text):
+        allowed = {a for a in added if a in part}
+        ids.append(engine.encode_to_numpy(part, allowed_special=allowed, disallowed_special=()))
+    return ids[0] if len(ids) == 1 else np.concatenate(ids)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,11 +90,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str
 
     def cut(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo in range(0, len(ids), 256):
+            for lo in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
-                for doc_id, t in zip(ids[lo : lo + 256], token_ids(texts.slice(lo, 256).to_pylist(), tokenizer)):
-                    raw = t + END.to_bytes(4, "little")
+                part = batch.slice(lo, 256)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
+                    raw = token_ids(text.as_py(), tokenizer).astype("<u4").tobytes() + END.to_bytes(4, "little")
                     n, start = len(raw) // 4, 0
                     for k in range(-(-n // capacity)):
                         end = n % capacity or capacity if k == 0 else start + capacity
@@ -117,42 +108,105 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit of ``counts[length]`` documents: (length, first rank, number, first sequence, place in the sequence)."""
-    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, number), sorted
+def _opened(docs: DataFrame, capacity: int, most: int, sequences: int) -> DataFrame:
+    """New sequences for the longest documents: ``most`` in all, and one for each document of more than half of them.
+
+    A run of documents fills whole sequences with as many as they hold; what
+    is left over waits for gaps. Rows as of :func:`_swept`.
+    """
+    down = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    x = docs.withColumn("per", F.least(F.col("n"), F.expr(f"{capacity} div length")))
+    x = x.withColumn("need", F.expr("n div per")).withColumn("left", F.lit(most) - F.coalesce(F.sum("need").over(down), F.lit(0)))
+    long_ = 2 * F.col("length") > capacity
+    x = x.withColumn("count", F.when(long_, F.col("need")).otherwise(F.least("need", F.greatest("left", F.lit(0)))))
+    x = x.withColumn("first", F.lit(sequences) + F.coalesce(F.sum("count").over(down), F.lit(0)))
+    return x.where("count > 0").select(F.lit(capacity).cast("long").alias("gap"), "first", "count", "length", "per", "lo")
+
+
+def _swept(docs: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One superstep: ``(gap, first, count, length, per, lo)`` for all gaps, ``length`` null where one stays free.
+
+    ``docs(length, lo, n)``, ``gaps(gap, first, n)``. Documents of a run go in
+    bundles of as many as their smallest gap holds. Sorted by size downwards,
+    a gap run raises the number of free gaps and a bundle run lowers it, so
+    both are intervals of levels, and a bundle takes the gap that came last at
+    its level, as brackets pair: the smallest one left that is large enough.
+    The levels are cut where any interval begins or ends.
+    """
+    size = gaps.groupBy("gap").agg(F.sum("n").alias("n")).select(
+        F.col("gap").alias("size"), F.lit(0).alias("kind"), "n", F.lit(None).cast("long").alias("length"), F.lit(None).cast("long").alias("lo")
+    )
+    both = size.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), "n", "length", "lo"))
+    up = Window.orderBy("size", F.desc("kind")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = both.withColumn("next", F.min(F.when(F.col("kind") == 0, F.col("size"))).over(up)).where("next IS NOT NULL")
+    both = both.withColumn("per", F.when(F.col("kind") == 1, F.least("n", F.expr("next div length"))).otherwise(1).cast("long"))
+    both = both.withColumns({"size": F.col("size") * F.col("per"), "n": F.expr("n div per")})
+    down = Window.orderBy(F.desc("size"), "kind", F.desc("length"))
+    upto = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = both.withColumns({"place": F.row_number().over(down), "upto": upto})
+    at = at.withColumn("low", F.when(F.col("kind") == 0, F.col("upto") - F.col("n")).otherwise(F.col("upto")))
+    at = at.withColumn("high", F.col("low") + F.col("n"))
+    cuts = at.select(F.explode(F.array("low", "high")).alias("cut")).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+    at = at.crossJoin(F.broadcast(cuts))  # one row
+    at = at.withColumn("i", F.explode(F.expr("sequence(array_position(cuts, low), array_position(cuts, high) - 1)")))
+    at = at.withColumns({"from": F.expr("cuts[int(i) - 1]"), "to": F.expr("cuts[int(i)]")}).drop("cuts")
+    level = Window.partitionBy("from").orderBy("place")
+    then = lambda c: F.lead(c).over(level)
+    at = at.withColumns({"doc": then(F.when(F.col("kind") == 1, F.struct("length", "per", "lo", "high")))}).where("kind = 0")
+    cells = at.select(
+        F.col("size").alias("gap"), (F.col("from") - F.col("low")).alias("a"), (F.col("to") - F.col("low")).alias("z"),
+        "doc.length", "doc.per", (F.col("doc.lo") + (F.col("doc.high") - F.col("to")) * F.col("doc.per")).alias("lo"),
+    )
+    runs = gaps.withColumn("b", F.sum("n").over(Window.partitionBy("gap").orderBy("first")) - F.col("n"))
+    # Runs are bounded by the capacity and the steps, not by the documents.
+    cells = cells.join(F.broadcast(runs), "gap").withColumns({"p": F.greatest("a", "b"), "q": F.least("z", F.col("b") + F.col("n"))}).where("p < q")
+    return cells.select(
+        "gap", (F.col("first") + F.col("p") - F.col("b")).alias("first"), (F.col("q") - F.col("p")).alias("count"),
+        "length", "per", (F.col("lo") + (F.col("p") - F.col("a")) * F.col("per")).alias("lo"),
+    )
+
+
+def _joined(gaps: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of one gap and neighbouring sequences become one run."""
+    out: list[tuple[int, int, int]] = []
+    for gap, first, n in sorted(gaps):
+        if out and out[-1][0] == gap and out[-1][1] + out[-1][2] == first:
+            out[-1] = (gap, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((gap, first, n))
+    return out
+
+
+def supersteps(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Packs ``counts[length]`` documents; rows (length, first rank, documents a sequence, sequences, first sequence, offset).
+
+    Between two steps the driver holds the runs: open documents by length
+    (each a range of ranks), free gaps by size (ranges of sequences).
+    """
+    docs, gaps = {n: (0, c) for n, c in counts.items()}, []
     plan, sequences = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(gaps, (length, -1, -1))
-            if at < len(gaps):
-                gap, first, n = gaps.pop(at)
-                take = min(n, left)
-                if take < n:
-                    bisect.insort(gaps, (gap, first + take, n - take))
-            else:
-                gap, first, take = capacity, sequences, -(-left // (capacity // length))
-                sequences += take
-                fit = left // take if left % take == 0 else capacity // length
-                # Best fit fills each new sequence with equals before it opens the next.
-                full = left // fit
-                for slot in range(fit):
-                    plan.append((length, rank, full, first, slot * length))
-                    rank += full
-                if full and capacity - fit * length:
-                    bisect.insort(gaps, (capacity - fit * length, first, full))
-                rest = left - full * fit
-                for slot in range(rest):
-                    plan.append((length, rank, 1, first + full, slot * length))
-                    rank += 1
-                if rest:
-                    bisect.insort(gaps, (capacity - rest * length, first + full, 1))
-                left = 0
-                break
-            plan.append((length, rank, take, first, capacity - gap))
-            rank, left = rank + take, left - take
-            if gap > length:
-                bisect.insort(gaps, (gap - length, first, take))
+    while docs:
+        left = spark.createDataFrame([(n, lo, c) for n, (lo, c) in sorted(docs.items())], "length long, lo long, n long").coalesce(1)
+        if gaps and gaps[-1][0] >= min(docs):
+            free = spark.createDataFrame(gaps, "gap long, first long, n long").coalesce(1)
+            rows, gaps = _swept(left, free).collect(), [g for g in gaps if g[0] < min(docs)]
+        else:
+            volume = sum(n * c for n, (_, c) in docs.items())
+            part = _OPEN if volume > _FEW * capacity else (1, 1)
+            rows = _opened(left, capacity, max(1, -(-volume * part[0] // (capacity * part[1]))), sequences).collect()
+            sequences += sum(r["count"] for r in rows)
+        for r in rows:
+            gap = r.gap
+            if r.length is not None:
+                plan.append((r.length, r.lo, r.per, r["count"], r.first, capacity - r.gap))
+                gap -= r.per * r.length
+                lo, n = docs[r.length]
+                docs[r.length] = (lo, n - r.per * r["count"])
+            if gap:
+                gaps.append((gap, r.first, r["count"]))
+        # What a step takes of a run are its first ranks.
+        docs = {n: (counts[n] - c, c) for n, (_, c) in docs.items() if c}
+        gaps = _joined(gaps)
     return plan
 
 
@@ -161,18 +215,21 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str =
 
     A document is its text's ids and the end id; only one longer than
     ``capacity`` is cut, into pieces of ``capacity`` with the odd piece first.
-    Only counts by length (at most ``capacity`` of them) reach the driver.
+    Strings of the vocabulary's added tokens (``<|endoftext|>``) in a text are
+    those tokens, as the tokenizer itself reads them. Only counts by length
+    (at most ``capacity`` of them) and runs of gaps reach the driver.
     Null and empty texts are the end id alone. Repeated rows and null ids are
     documents of their own. Ties (equal lengths) go by a hash of id and piece,
     then by both; equal rows are interchangeable. An empty table gives no rows.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, capacity=capacity, id_col=id_col, text_col=text_col), "pack")
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_SALTS)))
+    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = max(_SALTS, sum(counts.values()) // _SALT_ROWS)
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     ranges = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = {r.length: r.n for r in ranges.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.createDataFrame(
-        supersteps(counts, capacity), "length long, lo long, n long, first long, offset long"
+        supersteps(spark, counts, capacity), "size long, low long, per long, count long, first long, place long"
     )
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -180,12 +237,13 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str =
         "k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ).join(ranges, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("k") - 1)
-    # The plan has a few rows for each length up to ``capacity``, whatever the number of documents.
+    # The plan has some rows for each length up to ``capacity``, whatever the number of documents.
     placed = ranked.join(
-        F.broadcast(plan.withColumnRenamed("length", "size")),
-        (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("n")),
+        F.broadcast(plan),
+        (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("per") * F.col("count")),
     )
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset",
+        F.expr("first + (rank - low) div per").alias("sequence_id"),
+        F.expr("place + (rank - low) % per * length").alias("offset"),
     )
