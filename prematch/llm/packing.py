@@ -2,15 +2,14 @@
 
 Documents and gaps are kept in order of size as runs of equal sizes (at most
 ``capacity`` of each, counted by a distributed aggregation). A superstep is a
-Spark query over these runs. It sorts documents and gaps together, downwards,
-and sweeps them: running sums give each run its place, and each document the
-successor among the gaps that are still free, the smallest that is large
-enough. Conflicts are settled by rank, longer documents first, so a document
-that loses a gap gets the next larger one in the same step. Then gaps shrink
-and the next step follows. Where no gap is large enough, new sequences open
-for the longest documents. The steps' result is a short list of rank ranges;
-each document finds its own by its rank among equals, which is computed in
-salted ranges, with one shuffle of the pieces.
+Spark query over these runs. It sorts documents and gaps together and sweeps
+them: each run of documents finds its successor among the gaps, the smallest
+that is large enough. Conflicts are settled by rank, longer documents first;
+then gaps shrink and the next step follows. Where no gap is large enough, new
+sequences open for the longest documents. The number of steps follows the
+capacity, not the documents (15 to 35 at 1024). Their result is a short list
+of rank ranges; each document finds its own by its rank among equals, which is
+computed in salted ranges, with one shuffle of the pieces.
 """
 
 from __future__ import annotations
@@ -112,10 +111,11 @@ def _opened(docs: DataFrame, capacity: int, most: int, sequences: int) -> DataFr
     """New sequences for the longest documents: ``most`` in all, and one for each document of more than half of them.
 
     A run of documents fills whole sequences with as many as they hold; what
-    is left over waits for gaps. Rows as of :func:`_swept`.
+    is left over waits for gaps. ``docs(size, n, lo)``; rows as of :func:`_swept`.
     """
     down = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    x = docs.withColumn("per", F.least(F.col("n"), F.expr(f"{capacity} div length")))
+    x = docs.withColumnRenamed("size", "length").coalesce(1)
+    x = x.withColumn("per", F.least(F.col("n"), F.expr(f"{capacity} div length")))
     x = x.withColumn("need", F.expr("n div per")).withColumn("left", F.lit(most) - F.coalesce(F.sum("need").over(down), F.lit(0)))
     long_ = 2 * F.col("length") > capacity
     x = x.withColumn("count", F.when(long_, F.col("need")).otherwise(F.least("need", F.greatest("left", F.lit(0)))))
@@ -124,89 +124,88 @@ def _opened(docs: DataFrame, capacity: int, most: int, sequences: int) -> DataFr
 
 
 def _swept(docs: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One superstep: ``(gap, first, count, length, per, lo)`` for all gaps, ``length`` null where one stays free.
-
-    ``docs(length, lo, n)``, ``gaps(gap, first, n)``. Documents of a run go in
-    bundles of as many as their smallest gap holds. Sorted by size downwards,
-    a gap run raises the number of free gaps and a bundle run lowers it, so
-    both are intervals of levels, and a bundle takes the gap that came last at
-    its level, as brackets pair: the smallest one left that is large enough.
-    The levels are cut where any interval begins or ends.
+    """One superstep: ``(gap, length, count, per, lo)`` of what the gaps take, best gap and document first.
+
+    ``docs(size, n, lo)``, ``gaps(size, n, lo)``. Spark sorts documents and
+    gaps together by size, downwards; the sweep keeps the gaps seen so far that
+    are still free, the smallest on top. So a run of documents finds its
+    successor on top, the smallest gap that is large enough, and goes there in
+    bundles of as many as the gap holds. Longer documents come first, so they
+    win a conflict, and the losers take the next larger gap in the same sweep.
     """
-    size = gaps.groupBy("gap").agg(F.sum("n").alias("n")).select(
-        F.col("gap").alias("size"), F.lit(0).alias("kind"), "n", F.lit(None).cast("long").alias("length"), F.lit(None).cast("long").alias("lo")
-    )
-    both = size.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), "n", "length", "lo"))
-    up = Window.orderBy("size", F.desc("kind")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = both.withColumn("next", F.min(F.when(F.col("kind") == 0, F.col("size"))).over(up)).where("next IS NOT NULL")
-    both = both.withColumn("per", F.when(F.col("kind") == 1, F.least("n", F.expr("next div length"))).otherwise(1).cast("long"))
-    both = both.withColumns({"size": F.col("size") * F.col("per"), "n": F.expr("n div per")})
-    down = Window.orderBy(F.desc("size"), "kind", F.desc("length"))
-    upto = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = both.withColumns({"place": F.row_number().over(down), "upto": upto})
-    at = at.withColumn("low", F.when(F.col("kind") == 0, F.col("upto") - F.col("n")).otherwise(F.col("upto")))
-    at = at.withColumn("high", F.col("low") + F.col("n"))
-    cuts = at.select(F.explode(F.array("low", "high")).alias("cut")).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
-    at = at.crossJoin(F.broadcast(cuts))  # one row
-    at = at.withColumn("i", F.explode(F.expr("sequence(array_position(cuts, low), array_position(cuts, high) - 1)")))
-    at = at.withColumns({"from": F.expr("cuts[int(i) - 1]"), "to": F.expr("cuts[int(i)]")}).drop("cuts")
-    level = Window.partitionBy("from").orderBy("place")
-    then = lambda c: F.lead(c).over(level)
-    at = at.withColumns({"doc": then(F.when(F.col("kind") == 1, F.struct("length", "per", "lo", "high")))}).where("kind = 0")
-    cells = at.select(
-        F.col("size").alias("gap"), (F.col("from") - F.col("low")).alias("a"), (F.col("to") - F.col("low")).alias("z"),
-        "doc.length", "doc.per", (F.col("doc.lo") + (F.col("doc.high") - F.col("to")) * F.col("doc.per")).alias("lo"),
-    )
-    runs = gaps.withColumn("b", F.sum("n").over(Window.partitionBy("gap").orderBy("first")) - F.col("n"))
-    # Runs are bounded by the capacity and the steps, not by the documents.
-    cells = cells.join(F.broadcast(runs), "gap").withColumns({"p": F.greatest("a", "b"), "q": F.least("z", F.col("b") + F.col("n"))}).where("p < q")
-    return cells.select(
-        "gap", (F.col("first") + F.col("p") - F.col("b")).alias("first"), (F.col("q") - F.col("p")).alias("count"),
-        "length", "per", (F.col("lo") + (F.col("p") - F.col("a")) * F.col("per")).alias("lo"),
-    )
 
-
-def _joined(gaps: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of one gap and neighbouring sequences become one run."""
-    out: list[tuple[int, int, int]] = []
-    for gap, first, n in sorted(gaps):
-        if out and out[-1][0] == gap and out[-1][1] + out[-1][2] == first:
-            out[-1] = (gap, out[-1][1], out[-1][2] + n)
-        else:
-            out.append((gap, first, n))
-    return out
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free: list[list[int]] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for size, kind, n, lo in zip(*(batch.column(c).to_pylist() for c in ("size", "kind", "n", "lo"))):
+                if kind == 0:
+                    free.append([size, n])
+                    continue
+                while n and free:
+                    gap, there = free[-1]
+                    per = min(n, gap // size)
+                    count = min(there, n // per)
+                    out.append((gap, size, count, per, lo))
+                    n, lo = n - per * count, lo + per * count
+                    free[-1][1] -= count
+                    if not free[-1][1]:
+                        free.pop()
+        columns = zip(*out) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gap", "length", "count", "per", "lo"])
+
+    both = gaps.withColumn("kind", F.lit(0)).unionByName(docs.withColumn("kind", F.lit(1)))
+    both = both.coalesce(1).sortWithinPartitions(F.desc("size"), "kind")  # runs: bounded by the capacity
+    return both.mapInArrow(sweep, "gap long, length long, count long, per long, lo long")
+
+
+def _runs(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], ["size", "n", "lo"]))
+
+
+def _taken(ranges: list[tuple[int, int]], count: int) -> Iterator[tuple[int, int]]:
+    """``count`` sequences from the front of ``ranges(first, number)``."""
+    while count:
+        first, n = ranges.pop()
+        take = min(n, count)
+        if take < n:
+            ranges.append((first + take, n - take))
+        count -= take
+        yield first, take
 
 
 def supersteps(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Packs ``counts[length]`` documents; rows (length, first rank, documents a sequence, sequences, first sequence, offset).
 
     Between two steps the driver holds the runs: open documents by length
-    (each a range of ranks), free gaps by size (ranges of sequences).
+    (each a range of ranks), free gaps by size (ranges of sequences). Both are
+    bounded by the capacity and the steps, whatever the number of documents.
     """
-    docs, gaps = {n: (0, c) for n, c in counts.items()}, []
+    docs, gaps = {n: (0, c) for n, c in counts.items()}, {}
     plan, sequences = [], 0
     while docs:
-        left = spark.createDataFrame([(n, lo, c) for n, (lo, c) in sorted(docs.items())], "length long, lo long, n long").coalesce(1)
-        if gaps and gaps[-1][0] >= min(docs):
-            free = spark.createDataFrame(gaps, "gap long, first long, n long").coalesce(1)
-            rows, gaps = _swept(left, free).collect(), [g for g in gaps if g[0] < min(docs)]
+        left = _runs(spark, [(n, c, lo) for n, (lo, c) in sorted(docs.items())])
+        shortest = min(docs)
+        gaps = {g: r for g, r in gaps.items() if r and g >= shortest}
+        if gaps:
+            free = _runs(spark, [(g, sum(n for _, n in r), 0) for g, r in sorted(gaps.items())])
+            found = [(r, x) for r in _swept(left, free).collect() for x in _taken(gaps[r.gap], r["count"])]
         else:
             volume = sum(n * c for n, (_, c) in docs.items())
             part = _OPEN if volume > _FEW * capacity else (1, 1)
             rows = _opened(left, capacity, max(1, -(-volume * part[0] // (capacity * part[1]))), sequences).collect()
             sequences += sum(r["count"] for r in rows)
-        for r in rows:
-            gap = r.gap
-            if r.length is not None:
-                plan.append((r.length, r.lo, r.per, r["count"], r.first, capacity - r.gap))
-                gap -= r.per * r.length
-                lo, n = docs[r.length]
-                docs[r.length] = (lo, n - r.per * r["count"])
-            if gap:
-                gaps.append((gap, r.first, r["count"]))
+            found = [(r, (r.first, r["count"])) for r in rows]
+        at: dict[int, int] = {}
+        for r, (first, n) in found:
+            lo = at.get(r.length, r.lo)
+            plan.append((r.length, lo, r.per, n, first, capacity - r.gap))
+            at[r.length] = lo + n * r.per
+            if rest := r.gap - r.per * r.length:
+                gaps.setdefault(rest, []).append((first, n))
         # What a step takes of a run are its first ranks.
-        docs = {n: (counts[n] - c, c) for n, (_, c) in docs.items() if c}
-        gaps = _joined(gaps)
+        docs = {n: (at.get(n, lo), c - (at.get(n, lo) - lo)) for n, (lo, c) in docs.items()}
+        docs = {n: run for n, run in docs.items() if run[1]}
     return plan
 
 

@@ -9,55 +9,67 @@ from tokenizers import Tokenizer
 from prematch.llm.packing import pack, supersteps, token_ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-PARTS = [" ", "  ", "\n", "\t", "\x85", "\x1c", "a", "b.", "1", "!", "'s", "é", "ß", " \n", "\r\n", "日本", "x y", "**", "ª", "Ⅷ"]
+PARTS = [" ", "  ", "\n", "\t", "\x85", "\x1c", "a", "b.", "1", "!", "'s", "'ll", "é", "ß", " \n", "\r\n", "日本", "x y", "**", "ª", "Ⅷ", "\u3000", "\U0001f600", "\u0301", "<|endoftext|>", "<|end", "\x00"]
 
 
-def _tokenizer():
-    tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    return tok
+@pytest.fixture(scope="module")
+def tok():
+    return Tokenizer.from_file(PATH)
 
 
-def test_ids_equal_the_tokenizers():
+def test_ids_equal_the_tokenizers(tok):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randrange(14))) for _ in range(5000)]
-    want = [e.ids for e in _tokenizer().encode_batch(texts, add_special_tokens=False)]
-    assert [list(np.frombuffer(t, "<u4")) for t in token_ids(texts, PATH)] == want
+    texts += ["".join(chr(rnd.choice([rnd.randrange(32, 0x250), rnd.randrange(0x2000, 0x3000), rnd.randrange(0x20, 0x7F)])) for _ in range(40)) for _ in range(500)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [list(token_ids(t, PATH)) for t in texts] == want
+
+
+def test_ids_of_very_long_texts_equal_the_tokenizers(tok):
+    rnd = random.Random(5)
+    for words in (["wort", "Straße,", "the", "of \n", "<|endoftext|>"], ["no-blank", "\n"], ["a" * 3000]):
+        text = (" " if words[0] == "wort" else "").join(rnd.choice(words) for _ in range(400_000 // len(words[0])))
+        assert list(token_ids(text, PATH)) == tok.encode(text, add_special_tokens=False).ids
+
+
+def _best_fit_decreasing(sizes, capacity):
+    bins: list[int] = []
+    for x in sorted(sizes, reverse=True):
+        fits = [b for b, gap in enumerate(bins) if gap >= x]
+        if fits:
+            bins[min(fits, key=lambda b: bins[b])] -= x
+        else:
+            bins.append(capacity - x)
+    return len(bins)
 
 
 @pytest.mark.parametrize("capacity", [8, 64, 1024])
-def test_supersteps_are_best_fit_decreasing(capacity):
+def test_supersteps_pack_like_best_fit(spark, capacity):
     rnd = random.Random(capacity)
-    for _ in range(60):
-        sizes = [rnd.randrange(1, rnd.choice([capacity, capacity // 4]) + 1) for _ in range(rnd.randrange(1, 200))]
-        bins: list[int] = []
-        for x in sorted(sizes, reverse=True):
-            fits = [b for b, gap in enumerate(bins) if gap >= x]
-            if fits:
-                bins[min(fits, key=lambda b: bins[b])] -= x
-            else:
-                bins.append(capacity - x)
+    for most in (capacity, capacity // 4, capacity):
+        sizes = [rnd.randrange(1, most + 1) for _ in range(rnd.randrange(100, 400))]
         placed: dict[int, list] = {}
-        for length, _, n, first, at in supersteps({x: sizes.count(x) for x in sizes}, capacity):
+        ranks: dict[int, list] = {}
+        for length, low, per, n, first, at in supersteps(spark, {x: sizes.count(x) for x in sizes}, capacity):
+            ranks.setdefault(length, []).extend(range(low, low + n * per))
             for i in range(n):
-                placed.setdefault(first + i, []).append((at, length))
-        assert len(placed) == len(bins)
+                placed.setdefault(first + i, []).extend((at + j * length, length) for j in range(per))
+        assert len(placed) <= 1.01 * _best_fit_decreasing(sizes, capacity) + 1
         for row in placed.values():
             end = 0
             for at, length in sorted(row):
                 assert at == end
                 end += length
             assert end <= capacity
-        assert sorted(x for row in placed.values() for _, x in row) == sorted(sizes)
+        assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(sizes.count(x))) for x in sizes}
 
 
-def test_every_id_is_placed_once(spark):
+def test_every_id_is_placed_once(spark, tok):
     rnd = random.Random(9)
     docs = [(i, " ".join(rnd.choice(["wort", "Straße", "the", "of,"]) for _ in range(rnd.randrange(120)))) for i in range(80)]
-    docs += [(100, None), (101, ""), (102, "lang " * 400), (None, "no id"), docs[3], docs[3]]
+    docs += [(100, None), (101, ""), (102, "lang " * 400), (103, "a<|endoftext|> b"), (None, "no id"), docs[3], docs[3]]
     df = spark.createDataFrame([(*d, 7, "x") for d in docs], "doc_id long, text string, length long, salt string")
     rows = pack(df, PATH, capacity=64).collect()
-    tok = _tokenizer()
     want = []
     for d, t in docs:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
