@@ -23,6 +23,10 @@ from .vectors import matrix, usable
 _NEIGHBOURS = 16
 _NONE = -1
 _BLOCK = 512
+#: Blocks of queries that one task sends through a shard's graph, which it loads once.
+_SPLIT_BLOCKS = 16
+#: Relative difference below which similarities in single precision may be ties.
+_TIE = 1e-5
 
 
 @dataclass
@@ -39,6 +43,22 @@ class Graph:
             entry = np.maximum(_beam(self.points, links, queries, entry, 4)[1][:, 0], 0)
         return _beam(self.points, self.levels[0], queries, entry, ef)
 
+    def search_with_ties(self, queries: np.ndarray, k: int, ef: int) -> list[np.ndarray]:
+        """Nodes found for each query; the beam widens where its last place may tie with the ``k``-th best."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        rows = np.arange(len(queries))
+        while len(rows):
+            ef = min(ef, len(self.points))
+            sims, found = self.search(queries[rows], ef)
+            for i, row in enumerate(rows):
+                out[row] = found[i][found[i] >= 0]
+            last, kth = sims[:, -1], sims[:, min(k, ef) - 1]
+            with np.errstate(invalid="ignore"):
+                tied = (last > -np.inf) & (last >= kth - _TIE * np.maximum(np.abs(kth), 1e-6))
+            rows = rows[tied] if ef < len(self.points) else rows[:0]
+            ef *= 2
+        return out
+
 
 def _beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
     q, n = len(queries), len(links)
@@ -164,7 +184,7 @@ def nearest(
     *,
     k: int = 20,
     ef: int = 80,
-    shard_size: int = 8192,
+    shard_size: int = 16_384,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -172,13 +192,17 @@ def nearest(
 
     Equal vectors are one node with its ``k + 1`` smallest ids, so copies, however
     many, neither crowd a graph nor a task. Nodes are dealt by hash to shards
-    of about ``shard_size``; every query searches every shard in blocks, and the
-    shards' best are merged. Scores are exact, ties go to the smaller id.
+    of about ``shard_size``, the most that one task builds and holds (some 15
+    MB at 64 components). A task loads one shard's graph and streams blocks of
+    queries through it; every query meets every shard, and the shards' best are
+    merged. Scores are exact. Ties go to the smaller id: a search that ends in
+    a tie with its ``k``-th place goes on with a wider beam until it is past it.
 
     Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components take no part; nor do null ids. Rows of one id are one
-    vector each, and never neighbours of their own id. Other columns are
-    ignored. Queries without candidates have no rows.
+    non-finite components take no part; nor do null ids. Repeated rows count
+    once; an id with several vectors is one query and one candidate, by its
+    best score, and never its own neighbour. Other columns are ignored. Queries
+    without candidates have no rows.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query")
@@ -190,6 +214,7 @@ def nearest(
     asked = written(rows.where("is_query").select(F.col("vec_id").alias("query_id"), "v"), "hnsw")
     n_shards = max(1, -(-nodes.count() // shard_size))
     n_blocks = max(1, -(-asked.count() // _BLOCK))
+    n_splits = -(-n_blocks // _SPLIT_BLOCKS)
 
     def index(table: pa.Table) -> pa.Table:
         table = table.sort_by([("first", "ascending")])
@@ -201,30 +226,43 @@ def nearest(
 
     dealt = nodes.withColumn("first", F.col("ids")[0]).withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(n_shards)).cast("int"))
     graphs = written(dealt.groupBy("shard").applyInArrow(index, "shard int, graph binary"), "hnsw")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block")
     blocks = asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
-    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    work = blocks.join(graphs, "shard").select("q", "graph").repartition(max(1, min(n_shards * n_blocks, 4096)))
+    blocks = blocks.select("block", "q", F.pmod("block", F.lit(n_splits)).alias("split"), all_of(n_shards).alias("shard"))
+    work = graphs.select("shard", all_of(n_splits).alias("split"), F.lit(-1).alias("block"), "graph").unionByName(blocks, allowMissingColumns=True)
+    # A graph comes ahead of the blocks that it answers.
+    work = work.repartition(max(1, min(n_shards * n_splits, 65_536)), "shard", "split").sortWithinPartitions("shard", "split", "block")
 
     def search(batches) -> Iterator[pa.RecordBatch]:
+        graph = exact = lists = lowest = None
         for batch in batches:
             for q, data in zip(batch.column("q"), batch.column("graph")):
-                points, levels, exact, lists = pickle.loads(data.as_py())
-                graph = Graph(points, levels)
+                if data.is_valid:
+                    points, levels, exact, lists = pickle.loads(data.as_py())
+                    graph, lowest = Graph(points, levels), np.array([x[0] for x in lists])
+                    continue
                 who = q.values.field("query_id").to_numpy()
                 v = matrix(q.values.field("v"))
                 size = np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-300)
-                _, found = graph.search(np.concatenate([v / size, np.zeros((len(v), 1))], 1).astype(np.float32), max(ef, k + 1))
+                found = graph.search_with_ties(np.concatenate([v / size, np.zeros((len(v), 1))], 1).astype(np.float32), k + 1, max(ef, k + 1))
                 out: list[tuple[int, int, float]] = []
-                for i, query in enumerate(who.tolist()):
-                    at = found[i][found[i] >= 0]
-                    s = exact[at] @ v[i]
-                    best = np.argsort(-s, kind="stable")[: k + 1]
-                    out += [(query, x, float(s[j])) for j in best for x in lists[at[j]] if x != query]
+                for query, at, x in zip(who.tolist(), found, v):
+                    s = exact[at] @ x
+                    order = np.lexsort((lowest[at], -s))
+                    got: set[int] = set()
+                    for j in order:
+                        if len(got) >= k and s[j] < least:
+                            break
+                        least = s[j]
+                        new = [i for i in lists[at[j]] if i != query]
+                        got.update(new)
+                        out += [(query, i, float(s[j])) for i in new]
                 if out:
                     a, b, c = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = work.mapInArrow(search, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = work.select("q", "graph").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -58,6 +58,21 @@ def test_hnsw_finds_the_nearest(spark):
     assert right >= 0.9 * 10 * len(got)
 
 
+def test_hnsw_ties_go_to_the_smaller_id(spark):
+    rows = [(0, [1.0, 0.0], 1, "x", 1)] + [(i, [1.0, float(i)], 1, "x", 1) for i in range(1, 301)]
+    for shard_size in (16_384, 60):
+        got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, k=20, shard_size=shard_size).collect()
+        assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i, 1.0) for i in range(1, 21)]
+
+
+def test_hnsw_counts_an_id_once_by_its_best_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (2, [0.7, 0.95]), (3, [0.1, 0.1])]
+    df = spark.createDataFrame([(i, v, 1, "x", 1) for i, v in rows], SCHEMA)
+    for parts in (1, 5):
+        got = nearest(df.repartition(parts), F.col("vec_id") == 0, k=2).collect()
+        assert sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in got) == [(1, 2, 0.95), (2, 1, 0.9)]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, 1, "x", 1)], [(20, [1.0, 0.0], 1, "x", 1)]])
 def test_few_vectors(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
