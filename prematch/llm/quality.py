@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._session import written
@@ -21,6 +21,8 @@ from ._words import text_chunks
 _STRIDE, _EMBED = 4, 8
 #: Filter positions of a chunk, and from one chunk's start to the next's.
 _CHUNK, _STEP = 128, 112
+#: Chunks whose activations are in memory at once, however long a text is.
+_PART = 1024
 Weights = dict[str, np.ndarray]
 
 
@@ -64,13 +66,22 @@ def _responses(w: Weights, blocks: np.ndarray) -> np.ndarray:
     return y
 
 
+def _pooled(w: Weights, blocks: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Largest activation of each filter in each chunk."""
+    out = np.empty((len(lo), len(w["bias"])), w["conv"].dtype)
+    for c in range(0, len(lo), _PART):
+        a, z = lo[c : c + _PART], hi[c : c + _PART]
+        y = _responses(w, blocks[a[0] * _STRIDE : (z[-1] + 1) * _STRIDE])
+        cuts = np.stack([a, z], 1).ravel() - a[0]
+        out[c : c + _PART] = np.maximum.reduceat(y, cuts, 0)[::2]
+    return out
+
+
 def logits(w: Weights, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """One number a text; a text is scored whole and without regard to its neighbours."""
     blocks, at = _blocks(buf, offs)
     lo, hi, first = _chunks(at)
-    y = _responses(w, blocks)
-    cuts = np.stack([lo, hi], 1).ravel()
-    pooled = np.maximum(np.maximum.reduceat(y, cuts, 0)[::2] + w["bias"], 0)
+    pooled = np.maximum(_pooled(w, blocks, lo, hi) + w["bias"], 0)
     f = len(w["bias"])
     mean = np.add.reduceat(pooled, first[:-1], 0) / np.diff(first)[:, None]
     most = np.maximum.reduceat(pooled, first[:-1], 0)
@@ -83,10 +94,15 @@ def _gradients(w: Weights, texts: list[np.ndarray], y: np.ndarray) -> Weights:
     blocks, at = _blocks(buf, offs)
     lo, hi, first = _chunks(at)
     f, n = len(w["bias"]), len(texts)
-    spot = np.minimum(lo[:, None] + np.arange(_CHUNK), hi[:, None] - 1)
-    r = _responses(w, blocks)[spot]
-    best = r.argmax(1)
-    pooled = np.take_along_axis(r, best[:, None], 1)[:, 0] + w["bias"]
+    pooled, place = np.empty((len(lo), f), w["conv"].dtype), np.empty((len(lo), f), np.int64)
+    for c in range(0, len(lo), _PART):
+        a, z = lo[c : c + _PART], hi[c : c + _PART]
+        spot = np.minimum(a[:, None] + np.arange(_CHUNK), z[:, None] - 1)
+        r = _responses(w, blocks[a[0] * _STRIDE : (z[-1] + 1) * _STRIDE])[spot - a[0]]
+        best = r.argmax(1)
+        pooled[c : c + _PART] = np.take_along_axis(r, best[:, None], 1)[:, 0]
+        place[c : c + _PART] = np.take_along_axis(spot, best, 1)
+    pooled += w["bias"]
     live = pooled > 0
     pooled = np.maximum(pooled, 0)
     doc, count = np.repeat(np.arange(n), np.diff(first)), np.diff(first)
@@ -97,18 +113,24 @@ def _gradients(w: Weights, texts: list[np.ndarray], y: np.ndarray) -> Weights:
     top = (pooled == most[doc]) & live
     top = top / np.maximum(1, np.add.reduceat(top, first[:-1], 0, dtype=np.int64))[doc]
     back = g[doc, None] * (w["out"][:f] / count[doc, None] + w["out"][f:] * top) * live
-    place = np.take_along_axis(spot, best, 1)
     out = {"out": np.concatenate([g @ mean, g @ most]), "shift": g.sum()[None], "bias": back.sum(0)}
-    c, k = np.nonzero(back)
-    v, p = back[c, k].astype(np.float32), place[c, k]
-    x = w["embed"][blocks].reshape(-1, _STRIDE * _EMBED)
-    conv, dx = np.zeros_like(w["conv"]), np.zeros_like(x)
-    for filt, step in ((k, 0), (k + f, 1)):
-        np.add.at(conv.T, filt, v[:, None] * x[p + step])
-        np.add.at(dx, p + step, v[:, None] * w["conv"].T[filt])
-    embed = np.zeros_like(w["embed"])
-    hit = np.flatnonzero(dx.any(1))
-    np.add.at(embed, blocks.reshape(-1, _STRIDE)[hit].ravel(), dx[hit].reshape(-1, _EMBED))
+    conv, embed = np.zeros_like(w["conv"]), np.zeros_like(w["embed"])
+    strides = blocks.reshape(-1, _STRIDE)
+    for part in range(0, len(lo), _PART):
+        here = back[part : part + _PART]
+        c, k = np.nonzero(here)
+        if not len(c):
+            continue
+        v, p = here[c, k].astype(np.float32), place[part : part + _PART][c, k]
+        a = int(p.min())
+        strip = strides[a : int(p.max()) + 2]
+        x = w["embed"][strip].reshape(-1, _STRIDE * _EMBED)
+        dx = np.zeros_like(x)
+        for filt, step in ((k, 0), (k + f, 1)):
+            np.add.at(conv.T, filt, v[:, None] * x[p - a + step])
+            np.add.at(dx, p - a + step, v[:, None] * w["conv"].T[filt])
+        hit = np.flatnonzero(dx.any(1))
+        np.add.at(embed, strip[hit].ravel(), dx[hit].reshape(-1, _EMBED))
     return out | {"conv": conv, "embed": embed}
 
 
@@ -137,20 +159,22 @@ def train(
     labels: DataFrame,
     *,
     per_class: int = 1000,
-    most_bytes: int = 65_536,
+    most_bytes: int = 16 << 20,
     filters: int = 24,
     epochs: int = 14,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
 ) -> Weights | None:
-    """Fit on at most ``per_class`` documents of each label (0 and 1), those of the smallest hash of their id.
-
-    Ids are chosen from ``labels`` alone and sent to the documents, so no text
-    is shuffled but the sample's. Of a training text longer than ``most_bytes``
-    only that many bytes train (scoring always reads whole texts); the sample
-    is bounded whatever the corpus. The labels' true shares set the threshold.
-    Without texts of both labels there is no model (None).
+    """Fit on a bounded sample of labelled documents, whole texts.
+
+    It is the ``per_class`` documents of each label (0 and 1) of the smallest
+    hash of their id, or fewer: a label's sample ends with the document that
+    brings it to ``most_bytes`` bytes. Ids are chosen from ``labels`` alone and
+    sent to the documents, so no text is shuffled but the sample's. The labels'
+    true shares set the threshold. Null ids and ids without a text are left
+    out; null texts are empty. Without texts of both labels there is no model
+    (None).
     """
     told = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL")
     sizes = {r.y: r["count"] for r in told.groupBy("y").count().collect()}
@@ -160,13 +184,15 @@ def train(
     few = [told.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # Bounded: per_class rows of each label.
     chosen = written(few[0].unionByName(few[1]), "quality")
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = sample.join(F.broadcast(chosen), "doc_id").select(
-        F.xxhash64("doc_id").alias("h"), "y", F.coalesce("text", F.lit("")).alias("text")
-    )
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sample = written(sample.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "y", "text"), "quality")
+    order = Window.partitionBy("y").orderBy("h", "t").rowsBetween(Window.unboundedPreceding, -1)
+    sizes_before = sample.select("h", "t", "y", F.octet_length("text").cast("long").alias("bytes")).distinct()
+    sizes_before = sizes_before.withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).where(F.col("before") < most_bytes)
+    sample = sample.dropDuplicates(["h", "t", "y"]).join(sizes_before.select("h", "t", "y"), ["h", "t", "y"], "left_semi")
 
     def learn(batches) -> Iterator[pa.RecordBatch]:
-        got = sorted((h, t.encode()[:most_bytes], y) for b in batches for h, y, t in zip(*(b.column(c).to_pylist() for c in ("h", "y", "text"))))
+        got = sorted((h, t.encode(), y) for b in batches for h, y, t in zip(*(b.column(c).to_pylist() for c in ("h", "y", "text"))))
         if {r[2] for r in got} == {0, 1}:
             y = np.array([r[2] for r in got], np.float32)
             w = fit([r[1] for r in got], y, filters=filters, epochs=epochs)

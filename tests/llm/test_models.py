@@ -101,6 +101,32 @@ def test_quality_without_labels(spark):
     assert {r.score for r in quality.score(df, None).collect()} == {0.5}
 
 
+def test_quality_of_very_long_texts(spark, monkeypatch):
+    w = quality.start_weights(5, 1)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(32, 123, n).astype(np.uint8) for n in (300_000, 10, 70_000)]
+    buf, offs, y = np.concatenate(texts), np.cumsum([0, *map(len, texts)]), np.array([1.0, 0, 1])
+    whole, told = quality.logits(w, buf, offs), quality._gradients(w, texts, y)
+    monkeypatch.setattr(quality, "_PART", 7)
+    assert np.allclose(quality.logits(w, buf, offs), whole, atol=1e-5)
+    for k, g in quality._gradients(w, texts, y).items():
+        assert np.allclose(g, told[k], atol=1e-5), k
+    monkeypatch.undo()
+    # Only the end of a long text tells its label: it is learned, and scored.
+    rows = [(i, "x " * 40_000 + ("good words here " if i % 2 else "BAD!!! 0000 ") * 40, i % 2) for i in range(24)]
+    df = spark.createDataFrame([*rows, (3, rows[3][1], 1), (None, "no id", 1), (99, None, 0)], "doc_id long, text string, quality int")
+    w = quality.train(df, df, epochs=10)
+    got = {r.doc_id: r.predicted for r in quality.score(df, w).collect()}
+    assert all(got[i] == y for i, _, y in rows)
+    # A label's sample ends with the document that reaches the bound.
+    assert quality.train(df, df, epochs=1, most_bytes=100_000) is not None
+
+
+def test_quality_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, quality int")
+    assert quality.train(df, df) is None and quality.score(df, None).count() == 0
+
+
 def _brute_base(rows, held):
     def tokens(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
