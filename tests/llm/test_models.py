@@ -159,16 +159,68 @@ def test_recurrent_base_scores_and_gain(spark):
 
 
 def test_recurrent_probabilities_sum_to_one():
-    used = np.zeros((recurrent._CLASSES, recurrent._MEMBERS), bool)
-    used[:, -1] = used[:5, :7] = True
-    w = recurrent.fit(np.random.default_rng(1).integers(0, 5, 3000).astype(np.int32) * recurrent._MEMBERS, used, epochs=1)
+    seen = np.zeros((recurrent._CLASSES, recurrent._MEMBERS))
+    seen[:, -1] = seen[:5, :7] = 3
+    ids = np.random.default_rng(1).integers(0, 5, 30_000).astype(np.int16) * recurrent._MEMBERS
+    w = recurrent.fit(ids, recurrent._start(3, seen), 0, rate=0.01)
     h = np.random.default_rng(2).normal(size=(4, recurrent._HIDDEN)).astype(np.float32)
     for row in h:
-        cls, member = np.nonzero(used)
+        cls, member = np.nonzero(seen)
         p = np.exp(recurrent._log_prob(w, np.repeat(row[None], len(cls), 0), cls, member))
         assert abs(p.sum() - 1) < 1e-3
 
 
+def test_recurrent_learns_what_follows(spark):
+    """In a fixed cycle of words the state tells the next one; shares alone cannot. Partitions are averaged in a tree."""
+    m, seen = recurrent._MEMBERS, np.zeros((recurrent._CLASSES, recurrent._MEMBERS))
+    seen[:6, :2], seen[:, -1] = 10, 0.5
+    text = [m * k + j for j in (0, 1) for k in range(6)] * 20 + [m * 6]
+    places = spark.createDataFrame([(i, i % 3, len(text), text) for i in range(300)], "h long, round int, n long, ids array<smallint>")
+    start = recurrent._start(3, seen)
+    w = recurrent.learned(places, 3, start, m * 6, rate=0.02, part_tokens=600)
+    ids = np.array(text, np.int16)
+    told = [recurrent._likelihoods(x, ids, np.array([0, len(ids)]))[0] / len(ids) for x in (start, w)]
+    assert told[1] > 0.5 * told[0]
+
+
+def test_recurrent_gradients():
+    rng = np.random.default_rng(5)
+    seen = np.zeros((recurrent._CLASSES, recurrent._MEMBERS))
+    seen[:3, :3], seen[:, -1] = 5, 1
+    start = {k: v.astype(np.float64) for k, v in recurrent._start(1, seen).items()}
+    ids = (rng.integers(0, 3, 30) * recurrent._MEMBERS + rng.integers(0, 3, 30)).astype(np.int16)
+    ids[11] = end = 2 * recurrent._MEMBERS + 2
+
+    def loss(w):
+        h, total = np.zeros((1, recurrent._HIDDEN)), 0.0
+        for i in ids:
+            total -= recurrent._log_prob(w, h, np.array([i // recurrent._MEMBERS]), np.array([i % recurrent._MEMBERS]))[0]
+            h = recurrent._step(w, h, w["x"][[i]])[0] * (i != end)
+        return total
+
+    g = recurrent.gradients(start, ids[:, None], np.zeros((1, recurrent._HIDDEN)), end)[0]
+    for k, v in start.items():
+        for at in zip(*(rng.integers(0, n, 6) for n in (g[k] if k != "x" else g[k][1]).shape)):
+            at_w = at if k != "x" else (g["x"][0][at[0]], at[1])
+            got = g[k][at] if k != "x" else g["x"][1][at]
+            up, down = ({n: x.copy() for n, x in start.items()} for _ in "ab")
+            up[k][at_w] += 1e-5
+            down[k][at_w] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - got) < 1e-4 * max(1, abs(got)), (k, at)
+
+
+def test_recurrent_long_texts_ties_and_repeated_rows(spark):
+    long = " ".join(f"w{i % 700} Tail" for i in range(60_000))
+    rows = [(1, long), (2, "a b c"), (2, "a b c"), (3, "a b c"), (None, "a b c"), (4, "x" * 300_000), (5, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = recurrent.score(df, F.col("doc_id") == 5, share=2).collect()
+    same = {round(r.score, 3) for r in got if r.n_tokens == 4}
+    assert len(got) == len(rows) and len(same) == 1
+    long_ = [r for r in got if r.n_tokens == 120_001]
+    assert len(long_) == 2 and abs(long_[0].score - long_[1].score) < 1e-3 * -long_[0].score
+    assert all(np.isfinite(r.score) and r.score < 0 for r in got)
+
+
 def test_recurrent_state_is_carried_across_windows():
     w = recurrent._start(3)
     ids = np.random.default_rng(4).integers(0, recurrent._CLASSES * recurrent._MEMBERS, 150).astype(np.int32)
