@@ -20,6 +20,8 @@ from ._words import mix64, text_chunks, window_hashes, windows_inside, word_hash
 
 _SHINGLE_BASE = 0xD6E8FEB86659FD93
 _FINGERPRINT = np.uint64(0xA0761D6478BD642F)
+#: Most probability that a pair at the threshold shares none of the longer bands.
+_MISS = 1e-6
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
@@ -115,11 +117,14 @@ def near_duplicates(
     one class, by a 128-bit fingerprint; each class's band keys (of the first
     ``bands * rows`` coordinates) meet in buckets; every member is compared
     with its bucket's hub, the member of the largest buckets, which is linear
-    in the bucket and settles almost all groups; what remains are pairs of one
-    bucket in different components, each taken in the first band that it
-    shares, and only if all ``coordinates`` agree well enough (5 standard
-    deviations below the threshold). At 0.85 similarity 30 bands of 5 miss a
-    pair with probability 2.3e-8, and that test one with 3e-7.
+    in the bucket and settles almost all groups. Buckets whose members are still
+    in different components are left open; their members meet again in longer
+    bands of the coordinates not used so far, so a bucket that chance or
+    boilerplate fills is not paired whole, and of those pairs only documents
+    of fitting sizes are taken whose ``coordinates`` agree well enough (5
+    standard deviations below the threshold). At 0.85 similarity 30 bands of 5
+    miss a pair with probability 2.3e-8, the longer bands (47 of 7) one with
+    1.3e-8 and that test one with 3e-7.
 
     Nulls: a null text is empty; an empty text has no shingles, links with
     nothing and is its own component. A null id stays null. Texts of fewer
@@ -210,28 +215,33 @@ def near_duplicates(
     links = written(confirmed(star), "minhash")
     part = connected_components(links)
 
-    placed = members.join(part.withColumnRenamed("id", "fp"), "fp", "left").select(
+    at = members.join(part.withColumnRenamed("id", "fp"), "fp", "left").select(
         "band", "key", "fp", F.coalesce("component", "fp").alias("part")
     )
-    mixed = placed.groupBy("band", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
-    open_ = written(placed.join(mixed.select("band", "key"), ["band", "key"]), "minhash")
-    sig = full.groupBy("fp").agg(
-        F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")
-    )
+    mixed = at.groupBy("band", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
+    open_ = written(at.join(mixed.select("band", "key"), ["band", "key"]), "minhash")
+    sig = full.groupBy("fp").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     sig = written(sig.join(open_.select("fp").distinct(), "fp", "left_semi"), "minhash")
-    side = open_.join(sig, "fp")
-    one, two = side.alias("x"), side.alias("y")
-    first = F.expr("array_position(zip_with(x.bands, y.bands, (s, t) -> s = t), true) = x.band + 1")
-    agree = F.expr("aggregate(zip_with(x.sig, y.sig, (s, t) -> int(s = t)), 0, (s, t) -> s + t)")
-    least = percent / 100
+    # Bands of the coordinates that the buckets have not used, as long as pairs at the threshold all but surely share one.
+    least, spare = percent / 100, coordinates - bands * rows
+    long_ = max((r for r in range(1, spare + 1) if (1 - least**r) ** (spare // r) <= _MISS), default=0)
+    if long_:
+        cuts = [F.xxhash64(F.lit(i), F.slice("sig", bands * rows + i * long_ + 1, long_)) for i in range(spare // long_)]
+        keyed = sig.select("fp", "n", F.explode(F.array(*cuts)).alias("key"))
+    else:  # too few coordinates are left: the buckets themselves
+        keyed = open_.select("fp", F.xxhash64("band", "key").alias("key")).join(sig.select("fp", "n"), "fp")
+    placed = part.select(F.col("id").alias("fp"), "component")
+    side = keyed.join(placed, "fp", "left").select("fp", "n", "key", F.coalesce("component", "fp").alias("part"))
+    pairs = side.alias("x").join(
+        side.alias("y"),
+        F.expr("x.key = y.key AND x.part <> y.part AND x.fp < y.fp")
+        & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"),
+    )
+    pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    pairs = pairs.join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("s")), "a").join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("t")), "b")
+    agree = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     floor = int(coordinates * least - 5 * (coordinates * least * (1 - least)) ** 0.5)
-    pairs = one.join(
-        two,
-        F.expr("x.band = y.band AND x.key = y.key AND x.part <> y.part AND x.fp < y.fp")
-        & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        & first
-        & (agree >= floor),
-    ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    pairs = pairs.where(agree >= floor).select("a", "b")
     more = written(confirmed(pairs), "minhash")
     part = connected_components(links.unionByName(more)) if more.limit(1).count() else part
 

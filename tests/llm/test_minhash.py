@@ -63,6 +63,24 @@ def test_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_a_bucket_of_different_documents_is_settled(spark):
+    """With one row a band nearly all documents meet in one bucket; no link is lost, with long bands or without."""
+    rnd = random.Random(8)
+    rows = []
+    for base in range(30):
+        words = [f"b{base}-{i}" for i in range(60)]
+        for k in range(3):
+            w = ["same"] * 40 + words
+            w[60 + k] = f"changed{k}"
+            rows.append((len(rows), " ".join(w)))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for bands, coordinates in ((60, 480), (60, 60)):
+        got = sorted(map(tuple, near_duplicates(df, bands=bands, rows=1, coordinates=coordinates).collect()), key=repr)
+        assert got == want
+
+
 def test_repeated_rows_null_ids_and_extra_columns(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "x y z"), (3, None)]
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, band int, fp string")
