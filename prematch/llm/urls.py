@@ -82,7 +82,9 @@ def judge(
     A rule's verdict stands; for other urls the trees decide (block from 0.5).
     They are fitted on the ``sample`` rule-labelled urls of the smallest hash;
     the block rates of host suffixes (last label, last two labels) are those of
-    all labelled urls. Null urls and urls without ``://`` have an empty host and
+    all labelled urls; a labelled url's own label is left out of its rates, so
+    the trees learn how far to trust a rare suffix. Rules of one length go by
+    host and path, the greater wins. Whole urls count, however long. Null urls and urls without ``://`` have an empty host and
     path and fit no rule. If the labelled urls are all alike, or there are none,
     their verdict (``allow`` if none) is everyone's. Ids may be null or repeat;
     equal urls get equal verdicts. Other columns are ignored.
@@ -106,10 +108,13 @@ def judge(
     block = (F.col("said") == "block").cast("double")
     for key in ("suffix", "ending"):
         rate = ready.where("said IS NOT NULL").groupBy(key).agg(
-            ((F.sum(block) + 5 * prior) / (F.count("*") + 5)).alias(f"{key}_rate"), F.log1p(F.count("*")).alias(f"{key}_n")
+            F.sum(block).alias("_blocked"), F.count("*").alias("_all")
         )
         # A suffix is a key with a fixed rate: the table is written once, and a hot one is split as a skewed join.
-        ready = ready.join(written(rate, "suffix"), key, "left").fillna({f"{key}_rate": prior, f"{key}_n": 0.0})
+        ready = ready.join(written(rate, "suffix"), key, "left").fillna(0, ["_blocked", "_all"])
+        others = F.col("_all") - F.col("said").isNotNull().cast("long")
+        blocked = F.col("_blocked") - F.coalesce(block, F.lit(0.0))
+        ready = ready.withColumns({f"{key}_rate": (blocked + 5 * prior) / (others + 5), f"{key}_n": F.log1p(others)}).drop("_blocked", "_all")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(ready)
     fitted = ready.where("said IS NOT NULL").withColumn("label", block).orderBy(F.xxhash64("url"), "url").limit(sample)
     fitted = written(fitted.select("features", "label"), "urls")

@@ -262,6 +262,28 @@ def test_urls(spark):
         assert got[k].verdict in ("allow", "block") and verdict in (None, got[k].verdict)
 
 
+def test_urls_learned_verdict_on_hosts_without_a_rule(spark):
+    """Hosts that no rule names are judged by their looks: what is blocked has digits, depth and parameters."""
+    rnd = np.random.default_rng(2)
+    bad = lambda host: f"http://{rnd.integers(10**6)}.{host}/{rnd.integers(10**5)}/{rnd.integers(10**5)}/x?id={rnd.integers(10**6)}&s=1"
+    good = lambda host: f"https://www.{host}/fr/{rnd.choice(['news', 'about', 'sport'])}"
+    rows = [(i, bad("spam.net")) for i in range(300)] + [(1000 + i, good("site.org")) for i in range(300)]
+    rows += [(2000 + i, bad(f"h{i}.info")) for i in range(100)] + [(3000 + i, good(f"h{i}.info")) for i in range(100)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()}
+    assert all(got[2000 + i].rule is None and got[3000 + i].rule is None for i in range(100))
+    right = sum(got[2000 + i].verdict == "block" for i in range(100)) + sum(got[3000 + i].verdict == "allow" for i in range(100))
+    assert right >= 190
+
+
+def test_urls_ties_of_the_longest_rule_and_very_long_urls(spark):
+    rules = (("block", "aa.com", "/x"), ("allow", "a.com", "/xy"), ("block", "b.com", "/"), ("allow", "b.com", "/"))
+    long = "http://b.com/" + "a%20b/" * 50_000 + "?q=" + "1" * 100_000
+    rows = [(1, "http://aa.com/xy"), (2, "http://a.com/xyz"), (3, "http://b.com/"), (4, long), (4, long), (5, "http://" + "h" * 70_000 + ".net/")]
+    got = sorted(urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, trees=2).collect(), key=lambda r: r.page_id)
+    assert [(r.page_id, r.rule) for r in got] == [(1, "aa.com/x"), (2, "a.com/xy"), (3, "b.com/"), (4, "b.com/"), (4, "b.com/"), (5, None)]
+    assert got[3].verdict == got[4].verdict == got[2].verdict and got[3].path == long[12:].split("?")[0]
+
+
 def test_urls_without_labels(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert [r.verdict for r in urls.judge(df, RULES).collect()] == ["allow"]
