@@ -1,11 +1,15 @@
-"""Near-duplicate vectors by product quantisation, without losing a link.
+"""Near-duplicate vectors by product quantisation.
 
 Unit vectors go to coarse inverted lists; residuals are coded by subspaces.
 A pair's cosine of at least ``t`` means a distance of at most
-r = sqrt(2 - 2 t), so both bounds here are exact: a vector probes every list
-whose border is within r, and a code's table-lookup distance may exceed the
-true one by no more than the code's own stored error. What passes is decided
-by the cosine of the original vectors in double precision.
+r = sqrt(2 - 2 t). A pair is split by the border of two lists only if one
+vector's step to the other crosses it, and of that step, in d dimensions, a
+border's direction has a part of about r / sqrt(d). So a vector probes the
+lists whose border is within a few times that, or, as an option, within r
+itself, which loses nothing. Of two lists one side probes. A code's
+table-lookup distance may exceed the true one by no more than the code's own
+stored error. What passes is decided by the cosine of the original vectors in
+double precision.
 """
 
 from __future__ import annotations
@@ -68,6 +72,7 @@ def near_duplicates(
     sample: int = 16_384,
     parts: int = 8,
     codes: int = 64,
+    deviations: float | None = 3.0,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -78,6 +83,11 @@ def near_duplicates(
     of a label are one class that counts as often as it has rows, so copies are
     never paired. Centroids and codebooks are fitted on the ``sample`` classes
     of the smallest hash; there is about one list for ``list_size`` classes.
+    A vector probes lists whose border is within ``deviations`` / sqrt(d) of
+    the distance r that ``cosine`` allows (at most r; None: r, so that no link
+    is lost). At 3 the pairs least likely to be found, those just at ``cosine``
+    that lie across a border, are missed with a probability of about 0.001 if
+    their difference has no preferred direction.
     Large lists are split into blocks of queries and of entries, and a block
     returns, for each vector, its number of links and one edge to its block's
     component, never the pairs.
@@ -87,8 +97,9 @@ def near_duplicates(
     component, kept. Rows of one id count as rows of their own; ids may be null.
     Other columns are ignored.
     """
+    wide = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(wide).alias("v"), F.col(label_col).alias("label")
     )
     good = usable(rows.where("label IS NOT NULL"), "v")
     key = F.concat_ws("-", F.xxhash64("label", "v"), F.xxhash64("v", "label", F.lit(11)))
@@ -110,7 +121,8 @@ def near_duplicates(
     model = chosen.repartition(1).mapInArrow(learn, "m binary").collect()
     coarse, books, cuts = pickle.loads(model[0].m) if model else (np.zeros((1, 1)), [], np.zeros(1, int))
     radius = (2 - 2 * cosine) ** 0.5 + _EPS
-    between = np.sqrt(np.maximum(((coarse[:, None] - coarse) ** 2).sum(2), 1e-12)) if len(coarse) <= 512 else None
+    near = radius * (1.0 if deviations is None else min(1.0, deviations / max(1, coarse.shape[1]) ** 0.5))
+    square = (coarse * coarse).sum(1)
 
     def place(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +130,7 @@ def near_duplicates(
                 part = batch.slice(lo, 1024)
                 x = matrix(part.column("v"))
                 u = x / np.sqrt((x * x).sum(1, keepdims=True))
-                d = (coarse * coarse).sum(1) - 2 * (u @ coarse.T)
+                d = square - 2 * (u @ coarse.T)
                 home = d.argmin(1)
                 rest = u - coarse[home]
                 code = np.stack([
@@ -126,8 +138,9 @@ def near_duplicates(
                 ], 1).astype(np.uint8)
                 told = np.concatenate([b[code[:, s]] for s, b in enumerate(books)], 1)
                 error = np.sqrt(((rest - told) ** 2).sum(1))
-                gap = between[home] if between is not None else np.sqrt(np.maximum(((coarse[home][:, None] - coarse) ** 2).sum(2), 1e-12))
-                probe = (d - d[np.arange(len(u)), home][:, None]) <= 2 * gap * radius
+                gap = np.sqrt(np.maximum(square[home][:, None] + square - 2 * (coarse[home] @ coarse.T), 1e-12))
+                probe = (d - d[np.arange(len(u)), home][:, None]) <= 2 * gap * near
+                probe &= np.arange(len(coarse)) > home[:, None]  # of two lists the first probes
                 probe[np.arange(len(u)), home] = True
                 q, at = np.nonzero(probe)
                 take = np.concatenate([np.arange(len(u)), q])
@@ -136,16 +149,17 @@ def near_duplicates(
                     [
                         *[part.column(c).take(pa.array(take)) for c in ("key", "label", "n", "v")],
                         pa.array(np.concatenate([home, at]), pa.int32()),
+                        pa.array(np.concatenate([home, home[q]]), pa.int32()),
                         pa.array(np.arange(len(take)) >= n),
                         pa.array([bytes(c) for c in code[take]], pa.binary()),
                         pa.array(error[take]),
                     ],
-                    ["key", "label", "n", "v", "list", "asks", "code", "error"],
+                    ["key", "label", "n", "v", "list", "home", "asks", "code", "error"],
                 )
 
     label = dict(classes.dtypes)["label"]
     placed = classes.select("key", "label", "n", "v").mapInArrow(
-        place, f"key string, label {label}, n long, v array<double>, list int, asks boolean, code binary, error double"
+        place, f"key string, label {label}, n long, v {wide}, list int, home int, asks boolean, code binary, error double"
     )
     placed = written(placed, "pq")
     sizes = placed.groupBy("label", "list").agg(
@@ -191,12 +205,14 @@ def near_duplicates(
         a, b = np.concatenate(links_q), np.concatenate(links_e)
         if not len(a):
             return none
-        total = np.bincount(a, n[b], len(v)).astype(np.int64)
+        # Inside a list both vectors ask; across lists one does, and the link counts for both.
+        across = table.column("home").to_numpy()[a] != table.column("list")[0].as_py()
+        total = (np.bincount(a, n[b], len(v)) + np.bincount(b[across], n[a[across]], len(v))).astype(np.int64)
         low = _roots(len(v), a, b)
         told = np.unique(np.concatenate([a, b]))
         return pa.table({"key": pa.array(keys[told], pa.string()), "n": pa.array(total[told]), "root": pa.array(keys[low[told]], pa.string())})
 
-    columns = ("key", "n", "v", "list", "asks", "code", "error", "label", "eb", "qb")
+    columns = ("key", "n", "v", "list", "home", "asks", "code", "error", "label", "eb", "qb")
     found = dealt.select(*columns).groupBy("label", "list", "eb", "qb").applyInArrow(compare, "key string, n long, root string")
     found = written(found, "pq")
     part = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))

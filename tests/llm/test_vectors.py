@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prematch.llm import pq
 from prematch.llm.hnsw import nearest
 from prematch.llm.pq import near_duplicates
 
@@ -28,9 +29,11 @@ def _ok(v):
     return v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-def test_pq_equals_brute_force(spark):
+@pytest.mark.parametrize("options", [{"list_size": 32, "deviations": None}, {"list_size": 32}, {"list_size": 1, "deviations": None}, {"list_size": 10**6, "block": 64}])
+def test_pq_equals_brute_force(spark, monkeypatch, options):
+    monkeypatch.setattr(pq, "_BLOCK", options.pop("block", pq._BLOCK))
     rows = _rows() + [_rows()[3]]
-    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, SCHEMA), list_size=32).collect()))
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, SCHEMA), **options).collect()))
     v = [np.array(r[1]) / np.linalg.norm(r[1]) if _ok(r[1]) and r[2] is not None else None for r in rows]
     near = [[j for j in range(len(rows)) if j != i and v[i] is not None and v[j] is not None and rows[i][2] == rows[j][2] and v[i] @ v[j] >= 0.98] for i in range(len(rows))]
     low = [r[0] for r in rows]
