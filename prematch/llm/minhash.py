@@ -220,28 +220,30 @@ def near_duplicates(
     )
     mixed = at.groupBy("band", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
     open_ = written(at.join(mixed.select("band", "key"), ["band", "key"]), "minhash")
-    sig = full.groupBy("fp").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    sig = written(sig.join(open_.select("fp").distinct(), "fp", "left_semi"), "minhash")
     # Bands of the coordinates that the buckets have not used, as long as pairs at the threshold all but surely share one.
     least, spare = percent / 100, coordinates - bands * rows
     long_ = max((r for r in range(1, spare + 1) if (1 - least**r) ** (spare // r) <= _MISS), default=0)
-    if long_:
-        cuts = [F.xxhash64(F.lit(i), F.slice("sig", bands * rows + i * long_ + 1, long_)) for i in range(spare // long_)]
-        keyed = sig.select("fp", "n", F.explode(F.array(*cuts)).alias("key"))
-    else:  # too few coordinates are left: the buckets themselves
-        keyed = open_.select("fp", F.xxhash64("band", "key").alias("key")).join(sig.select("fp", "n"), "fp")
+    cuts = [F.xxhash64(F.lit(i), F.slice("sig", bands * rows + i * long_ + 1, long_)) for i in range(spare // max(1, long_))]
+    sig = full.groupBy("fp").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    sig = sig.join(open_.select("fp").distinct(), "fp", "left_semi")
+    # Too few coordinates left: the buckets themselves.
+    sig = written(sig.select("fp", "sig", "n", (F.array(*cuts) if long_ else F.col("bands")).alias("keys")), "minhash")
     placed = part.select(F.col("id").alias("fp"), "component")
-    side = keyed.join(placed, "fp", "left").select("fp", "n", "key", F.coalesce("component", "fp").alias("part"))
+    side = sig.select("fp", F.posexplode("keys").alias("i", "key")).join(placed, "fp", "left")
+    side = side.select("fp", "i", "key", F.coalesce("component", "fp").alias("part"))
+    mixed = side.groupBy("i", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
+    side = side.join(mixed.select("i", "key"), ["i", "key"], "left_semi").join(sig, "fp")
+    # A pair is taken at the first key that it shares.
+    first = F.expr("array_position(zip_with(x.keys, y.keys, (s, t) -> s = t), true) = x.i + 1")
+    agree = F.expr("aggregate(zip_with(x.sig, y.sig, (s, t) -> int(s = t)), 0, (s, t) -> s + t)")
+    floor = int(coordinates * least - 5 * (coordinates * least * (1 - least)) ** 0.5)
     pairs = side.alias("x").join(
         side.alias("y"),
-        F.expr("x.key = y.key AND x.part <> y.part AND x.fp < y.fp")
-        & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"),
-    )
-    pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    pairs = pairs.join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("s")), "a").join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("t")), "b")
-    agree = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    floor = int(coordinates * least - 5 * (coordinates * least * (1 - least)) ** 0.5)
-    pairs = pairs.where(agree >= floor).select("a", "b")
+        F.expr("x.key = y.key AND x.i = y.i AND x.part <> y.part AND x.fp < y.fp")
+        & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+        & first
+        & (agree >= floor),
+    ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     more = written(confirmed(pairs), "minhash")
     part = connected_components(links.unionByName(more)) if more.limit(1).count() else part
 
