@@ -108,7 +108,7 @@ LEVEL_NAMES = (
 LEVEL_DEFAULT = "ATP250"
 LEVEL_ORDER = {"ATP250": 1, "ATP500": 2, "M1000": 3, "GS": 4, "Davis": 3, "Olympics": 3, "Finals": 3}
 
-#: Columns that a source may spell in other ways (case and outer blanks aside).
+# Columns that a source may spell in other ways (case and outer blanks aside).
 ODDS_COLUMNS = {
     "date": "Date",
     "tournament": "Tournament",

@@ -30,9 +30,12 @@ _TRAILING_INITIALS = r"^(.*?)((?:(?:^| )\S)+)$"
 def clean_text(c: Column) -> Column:
     """ASCII letters where Latin has marks, lower case, marks like ``.,'-/`` as blanks, single blanks; null is empty."""
     c = F.coalesce(c.cast("string"), F.lit(""))
+    folded = c
     for letter, pair in _PAIRS.items():
-        c = F.replace(c, F.lit(letter), F.lit(pair))
-    c = F.lower(F.translate(c, _MARKED, _PLAIN))
+        folded = F.replace(folded, F.lit(letter), F.lit(pair))
+    # Letters with marks take more than one byte; most texts have none.
+    ascii_ = F.octet_length(c) == F.char_length(c)
+    c = F.lower(F.when(ascii_, c).otherwise(F.translate(folded, _MARKED, _PLAIN)))
     return F.trim(F.regexp_replace(c, r"""[\s.,'"()\-–&/]+""", " "))
 
 
@@ -42,10 +45,34 @@ def lookup(c: Column, mapping: Mapping[str, object], default: Column) -> Column:
     return F.coalesce(F.try_element_at(table, c), default)
 
 
+def with_clean(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Adds ``out: clean_text(source)`` for each pair, in one projection that later ones refer to.
+
+    Keys refer to a cleaned text several times. The optimiser does not repeat
+    an expression that costs something in such a place, so each source column
+    is cleaned once a row.
+    """
+    return df.withColumns({out: clean_text(F.col(c)) for out, c in columns.items()})
+
+
+def settled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same rows; filters and joins on ``columns`` take their values and do not repeat how they are computed.
+
+    They come out of a generator of one row, which the optimiser does not push
+    filters through.
+    """
+    others = [c for c in df.columns if c not in columns]
+    one = F.explode(F.array(F.struct(*columns))).alias("_settled")
+    return df.select(*others, one).select(*others, *[F.col(f"_settled.{c}") for c in columns])
+
+
+def _mapped(cleaned: Column, mapping: Mapping[str, str], upper_miss: bool = False) -> Column:
+    return lookup(cleaned, mapping, F.upper(cleaned) if upper_miss else cleaned)
+
+
 def canonical_map(c: Column, mapping: Mapping[str, str] = lexicon.SURFACES, upper_miss: bool = False) -> Column:
     """The cleaned text's entry; without one the cleaned text, in upper case if asked."""
-    cleaned = clean_text(c)
-    return lookup(cleaned, mapping, F.upper(cleaned) if upper_miss else cleaned)
+    return _mapped(clean_text(c), mapping, upper_miss)
 
 
 def canonical_round(c: Column, mapping: Mapping[str, str] = lexicon.ROUNDS) -> Column:
@@ -56,10 +83,13 @@ def alias_city(c: Column, aliases: Mapping[str, str] = lexicon.CITY_ALIASES) ->
     return canonical_map(c, aliases)
 
 
+def _place(city: Column, surface: Column) -> Column:
+    return F.regexp_replace(F.concat(city, F.lit("_"), surface), "^_+|_+$", "")
+
+
 def place_surface_key(city: Column, surface: Column) -> Column:
     """``city_surface`` of canonical names, without underscores at the ends."""
-    both = F.concat(alias_city(city), F.lit("_"), canonical_map(surface))
-    return F.regexp_replace(both, "^_+|_+$", "")
+    return _place(alias_city(city), canonical_map(surface))
 
 
 def _first_initial(cleaned: Column, single_token: str) -> Column:
@@ -78,26 +108,35 @@ def initial_last(c: Column, single_token: str = "initial") -> Column:
     return _first_initial(clean_text(c), single_token)
 
 
+def player_names(players: DataFrame) -> DataFrame:
+    """``(full, key)``: cleaned full names of ``players(name_first, name_last)`` and their keys.
+
+    One row a full name; of names that clean to the same the largest key stays.
+    Rows without a last name go.
+    """
+    known = with_clean(players, {"_first": "name_first", "_last": "name_last"}).where("_last <> ''")
+    full = F.trim(F.concat("_first", F.lit(" "), "_last"))
+    key = F.trim(F.concat(F.substring("_first", 1, 1), F.lit(" "), "_last"))
+    return known.groupBy(full.alias("full")).agg(F.max(key).alias("key"))
+
+
 def initial_last_key(
-    df: DataFrame, name: str, out: str, players: DataFrame | None = None, single_token: str = "initial"
+    df: DataFrame, name: str, out: str, players: DataFrame | None = None, single_token: str = "initial", names: DataFrame | None = None
 ) -> DataFrame:
-    """Adds ``out``: the key of a full name, from ``players(name_first, name_last)`` if it is there, else by the first token."""
-    rule = initial_last(F.col(name), single_token)
-    if players is None:
-        return df.withColumn(out, rule)
-    first, last = clean_text(F.col("name_first")), clean_text(F.col("name_last"))
-    known = players.select(first.alias("first"), last.alias("last")).where("last <> ''")
-    full = F.trim(F.concat("first", F.lit(" "), "last"))
-    key = F.trim(F.concat(F.substring("first", 1, 1), F.lit(" "), "last"))
-    # One row a full name; of names that clean to the same the largest key stays.
-    known = known.groupBy(full.alias("_full")).agg(F.max(key).alias("_key"))
-    joined = df.join(known, clean_text(F.col(name)) == F.col("_full"), "left")
-    return joined.withColumn(out, F.coalesce("_key", rule)).drop("_full", "_key")
+    """Adds ``out``: the key of a full name, from ``players(name_first, name_last)`` if it is there, else by the first token.
 
+    ``names``: :func:`player_names` of the players, where several columns use them.
+    """
+    df = with_clean(df, {"_name": name})
+    rule = _first_initial(F.col("_name"), single_token)
+    if players is None and names is None:
+        return df.withColumn(out, rule).drop("_name")
+    known = (player_names(players) if names is None else names).select(F.col("full").alias("_full"), F.col("key").alias("_key"))
+    joined = df.join(known, F.col("_name") == F.col("_full"), "left")
+    return joined.withColumn(out, F.coalesce("_key", rule)).drop("_full", "_key", "_name")
 
-def last_initials_key(c: Column) -> Column:
-    """``Last F.M.`` to ``f last``: one-letter tokens at the end are initials, the first of them counts."""
-    s = clean_text(c)
+
+def _last_initials(s: Column) -> Column:
     initials = F.regexp_extract(s, _TRAILING_INITIALS, 2)
     last = F.regexp_extract(s, _TRAILING_INITIALS, 1)
     return (
@@ -107,26 +146,41 @@ def last_initials_key(c: Column) -> Column:
     )
 
 
+def last_initials_key(c: Column) -> Column:
+    """``Last F.M.`` to ``f last``: one-letter tokens at the end are initials, the first of them counts."""
+    return _last_initials(clean_text(c))
+
+
+def last_initials_keys(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Adds ``out: last_initials_key(source)`` for each pair; each source is cleaned once."""
+    df = with_clean(df, {f"_{out}": c for out, c in columns.items()})
+    df = df.withColumns({out: _last_initials(F.col(f"_{out}")) for out in columns})
+    return df.drop(*[f"_{out}" for out in columns])
+
+
 def pair_key(a: Column, b: Column) -> Column:
-    """The same for (a, b) and (b, a)."""
-    return F.concat_ws("__", F.least(a, b), F.greatest(a, b))
+    """The same for (a, b) and (b, a); null if a side is blank, so blank names link with nothing."""
+    return F.when((a != "") & (b != ""), F.concat_ws("__", F.least(a, b), F.greatest(a, b)))
 
 
 def link_keys(df: DataFrame, city: str, surface: str, round_: str, a: str, b: str) -> DataFrame:
-    """Adds ``place``, ``city``, ``rnd``, ``pair`` and the four composite keys of a source row.
+    """Adds ``tkey_city, city_key, rnd_canon, players_sorted`` and the four composite keys of a source row.
 
     ``a`` and ``b`` are columns of player keys. Joins use the parts; the
-    composite strings are for export.
+    composite strings are for export and null where a player is blank.
     """
+    df = with_clean(df, {"_city": city, "_surface": surface, "_round": round_})
     df = df.withColumns(
         {
-            "tkey_city": place_surface_key(F.col(city), F.col(surface)),
-            "city_key": alias_city(F.col(city)),
-            "rnd_canon": canonical_round(F.col(round_)),
+            "city_key": _mapped(F.col("_city"), lexicon.CITY_ALIASES),
+            "_surface": _mapped(F.col("_surface"), lexicon.SURFACES),
+            "rnd_canon": _mapped(F.col("_round"), lexicon.ROUNDS, upper_miss=True),
             "players_sorted": pair_key(F.col(a), F.col(b)),
         }
     )
-    join = lambda *parts: F.concat_ws("__", *parts)
+    df = df.withColumn("tkey_city", _place(F.col("city_key"), F.col("_surface"))).drop("_city", "_surface", "_round")
+    df = settled(df, (a, b, "tkey_city", "city_key", "rnd_canon", "players_sorted"))
+    join = lambda *parts: F.concat(*[x for p in parts for x in (F.lit("__"), F.col(p))][1:])
     return df.withColumns(
         {
             "key_city_players": join("tkey_city", "players_sorted"),
@@ -159,7 +213,9 @@ def one_hot(df: DataFrame, c: str, values: Sequence[str], prefix: str) -> DataFr
 
 
 def numeric_default(c: Column, kind: str = "int", default: float = 3) -> Column:
-    return F.coalesce(c.cast("string").try_cast(kind), F.lit(default).cast(kind))
+    """The number that a text or number says, cut to ``kind`` (5.0, "5.0" and " 5 " are 5); else the default."""
+    x = F.trim(c.cast("string")).try_cast("double")
+    return F.coalesce(F.when(~F.isnan(x), x).try_cast(kind), F.lit(default).cast(kind))
 
 
 def infer_level(series: Column, code: Column, names: Sequence[Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,15 +95,15 @@ def _last_initials_sql(c: str) -> str:
     )
 
 
-_KEYS = "w_key, l_key, tkey_city, city_key, rnd_canon, least(w_key, l_key) || '__' || greatest(w_key, l_key) AS players_sorted"
+_KEYS = "w_key, l_key, tkey_city, city_key, rnd_canon, CASE WHEN w_key <> '' AND l_key <> '' THEN least(w_key, l_key) || '__' || greatest(w_key, l_key) END AS players_sorted"
 _ROUNDS_IN = ", ".join(f"'{r}'" for r in lexicon.MAIN_ROUNDS)
 _LINKED = (
     f"WITH l0 AS (SELECT *, {_initial_sql(_clean_sql('winner_name'))} AS w_key, {_initial_sql(_clean_sql('loser_name'))} AS l_key, {_place_sql('tourney_name', 'surface')} AS tkey_city, "
     f"{_city_sql('tourney_name')} AS city_key, {_round_sql('round')} AS rnd_canon FROM ({standin.duck(standin.RESULTS)})), "
-    f"le AS (SELECT match_id, date_tourney, year, {_KEYS} FROM l0 WHERE rnd_canon IN ({_ROUNDS_IN})), "
+    f"le AS (SELECT match_id, date_tourney, year, surface, round, tourney_name, tourney_level, best_of, winner_rank, loser_rank, winner_age, loser_age, {_KEYS} FROM l0 WHERE rnd_canon IN ({_ROUNDS_IN})), "
     f"r0 AS (SELECT *, {_last_initials_sql('Winner')} AS w_key, {_last_initials_sql('Loser')} AS l_key, {_place_sql('Location', 'Surface')} AS tkey_city, "
     f"{_city_sql('Location')} AS city_key, {_round_sql('Round')} AS rnd_canon FROM ({standin.duck(standin.ODDS)})), "
-    f"ri AS (SELECT right_id, Date_dt, PSW, PSL, {_KEYS} FROM r0 WHERE rnd_canon IN ({_ROUNDS_IN}))"
+    f"ri AS (SELECT right_id, Date_dt, PSW, PSL, Surface, Round, Series, {_KEYS} FROM r0 WHERE rnd_canon IN ({_ROUNDS_IN}))"
 )
 
 
@@ -172,16 +173,34 @@ def _told(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.1 sources and sinks ----------------------------------------------------------------------------------------
 
 
-@query("read_yearly", "SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE year(o_orderdate) IN (1996, 1997, 1999)")
+def _shared(spark: SparkSession, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+@query("read_yearly", "SELECT o_orderkey, CASE WHEN year(o_orderdate) % 2 = 0 THEN o_totalprice END AS o_totalprice, CAST(year(o_orderdate) AS INT) AS year FROM orders")
 def read_yearly(spark: SparkSession, d: str) -> DataFrame:
-    orders = standin.table(spark, d, "orders")
-    years = [orders.where(F.year("o_orderdate") == y).withColumn("year", F.lit(y)) for y in (1996, 1997, 1999)]
-    return tables.union_years(years).select("o_orderkey", "o_totalprice", "year")
+    """Writes a folder a year, the odd years without the price, and reads them back; the years before and after are absent."""
+    orders = standin.table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"))
+    base = _shared(spark, "yearly")
+    orders.where("y % 2 = 0").write.partitionBy("y").parquet(base)
+    orders.where("y % 2 = 1").drop("o_totalprice").write.mode("append").partitionBy("y").parquet(base)
+    first, last = orders.agg(F.min("y"), F.max("y")).first()
+    years = range(first - 1, last + 2) if first is not None else ()
+    return tables.read_yearly(spark, base, years, name="y={year}").select("o_orderkey", "o_totalprice", "year")
 
 
-@query("standardize_columns", "SELECT c_custkey, c_name AS Winner, c_mktsegment AS Tournament, '' AS Location FROM customer")
+@query(
+    "standardize_columns",
+    "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_name END, c_mktsegment) AS Winner, "
+    "coalesce(CASE WHEN c_custkey % 2 > 0 THEN c_mktsegment END, CAST(c_custkey AS VARCHAR)) AS Tournament, '' AS Location FROM customer",
+)
 def standardize_columns(spark: SparkSession, d: str) -> DataFrame:
-    df = standin.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias(" WINNER"), F.col("c_mktsegment").alias("Event "))
+    some = lambda c, n: F.when(F.col("c_custkey") % n > 0, F.col(c))
+    df = standin.table(spark, d, "customer").select(
+        "c_custkey", some("c_name", 3).alias(" WINNER"), some("c_mktsegment", 2).alias("Event "),
+        F.col("c_mktsegment").alias("p1"), F.col("c_custkey").alias("Tourney"),
+    )
     return tables.standardize_columns(df, required=("Winner", "Tournament", "Location"))
 
 
@@ -191,7 +210,7 @@ def detect_price_columns(spark: SparkSession, d: str) -> DataFrame:
     return df.select("match_id", *tables.detect_price_columns(df))
 
 
-@query("project_final", f"WITH {_M} SELECT match_date AS tourney_start_date, surface AS surface_sack, PSW, PSL, w_id, w_rank, l_id, l_rank FROM m")
+@query("project_final", f"WITH {_M} SELECT match_date AS tourney_start_date, surface AS surface_sack, PSW, PSL, w_id, w_rank, w_age, l_id, l_rank, l_age FROM m")
 def project_final(spark: SparkSession, d: str) -> DataFrame:
     return tables.project_final(
         _matches(spark, d), ("match_date", "surface", "absent"), ("PSW", "PSL"), ("w_rank",), ("w_", "l_"),
@@ -199,13 +218,10 @@ def project_final(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("write_table")
+@query("write_table", f"WITH {_M} SELECT surface, count(*) AS n, CAST(year(match_date) AS INT) AS year FROM m GROUP BY ALL")
 def write_table(spark: SparkSession, d: str) -> DataFrame:
     """Writes the yearly counts, partitioned, to the shared folder and reads them back."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{shared}/write-table-{uuid.uuid4().hex}"
+    path = _shared(spark, "write-table")
     counts = _matches(spark, d).groupBy(F.year("match_date").alias("year"), "surface").agg(F.count("*").alias("n"))
     tables.write_table(counts, path, partition_by=("year",))
     return spark.read.parquet(path).select("surface", "n", "year")
@@ -297,15 +313,19 @@ def one_hot(spark: SparkSession, d: str) -> DataFrame:
     return text.one_hot(_matches(spark, d).select("match_id", "surface"), "surface", ratings.SURFACES, "surf_").drop("surface")
 
 
-@query("numeric_default", f"WITH {_M} SELECT match_id, coalesce(TRY_CAST(best_of_text AS INT), 3) AS best_of FROM m")
+@query(
+    "numeric_default",
+    f"WITH {_M} SELECT match_id, coalesce(CAST(trunc(TRY_CAST(trim(best_of_text) AS DOUBLE)) AS INT), 3) AS best_of, coalesce(CAST(best_of AS INT), 3) AS best_of_number FROM m",
+)
 def numeric_default(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).select("match_id", text.numeric_default(F.col("best_of_text")).alias("best_of"))
+    text_, number = text.numeric_default(F.col("best_of_text")), text.numeric_default(F.col("best_of"))
+    return _matches(spark, d).select("match_id", text_.alias("best_of"), number.alias("best_of_number"))
 
 
-def _level_sql() -> str:
-    s, n = _clean_sql("series"), _clean_sql("tourney")
+def _level_sql(series: str = "series", code: str = "code", name: str = "tourney") -> str:
+    s, n = _clean_sql(series), _clean_sql(name)
     parts = [f"WHEN contains({s}, '{p}') THEN '{v}'" for p, v in lexicon.LEVEL_SERIES]
-    parts += [f"WHEN code <> '' THEN {_case_sql('upper(code)', lexicon.LEVEL_CODES, 'upper(code)')}"]
+    parts += [f"WHEN {code} <> '' THEN {_case_sql(f'upper({code})', lexicon.LEVEL_CODES, f'upper({code})')}"]
     parts += [f"WHEN contains({n}, '{p}') THEN '{v}'" for p, v in lexicon.LEVEL_NAMES]
     return f"CASE {' '.join(parts)} ELSE '{lexicon.LEVEL_DEFAULT}' END"
 
@@ -542,24 +562,24 @@ def h2h_rate_conf(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.7 ratings --------------------------------------------------------------------------------------------------
 
 
-def _elo_sql(pool: str, k: float, name: str) -> str:
+def _elo_sql(pool: str, k: float, name: str, source: str = "m", order: str = "match_date, match_id") -> str:
     """Each pool's events in order; a list of ratings is carried from event to event."""
     return (
-        f"n{name} AS (SELECT match_id, match_date, w_id, l_id, {pool} AS pool, row_number() OVER (PARTITION BY {pool} ORDER BY match_date, match_id) AS n FROM m), "
+        f"n{name} AS (SELECT match_id, match_date, w_id, l_id, {pool} AS pool, row_number() OVER (PARTITION BY {pool} ORDER BY {order}) AS n FROM {source}), "
         f"e{name} AS (SELECT DISTINCT CAST(0 AS BIGINT) AS n, pool, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, [CAST(1500 AS DOUBLE) FOR x IN range({standin.PLAYERS})] AS r FROM n{name} "
         f"UNION ALL SELECT s.n, s.pool, s.match_id, e.r[s.w_id + 1], e.r[s.l_id + 1], list_transform(e.r, lambda v, i: CASE WHEN i - 1 = s.w_id THEN v + {k} * (1 - 1 / (1 + pow(10, (e.r[s.l_id + 1] - e.r[s.w_id + 1]) / 400))) "
         f"WHEN i - 1 = s.l_id THEN v - {k} * (1 - 1 / (1 + pow(10, (e.r[s.l_id + 1] - e.r[s.w_id + 1]) / 400))) ELSE v END) FROM e{name} e JOIN n{name} s ON s.pool = e.pool AND s.n = e.n + 1)"
     )
 
 
-@query("elo_before", f"WITH RECURSIVE {_M}, {_elo_sql("''", 32.0, 'g')} SELECT match_id, round(a, 6) AS elo_w, round(b, 6) AS elo_l FROM eg WHERE n > 0")
+@query("elo_before", f"WITH RECURSIVE {_M}, {_elo_sql('circle', 32.0, 'g')} SELECT match_id, round(a, 6) AS elo_w, round(b, 6) AS elo_l FROM eg WHERE n > 0")
 def elo_before(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.elo_before(_matches(spark, d)).select("match_id", r6("elo_w"), r6("elo_l"))
+    return ratings.elo_before(_matches(spark, d), pool=("circle",)).select("match_id", r6("elo_w"), r6("elo_l"))
 
 
-@query("elo_before_surface", f"WITH RECURSIVE {_M}, {_elo_sql(_GROUND, 24.0, 's')} SELECT match_id, round(a, 6) AS selo_w, round(b, 6) AS selo_l FROM es WHERE n > 0")
+@query("elo_before_surface", f"WITH RECURSIVE {_M}, {_elo_sql(f"CAST(circle AS VARCHAR) || ({_GROUND})", 24.0, 's')} SELECT match_id, round(a, 6) AS selo_w, round(b, 6) AS selo_l FROM es WHERE n > 0")
 def elo_before_surface(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.elo_before_surface(_matches(spark, d)).select("match_id", r6("selo_w"), r6("selo_l"))
+    return ratings.elo_before_surface(_matches(spark, d), pool=("circle",)).select("match_id", r6("selo_w"), r6("selo_l"))
 
 
 def _decay_sql(v: str, days: str) -> str:
@@ -573,20 +593,20 @@ _DECAYED = (
 )
 
 
-@query("elo_decay_before", f"WITH RECURSIVE {_M}, {_elo_sql("''", 32.0, 'g')}, {_DECAYED} SELECT match_id, round(da, 6) AS elo_decay_w, round(db, 6) AS elo_decay_l FROM dc")
+@query("elo_decay_before", f"WITH RECURSIVE {_M}, {_elo_sql('circle', 32.0, 'g')}, {_DECAYED} SELECT match_id, round(da, 6) AS elo_decay_w, round(db, 6) AS elo_decay_l FROM dc")
 def elo_decay_before(spark: SparkSession, d: str) -> DataFrame:
     df = _matches(spark, d)
-    return ratings.elo_decay_before(df, ratings.elo_before(df)).select("match_id", r6("elo_decay_w"), r6("elo_decay_l"))
+    return ratings.elo_decay_before(df, ratings.elo_before(df, pool=("circle",))).select("match_id", r6("elo_decay_w"), r6("elo_decay_l"))
 
 
 @query(
     "elo_sides",
-    f"WITH RECURSIVE {_M}, {_PRICED}, {_ORIENTED}, {_elo_sql("''", 32.0, 'g')}, {_DECAYED} SELECT o.match_id, round(CASE WHEN a_is_w THEN a ELSE b END, 6) AS A_elo, round(CASE WHEN a_is_w THEN b ELSE a END, 6) AS B_elo, "
+    f"WITH RECURSIVE {_M}, {_PRICED}, {_ORIENTED}, {_elo_sql('circle', 32.0, 'g')}, {_DECAYED} SELECT o.match_id, round(CASE WHEN a_is_w THEN a ELSE b END, 6) AS A_elo, round(CASE WHEN a_is_w THEN b ELSE a END, 6) AS B_elo, "
     "round(CASE WHEN a_is_w THEN a - b ELSE b - a END, 6) AS elo_diff, round(CASE WHEN a_is_w THEN da - db ELSE db - da END, 6) AS elo_decay_diff FROM o JOIN dc USING (match_id)",
 )
 def elo_sides(spark: SparkSession, d: str) -> DataFrame:
     df = _matches(spark, d)
-    rated = ratings.elo_decay_before(df, ratings.elo_before(df))
+    rated = ratings.elo_decay_before(df, ratings.elo_before(df, pool=("circle",)))
     out = ratings.elo_sides(_oriented(spark, d).join(rated, "match_id"))
     return out.select("match_id", r6("A_elo"), r6("B_elo"), r6("elo_diff"), r6("elo_decay_diff"))
 
@@ -601,17 +621,17 @@ def elo_sides(spark: SparkSession, d: str) -> DataFrame:
 )
 def impute_train_median(spark: SparkSession, d: str) -> DataFrame:
     df = _matches(spark, d).withColumn("split", F.when(F.year("match_date") <= TRAIN_UNTIL, "train").otherwise("later"))
-    out = dataset.impute_train_median(df, ("w_rank", "l_rank"))
+    out = dataset.impute_train_median(df, ("w_rank", "l_rank"), exact=True)
     return out.select("match_id", "split", r6("w_rank"), r6("l_rank"))
 
 
-@query("select_features", f"{_O} SELECT round_ord, {_RANKS} FROM o")
+@query("select_features", f"{_O} SELECT round_ord, best_of, {_RANKS} FROM o")
 def select_features(spark: SparkSession, d: str) -> DataFrame:
     df = prices.side_values(_oriented(spark, d), "w_rank", "l_rank", "rank").drop("rank_diff")
     return df.select(*dataset.select_features(df, mode="basic"))
 
 
-@query("leak_guard")
+@query("leak_guard", f"WITH {_M} SELECT w_id, l_id, w_age, l_age, w_rank, l_rank FROM m")
 def leak_guard(spark: SparkSession, d: str) -> DataFrame:
     df = _matches(spark, d)
     return df.select(*dataset.leak_guard(df))
@@ -717,13 +737,118 @@ def match_order(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.9 models and whole jobs ------------------------------------------------------------------------------------
 
 
+_OR = lambda a, b: f"coalesce(nullif({a}, ''), {b})"
+_MATCH_TABLE = (
+    f"{_STAGED}, f1 AS (SELECT match_id, min(right_id) AS right_id FROM lk GROUP BY match_id), mt AS (SELECT le.match_id, coalesce(ri.Date_dt, le.date_tourney) AS match_date, "
+    f"{_surface_sql(_OR('ri.Surface', 'le.surface'))} AS surface, {_round_sql(_OR('ri.Round', 'le.round'))} AS rnd, {_level_sql('ri.Series', 'le.tourney_level', 'le.tourney_name')} AS level, "
+    "coalesce(CAST(le.best_of AS INT), 3) AS best_of, coalesce(nullif(ri.w_key, ''), nullif(le.w_key, '')) AS w, coalesce(nullif(ri.l_key, ''), nullif(le.l_key, '')) AS l, "
+    "winner_rank AS w_rank, loser_rank AS l_rank, winner_age AS w_age, loser_age AS l_age, ri.PSW, ri.PSL FROM f1 JOIN le USING (match_id) LEFT JOIN ri ON ri.right_id = f1.right_id) "
+)
+
+
+@query(
+    "match_table",
+    f"{_MATCH_TABLE} SELECT match_id, match_date, surface, rnd, CAST({_case_sql('rnd', lexicon.ROUND_ORDER, '0')} AS INT) AS round_ord, level, CAST({_case_sql('level', lexicon.LEVEL_ORDER, '0')} AS INT) AS level_ord, "
+    "best_of, w, l, w_rank, l_rank, w_age, l_age, PSW, PSL FROM mt",
+)
+def match_table(spark: SparkSession, d: str) -> DataFrame:
+    return workloads.match_table(_linked(spark, d))
+
+
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return workloads.feature_table(_matches(spark, d), standin.derived(spark, d, standin.PLAYER_DIM))
+    level = text.infer_level(F.col("series"), F.col("code"), [F.col("tourney")])
+    matches = _matches(spark, d).withColumns({"level": level, "best_of": text.numeric_default(F.col("best_of_text"))})
+    return workloads.feature_table(matches, standin.derived(spark, d, standin.PLAYER_DIM), pool=("circle",))
+
+
+def _feature_sql() -> str:
+    order = "match_date, level_ord, round_ord, A_key, B_key, match_id"
+    by = lambda *keys: f"PARTITION BY {', '.join(keys)} ORDER BY {order}"
+    form = lambda *keys: f"avg(is_win) OVER ({by(*keys)} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+    rest = lambda *keys: f"datediff('day', lag(match_date) OVER ({by(*keys)}), match_date)"
+    met = f"OVER ({by('player', 'opponent')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    side = "match_id, a_is_w, match_date, surface, level_ord, round_ord, A_key, B_key"
+    both = lambda name, a, b: f"round({a}, 6) AS A_{name}, round({b}, 6) AS B_{name}"
+    three = lambda name, a, b: f"{both(name, a, b)}, round({a} - {b}, 6) AS {name}_diff"
+    side_of = lambda a, b: (f"CASE WHEN a_is_w THEN {a} ELSE {b} END", f"CASE WHEN a_is_w THEN {b} ELSE {a} END")
+    faded = lambda v, days: _decay_sql(v, days)
+    log_rest = lambda c: f"CASE WHEN {c} IS NOT NULL THEN ln(1 + least(greatest({c}, 0), 14)) END"
+    levels = ", ".join(f"CAST(level = '{v}' AS INT) AS level_{v}" for v in lexicon.LEVEL_ORDER)
+    grounds = ", ".join(f"CAST(surface = '{v}' AS INT) AS surf_{v}" for v in ratings.SURFACES)
+    return (
+        f"WITH RECURSIVE {_M}, {_PRICED}, {_ORIENTED}, "
+        f"fl AS (SELECT {side}, w AS player, l AS opponent, 1 AS is_win FROM o UNION ALL SELECT {side}, l, w, 0 FROM o), "
+        f"fw AS (SELECT match_id, (is_win = 1) = a_is_w AS is_a, {form('player')} AS form, {form('player', _GROUND)} AS sform, {rest('player')} AS rest, {rest('player', _GROUND)} AS srest, "
+        f"count(is_win) {met} AS met, coalesce(sum(is_win) {met}, 0) AS won FROM fl), "
+        f"{_elo_sql('circle', 32.0, 'g', 'o', order)}, {_elo_sql(f'CAST(circle AS VARCHAR) || ({_GROUND})', 24.0, 's', 'o', order)}, "
+        f"pd AS (SELECT player_key, CAST(upper(hand) = 'L' AS INT) AS lefty, TRY_CAST(height_cm AS DOUBLE) AS cm FROM (SELECT *, row_number() OVER (PARTITION BY player_key ORDER BY player_id DESC) AS k FROM ({standin.duck(standin.PLAYER_DIM)})) WHERE k = 1), "
+        f"x AS (SELECT o.* EXCLUDE (best_of), coalesce(CAST(trunc(TRY_CAST(trim(best_of_text) AS DOUBLE)) AS INT), 3) AS best_of, {_level_sql()} AS level, a.form AS fa, b.form AS fb, a.sform AS sfa, b.sform AS sfb, a.rest AS ra, b.rest AS rb, a.srest AS sra, b.srest AS srb, "
+        "a.met AS ma, b.met AS mb, a.won AS wa, b.won AS wb, "
+        + ", ".join(f"{v} AS {n}" for e, t in (("g", "eg"), ("s", "es")) for v, n in zip(side_of(f"{t}.a", f"{t}.b"), (f"{e}a", f"{e}b")))
+        + ", " + ", ".join(f"{v} AS {n}" for c in ("rank", "age") for v, n in zip(side_of(f"w_{c}", f"l_{c}"), (f"{c}a", f"{c}b")))
+        + ", pa.lefty AS la, pb.lefty AS lb, pa.cm AS ca, pb.cm AS cb "
+        "FROM o JOIN fw a ON a.match_id = o.match_id AND a.is_a JOIN fw b ON b.match_id = o.match_id AND NOT b.is_a JOIN eg ON eg.match_id = o.match_id AND eg.n > 0 JOIN es ON es.match_id = o.match_id AND es.n > 0 "
+        "LEFT JOIN pd pa ON pa.player_key = A_key LEFT JOIN pd pb ON pb.player_key = B_key) "
+        "SELECT match_id, match_date, book_used, y, odds_A, odds_B, round((1 / odds_A) / (1 / odds_A + 1 / odds_B), 6) AS p_book_A, round_ord, level_ord, best_of, level AS tourney_level_norm, A_key, B_key, "
+        f"{both('form5', 'fa', 'fb')}, {both('form5_surf', 'sfa', 'sfb')}, CAST(ra AS INT) AS A_rest_days, CAST(rb AS INT) AS B_rest_days, ma AS A_h2h_played, mb AS B_h2h_played, CAST(wa AS BIGINT) AS A_h2h_wins, CAST(wb AS BIGINT) AS B_h2h_wins, "
+        f"{three('elo', 'ga', 'gb')}, {three('selo', 'sa', 'sb')}, {three('elo_decay', faded('ga', 'ra'), faded('gb', 'rb'))}, {three('selo_decay', faded('sa', 'sra'), faded('sb', 'srb'))}, "
+        f"{both('h2h_rate', 'wa / greatest(ma, 1)', 'wb / greatest(mb, 1)')}, {both('h2h_conf', '1 / sqrt(greatest(ma, 1))', '1 / sqrt(greatest(mb, 1))')}, CAST(wa - wb AS DOUBLE) AS h2h_diff, "
+        "round(wa / greatest(ma, 1) - wb / greatest(mb, 1), 6) AS h2h_rate_diff, round(1 / sqrt(greatest(ma, 1)) - 1 / sqrt(greatest(mb, 1)), 6) AS h2h_conf_diff, "
+        f"{both('rest_log', log_rest('ra'), log_rest('rb'))}, round({log_rest('ra')} - {log_rest('rb')}, 6) AS rest_log_diff, CAST(coalesce(ra < 3, false) AS INT) AS A_short_rest_lt3, CAST(coalesce(rb < 3, false) AS INT) AS B_short_rest_lt3, "
+        "ranka AS A_rank, rankb AS B_rank, coalesce(ranka, 5000) - coalesce(rankb, 5000) AS rank_diff, agea AS A_age, ageb AS B_age, round(agea - ageb, 6) AS age_diff, "
+        f"round(coalesce(fa, 0.5) - coalesce(fb, 0.5), 6) AS form5_diff, CAST(coalesce(ra, 14) - coalesce(rb, 14) AS INT) AS rest_days_diff, {grounds}, {levels}, "
+        "la AS A_lefty, lb AS B_lefty, ca AS A_height_cm, cb AS B_height_cm, ca - cb AS height_diff, CAST(coalesce(la = 1 AND lb = 0, false) AS INT) AS lefty_vs_righty FROM x"
+    )
 
 
-@query("feature_table")
+@query("feature_table", _feature_sql())
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return _features(spark, d)
+    df = _features(spark, d)
+    return df.select(*[r6(c) if kind == "double" and c not in ("odds_A", "odds_B") else F.col(c) for c, kind in df.dtypes])
+
+
+@query("whole_job")
+def whole_job(spark: SparkSession, d: str) -> DataFrame:
+    """From two sources and the players to features: what is linked, priced and oriented."""
+    return workloads.feature_table(workloads.match_table(_linked(spark, d)))
+
+
+_CALIBRATION = (
+    f"{_EVAL}, ix AS (SELECT split, forecast, p, y, row_number() OVER (PARTITION BY split, forecast ORDER BY p, match_id) - 1 AS i, count(*) OVER (PARTITION BY split, forecast) AS t FROM lf WHERE split IN ('val', 'test')), "
+    "bn AS (SELECT *, CAST(greatest(ceil(CAST(i * 10 AS DOUBLE) / greatest(t - 1, 1)) - 1, 0) AS INT) AS bin FROM ix) "
+)
+
+
+@query(
+    "calibration_reports",
+    f"{_CALIBRATION} SELECT split, forecast, bin, count(*) AS n, round(avg(p), 6) AS p_mean, round(avg(y), 6) AS y_rate, round(min(p), 6) AS p_min, round(max(p), 6) AS p_max, round(avg(p) - avg(y), 6) AS gap FROM bn GROUP BY ALL",
+)
+def calibration_reports(spark: SparkSession, d: str) -> DataFrame:
+    out = workloads.calibration_reports(_told(spark, d), forecasts=("book", "model"))
+    return out.select("split", "forecast", "bin", "n", *[r6(c) for c in ("p_mean", "y_rate", "p_min", "p_max", "gap")])
+
+
+@query(
+    "book_metrics",
+    f"{_EVAL}, lb AS (SELECT lf.* FROM lf JOIN ev USING (match_id) WHERE book_used = 'PS' AND lf.split IN ('val', 'test')), au AS ({_auc_sql('lb', 'split, forecast')}), "
+    f"mt AS (SELECT split, forecast, avg({_LL}) AS logloss, avg((p - y) * (p - y)) AS brier, count(*) AS n FROM lb GROUP BY split, forecast) "
+    "SELECT split, forecast, round(logloss, 6) AS logloss, round(brier, 6) AS brier, round(auc, 6) AS auc, n FROM mt JOIN au USING (split, forecast)",
+)
+def book_metrics(spark: SparkSession, d: str) -> DataFrame:
+    told = workloads.told_forecasts(dataset.single_book_subset(_forecasts(spark, d)))
+    told = told.withColumn("forecast", F.substring("forecast", 3, 9))
+    out = evaluate.prob_metrics(told, "y", "p", ("split", "forecast"))
+    return out.select("split", "forecast", r6("logloss"), r6("brier"), r6("auc"), "n")
+
+
+@query(
+    "single_feature_auc_val",
+    f"{_O}, uf AS (SELECT y, unnest(['A_rank', 'B_rank', 'level_ord', 'round_ord']) AS feature, unnest([CASE WHEN a_is_w THEN w_rank ELSE l_rank END, CASE WHEN a_is_w THEN l_rank ELSE w_rank END, CAST(level_ord AS DOUBLE), CAST(round_ord AS DOUBLE)]) AS value FROM o WHERE year(match_date) = {VAL}), "
+    f"au AS ({_auc_sql('uf', 'feature', 'value')}) SELECT feature, round(abs(auc - 0.5), 6) AS auc_gap FROM au ORDER BY abs(auc - 0.5) DESC, feature LIMIT 25",
+)
+def single_feature_auc_val(spark: SparkSession, d: str) -> DataFrame:
+    df = dataset.temporal_split(prices.side_values(_oriented(spark, d), "w_rank", "l_rank", "rank"), "match_date", TRAIN_UNTIL, VAL, TEST)
+    return evaluate.single_feature_auc(df.where("split = 'val'"), "y", ("A_rank", "B_rank", "level_ord", "round_ord")).select("feature", r6("auc_gap"))
 
 
 def _scored(spark: SparkSession, d: str) -> tuple:

@@ -1,12 +1,16 @@
-"""The three jobs: link two sources, build the feature table, evaluate and blend."""
+"""The jobs: link two sources, make the match table, build the feature table, evaluate, blend and diagnose."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, prices, text
 from ..operators import dataset, evaluate, history, link, ratings
+from ..sources import tables
 from . import model
 
 LINK_STAGES = (
@@ -17,14 +21,15 @@ LINK_STAGES = (
 
 
 def keyed_results(results: DataFrame, players: DataFrame | None = None) -> DataFrame:
-    df = text.initial_last_key(results, "winner_name", "w_key", players)
-    df = text.initial_last_key(df, "loser_name", "l_key", players)
+    names = None if players is None else text.player_names(players)
+    df = text.initial_last_key(results, "winner_name", "w_key", names=names)
+    df = text.initial_last_key(df, "loser_name", "l_key", names=names)
     df = text.link_keys(df, "tourney_name", "surface", "round", "w_key", "l_key")
     return link.filter_main_rounds(df, "rnd_canon", lexicon.MAIN_ROUNDS)
 
 
 def keyed_odds(odds: DataFrame) -> DataFrame:
-    df = odds.withColumns({"w_key": text.last_initials_key(F.col("Winner")), "l_key": text.last_initials_key(F.col("Loser"))})
+    df = text.last_initials_keys(odds, {"w_key": "Winner", "l_key": "Loser"})
     df = text.link_keys(df, "Location", "Surface", "Round", "w_key", "l_key")
     return link.filter_main_rounds(df, "rnd_canon", lexicon.MAIN_ROUNDS)
 
@@ -34,49 +39,143 @@ def linked(results: DataFrame, odds: DataFrame, players: DataFrame | None = None
     return link.link_staged(keyed_results(results, players), keyed_odds(odds), LINK_STAGES, "date_tourney", "Date_dt")
 
 
-def feature_table(matches: DataFrame, players: DataFrame | None = None) -> DataFrame:
+def match_table(found: DataFrame, match_id: str = "match_id", right_id: str = "td_right_id") -> DataFrame:
+    """What :func:`feature_table` needs, from rows of :func:`linked`: one row an event.
+
+    Where both sources say something, the linked one counts, row by row. Of
+    several linked rows of an event the one of the smallest right id stays.
+    Columns that a source does not have are passed over.
+    """
+    place = Window.partitionBy(match_id).orderBy(F.col(right_id).asc_nulls_last())
+    found = found.withColumn("_k", F.row_number().over(place)).where("_k = 1").drop("_k")
+    have = lambda *names: [F.col(c) for c in names if c in found.columns]
+    first = lambda *names: text.coalesce_choice(*have(*names), F.lit(None).cast("string"))
+    number = lambda c: F.col(c).cast("string").try_cast("double") if c in found.columns else F.lit(None).cast("double")
+    level = text.infer_level(first("td_Series"), F.coalesce(first("tourney_level"), F.lit("")), [*have("td_Tournament", "tourney_name"), F.lit("")])
+    df = found.withColumns({"_surface": text.canonical_map(first("td_Surface", "surface")), "_round": text.canonical_round(first("td_Round", "round")), "_level": level})
+    return df.select(
+        match_id,
+        F.coalesce(*have("td_Date_dt", "date_tourney")).alias("match_date"),
+        F.col("_surface").alias("surface"),
+        F.col("_round").alias("rnd"),
+        text.ordinal_encode(F.col("_round")).alias("round_ord"),
+        F.col("_level").alias("level"),
+        text.ordinal_encode(F.col("_level"), lexicon.LEVEL_ORDER).alias("level_ord"),
+        text.numeric_default(first("best_of")).alias("best_of"),
+        first("td_w_key", "w_key").alias("w"),
+        first("td_l_key", "l_key").alias("l"),
+        *[number(f"{side}_{c}").alias(f"{side[0]}_{c}") for c in ("rank", "age") for side in ("winner", "loser")],
+        *[F.col(c).alias(c.removeprefix("td_")) for c in found.columns if c.startswith("td_") and tables.detect_price_columns(found.select(F.col(c).alias(c.removeprefix("td_"))))],
+    )
+
+
+def feature_table(matches: DataFrame, players: DataFrame | None = None, pool: Sequence[str] = ()) -> DataFrame:
     """Features known before each event, oriented to the favourite.
 
     Windows over the long table share the exchange by player; both ratings are
-    folds over pools, the surface one in parallel; one aggregation by event
-    brings the sides back.
+    folds, the surface one in parallel; one aggregation by event brings the
+    sides back. ``pool`` names columns that divide the players into circles
+    that never meet: their folds run in parallel and give the same ratings.
     """
     base = prices.orient_favourite(prices.pick_price_pair(link.drop_undated(matches, "match_date")))
     order = ("match_date", "level_ord", "round_ord", "A_key", "B_key", "match_id")
-    long = history.to_long(base, extra=("match_date", "surface", "level_ord", "round_ord", "A_key", "B_key"))
+    long = history.to_long(base.withColumn("_ground", ratings.ground()), extra=("match_date", "surface", "_ground", "level_ord", "round_ord", "A_key", "B_key", "a_is_w"))
     long = history.rest_days(history.rolling_form(long, 5, order=order), order=order)
-    long = history.h2h_before(history.rolling_form_surface(long, 5, order=order), order=order)
-    df = history.attach_side_features(base, long, ("form5", "form5_surf", "rest_days", "h2h_played", "h2h_wins"))
-    rated = ratings.elo_decay_before(base, ratings.elo_before(base, order=order), "elo", order=order)
-    ground = base.withColumn("_ground", ratings.ground())
-    surf = ratings.elo_decay_before(ground, ratings.elo_before_surface(base, order=order), "selo", by=("_ground",), order=order)
-    df = ratings.elo_sides(df.join(rated, "match_id").join(surf, "match_id"))
+    long = history.h2h_before(history.rolling_form(long, 5, ("player", "_ground"), order, "form5_surf"), order=order)
+    long = history.rest_days(long, by=("player", "_ground"), order=order, out="rest_ground")
+    df = history.attach_side_features(base, long, ("form5", "form5_surf", "rest_days", "rest_ground", "h2h_played", "h2h_wins"))
+    rated = ratings.elo_before(base, order=order, pool=pool)
+    df = df.join(rated, "match_id").join(ratings.elo_before_surface(base, order=order, pool=pool), "match_id")
+    df = ratings.elo_sides(df)
+    days = {"elo": "rest_days", "selo": "rest_ground"}
+    df = df.withColumns({f"{s}_{p}_decay": ratings.faded(F.col(f"{s}_{p}"), F.col(f"{s}_{d}")) for p, d in days.items() for s in "AB"})
+    df = prices.diff_features(df, {f"{p}_decay": None for p in days}).drop("A_rest_ground", "B_rest_ground")
     df = history.h2h_rate_conf(history.rest_transforms(df))
     df = prices.side_values(df, "w_rank", "l_rank", "rank", 5000.0)
+    if {"w_age", "l_age"} <= set(df.columns):
+        df = prices.side_values(df, "w_age", "l_age", "age")
     df = prices.diff_features(df, {"form5": 0.5, "rest_days": 14})
     df = text.one_hot(df, "surface", ratings.SURFACES, "surf_")
+    if "level" in df.columns:
+        df = text.one_hot(df, "level", tuple(lexicon.LEVEL_ORDER), "level_").withColumnRenamed("level", "tourney_level_norm")
     if players is not None:
         df = history.attach_player_attributes(df, players)
-    kept = [c for c in df.columns if c.startswith(("A_", "B_", "surf_", "h2h_")) or c.endswith("_diff")]
-    extra = ["lefty_vs_righty"] if players is not None else []
-    return df.select("match_id", "match_date", "book_used", "y", "odds_A", "odds_B", "p_book_A", "round_ord", "level_ord", *[c for c in kept if c not in ("p_book_A", "odds_A", "odds_B")], *extra)
+    first = ("match_id", "match_date", "book_used", "y", "odds_A", "odds_B", "p_book_A", "round_ord", "level_ord", "best_of", "tourney_level_norm")
+    kept = [c for c in df.columns if c.startswith(("A_", "B_", "surf_", "level_", "h2h_")) or c.endswith("_diff") or c == "lefty_vs_righty"]
+    return df.select(*[c for c in first if c in df.columns], *[c for c in kept if c not in first])
+
+
+def told_forecasts(pred: DataFrame, splits: Sequence[str] = ("val", "test")) -> DataFrame:
+    """Predictions as ``(match_id, split, y, forecast, p)``: two rows an event, the market's and the model's."""
+    rows = pred.where(F.col("split").isin(list(splits)))
+    return rows.unpivot(["match_id", "split", "y"], ["p_book", "p_model"], "forecast", "p")
+
+
+def calibration_reports(told: DataFrame, splits: Sequence[str] = ("val", "test"), forecasts: Sequence[str] = ("p_book", "p_model")) -> DataFrame:
+    """The calibration table of each split and forecast."""
+    one = lambda s, f: evaluate.calibration_table(told.where((F.col("split") == s) & (F.col("forecast") == f)), "y", "p", "match_id")
+    return reduce(DataFrame.unionByName, [one(s, f).select(F.lit(s).alias("split"), F.lit(f).alias("forecast"), "*") for s in splits for f in forecasts])
 
 
 def evaluated(features: DataFrame, train_until: int, val: int, test: int, trees: int = 20) -> dict[str, DataFrame]:
-    """Fits, calibrates, blends: ``metrics``, ``deltas``, ``calibration``, ``importances``, ``predictions``, ``blend``."""
+    """Fits, calibrates, blends. Reports by split and forecast: ``metrics``, ``deltas``, ``accuracy``, ``calibration``,
+    ``importances``, ``predictions``, ``blend_weight``, ``blend`` (metrics) and ``blended`` (predictions)."""
     data = dataset.temporal_split(features, "match_date", train_until, val, test)
     names = dataset.select_features(data)
     fitted, scored = model.train_boosted(data, names, trees=trees)
     pred = model.predictions(model.calibrate_isotonic(scored))
-    told = pred.unpivot(["match_id", "split", "y"], ["p_book", "p_model"], "forecast", "p")
+    told = told_forecasts(pred)
     metrics = evaluate.prob_metrics(told, "y", "p", ("split", "forecast"))
     best = evaluate.blend_weight_search(pred.where("split = 'val'"), "y", "p_model", "p_book")
     blended = evaluate.blend_apply(pred.crossJoin(F.broadcast(best.select("w"))), F.col("w"), "p_model", "p_book")  # one row
     return {
         "metrics": metrics,
         "deltas": evaluate.metric_deltas(metrics, "p_book", "p_model"),
-        "calibration": evaluate.calibration_table(pred.where("split = 'test'"), "y", "p_model", "match_id"),
+        "accuracy": evaluate.accuracy_at(told, "y", "p", by=("split", "forecast")),
+        "calibration": calibration_reports(told),
         "importances": model.importances(features, fitted, names),
         "predictions": pred,
+        "blend_weight": best,
         "blend": evaluate.prob_metrics(blended, "y", "p_blend", ("split", "w"), 1e-6),
+        "blended": blended,
     }
+
+
+def diagnosed(
+    features: DataFrame, train_until: int, val: int, test: int, mode: str = "full", book: str = "PS", trees: int = 20, seed: int = 42
+) -> dict[str, DataFrame]:
+    """Checks of a feature table for leaks and of what its features add.
+
+    Fits on all features or on the ``basic`` ones (no ratings, history or rest).
+    ``metrics``, ``deltas`` and ``importances`` of that fit; ``book_metrics`` for
+    events with prices of one book; ``single_auc`` of each feature on the val
+    split; ``permuted``: val metrics of a fit on permuted train targets, whose
+    log loss is near ln 2 if nothing leaks; ``post_match``: names of columns
+    that are known only after the event.
+    """
+    data = dataset.temporal_split(features, "match_date", train_until, val, test)
+    names = dataset.select_features(data, mode=mode)
+    fitted, scored = model.train_boosted(data, names, trees=trees)
+    calibrated = model.calibrate_isotonic(scored)
+    told = told_forecasts(model.predictions(calibrated))
+    one_book = told_forecasts(model.predictions(dataset.single_book_subset(calibrated, book)))
+    metrics = evaluate.prob_metrics(told, "y", "p", ("split", "forecast"))
+    train = evaluate.permute_target(data.where("split = 'train'"), "y", "match_id", seed)
+    _, blind = model.train_boosted(train.unionByName(data.where("split = 'val'")), names, trees=trees)
+    rows = [(c,) for c in dataset.leak_guard(features)]
+    return {
+        "metrics": metrics,
+        "deltas": evaluate.metric_deltas(metrics, "p_book", "p_model"),
+        "book_metrics": evaluate.prob_metrics(one_book, "y", "p", ("split", "forecast")),
+        "importances": model.importances(features, fitted, names),
+        "calibration": calibration_reports(told, forecasts=("p_model",)),
+        "single_auc": evaluate.single_feature_auc(dataset.impute_train_median(data, names).where("split = 'val'"), "y", names),
+        "permuted": evaluate.prob_metrics(blind.where("split = 'val'"), "y", "p_raw"),
+        "post_match": features.sparkSession.createDataFrame(rows, "column string"),
+    }
+
+
+def write_reports(reports: Mapping[str, DataFrame], path: str, fmt: str = "csv") -> None:
+    """Each report to a folder of its name under ``path``."""
+    for name, df in reports.items():
+        tables.write_table(df, f"{path}/{name}", fmt)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-EXCLUDED = (
-    "match_id", "match_date", "tourney_sack", "tourney_td", "round_sack", "round_td", "surface_final", "A_key", "B_key",
-    "book_used", "odds_A", "odds_B", "p_book_A", "y", "split",
-)
+#: Numeric columns that are no features, by their role: ids, the target, prices and what follows from prices.
+IDS, TARGET, PRICES = ("match_id", "player_id", "right_id"), ("y", "split"), ("odds_A", "odds_B", "p_book_A")
+EXCLUDED = (*IDS, *TARGET, *PRICES)
+# Beginnings of the basic features' names (without ratings, history and rest).
 BASIC_PREFIXES = ("round_ord", "surf_", "A_rank", "B_rank", "rank_diff", "A_age", "B_age", "age_diff", "best_of")
 POST_MATCH = ("minutes", "score")
 POST_MATCH_PREFIXES = ("w_", "l_")
@@ -37,11 +37,13 @@ def select_features(
     return numeric if mode == "full" else [c for c in numeric if c.startswith(tuple(keep_prefixes))]
 
 
-def impute_train_median(df: DataFrame, cols: Sequence[str], split: str = "split", exact: bool = True) -> DataFrame:
+def impute_train_median(df: DataFrame, cols: Sequence[str], split: str = "split", exact: bool = False) -> DataFrame:
     """Nulls become the train split's median, in all splits; a column that is null throughout stays null.
 
-    One aggregation for all columns; its single row is broadcast.
-    ``exact=False`` takes approximate medians, in memory that does not grow with the rows.
+    One aggregation for all columns; its single row is broadcast. Medians are
+    approximate (a rank off by at most one in 10,000), in memory that does not
+    grow with the rows; ``exact=True`` takes exact ones, whose final buffer
+    holds each column's distinct values in one task.
     """
     middle = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5).cast("double"))
     medians = df.where(F.col(split) == "train").agg(*[middle(F.col(c)).alias(f"_m_{c}") for c in cols])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import initial_last
+
 #: Total order of events; the id comes last, nulls come last.
 ORDER = ("match_date", "level_ord", "round_ord", "A_key", "B_key", "match_id")
 
@@ -95,11 +97,14 @@ def h2h_rate_conf(df: DataFrame, empty_rate: float | None = None) -> DataFrame:
 
 
 def attach_side_features(df: DataFrame, long: DataFrame, cols: Sequence[str], match_id: str = "match_id") -> DataFrame:
-    """Brings the long rows' columns back as ``A_..`` and ``B_..``: one aggregation by event, one join."""
-    sides = df.select(match_id, F.col("a_is_w"))
+    """Brings the long rows' columns back as ``A_..`` and ``B_..``: one aggregation by event, one join.
+
+    Long rows that do not carry ``a_is_w`` get it by one more join.
+    """
     first = (F.col("is_win") == 1) == F.col("a_is_w")
     pick = lambda c, a: F.max(F.when(first == F.lit(a), F.col(c)))
-    wide = long.select(match_id, "is_win", *cols).join(sides, match_id).groupBy(match_id)
+    wide = long if "a_is_w" in long.columns else long.join(df.select(match_id, "a_is_w"), match_id)
+    wide = wide.select(match_id, "is_win", "a_is_w", *cols).groupBy(match_id)
     wide = wide.agg(*[pick(c, a).alias(f"{s}_{c}") for c in cols for s, a in (("A", True), ("B", False))])
     return df.join(wide, match_id, "left")
 
@@ -108,8 +113,13 @@ def attach_player_attributes(df: DataFrame, players: DataFrame, key: str = "play
     """Adds both sides' left-handedness and height, the height difference, and left against right.
 
     ``players(player_key, hand, height_cm, ..)``: the last row by ``order`` of a
-    key counts; a missing column is null for that attribute only.
+    key counts; a missing column is null for that attribute only. Without the
+    key column it is made of ``name_first`` and ``name_last``, the key that
+    full names have.
     """
+    if key not in players.columns:
+        full = F.concat_ws(" ", F.coalesce("name_first", F.lit("")), F.coalesce("name_last", F.lit("")))
+        players = players.withColumn(key, initial_last(full, "name"))
     col = lambda c, kind: F.col(c).cast("string").try_cast(kind) if c in players.columns else F.lit(None).cast(kind)
     last = players.groupBy(F.col(key).alias("_k")).agg(
         F.max_by(F.struct(F.upper(col("hand", "string")).alias("hand"), col("height_cm", "double").alias("cm")), F.col(order)).alias("_p")
@@ -122,7 +132,3 @@ def attach_player_attributes(df: DataFrame, players: DataFrame, key: str = "play
     return df.withColumns(
         {"height_diff": F.col("A_height_cm") - F.col("B_height_cm"), "lefty_vs_righty": against.cast("int")}
     )
-
-
-def with_fills(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -107,7 +107,6 @@ class Stage:
     keys: Sequence[str]
     tolerance_days: int | None = None
     prefer: str | None = None
-    bucket: bool = field(default=False)
 
 
 def link_staged(
@@ -115,24 +114,36 @@ def link_staged(
 ) -> DataFrame:
     """Each stage links what the stages before it left open; adds ``stage`` (null: not linked).
 
-    A stage without a tolerance is a strict one. Rows that a stage links leave
-    the plan's later joins, so their inputs shrink. Each stage's rows are kept
-    (memory, then disk), since its links and the next stage both read them;
-    ``spark.catalog.clearCache()`` lets go of them.
+    A stage without a tolerance is a strict one, and gives a row for each right
+    row; the others give the nearest as in :func:`link_nearest`. All stages
+    share one join on the keys that they have in common: each candidate pair
+    gets the first stage whose terms it meets, and each left row keeps the best
+    of its best stage, ranked in groups cut short before their shuffle.
+    ``left_id`` is unique.
     """
-    done = None
-    found = f"td_{right_id}"
-    for s in stages:
+    common = [k for k in stages[0].keys if all(k in s.keys for s in stages)]
+    if not common:
+        raise ValueError("the stages have no key in common")
+    right = prefixed(right)
+    need = dict.fromkeys([left_id, t_left, *[k for s in stages for k in s.keys], *[s.prefer for s in stages if s.prefer]])
+    one = left.select(*need)
+    gap = F.abs(F.datediff(one[t_left], right[f"td_{t_right}"]))
+    met = []
+    for i, s in enumerate(stages):
+        cond = _same(one, right, s.keys)
         if s.tolerance_days is None:
-            out = link_strict(left, right, s.keys)
+            met.append(F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(False).alias("other"), F.lit(0).alias("gap"))))
         else:
-            out = link_nearest(left, right, s.keys, t_left, t_right, s.tolerance_days, s.prefer, left_id, right_id, s.bucket)
-        out = out.persist()
-        hit = out.where(F.col(found).isNotNull()).withColumn("stage", F.lit(s.name))
-        done = hit if done is None else done.unionByName(hit)
-        columns = left.columns
-        left = out.where(F.col(found).isNull()).select(*columns)
-    return done.unionByName(left.withColumn("stage", F.lit(None).cast("string")), allowMissingColumns=True)
+            other = ~F.coalesce(one[s.prefer] == right[f"td_{s.prefer}"], F.lit(False)) if s.prefer else F.lit(False)
+            met.append(F.when(cond & (gap <= s.tolerance_days), F.struct(F.lit(i).alias("i"), other.alias("other"), gap.alias("gap"))))
+    pairs = one.join(right, _same(one, right, common)).select(F.col(left_id), F.coalesce(*met).alias("_met"), *[right[c] for c in right.columns])
+    strict = F.col("_met.i").isin([i for i, s in enumerate(stages) if s.tolerance_days is None])
+    loose = lambda c: F.when(~strict, F.col(c))
+    order = Window.partitionBy(left_id).orderBy("_met", loose(f"td_{t_right}"), loose(f"td_{right_id}"))
+    best = pairs.where("_met IS NOT NULL").withColumn("_rank", F.rank().over(order)).where("_rank = 1")
+    names = F.array(*[F.lit(s.name) for s in stages])
+    best = best.withColumn("stage", names[F.col("_met.i")]).drop("_met", "_rank")
+    return left.join(best, left_id, "left")
 
 
 def link_coverage(df: DataFrame, price_cols: Sequence[str], matched: str = "td_right_id") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,8 +43,23 @@ def union_years(frames: Sequence[DataFrame]) -> DataFrame:
 def standardize_columns(
     df: DataFrame, rename: Mapping[str, str] = lexicon.ODDS_COLUMNS, required: Sequence[str] = ()
 ) -> DataFrame:
-    """Renames columns by ``rename``, case and outer blanks aside; required text columns are there and never null."""
-    df = df.withColumnsRenamed({c: rename[c.lower().strip()] for c in df.columns if c.lower().strip() in rename})
+    """Renames columns by ``rename``, case and outer blanks aside; required text columns are there and never null.
+
+    Where several columns mean the same, each row takes the first that is not
+    null, in their order (as text if their types differ).
+    """
+    meaning = [rename.get(c.lower().strip(), c) for c in df.columns]
+    at: dict[str, list[int]] = {}
+    for i, name in enumerate(meaning):
+        at.setdefault(name, []).append(i)
+    kinds = [t for _, t in df.dtypes]
+    df = df.toDF(*[f"_{i}" for i in range(len(meaning))])
+
+    def one(places: list[int]) -> Column:
+        same = len({kinds[i] for i in places}) == 1
+        return F.coalesce(*[F.col(f"_{i}") if same else F.col(f"_{i}").cast("string") for i in places])
+
+    df = df.select(*[one(places).alias(name) for name, places in at.items()])
     return df.withColumns(
         {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("") for c in required}
     )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prematch.functions import prices
+from prematch.jobs import workloads
 from prematch.operators import dataset, evaluate, history, link, ratings
 from prematch.sources import tables
 
@@ -147,7 +148,7 @@ def test_permutation_keeps_the_targets(spark):
 
 def test_imputation_and_selection(spark):
     df = spark.createDataFrame([(1, "train", 1.0, None), (2, "train", 3.0, None), (3, "test", None, None)], "match_id long, split string, a double, b double")
-    assert [r.a for r in dataset.impute_train_median(df, ("a", "b")).orderBy("match_id").collect()] == [1.0, 3.0, 2.0]
+    assert [r.a for r in dataset.impute_train_median(df, ("a", "b"), exact=True).orderBy("match_id").collect()] == [1.0, 3.0, 2.0]
     assert dataset.select_features(df) == ["a", "b"]
     assert dataset.leak_guard(df.selectExpr("*", "1 AS w_ace", "2 AS minutes")) == ["w_ace", "minutes"]
 
@@ -167,3 +168,79 @@ def test_columns(spark):
     got = tables.standardize_columns(df, required=("Winner", "Tournament", "Round"))
     assert got.first().asDict() == {"Winner": "", "Tournament": "a", "PSW": 1.5, "Round": ""}
     assert tables.detect_price_columns(got) == ["PSW"]
+
+
+def test_columns_of_one_meaning(spark):
+    df = spark.createDataFrame([("a", None, 1), (None, "b", 2), (None, None, 3)], "tourney string, `Event ` string, p1 int")
+    got = tables.standardize_columns(df, required=("Tournament",)).collect()
+    assert [(r.Tournament, r.Winner) for r in got] == [("a", 1), ("b", 2), ("", 3)]
+    mixed = tables.standardize_columns(df.select("tourney", F.col("p1").alias("EVENT")), required=("Tournament",)).collect()
+    assert [r.Tournament for r in mixed] == ["a", "2", "3"]
+
+
+def test_approximate_medians(spark):
+    df = spark.createDataFrame([(i, "train" if i < 1001 else "test", float(i) if i < 1001 else None) for i in range(1010)], "match_id long, split string, a double")
+    assert {r.a for r in dataset.impute_train_median(df, ("a",)).where("split = 'test'").collect()} == {500.0}
+
+
+def _sources(spark):
+    results = [
+        (1, D(2020, 1, 6), "Rome", "Clay", "Final", "Rafael Nadal", "Kei Nishikori", "M", "5", 30.0),
+        (2, D(2020, 1, 6), "Rome", "Clay", "Semifinals", "Rafael Nadal", "Juan Martin Del Potro", "", None, 30.0),
+        (3, D(2020, 3, 2), "Wien", "Hard", "R16", "Kei Nishikori", "Rafael Nadal", "", "3.0", 29.0),
+        (4, D(2020, 3, 2), "Wien", "Hard", "R16", "", "", "", None, None),
+    ]
+    odds = [
+        (11, D(2020, 1, 14), "Roma", "clay", "The Final", "Nadal R.", "Nishikori K.", "Masters 1000", 1.5, 2.6),
+        (12, D(2020, 1, 13), "Rome", "Clay", "Semifinals", "Nadal R.", "Del Potro J.M.", "", 1.4, 2.9),
+        (13, D(2020, 1, 12), "Rome", "Clay", "Semifinals", "Nadal R.", "Del Potro J.M.", "", 1.3, 3.1),
+        (14, D(2020, 3, 4), "Vienna", "Indoor Hard", "3rd Round", "Nishikori K.", "Nadal R.", "ATP500", 3.0, 1.4),
+        (15, D(2020, 3, 4), "Vienna", "Hard", "3rd Round", "", "", "ATP500", 3.0, 1.4),
+    ]
+    players = [(1, "Juan Martin", "Del Potro", "r", "198"), (2, "Rafael", "Nadal", "l", "185"), (3, "Kei", "Nishikori", "R", None)]
+    return (
+        spark.createDataFrame(results, "match_id long, date_tourney date, tourney_name string, surface string, round string, winner_name string, loser_name string, tourney_level string, best_of string, winner_age double"),
+        spark.createDataFrame(odds, "right_id long, Date_dt date, Location string, Surface string, Round string, Winner string, Loser string, Series string, PSW double, PSL double"),
+        spark.createDataFrame(players, "player_id long, name_first string, name_last string, hand string, height_cm string"),
+    )
+
+
+def test_from_two_sources_to_features(spark):
+    results, odds, players = _sources(spark)
+    found = workloads.linked(results, odds, players)
+    got = sorted((r.match_id, r.td_right_id, r.stage) for r in found.collect() if r.stage)
+    # "The Final" is no main round, so match 1 has no odds; blank names link with nothing.
+    assert got == [(2, 12, "strict"), (2, 13, "strict"), (3, 14, "strict")]
+    matches = {r.match_id: r for r in workloads.match_table(found).collect()}
+    assert len(matches) == 4 and matches[2].match_date == D(2020, 1, 13) and matches[2].PSW == 1.4
+    assert (matches[3].surface, matches[3].rnd, matches[3].round_ord, matches[3].level, matches[3].level_ord, matches[3].best_of) == ("hard", "R16", 4, "ATP500", 2, 3)
+    assert (matches[1].level, matches[1].best_of, matches[1].w) == ("M1000", 5, "r nadal")
+    feats = {r.match_id: r for r in workloads.feature_table(workloads.match_table(found), players).collect()}
+    assert sorted(feats) == [2, 3]
+    assert (feats[2].A_key, feats[2].B_key, feats[2].y, feats[2].A_lefty, feats[2].A_height_cm, feats[2].B_height_cm) == ("r nadal", "j del potro", 1, 1, 185.0, None)
+    assert (feats[3].B_lefty, feats[3].lefty_vs_righty) == (0, 1)
+    assert (feats[3].A_key, feats[3].y, feats[3].A_rest_days, feats[3].level_ATP500, feats[3].best_of) == ("r nadal", 0, 51, 1, 3)
+    assert feats[3].A_elo == 1516.0 and abs(feats[3].A_elo_decay - (1500 + 16 * 0.5 ** (51 / 180))) < 1e-9 and feats[3].A_selo == 1500.0
+
+
+def test_reports_and_diagnosis(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(900):
+        a, p = rnd.gauss(0, 1), rnd.uniform(0.5, 0.9)
+        rows.append((i, D(2019 + i // 300, 1, 1), int(rnd.random() < 1 / (1 + math.exp(-2 * a))), rnd.choice(["PS", "Avg"]), p, a, rnd.random()))
+    feats = spark.createDataFrame(rows, "match_id long, match_date date, y int, book_used string, p_book_A double, A_form5 double, round_ord double")
+    out = workloads.diagnosed(feats, 2019, 2020, 2021, trees=5)
+    permuted = out["permuted"].first()
+    assert abs(permuted.logloss - math.log(2)) < 0.1 and permuted.n == 300
+    assert out["single_auc"].first().feature == "A_form5" and out["post_match"].count() == 0
+    full = {(r.split, r.forecast): r for r in out["metrics"].collect()}
+    assert full["test", "p_model"].auc > 0.7 and {r.n < 300 for r in out["book_metrics"].collect()} == {True}
+    basic = workloads.diagnosed(feats, 2019, 2020, 2021, mode="basic", trees=2)["metrics"].collect()
+    assert all(r.auc < 0.6 for r in basic if r.forecast == "p_model" and r.split == "test")
+    reports = workloads.evaluated(feats, 2019, 2020, 2021, trees=3)
+    bins = reports["calibration"].groupBy("split", "forecast").agg(F.count("*").alias("bins"), F.sum("n").alias("n")).collect()
+    assert len(bins) == 4 and all((r.bins, r.n) == (10, 300) for r in bins)
+    workloads.write_reports({k: reports[k] for k in ("metrics", "accuracy", "blend_weight")}, str(tmp_path))
+    assert spark.read.csv(f"{tmp_path}/metrics", header=True).count() == 4
+    assert 0 <= float(spark.read.csv(f"{tmp_path}/blend_weight", header=True).first().w) <= 1

@@ -65,3 +65,44 @@ def test_golden_keys(spark):
         pair = "__".join(sorted(want[7:]))
         assert got.players_sorted == pair
         assert got.key_city_round_players == f"{want[5]}__{want[2]}__{pair}"
+
+
+#: place, surface, round, players; the first ones with their key, then rows of known keys.
+KNOWN = """
+Chennai Hard R16 | Albert Ramos | Steve Darcis | chennai | a ramos__s darcis
+Chennai Hard QF | Dudi Sela | Albert Ramos | chennai | a ramos__d sela
+Chennai Hard F | Roberto Bautista Agut | Daniil Medvedev | chennai | d medvedev__r bautista agut
+Doha Hard R32 | Jo-Wilfried Tsonga | Andrey Kuznetsov | doha | a kuznetsov__j tsonga
+Doha Hard F | Novak Djokovic | Andy Murray | doha | a murray__n djokovic
+Auckland Hard F | Jack Sock | Joao Sousa | auckland | j sock__j sousa
+Sydney Hard R32 | Gastao Elias | Christopher Oconnell | sydney | c oconnell__g elias
+Sydney Hard R16 | Andrey Kuznetsov | Alex De Minaur | sydney | a de minaur__a kuznetsov
+Sydney Hard QF | Andrey Kuznetsov | Pablo Carreno Busta | sydney | a kuznetsov__p carreno busta
+Australian Open Hard R128 | Lukas Lacko | Albert Ramos | melbourne | a ramos__l lacko
+Australian Open Hard R16 | Jo-Wilfried Tsonga | Daniel Evans | melbourne | d evans__j tsonga
+Australian Open Hard R16 | Milos Raonic | Roberto Bautista Agut | melbourne | m raonic__r bautista agut
+Australian Open Hard R16 | David Goffin | Dominic Thiem | melbourne | d goffin__d thiem
+"""
+
+
+def test_known_keys(spark):
+    rows = [[x.strip() for x in line.split("|")] for line in KNOWN.strip().splitlines()]
+    for (where, _, _, city, pair), got in zip(rows, _keys(spark, [(*r[0].rsplit(" ", 2), r[1], r[2]) for r in rows])):
+        assert (got.tkey_city, got.city_key, got.players_sorted) == (f"{city}_hard", city, pair)
+        assert got.key_cityonly_round_players == f"{city}__{where.split()[-1]}__{pair}"
+
+
+def test_blank_names_have_no_pair(spark):
+    got = _keys(spark, [("Rome", "Clay", "F", "", "Novak Djokovic"), ("Rome", "Clay", "F", None, None), ("Rome", "Clay", "F", " . ", "x y")])
+    assert [(r.players_sorted, r.key_city_players) for r in got] == [(None, None)] * 3
+
+
+@pytest.mark.parametrize(("raw", "want"), [("5", 5), ("5.0", 5), (" 5 ", 5), ("five", 3), ("", 3), (None, 3), ("nan", 3), ("1e99", 3)])
+def test_numeric_default(spark, raw, want):
+    assert _one(spark, raw, text.numeric_default) == want
+
+
+def test_numeric_default_of_numbers(spark):
+    df = spark.createDataFrame([(5.0, 3), (None, None), (float("nan"), 5)], "d double, i int")
+    got = df.select(text.numeric_default(F.col("d")).alias("d"), text.numeric_default(F.col("i")).alias("i")).collect()
+    assert [tuple(r) for r in got] == [(5, 3), (3, 3), (3, 5)]
