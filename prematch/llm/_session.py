@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that a Python worker gets at once, where this subpackage runs the job.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,15 +34,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` into the shared folder and read it again.
 
     Shuffle files of the write are dropped as soon as it has ended, since the
-    written table is all that later steps read.
+    written table is all that later steps read. Python workers get small
+    batches, so their memory does not follow the length of texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with scoped(spark, {_CLEAN_SHUFFLES: "true"}):
+    with scoped(spark, {_CLEAN_SHUFFLES: "true", _BATCH: str(BATCH_BYTES)}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """The batches of :func:`written` for the rest of the session, for jobs that its user runs."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`written` that no later step reads."""
     jvm = df.sparkSession._jvm
@@ -96,7 +105,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 )
             ).alias("e")
         ).select("e.a", "e.b")
-        cur = written(small.where("a <> b").distinct(), "cc")
+        old, cur = cur, written(small.where("a <> b").distinct(), "cc")
+        discard(old)
     else:
         raise RuntimeError("connected_components did not settle")
     roots = cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import connected_components, written
+from ._session import connected_components, discard, written
 from ._words import mix64, text_chunks, window_hashes, windows_inside, word_hashes, words
 
 _SHINGLE_BASE = 0xD6E8FEB86659FD93
@@ -246,6 +246,8 @@ def near_duplicates(
     ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     more = written(confirmed(pairs), "minhash")
     part = connected_components(links.unionByName(more)) if more.limit(1).count() else part
+    for table in (members, sets, open_, sig, links, more):
+        discard(table)
 
     classes = reps.join(part.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("part")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import connected_components, written
+from ._session import connected_components, discard, written
 from .vectors import matrix, usable
 
 _BLOCK = 2048
@@ -215,6 +215,7 @@ def near_duplicates(
     columns = ("key", "n", "v", "list", "home", "asks", "code", "error", "label", "eb", "qb")
     found = dealt.select(*columns).groupBy("label", "list", "eb", "qb").applyInArrow(compare, "key string, n long, root string")
     found = written(found, "pq")
+    discard(placed)
     part = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg((F.sum("n") - 1).alias("n_links"))
     parts_ = classes.select("key", "low").join(part.withColumnRenamed("id", "key"), "key", "left")

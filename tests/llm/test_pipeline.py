@@ -219,3 +219,46 @@ def test_mix_reaches_the_targets_to_the_word(spark):
     assert len(part) <= 16 and all(r.n_chars == len(r.text) for r in part)
     assert all(any(" ".join(t.split()).startswith(r.text + " ") for t in texts) for r in part)
     assert len({r.text.split()[0] for r in out}) == len(out)
+
+
+def _edges(spark):
+    """Nulls everywhere, empty and very long texts, equal rows, ties, and columns named like the operators' own."""
+    long = " ".join(f"{_prose(10_000 + i, 40)}," for i in range(4000))
+    texts = [None, "", " \n", "one", "12 !", _prose(1), _prose(1), long, long + " tail", _prose(2, 900), _prose(3), "é" * 40_000]
+    rows = [(None if i % 4 == 0 else i // 2, t, None if i % 3 == 0 else "en", None if i % 5 == 0 else "src2", None) for i, t in enumerate(texts)]
+    names = ("score", "salt", "band", "key", "fp", "place", "rank", "length", "n_words", "kept", "domain", "component_id", "doc_ID2", "t", "v")
+    df = spark.createDataFrame([*rows, rows[5], rows[5]], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({n: F.lit(None).cast("int") if i % 2 else F.lit("x") for i, n in enumerate(names)})
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_odd_rows(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = _edges(spark)
+    out = stage(spark, docs, DATA)
+    got = out.collect()
+    before = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    after = _pairs(out) if name != "best_fit_packing" else None
+    if name == "language_id":
+        # Texts without a letter go, and what is learned from these few texts rejects no other.
+        assert after == [r for r in before if any(c.isalpha() for c in r[1] or "")]
+    elif name == "minhash_near_dedup":
+        gone = [t for _, t in before]
+        for _, t in after:
+            gone.remove(t)
+        assert sorted(t[:60] for t in gone) == sorted([_prose(1)[:60]] * 3 + [_prose(10_000, 40)[:60]])
+    elif name == "substring_dedup":
+        assert {t for _, t in after} == {t for _, t in before if t is None or len(t) < 60 or t == _prose(3) or "é" in t or t == _prose(2, 900)} | {"tail"}
+    elif name == "mix_sources":
+        words = lambda rows: sum(len((t or "").split()) for _, t in rows)
+        assert words(after) == words(before) // 3 and out.columns == docs.columns
+    else:
+        assert {r.doc_id for r in got} == {d for d, _ in before} and sum(r.length for r in got if r.doc_id == 0) >= 1
+    if name != "best_fit_packing":
+        assert out.schema.names == docs.schema.names
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = _edges(spark).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DATA).count() == 0
