@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed training sequences, stage by stage."""
+"""A corpus from raw documents to packed training sequences, stage by stage.
+
+The stages set small Arrow batches for their session, so a Python worker's
+memory does not follow the texts' length.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prematch.llm import langid, minhash, mixing, packing, substrings
-from prematch.llm._session import written
+from prematch.llm._session import small_batches, written
 from prematch.llm.queries import MIX_SEED, MIX_WEIGHTS, mix_levels, tokenizer_path
 
 #: One text in so many tells the language stage how much coverage a learned language has; the others train it.
@@ -22,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The bound on coverage comes from held-out texts, by their length. Null
     texts go; ids may be null or repeat, rows are judged one by one.
     """
+    small_batches(spark)
     held_out = F.pmod(F.xxhash64("text"), F.lit(LANGUAGE_FOLDS)) == 0
     model = langid.train(docs.where(~held_out))
     at = "__said"
@@ -42,6 +47,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A null id comes after all others, equal ids go by a hash of the text, then
     of the whole row. Texts without words are no copies of each other.
     """
+    small_batches(spark)
     keyed = docs.withColumn("__key", _key(docs))
     found = minhash.near_duplicates(keyed, id_col="__key", percent=80, bands=36, keep={"__id": keyed["doc_id"]})
     found = found.select(
@@ -59,6 +65,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; untouched texts stay as they are; a document that is nothing but repeats goes."""
+    small_batches(spark)
     names = {f"__{i}": c for i, c in enumerate(docs.columns) if c != "text"}
     keyed = docs.withColumn("__key", _key(docs))
     keep = {k: keyed[c] for k, c in names.items()} | {"__null": keyed["text"].isNull()}
@@ -94,6 +101,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens, placed in sequences."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(), capacity=1024)
 
 
