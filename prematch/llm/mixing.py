@@ -9,7 +9,8 @@ up among siblings first and reaches an ancestor only when a whole subtree is
 used up. Each leaf then takes whole seeded epochs of its documents and a
 prefix, to the token, of one more.
 
-Everything is DataFrame operations in 64-bit integers.
+Everything is DataFrame operations in 64-bit integers, and their products in
+decimals of 38 digits.
 """
 
 from __future__ import annotations
@@ -57,15 +58,14 @@ def _share(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
     x = nodes.withColumn("caps", F.sum("cap").over(upto)).withColumn(
         "rest", F.sum("weight").over(by) - F.sum("weight").over(upto)
     )
-    x = x.withColumn(
-        "full",
-        (F.col("weight") * F.col("caps") + F.col("cap") * F.col("rest") <= F.col("parent_budget") * F.col("weight")),
-    )
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    x = x.withColumn("full", big("weight") * big("caps") + big("cap") * big("rest") <= big("parent_budget") * big("weight"))
     x = x.withColumn(
         "left", F.col("parent_budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(F.lit(0))).over(by)
     )
     open_weight = F.when(F.col("full"), F.lit(0)).otherwise(F.col("weight"))
     x = x.withColumn("w_all", F.sum(open_weight).over(by)).withColumn("w_upto", F.sum(open_weight).over(upto))
+    x = x.withColumns({"left": big("left"), "w_upto": big("w_upto")})
     line = F.expr("left * w_upto div w_all - left * (w_upto - weight) div w_all")
     return x.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(line)).drop(
         "caps", "rest", "full", "left", "w_all", "w_upto", "parent_budget"

@@ -33,6 +33,12 @@ def test_weights_and_exact_sums(spark):
     assert all(got[r[:3]] <= 2 * r[3] for r in leaves)
 
 
+def test_budgets_of_very_large_corpora(spark):
+    leaves = spark.createDataFrame([("a", 10**16), ("b", 10**16), ("c", 5 * 10**15)], "x string, tokens long")
+    got = {r.x: r.budget for r in budgets(leaves, ["x"], {"x": {"a": 10**6, "b": 3 * 10**6}}, share=(1, 2), max_epochs=4, default_weight=10**6).collect()}
+    assert sum(got.values()) == 125 * 10**14 and abs(got["b"] - 3 * got["a"]) <= 3 and abs(got["a"] - got["c"]) <= 1
+
+
 def test_bad_weights(spark):
     with pytest.raises(ValueError):
         _budgets(spark, [("a", "b", "c", 1)], (1, 1), 1, {"lang": {"x": 0}})

@@ -41,6 +41,20 @@ def test_language_id(spark):
     assert {r.doc_id: r.lang_pred for r in rows if r.doc_id and r.doc_id >= 1000} == {1000: "und", 1001: "und", 1002: "und"}
 
 
+def test_language_id_of_odd_rows(spark):
+    """Ties go to the first language, whole long texts count, columns named like the operator's own do no harm."""
+    cats, dogs = "miau schnurr " * 30, "wuff bell " * 30
+    rows = [(i, cats if i % 2 else dogs, "cat" if i % 2 else "dog") for i in range(40)] + [(None, cats, "cat"), (7, None, "dog")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    odd = [(1, "q" * 50 + " xyz"), (2, dogs * 3000 + cats * 4000), (2, dogs * 4000 + cats * 3000), (None, cats), (3, "12 !"), (3, None), (4, ""), (4, cats), (4, cats)]
+    docs = spark.createDataFrame([(d, t, "x", "y", 0) for d, t in odd], "doc_id long, text string, letters string, lang_pred string, spot int")
+    got = [(r.doc_id, r.lang_pred) for r in langid.predict(docs, model).collect()]
+    # No known n-gram: the language with more training texts, here "cat".
+    assert got == [(1, "cat"), (2, "cat"), (2, "dog"), (None, "cat"), (3, "und"), (3, "und"), (4, "und"), (4, "cat"), (4, "cat")]
+    assert langid.predict(docs.where("false"), model).count() == 0
+
+
 def test_filters_answer_for_many_languages():
     rng = np.random.default_rng(2)
     sets = [rng.integers(0, 2**32, 300, dtype=np.uint64).astype(np.uint32) for _ in range(70)]
