@@ -183,7 +183,7 @@ def nearest(
     is_query: Column,
     *,
     k: int = 20,
-    ef: int = 80,
+    ef: int = 200,
     shard_size: int = 16_384,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
