@@ -562,13 +562,13 @@ def h2h_rate_conf(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.7 ratings --------------------------------------------------------------------------------------------------
 
 
-def _elo_sql(pool: str, k: float, name: str, source: str = "m", order: str = "match_date, match_id") -> str:
+def _elo_sql(pool: str, k: float, name: str, source: str = "m", order: str = "match_date, match_id", players: str = str(standin.PLAYERS)) -> str:
     """Each pool's events in order; a list of ratings is carried from event to event."""
     return (
         f"n{name} AS (SELECT match_id, match_date, w_id, l_id, {pool} AS pool, row_number() OVER (PARTITION BY {pool} ORDER BY {order}) AS n FROM {source}), "
-        f"e{name} AS (SELECT DISTINCT CAST(0 AS BIGINT) AS n, pool, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, [CAST(1500 AS DOUBLE) FOR x IN range({standin.PLAYERS})] AS r FROM n{name} "
-        f"UNION ALL SELECT s.n, s.pool, s.match_id, e.r[s.w_id + 1], e.r[s.l_id + 1], list_transform(e.r, lambda v, i: CASE WHEN i - 1 = s.w_id THEN v + {k} * (1 - 1 / (1 + pow(10, (e.r[s.l_id + 1] - e.r[s.w_id + 1]) / 400))) "
-        f"WHEN i - 1 = s.l_id THEN v - {k} * (1 - 1 / (1 + pow(10, (e.r[s.l_id + 1] - e.r[s.w_id + 1]) / 400))) ELSE v END) FROM e{name} e JOIN n{name} s ON s.pool = e.pool AND s.n = e.n + 1)"
+        f"e{name} AS (SELECT DISTINCT CAST(0 AS BIGINT) AS n, pool, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, [CAST(1500 AS DOUBLE) FOR x IN range({players})] AS r FROM n{name} "
+        f"UNION ALL SELECT s.n, s.pool, s.match_id, e.r[s.w_id + 1], e.r[s.l_id + 1], list_transform(e.r, lambda v, i: CASE WHEN i - 1 = s.l_id THEN v - {k} * (1 - 1 / (1 + pow(10, (e.r[s.l_id + 1] - e.r[s.w_id + 1]) / 400))) "
+        f"WHEN i - 1 = s.w_id THEN v + {k} * (1 - 1 / (1 + pow(10, (e.r[s.l_id + 1] - e.r[s.w_id + 1]) / 400))) ELSE v END) FROM e{name} e JOIN n{name} s ON s.pool = e.pool AND s.n = e.n + 1)"
     )
 
 
@@ -761,9 +761,15 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return workloads.feature_table(matches, standin.derived(spark, d, standin.PLAYER_DIM), pool=("circle",))
 
 
-def _feature_sql() -> str:
+_PLAYERS = (
+    f"pd AS (SELECT player_key, CAST(upper(hand) = 'L' AS INT) AS lefty, TRY_CAST(height_cm AS DOUBLE) AS cm FROM (SELECT *, row_number() OVER (PARTITION BY player_key ORDER BY player_id DESC) AS k FROM ({standin.duck(standin.PLAYER_DIM)})) WHERE k = 1), "
+)
+
+
+def _feature_sql(matches: str, players: str = "", count: str = str(standin.PLAYERS)) -> str:
+    """``matches``: CTEs up to ``m``; ``players``: a CTE ``pd``, or none; ``count``: players of a circle."""
     order = "match_date, level_ord, round_ord, A_key, B_key, match_id"
-    by = lambda *keys: f"PARTITION BY {', '.join(keys)} ORDER BY {order}"
+    by = lambda *keys: f"PARTITION BY {', '.join(keys)} ORDER BY {order}, is_win"
     form = lambda *keys: f"avg(is_win) OVER ({by(*keys)} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
     rest = lambda *keys: f"datediff('day', lag(match_date) OVER ({by(*keys)}), match_date)"
     met = f"OVER ({by('player', 'opponent')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -776,41 +782,57 @@ def _feature_sql() -> str:
     levels = ", ".join(f"CAST(level = '{v}' AS INT) AS level_{v}" for v in lexicon.LEVEL_ORDER)
     grounds = ", ".join(f"CAST(surface = '{v}' AS INT) AS surf_{v}" for v in ratings.SURFACES)
     return (
-        f"WITH RECURSIVE {_M}, {_PRICED}, {_ORIENTED}, "
+        f"WITH RECURSIVE {matches}, {_PRICED}, {_ORIENTED}, "
         f"fl AS (SELECT {side}, w AS player, l AS opponent, 1 AS is_win FROM o UNION ALL SELECT {side}, l, w, 0 FROM o), "
         f"fw AS (SELECT match_id, (is_win = 1) = a_is_w AS is_a, {form('player')} AS form, {form('player', _GROUND)} AS sform, {rest('player')} AS rest, {rest('player', _GROUND)} AS srest, "
         f"count(is_win) {met} AS met, coalesce(sum(is_win) {met}, 0) AS won FROM fl), "
-        f"{_elo_sql('circle', 32.0, 'g', 'o', order)}, {_elo_sql(f'CAST(circle AS VARCHAR) || ({_GROUND})', 24.0, 's', 'o', order)}, "
-        f"pd AS (SELECT player_key, CAST(upper(hand) = 'L' AS INT) AS lefty, TRY_CAST(height_cm AS DOUBLE) AS cm FROM (SELECT *, row_number() OVER (PARTITION BY player_key ORDER BY player_id DESC) AS k FROM ({standin.duck(standin.PLAYER_DIM)})) WHERE k = 1), "
-        f"x AS (SELECT o.* EXCLUDE (best_of), coalesce(CAST(trunc(TRY_CAST(trim(best_of_text) AS DOUBLE)) AS INT), 3) AS best_of, {_level_sql()} AS level, a.form AS fa, b.form AS fb, a.sform AS sfa, b.sform AS sfb, a.rest AS ra, b.rest AS rb, a.srest AS sra, b.srest AS srb, "
+        f"{_elo_sql('circle', 32.0, 'g', 'o', order, count)}, {_elo_sql(f'CAST(circle AS VARCHAR) || ({_GROUND})', 24.0, 's', 'o', order, count)}, {players}"
+        f"x AS (SELECT o.*, a.form AS fa, b.form AS fb, a.sform AS sfa, b.sform AS sfb, a.rest AS ra, b.rest AS rb, a.srest AS sra, b.srest AS srb, "
         "a.met AS ma, b.met AS mb, a.won AS wa, b.won AS wb, "
         + ", ".join(f"{v} AS {n}" for e, t in (("g", "eg"), ("s", "es")) for v, n in zip(side_of(f"{t}.a", f"{t}.b"), (f"{e}a", f"{e}b")))
         + ", " + ", ".join(f"{v} AS {n}" for c in ("rank", "age") for v, n in zip(side_of(f"w_{c}", f"l_{c}"), (f"{c}a", f"{c}b")))
-        + ", pa.lefty AS la, pb.lefty AS lb, pa.cm AS ca, pb.cm AS cb "
-        "FROM o JOIN fw a ON a.match_id = o.match_id AND a.is_a JOIN fw b ON b.match_id = o.match_id AND NOT b.is_a JOIN eg ON eg.match_id = o.match_id AND eg.n > 0 JOIN es ON es.match_id = o.match_id AND es.n > 0 "
-        "LEFT JOIN pd pa ON pa.player_key = A_key LEFT JOIN pd pb ON pb.player_key = B_key) "
-        "SELECT match_id, match_date, book_used, y, odds_A, odds_B, round((1 / odds_A) / (1 / odds_A + 1 / odds_B), 6) AS p_book_A, round_ord, level_ord, best_of, level AS tourney_level_norm, A_key, B_key, "
+        + (", pa.lefty AS la, pb.lefty AS lb, pa.cm AS ca, pb.cm AS cb" if players else "")
+        + " FROM o JOIN fw a ON a.match_id = o.match_id AND a.is_a JOIN fw b ON b.match_id = o.match_id AND NOT b.is_a JOIN eg ON eg.match_id = o.match_id AND eg.n > 0 JOIN es ON es.match_id = o.match_id AND es.n > 0 "
+        + ("LEFT JOIN pd pa ON pa.player_key = A_key LEFT JOIN pd pb ON pb.player_key = B_key" if players else "")
+        + ") SELECT match_id, match_date, book_used, y, odds_A, odds_B, round((1 / odds_A) / (1 / odds_A + 1 / odds_B), 6) AS p_book_A, round_ord, level_ord, best_of, level AS tourney_level_norm, A_key, B_key, "
         f"{both('form5', 'fa', 'fb')}, {both('form5_surf', 'sfa', 'sfb')}, CAST(ra AS INT) AS A_rest_days, CAST(rb AS INT) AS B_rest_days, ma AS A_h2h_played, mb AS B_h2h_played, CAST(wa AS BIGINT) AS A_h2h_wins, CAST(wb AS BIGINT) AS B_h2h_wins, "
         f"{three('elo', 'ga', 'gb')}, {three('selo', 'sa', 'sb')}, {three('elo_decay', faded('ga', 'ra'), faded('gb', 'rb'))}, {three('selo_decay', faded('sa', 'sra'), faded('sb', 'srb'))}, "
         f"{both('h2h_rate', 'wa / greatest(ma, 1)', 'wb / greatest(mb, 1)')}, {both('h2h_conf', '1 / sqrt(greatest(ma, 1))', '1 / sqrt(greatest(mb, 1))')}, CAST(wa - wb AS DOUBLE) AS h2h_diff, "
         "round(wa / greatest(ma, 1) - wb / greatest(mb, 1), 6) AS h2h_rate_diff, round(1 / sqrt(greatest(ma, 1)) - 1 / sqrt(greatest(mb, 1)), 6) AS h2h_conf_diff, "
         f"{both('rest_log', log_rest('ra'), log_rest('rb'))}, round({log_rest('ra')} - {log_rest('rb')}, 6) AS rest_log_diff, CAST(coalesce(ra < 3, false) AS INT) AS A_short_rest_lt3, CAST(coalesce(rb < 3, false) AS INT) AS B_short_rest_lt3, "
         "ranka AS A_rank, rankb AS B_rank, coalesce(ranka, 5000) - coalesce(rankb, 5000) AS rank_diff, agea AS A_age, ageb AS B_age, round(agea - ageb, 6) AS age_diff, "
-        f"round(coalesce(fa, 0.5) - coalesce(fb, 0.5), 6) AS form5_diff, CAST(coalesce(ra, 14) - coalesce(rb, 14) AS INT) AS rest_days_diff, {grounds}, {levels}, "
-        "la AS A_lefty, lb AS B_lefty, ca AS A_height_cm, cb AS B_height_cm, ca - cb AS height_diff, CAST(coalesce(la = 1 AND lb = 0, false) AS INT) AS lefty_vs_righty FROM x"
+        f"round(coalesce(fa, 0.5) - coalesce(fb, 0.5), 6) AS form5_diff, CAST(coalesce(ra, 14) - coalesce(rb, 14) AS INT) AS rest_days_diff, {grounds}, {levels}"
+        + (", la AS A_lefty, lb AS B_lefty, ca AS A_height_cm, cb AS B_height_cm, ca - cb AS height_diff, CAST(coalesce(la = 1 AND lb = 0, false) AS INT) AS lefty_vs_righty" if players else "")
+        + " FROM x"
     )
 
 
-@query("feature_table", _feature_sql())
-def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    df = _features(spark, d)
+def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(c) if kind == "double" and c not in ("odds_A", "odds_B") else F.col(c) for c, kind in df.dtypes])
 
 
-@query("whole_job")
+_STANDIN_M = (
+    f"m0 AS ({standin.duck(standin.MATCHES)}), m AS (SELECT * EXCLUDE (best_of), coalesce(CAST(trunc(TRY_CAST(trim(best_of_text) AS DOUBLE)) AS INT), 3) AS best_of, {_level_sql()} AS level FROM m0)"
+)
+
+
+@query("feature_table", _feature_sql(_STANDIN_M, _PLAYERS))
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_features(spark, d))
+
+
+_LINKED_M = (
+    f"{_MATCH_TABLE.removeprefix('WITH ')}, nm AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT w AS name FROM mt UNION SELECT l FROM mt)), "
+    f"m AS (SELECT mt.*, CAST({_case_sql('rnd', lexicon.ROUND_ORDER, '0')} AS INT) AS round_ord, CAST({_case_sql('level', lexicon.LEVEL_ORDER, '0')} AS INT) AS level_ord, 0 AS circle, a.id AS w_id, b.id AS l_id, "
+    "CAST(NULL AS DOUBLE) AS AvgW, CAST(NULL AS DOUBLE) AS AvgL, CAST(NULL AS DOUBLE) AS B365W, CAST(NULL AS DOUBLE) AS B365L "
+    "FROM mt LEFT JOIN nm a ON a.name = w LEFT JOIN nm b ON b.name = l)"
+)
+
+
+@query("whole_job", _feature_sql(_LINKED_M, count="(SELECT count(*) FROM nm)"))
 def whole_job(spark: SparkSession, d: str) -> DataFrame:
-    """From two sources and the players to features: what is linked, priced and oriented."""
-    return workloads.feature_table(workloads.match_table(_linked(spark, d)))
+    """From two sources to features: what is linked, priced and oriented, with one rating over all events."""
+    return _rounded(workloads.feature_table(workloads.match_table(_linked(spark, d))))
 
 
 _CALIBRATION = (

@@ -80,9 +80,10 @@ def feature_table(matches: DataFrame, players: DataFrame | None = None, pool: Se
     base = prices.orient_favourite(prices.pick_price_pair(link.drop_undated(matches, "match_date")))
     order = ("match_date", "level_ord", "round_ord", "A_key", "B_key", "match_id")
     long = history.to_long(base.withColumn("_ground", ratings.ground()), extra=("match_date", "surface", "_ground", "level_ord", "round_ord", "A_key", "B_key", "a_is_w"))
-    long = history.rest_days(history.rolling_form(long, 5, order=order), order=order)
-    long = history.h2h_before(history.rolling_form(long, 5, ("player", "_ground"), order, "form5_surf"), order=order)
-    long = history.rest_days(long, by=("player", "_ground"), order=order, out="rest_ground")
+    last = (*order, "is_win")  # where two names have one key, a player meets themself
+    long = history.rest_days(history.rolling_form(long, 5, order=last), order=last)
+    long = history.h2h_before(history.rolling_form(long, 5, ("player", "_ground"), last, "form5_surf"), order=last)
+    long = history.rest_days(long, by=("player", "_ground"), order=last, out="rest_ground")
     df = history.attach_side_features(base, long, ("form5", "form5_surf", "rest_days", "rest_ground", "h2h_played", "h2h_wins"))
     rated = ratings.elo_before(base, order=order, pool=pool)
     df = df.join(rated, "match_id").join(ratings.elo_before_surface(base, order=order, pool=pool), "match_id")

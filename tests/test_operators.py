@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prematch.functions import prices
-from prematch.jobs import workloads
+from prematch.jobs import model, workloads
 from prematch.operators import dataset, evaluate, history, link, ratings
 from prematch.sources import tables
 
@@ -244,3 +244,32 @@ def test_reports_and_diagnosis(spark, tmp_path):
     workloads.write_reports({k: reports[k] for k in ("metrics", "accuracy", "blend_weight")}, str(tmp_path))
     assert spark.read.csv(f"{tmp_path}/metrics", header=True).count() == 4
     assert 0 <= float(spark.read.csv(f"{tmp_path}/blend_weight", header=True).first().w) <= 1
+
+
+def test_isotonic_calibration_equals_pooled_neighbours(spark):
+    rnd = random.Random(7)
+    rows = [(i, "val" if i < 60 else "test", int(rnd.random() < i % 60 / 80 + 0.1), (i % 60) / 60 + 0.001) for i in range(90)]
+    got = {r.match_id: r.p_model for r in model.calibrate_isotonic(spark.createDataFrame(rows, "match_id long, split string, y int, p_raw double")).collect()}
+    blocks: list[list[float]] = []
+    for _, _, y, _ in rows[:60]:
+        blocks.append([y, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n]
+    want = [s / n for s, n in blocks for _ in range(n)]
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(60))
+    assert all(abs(got[60 + i] - want[i]) < 1e-9 for i in range(30))
+
+
+def test_boosted_trees_learn(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(600):
+        a = rnd.gauss(0, 1)
+        rows.append((i, ("train", "val", "test")[i // 200], int(rnd.random() < 1 / (1 + math.exp(-3 * a))), a if i % 10 else None, rnd.random(), None))
+    df = spark.createDataFrame(rows, "match_id long, split string, y int, a double, noise double, empty double")
+    fitted, scored = model.train_boosted(df, ("a", "noise", "empty"), trees=10)
+    told = evaluate.prob_metrics(scored.where("split = 'test'"), "y", "p_raw").first()
+    assert told.auc > 0.8 and told.logloss < 0.6 and scored.count() == 600
+    top = model.importances(df, fitted, ("a", "noise", "empty")).orderBy(F.desc("importance")).collect()
+    assert top[0].feature == "a" and [r.importance for r in top if r.feature == "empty"] == [0.0]

@@ -40,11 +40,6 @@ def test_equals_sql(spark, duck, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", ["whole_job"])
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
-
-
 def test_models(spark):
     rows = QUERIES["predictions"](spark, DATA).collect()
     assert rows and all(0 <= r.p_model <= 1 and 0 < r.p_book < 1 for r in rows)
