@@ -51,6 +51,8 @@ def match_table(found: DataFrame, match_id: str = "match_id", right_id: str = "t
     have = lambda *names: [F.col(c) for c in names if c in found.columns]
     first = lambda *names: text.coalesce_choice(*have(*names), F.lit(None).cast("string"))
     number = lambda c: F.col(c).cast("string").try_cast("double") if c in found.columns else F.lit(None).cast("double")
+    right = [c for c in found.columns if c.startswith("td_")]
+    books = tables.detect_price_columns(found.select(*right).toDF(*[c.removeprefix("td_") for c in right]))
     level = text.infer_level(first("td_Series"), F.coalesce(first("tourney_level"), F.lit("")), [*have("td_Tournament", "tourney_name"), F.lit("")])
     df = found.withColumns({"_surface": text.canonical_map(first("td_Surface", "surface")), "_round": text.canonical_round(first("td_Round", "round")), "_level": level})
     return df.select(
@@ -65,7 +67,7 @@ def match_table(found: DataFrame, match_id: str = "match_id", right_id: str = "t
         first("td_w_key", "w_key").alias("w"),
         first("td_l_key", "l_key").alias("l"),
         *[number(f"{side}_{c}").alias(f"{side[0]}_{c}") for c in ("rank", "age") for side in ("winner", "loser")],
-        *[F.col(c).alias(c.removeprefix("td_")) for c in found.columns if c.startswith("td_") and tables.detect_price_columns(found.select(F.col(c).alias(c.removeprefix("td_"))))],
+        *[F.col(f"td_{c}").alias(c) for c in books],
     )
 
 
