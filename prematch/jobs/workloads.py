@@ -86,7 +86,10 @@ def feature_table(matches: DataFrame, players: DataFrame | None = None, pool: Se
     long = history.rest_days(history.rolling_form(long, 5, order=last), order=last)
     long = history.h2h_before(history.rolling_form(long, 5, ("player", "_ground"), last, "form5_surf"), order=last)
     long = history.rest_days(long, by=("player", "_ground"), order=last, out="rest_ground")
-    df = history.attach_side_features(base, long, ("form5", "form5_surf", "rest_days", "rest_ground", "h2h_played", "h2h_wins"))
+    sides = ["form5", "form5_surf", "rest_days", "rest_ground", "h2h_played", "h2h_wins"]
+    if players is not None:  # joined where the rows lie by player already
+        long, sides = long.join(history.player_attributes(players), "player", "left"), [*sides, "lefty", "height_cm"]
+    df = history.attach_side_features(base, long, sides)
     rated = ratings.elo_before(base, order=order, pool=pool)
     df = df.join(rated, "match_id").join(ratings.elo_before_surface(base, order=order, pool=pool), "match_id")
     df = ratings.elo_sides(df)
@@ -102,7 +105,7 @@ def feature_table(matches: DataFrame, players: DataFrame | None = None, pool: Se
     if "level" in df.columns:
         df = text.one_hot(df, "level", tuple(lexicon.LEVEL_ORDER), "level_").withColumnRenamed("level", "tourney_level_norm")
     if players is not None:
-        df = history.attach_player_attributes(df, players)
+        df = history.compare_attributes(df)
     first = ("match_id", "match_date", "book_used", "y", "odds_A", "odds_B", "p_book_A", "round_ord", "level_ord", "best_of", "tourney_level_norm")
     kept = [c for c in df.columns if c.startswith(("A_", "B_", "surf_", "level_", "h2h_")) or c.endswith("_diff") or c == "lefty_vs_righty"]
     return df.select(*[c for c in first if c in df.columns], *[c for c in kept if c not in first])

@@ -109,26 +109,33 @@ def attach_side_features(df: DataFrame, long: DataFrame, cols: Sequence[str], ma
     return df.join(wide, match_id, "left")
 
 
-def attach_player_attributes(df: DataFrame, players: DataFrame, key: str = "player_key", order: str = "player_id") -> DataFrame:
-    """Adds both sides' left-handedness and height, the height difference, and left against right.
+def player_attributes(players: DataFrame, key: str = "player_key", order: str = "player_id") -> DataFrame:
+    """``(player, lefty, height_cm)``: of each key the last row by ``order``; a missing column is null for that attribute only.
 
-    ``players(player_key, hand, height_cm, ..)``: the last row by ``order`` of a
-    key counts; a missing column is null for that attribute only. Without the
-    key column it is made of ``name_first`` and ``name_last``, the key that
-    full names have.
+    Without the key column it is made of ``name_first`` and ``name_last``, the
+    key that full names have.
     """
     if key not in players.columns:
         full = F.concat_ws(" ", F.coalesce("name_first", F.lit("")), F.coalesce("name_last", F.lit("")))
         players = players.withColumn(key, initial_last(full, "name"))
     col = lambda c, kind: F.col(c).cast("string").try_cast(kind) if c in players.columns else F.lit(None).cast(kind)
-    last = players.groupBy(F.col(key).alias("_k")).agg(
+    last = players.groupBy(F.col(key).alias("player")).agg(
         F.max_by(F.struct(F.upper(col("hand", "string")).alias("hand"), col("height_cm", "double").alias("cm")), F.col(order)).alias("_p")
     )
-    for s in "AB":
-        lefty = F.when(F.col("_p").isNotNull(), F.coalesce(F.col("_p.hand").startswith("L"), F.lit(False)).cast("int"))
-        df = df.join(last, F.col(f"{s}_key") == F.col("_k"), "left")
-        df = df.withColumns({f"{s}_lefty": lefty, f"{s}_height_cm": F.col("_p.cm")}).drop("_k", "_p")
+    lefty = F.coalesce(F.col("_p.hand").startswith("L"), F.lit(False)).cast("int")
+    return last.select("player", lefty.alias("lefty"), F.col("_p.cm").alias("height_cm"))
+
+
+def compare_attributes(df: DataFrame) -> DataFrame:
+    """Adds the height difference and left against right, from both sides' attributes."""
     against = F.coalesce((F.col("A_lefty") == 1) & (F.col("B_lefty") == 0), F.lit(False))
-    return df.withColumns(
-        {"height_diff": F.col("A_height_cm") - F.col("B_height_cm"), "lefty_vs_righty": against.cast("int")}
-    )
+    return df.withColumns({"height_diff": F.col("A_height_cm") - F.col("B_height_cm"), "lefty_vs_righty": against.cast("int")})
+
+
+def attach_player_attributes(df: DataFrame, players: DataFrame, key: str = "player_key", order: str = "player_id") -> DataFrame:
+    """Adds both sides' :func:`player_attributes` and :func:`compare_attributes`."""
+    known = player_attributes(players, key, order)
+    for s in "AB":
+        side = known.select(F.col("player").alias(f"{s}_key"), F.col("lefty").alias(f"{s}_lefty"), F.col("height_cm").alias(f"{s}_height_cm"))
+        df = df.join(side, f"{s}_key", "left")
+    return compare_attributes(df)
