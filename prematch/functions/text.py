@@ -218,13 +218,33 @@ def numeric_default(c: Column, kind: str = "int", default: float = 3) -> Column:
     return F.coalesce(F.when(~F.isnan(x), x).try_cast(kind), F.lit(default).cast(kind))
 
 
-def infer_level(series: Column, code: Column, names: Sequence[Column]) -> Column:
-    """Level by series text, else by code, else by the first name given, else the default."""
-    text, name = clean_text(series), clean_text(F.coalesce(*[F.when(n != "", n) for n in names], F.lit("")))
+def _named(names: Sequence[Column]) -> Column:
+    return F.coalesce(*[F.when(n != "", n) for n in names], F.lit(""))
+
+
+def _level(series: Column, code: Column, name: Column) -> Column:
     by_series = by_name = F.lit(None).cast("string")
     for part, level in reversed(lexicon.LEVEL_SERIES):
-        by_series = F.when(text.contains(part), F.lit(level)).otherwise(by_series)
+        by_series = F.when(series.contains(part), F.lit(level)).otherwise(by_series)
     for part, level in reversed(lexicon.LEVEL_NAMES):
         by_name = F.when(name.contains(part), F.lit(level)).otherwise(by_name)
     by_code = F.when(code != "", lookup(F.upper(code), lexicon.LEVEL_CODES, F.upper(code)))
     return F.coalesce(by_series, by_code, by_name, F.lit(lexicon.LEVEL_DEFAULT))
+
+
+def infer_level(series: Column, code: Column, names: Sequence[Column]) -> Column:
+    """Level by series text, else by code, else by the first name given, else the default."""
+    return _level(clean_text(series), code, clean_text(_named(names)))
+
+
+def with_level(df: DataFrame, out: str, series: Column, code: Column, names: Sequence[Column]) -> DataFrame:
+    """Adds ``out``: :func:`infer_level`, with each text cleaned once a row."""
+    df = df.withColumns({"_series": clean_text(series), "_code": code, "_name": clean_text(_named(names))})
+    return df.withColumn(out, _level(F.col("_series"), F.col("_code"), F.col("_name"))).drop("_series", "_code", "_name")
+
+
+def with_canonical(df: DataFrame, columns: Mapping[str, tuple[Column, Mapping[str, str], bool]]) -> DataFrame:
+    """Adds ``out: canonical_map(source, mapping, upper_miss)`` for each entry, with each text cleaned once a row."""
+    df = df.withColumns({f"_{out}": clean_text(c) for out, (c, _, _) in columns.items()})
+    df = df.withColumns({out: _mapped(F.col(f"_{out}"), mapping, upper) for out, (_, mapping, upper) in columns.items()})
+    return df.drop(*[f"_{out}" for out in columns])

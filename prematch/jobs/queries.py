@@ -332,8 +332,8 @@ def _level_sql(series: str = "series", code: str = "code", name: str = "tourney"
 
 @query("infer_level", f"WITH {_M}, lv AS (SELECT match_id, {_level_sql()} AS level FROM m) SELECT match_id, level, CAST({_case_sql('level', lexicon.LEVEL_ORDER, '0')} AS INT) AS level_ord FROM lv")
 def infer_level(spark: SparkSession, d: str) -> DataFrame:
-    df = _matches(spark, d).select("match_id", text.infer_level(F.col("series"), F.col("code"), [F.col("tourney")]).alias("level"))
-    return df.withColumn("level_ord", text.ordinal_encode(F.col("level"), lexicon.LEVEL_ORDER))
+    df = text.with_level(_matches(spark, d), "level", F.col("series"), F.col("code"), [F.col("tourney")])
+    return df.select("match_id", "level", text.ordinal_encode(F.col("level"), lexicon.LEVEL_ORDER).alias("level_ord"))
 
 
 # ---- 2.3 filters --------------------------------------------------------------------------------------------------
@@ -756,8 +756,8 @@ def match_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    level = text.infer_level(F.col("series"), F.col("code"), [F.col("tourney")])
-    matches = _matches(spark, d).withColumns({"level": level, "best_of": text.numeric_default(F.col("best_of_text"))})
+    matches = text.with_level(_matches(spark, d), "level", F.col("series"), F.col("code"), [F.col("tourney")])
+    matches = matches.withColumn("best_of", text.numeric_default(F.col("best_of_text")))
     return workloads.feature_table(matches, standin.derived(spark, d, standin.PLAYER_DIM), pool=("circle",))
 
 

@@ -53,8 +53,9 @@ def match_table(found: DataFrame, match_id: str = "match_id", right_id: str = "t
     number = lambda c: F.col(c).cast("string").try_cast("double") if c in found.columns else F.lit(None).cast("double")
     right = [c for c in found.columns if c.startswith("td_")]
     books = tables.detect_price_columns(found.select(*right).toDF(*[c.removeprefix("td_") for c in right]))
-    level = text.infer_level(first("td_Series"), F.coalesce(first("tourney_level"), F.lit("")), [*have("td_Tournament", "tourney_name"), F.lit("")])
-    df = found.withColumns({"_surface": text.canonical_map(first("td_Surface", "surface")), "_round": text.canonical_round(first("td_Round", "round")), "_level": level})
+    names = [*have("td_Tournament", "tourney_name"), F.lit("")]
+    df = text.with_level(found, "_level", first("td_Series"), F.coalesce(first("tourney_level"), F.lit("")), names)
+    df = text.with_canonical(df, {"_surface": (first("td_Surface", "surface"), lexicon.SURFACES, False), "_round": (first("td_Round", "round"), lexicon.ROUNDS, True)})
     return df.select(
         match_id,
         F.coalesce(*have("td_Date_dt", "date_tourney")).alias("match_date"),
