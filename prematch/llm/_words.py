@@ -40,6 +40,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return found
 
 
+def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
+    """True for the bytes of closed ranges."""
+    found = np.zeros(256, bool)
+    for lo, hi in ranges:
+        found[lo : hi + 1] = True
+    return found
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -70,18 +78,18 @@ def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, i
         lo = hi
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the word offsets of each text."""
+def words(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the word offsets of each text; ``gaps``: True for bytes between words."""
     starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a in range(0, len(buf), 1 << 20):
         b = min(len(buf), a + (1 << 20))
-        word = ~_SPACE[buf[a:b]]
+        word = ~gaps[buf[a:b]]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
-        if a and not _SPACE[buf[a - 1]]:
+        if a and not gaps[buf[a - 1]]:
             first[0] = False
-        if b < len(buf) and not _SPACE[buf[b]]:
+        if b < len(buf) and not gaps[buf[b]]:
             last[-1] = False
         edge = offs[(offs >= a) & (offs < b)] - a
         first[edge] = word[edge]

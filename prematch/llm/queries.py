@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters, and their SQL."""
+"""Registered queries of the thirteen operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, minhash, mixing, packing, pq, quality, recurrent, substrings, urls
+from . import hnsw, langid, lexical, minhash, mixing, packing, phrases, pq, quality, recurrent, substrings, tokens, urls
 
 #: Production parameters of the mix: the tree's columns, weights, share of all tokens, most epochs, seed.
 MIX_DOMAINS = 4
@@ -99,6 +99,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep={"held_out": held_out})
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return phrases.collocations(docs, max_n=4, least=30, inside=80, top=2000)
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tokens.count_tokens(docs, tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return lexical.search(docs, items, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hnsw": op1_hnsw,
@@ -111,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_substrings": op9_substrings,
         "op10_quality": op10_quality,
+        "op11_phrases": op11_phrases,
+        "op12_tokens": op12_tokens,
+        "op13_lexical": op13_lexical,
     }
 
 
@@ -127,5 +145,7 @@ def oracle_sql() -> dict[str, str]:
             share=MIX_SHARE,
             max_epochs=MIX_EPOCHS,
             seed=MIX_SEED,
-        )
+        ),
+        "op11_phrases": phrases.collocations_sql(),
+        "op13_lexical": lexical.search_sql(),
     }
