@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, prices, text
-from ..operators import dataset, evaluate, history, link, ratings
+from ..operators import circles, dataset, evaluate, history, link, ratings
 from ..sources import tables
+from ..sources.stages import StageTables
 from . import model, standin, workloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,11 +156,9 @@ def _forecasts(spark: SparkSession, d: str) -> DataFrame:
     df = dataset.temporal_split(_oriented(spark, d), "match_date", TRAIN_UNTIL, VAL, TEST)
     rank = lambda a, b: F.coalesce(F.when(F.col("a_is_w"), F.col(a)).otherwise(F.col(b)), F.lit(500))
     gap = (rank("w_rank", "l_rank") - rank("l_rank", "w_rank")) / 150
-    out = df.select(
+    return df.select(
         "match_id", "match_date", "y", "book_used", "split", F.round("p_book_A", 9).alias("p_book"), F.round(1 / (1 + F.exp(gap)), 9).alias("p_model")
     )
-    # Evaluation reads forecasts several times; kept, they are computed once, and plans stay small.
-    return out.persist()
 
 
 def _told(spark: SparkSession, d: str) -> DataFrame:
@@ -173,16 +171,11 @@ def _told(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2.1 sources and sinks ----------------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 @query("read_yearly", "SELECT o_orderkey, CASE WHEN year(o_orderdate) % 2 = 0 THEN o_totalprice END AS o_totalprice, CAST(year(o_orderdate) AS INT) AS year FROM orders")
 def read_yearly(spark: SparkSession, d: str) -> DataFrame:
     """Writes a folder a year, the odd years without the price, and reads them back; the years before and after are absent."""
     orders = standin.table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"))
-    base = _shared(spark, "yearly")
+    base = StageTables(spark).path("yearly")
     orders.where("y % 2 = 0").write.partitionBy("y").parquet(base)
     orders.where("y % 2 = 1").drop("o_totalprice").write.mode("append").partitionBy("y").parquet(base)
     first, last = orders.agg(F.min("y"), F.max("y")).first()
@@ -221,7 +214,7 @@ def project_final(spark: SparkSession, d: str) -> DataFrame:
 @query("write_table", f"WITH {_M} SELECT surface, count(*) AS n, CAST(year(match_date) AS INT) AS year FROM m GROUP BY ALL")
 def write_table(spark: SparkSession, d: str) -> DataFrame:
     """Writes the yearly counts, partitioned, to the shared folder and reads them back."""
-    path = _shared(spark, "write-table")
+    path = StageTables(spark).path("write-table")
     counts = _matches(spark, d).groupBy(F.year("match_date").alias("year"), "surface").agg(F.count("*").alias("n"))
     tables.write_table(counts, path, partition_by=("year",))
     return spark.read.parquet(path).select("surface", "n", "year")
@@ -460,6 +453,18 @@ def attach_market_prob(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.attach_market_prob(pred, feats).select("match_id", "p_model", r6("p_book_A"))
 
 
+@query(
+    "rank_asof",
+    f"WITH {_M}, rk AS (SELECT * FROM ({standin.duck(standin.RANKINGS)}) WHERE ranking_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY player, ranking_date ORDER BY ranking_id DESC) = 1), "
+    "a AS (SELECT match_id, rank, datediff('day', ranking_date, match_date) AS days FROM m ASOF JOIN rk ON w = player AND match_date >= ranking_date), "
+    "b AS (SELECT match_id, rank, datediff('day', ranking_date, match_date) AS days FROM m ASOF JOIN rk ON l = player AND match_date >= ranking_date) "
+    "SELECT m.match_id, a.rank AS w_rank_asof, b.rank AS l_rank_asof, CAST(a.days AS INT) AS w_rank_days, CAST(b.days AS INT) AS l_rank_days FROM m LEFT JOIN a USING (match_id) LEFT JOIN b USING (match_id)",
+)
+def rank_asof(spark: SparkSession, d: str) -> DataFrame:
+    out = history.rank_asof(_matches(spark, d), standin.derived(spark, d, standin.RANKINGS), tie=("ranking_id",))
+    return out.select("match_id", "w_rank_asof", "l_rank_asof", "w_rank_days", "l_rank_days")
+
+
 # ---- 2.5 prices and orientation -----------------------------------------------------------------------------------
 
 
@@ -577,6 +582,28 @@ def elo_before(spark: SparkSession, d: str) -> DataFrame:
     return ratings.elo_before(_matches(spark, d), pool=("circle",)).select("match_id", r6("elo_w"), r6("elo_l"))
 
 
+@query(
+    "elo_final_state",
+    f"WITH RECURSIVE {_M}, {_elo_sql('circle', 32.0, 'g')}, z AS (SELECT pool AS c, unnest(range({standin.PLAYERS})) AS id, unnest(r) AS rating FROM eg JOIN (SELECT pool, max(n) AS n FROM eg GROUP BY pool) USING (pool, n)) "
+    f"SELECT c AS circle, 'p' || CAST(c * {standin.PLAYERS} + id AS VARCHAR) AS player, round(rating, 6) AS rating FROM z WHERE EXISTS (SELECT 1 FROM m WHERE m.circle = c AND (w_id = id OR l_id = id))",
+)
+def elo_final_state(spark: SparkSession, d: str) -> DataFrame:
+    """Two seasons one after the other; the second starts from the first one's last ratings."""
+    df, stages = _matches(spark, d), StageTables(spark)
+    early = F.year("match_date") <= TRAIN_UNTIL
+    _, state = ratings.elo_with_state(df.where(early), stages, pool=("circle",))
+    _, state = ratings.elo_with_state(df.where(~early), stages, pool=("circle",), initial_state=state)
+    return state.select("circle", "player", r6("rating"))
+
+
+@query(
+    "circles",
+    f"WITH RECURSIVE {_M}, e AS (SELECT w AS a, l AS b FROM m UNION SELECT l, w FROM m), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id",
+)
+def circles_(spark: SparkSession, d: str) -> DataFrame:
+    return circles.components(_matches(spark, d), "w", "l")
+
+
 @query("elo_before_surface", f"WITH RECURSIVE {_M}, {_elo_sql(f"CAST(circle AS VARCHAR) || ({_GROUND})", 24.0, 's')} SELECT match_id, round(a, 6) AS selo_w, round(b, 6) AS selo_l FROM es WHERE n > 0")
 def elo_before_surface(spark: SparkSession, d: str) -> DataFrame:
     return ratings.elo_before_surface(_matches(spark, d), pool=("circle",)).select("match_id", r6("selo_w"), r6("selo_l"))
@@ -621,7 +648,7 @@ def elo_sides(spark: SparkSession, d: str) -> DataFrame:
 )
 def impute_train_median(spark: SparkSession, d: str) -> DataFrame:
     df = _matches(spark, d).withColumn("split", F.when(F.year("match_date") <= TRAIN_UNTIL, "train").otherwise("later"))
-    out = dataset.impute_train_median(df, ("w_rank", "l_rank"), exact=True)
+    out = dataset.impute_train_median(df, ("w_rank", "l_rank"))
     return out.select("match_id", "split", r6("w_rank"), r6("l_rank"))
 
 
@@ -716,10 +743,21 @@ def single_feature_auc(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.single_feature_auc(df, "y", ("A_rank", "B_rank", "level_ord", "round_ord")).select("feature", r6("auc_gap"))
 
 
+def _permuted_sql(seed: int) -> str:
+    """CTE ``pz``: place ``i`` of ``px(i, n, y, match_id)`` and its permuted place ``j``, round by round."""
+    prime, rounds = evaluate._PRIME, evaluate.round_keys(seed)
+    steps = ["p0 AS (SELECT i, n, y, i AS j FROM px)"]
+    for r, (k, a, b) in enumerate(rounds):
+        turned = f"(greatest(j, v) % {prime} * {a} + {b}) % {prime}"
+        steps.append(
+            f"p{r + 1} AS (SELECT i, n, y, CASE WHEN (h * h) % {prime} % 2 = 1 THEN v ELSE j END AS j FROM (SELECT *, {turned} AS h FROM (SELECT *, (({k} - j) % n + n) % n AS v FROM p{r})))"
+        )
+    return ", ".join(steps) + f", pz AS (SELECT i, y, j FROM p{len(rounds)})"
+
+
 @query(
     "permute_target",
-    f"{_O}, hh AS (SELECT match_id, y, CAST('0x' || substr(md5('42:' || match_id), 1, 15) AS BIGINT) AS h FROM o), a AS (SELECT match_id, row_number() OVER (ORDER BY match_id) AS i FROM hh), b AS (SELECT y, row_number() OVER (ORDER BY h, match_id) AS i FROM hh) "
-    "SELECT match_id, b.y FROM a JOIN b USING (i)",
+    f"{_O}, px AS (SELECT match_id, y, row_number() OVER (ORDER BY match_id) - 1 AS i, count(*) OVER () AS n FROM o), {_permuted_sql(42)} SELECT px.match_id, pz.y FROM px JOIN pz ON px.i = pz.j",
 )
 def permute_target(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.permute_target(_oriented(spark, d).select("match_id", "y"), "y", "match_id", 42)
@@ -831,8 +869,10 @@ _LINKED_M = (
 
 @query("whole_job", _feature_sql(_LINKED_M, count="(SELECT count(*) FROM nm)"))
 def whole_job(spark: SparkSession, d: str) -> DataFrame:
-    """From two sources to features: what is linked, priced and oriented, with one rating over all events."""
-    return _rounded(workloads.feature_table(workloads.match_table(_linked(spark, d))))
+    """From two sources to features: what is linked, priced and oriented; ratings fold in the circles that the events show."""
+    stages = StageTables(spark)
+    matches = stages.keep(workloads.match_table(_linked(spark, d)), "matches")
+    return _rounded(workloads.feature_table(circles.with_circle(matches, stages=stages), pool=("circle",)))
 
 
 _CALIBRATION = (
@@ -874,24 +914,46 @@ def single_feature_auc_val(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> tuple:
-    data = dataset.temporal_split(_features(spark, d), "match_date", TRAIN_UNTIL, VAL, TEST)
-    names = dataset.select_features(data)
-    fitted, scored = model.train_boosted(data, names, trees=8)
-    return data, names, fitted, scored
+    stages = StageTables(spark)
+    data = stages.keep(dataset.temporal_split(_features(spark, d), "match_date", TRAIN_UNTIL, VAL, TEST), "features")
+    return data, dataset.select_features(data), stages
 
 
 @query("train_boosted")
 def train_boosted(spark: SparkSession, d: str) -> DataFrame:
-    data, names, fitted, _ = _scored(spark, d)
+    data, names, _ = _scored(spark, d)
+    fitted, _ = model.train_boosted(data, names)
     return model.importances(data, fitted, names)
 
 
-@query("calibrate_isotonic")
+_ISOTONIC = (
+    f"{_EVAL}, vx AS (SELECT p_model AS x, sum(y) AS s, count(*) AS n FROM ev WHERE split = 'val' GROUP BY p_model), "
+    "cx AS (SELECT x, s, n, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) AS cn FROM vx), "
+    "lo AS (SELECT a.i AS a, b.i AS b, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS low FROM cx a JOIN cx b ON a.i <= b.i), "
+    "fx AS (SELECT x, f FROM cx JOIN (SELECT b AS i, max(low) AS f FROM lo GROUP BY b) USING (i)), "
+    "px AS (SELECT p, (SELECT max(x) FROM fx WHERE x <= p) AS xl, (SELECT min(x) FROM fx WHERE x >= p) AS xu FROM (SELECT DISTINCT p_model AS p FROM ev)), "
+    "py AS (SELECT p, coalesce(l.f, u.f) AS fl, coalesce(u.f, l.f) AS fu, xl, xu FROM px LEFT JOIN fx l ON l.x = xl LEFT JOIN fx u ON u.x = xu) "
+)
+
+
+@query(
+    "calibrate_isotonic",
+    f"{_ISOTONIC} SELECT match_id, split, y, round(CASE WHEN xl IS NULL OR xu IS NULL OR xl = xu THEN fl ELSE fl + (fu - fl) * (p - xl) / (xu - xl) END, 6) AS p_iso FROM ev JOIN py ON p = p_model",
+)
 def calibrate_isotonic(spark: SparkSession, d: str) -> DataFrame:
-    out = model.calibrate_isotonic(_scored(spark, d)[3])
-    return out.select("match_id", "split", "y", "p_raw", "p_model")
+    """The map that val outcomes give a forecast, applied to all rows."""
+    out = model.calibrate_isotonic(_forecasts(spark, d), p="p_model", out="p_iso")
+    return out.select("match_id", "split", "y", r6("p_iso"))
 
 
 @query("predictions")
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    return model.predictions(model.calibrate_isotonic(_scored(spark, d)[3]))
+    data, names, stages = _scored(spark, d)
+    _, calibrated = workloads._fitted(data, names, stages)
+    return model.predictions(calibrated)
+
+
+@query("permuted_refit")
+def permuted_refit(spark: SparkSession, d: str) -> DataFrame:
+    data, names, stages = _scored(spark, d)
+    return workloads.permuted_refit(data, names, stages, seed=42)

@@ -65,6 +65,13 @@ def _last(k: str) -> str:
     return f"CASE CAST(floor({k} / 10) AS BIGINT) % 5 {last} END || CASE WHEN circle > 0 THEN ' Q' || {letters} ELSE '' END"
 
 
+#: Rankings of some players at some times: several on one day, none at all for every fourth circle.
+RANKINGS = f"""
+SELECT o_orderkey AS ranking_id, 'p' || CAST(circle * {PLAYERS} + w_id AS STRING) AS player,
+ CASE WHEN o_orderkey % 70 = 1 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 15 - 7 AS INT) AS DATE) END AS ranking_date, CAST(1 + (o_custkey * 13 + o_orderkey) % 500 AS INT) AS rank
+FROM ({_DRAWN}) WHERE o_orderkey % 3 = 0 AND circle % 4 <> 3
+"""
+
 #: Results: full names, places and rounds as the one source writes them.
 RESULTS = f"""
 SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS date_tourney,

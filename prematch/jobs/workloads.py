@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, prices, text
 from ..operators import dataset, evaluate, history, link, ratings
 from ..sources import tables
+from ..sources.stages import StageTables
 from . import model
 
 LINK_STAGES = (
@@ -118,66 +118,94 @@ def told_forecasts(pred: DataFrame, splits: Sequence[str] = ("val", "test")) ->
     return rows.unpivot(["match_id", "split", "y"], ["p_book", "p_model"], "forecast", "p")
 
 
-def calibration_reports(told: DataFrame, splits: Sequence[str] = ("val", "test"), forecasts: Sequence[str] = ("p_book", "p_model")) -> DataFrame:
-    """The calibration table of each split and forecast."""
-    one = lambda s, f: evaluate.calibration_table(told.where((F.col("split") == s) & (F.col("forecast") == f)), "y", "p", "match_id")
-    return reduce(DataFrame.unionByName, [one(s, f).select(F.lit(s).alias("split"), F.lit(f).alias("forecast"), "*") for s in splits for f in forecasts])
+def calibration_reports(told: DataFrame, splits: Sequence[str] = ("val", "test"), forecasts: Sequence[str] = ("p_book", "p_model"), **how) -> DataFrame:
+    """The calibration table of each split and forecast, all in one pass."""
+    wanted = told.where(F.col("split").isin(list(splits)) & F.col("forecast").isin(list(forecasts)))
+    return evaluate.calibration_table(wanted, "y", "p", "match_id", by=("split", "forecast"), **how)
 
 
-def evaluated(features: DataFrame, train_until: int, val: int, test: int, trees: int = 20) -> dict[str, DataFrame]:
+def _fitted(data: DataFrame, names: Sequence[str], stages: StageTables, **settings) -> tuple:
+    """The model and its calibrated val and test predictions; their raw scores are written once."""
+    fitted, scored = model.train_boosted(data, names, **settings)
+    kept = [c for c in ("match_id", "match_date", "split", "y", "p_book_A", "book_used", "p_raw") if c in scored.columns]
+    scored = stages.keep(scored.where("split IN ('val', 'test')").select(*kept), "scored")
+    return fitted, model.calibrate_isotonic(scored)
+
+
+def evaluated(
+    features: DataFrame, train_until: int, val: int, test: int, stages: StageTables | None = None, **settings
+) -> dict[str, DataFrame]:
     """Fits, calibrates, blends. Reports by split and forecast: ``metrics``, ``deltas``, ``accuracy``, ``calibration``,
-    ``importances``, ``predictions``, ``blend_weight``, ``blend`` (metrics) and ``blended`` (predictions)."""
-    data = dataset.temporal_split(features, "match_date", train_until, val, test)
+    ``importances``, ``predictions``, ``blend_weight``, ``blend`` (metrics) and ``blended`` (predictions).
+
+    The features and the predictions are written once, as tables of
+    ``stages``; all reports read these. ``settings`` go to
+    :func:`model.train_boosted`.
+    """
+    stages = stages or StageTables(features.sparkSession)
+    data = stages.keep(dataset.temporal_split(features, "match_date", train_until, val, test), "features")
     names = dataset.select_features(data)
-    fitted, scored = model.train_boosted(data, names, trees=trees)
-    pred = model.predictions(model.calibrate_isotonic(scored))
-    told = told_forecasts(pred)
-    metrics = evaluate.prob_metrics(told, "y", "p", ("split", "forecast"))
-    best = evaluate.blend_weight_search(pred.where("split = 'val'"), "y", "p_model", "p_book")
-    blended = evaluate.blend_apply(pred.crossJoin(F.broadcast(best.select("w"))), F.col("w"), "p_model", "p_book")  # one row
+    fitted, calibrated = _fitted(data, names, stages, **settings)
+    pred = stages.keep(model.predictions(calibrated), "predictions")
+    best = evaluate.blend_weight_search(pred.where("split = 'val'"), "y", "p_model", "p_book").first()
+    blended = evaluate.blend_apply(pred.withColumn("w", F.lit(best.w)), F.col("w"), "p_model", "p_book")
+    told = blended.unpivot(["match_id", "split", "y"], ["p_book", "p_model", "p_blend"], "forecast", "p")
+    metrics = stages.keep(evaluate.prob_metrics(told, "y", "p", ("split", "forecast"), stages=stages), "metrics")
+    own = told.where("forecast <> 'p_blend'")
     return {
-        "metrics": metrics,
+        "metrics": metrics.where("forecast <> 'p_blend'"),
         "deltas": evaluate.metric_deltas(metrics, "p_book", "p_model"),
-        "accuracy": evaluate.accuracy_at(told, "y", "p", by=("split", "forecast")),
-        "calibration": calibration_reports(told),
+        "accuracy": evaluate.accuracy_at(own, "y", "p", by=("split", "forecast")),
+        "calibration": calibration_reports(own, stages=stages),
         "importances": model.importances(features, fitted, names),
         "predictions": pred,
-        "blend_weight": best,
-        "blend": evaluate.prob_metrics(blended, "y", "p_blend", ("split", "w"), 1e-6),
+        "blend_weight": features.sparkSession.createDataFrame([(best.w, best.logloss)], "w double, logloss double"),
+        "blend": metrics.where("forecast = 'p_blend'").select("split", F.lit(best.w).alias("w"), "logloss", "brier", "auc", "n"),
         "blended": blended,
     }
 
 
+def permuted_refit(data: DataFrame, names: Sequence[str], stages: StageTables, seed: int = 42, **settings) -> DataFrame:
+    """Val metrics of a fit on train targets dealt anew; its log loss is near ln 2 if nothing leaks. ``data`` has ``split``."""
+    train = evaluate.permute_target(data.where("split = 'train'").select("match_id", "split", "y", *names), "y", "match_id", seed, stages=stages)
+    dealt = stages.keep(train.unionByName(data.where("split = 'val'").select("match_id", "split", "y", *names)), "permuted")
+    _, blind = model.train_boosted(dealt, names, **settings)
+    return evaluate.prob_metrics(blind.where("split = 'val'"), "y", "p_raw", stages=stages)
+
+
 def diagnosed(
-    features: DataFrame, train_until: int, val: int, test: int, mode: str = "full", book: str = "PS", trees: int = 20, seed: int = 42
-) -> dict[str, DataFrame]:
+    features: DataFrame, train_until: int, val: int, test: int, mode: str = "full", book: str = "PS", seed: int = 42,
+    stages: StageTables | None = None, **settings,
+) -> dict[str, DataFrame]:
     """Checks of a feature table for leaks and of what its features add.
 
     Fits on all features or on the ``basic`` ones (no ratings, history or rest).
     ``metrics``, ``deltas`` and ``importances`` of that fit; ``book_metrics`` for
     events with prices of one book; ``single_auc`` of each feature on the val
-    split; ``permuted``: val metrics of a fit on permuted train targets, whose
-    log loss is near ln 2 if nothing leaks; ``post_match``: names of columns
-    that are known only after the event.
+    split; ``permuted``: :func:`permuted_refit`; ``post_match``: names of
+    columns that are known only after the event. Stage tables as in
+    :func:`evaluated`.
     """
-    data = dataset.temporal_split(features, "match_date", train_until, val, test)
+    stages = stages or StageTables(features.sparkSession)
+    data = stages.keep(dataset.temporal_split(features, "match_date", train_until, val, test), "features")
     names = dataset.select_features(data, mode=mode)
-    fitted, scored = model.train_boosted(data, names, trees=trees)
-    calibrated = model.calibrate_isotonic(scored)
-    told = told_forecasts(model.predictions(calibrated))
-    one_book = told_forecasts(model.predictions(dataset.single_book_subset(calibrated, book)))
-    metrics = evaluate.prob_metrics(told, "y", "p", ("split", "forecast"))
-    train = evaluate.permute_target(data.where("split = 'train'"), "y", "match_id", seed)
-    _, blind = model.train_boosted(train.unionByName(data.where("split = 'val'")), names, trees=trees)
+    fitted, calibrated = _fitted(data, names, stages, **settings)
+    kept = stages.keep(calibrated.select("match_id", "split", "y", F.col("p_book_A").alias("p_book"), "p_model", "book_used"), "predictions")
+    told = told_forecasts(kept)
+    # Both sets of events in one pass: all, and those of one book.
+    sets = F.explode(F.when(F.col("book_used") == book, F.array(F.lit("all"), F.lit("book"))).otherwise(F.array(F.lit("all"))))
+    both = kept.withColumn("_set", sets).unpivot(["_set", "split", "y"], ["p_book", "p_model"], "forecast", "p")
+    metrics = stages.keep(evaluate.prob_metrics(both, "y", "p", ("_set", "split", "forecast"), stages=stages), "metrics")
+    all_ = metrics.where("_set = 'all'").drop("_set")
     rows = [(c,) for c in dataset.leak_guard(features)]
     return {
-        "metrics": metrics,
-        "deltas": evaluate.metric_deltas(metrics, "p_book", "p_model"),
-        "book_metrics": evaluate.prob_metrics(one_book, "y", "p", ("split", "forecast")),
+        "metrics": all_,
+        "deltas": evaluate.metric_deltas(all_, "p_book", "p_model"),
+        "book_metrics": metrics.where("_set = 'book'").drop("_set"),
         "importances": model.importances(features, fitted, names),
-        "calibration": calibration_reports(told, forecasts=("p_model",)),
-        "single_auc": evaluate.single_feature_auc(dataset.impute_train_median(data, names).where("split = 'val'"), "y", names),
-        "permuted": evaluate.prob_metrics(blind.where("split = 'val'"), "y", "p_raw"),
+        "calibration": calibration_reports(told, forecasts=("p_model",), stages=stages),
+        "single_auc": evaluate.single_feature_auc(dataset.impute_train_median(data, names).where("split = 'val'"), "y", names, stages=stages),
+        "permuted": permuted_refit(data, names, stages, seed, **settings),
         "post_match": features.sparkSession.createDataFrame(rows, "column string"),
     }
 

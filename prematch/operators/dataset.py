@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -37,18 +38,65 @@ def select_features(
     return numeric if mode == "full" else [c for c in numeric if c.startswith(tuple(keep_prefixes))]
 
 
-def impute_train_median(df: DataFrame, cols: Sequence[str], split: str = "split", exact: bool = False) -> DataFrame:
-    """Nulls become the train split's median, in all splits; a column that is null throughout stays null.
+#: Ranges of a pass over a column's values, and values that the last pass fetches at most for a column.
+_BINS, _FETCH = 256, 1000
 
-    One aggregation for all columns; its single row is broadcast. Medians are
-    approximate (a rank off by at most one in 10,000), in memory that does not
-    grow with the rows; ``exact=True`` takes exact ones, whose final buffer
-    holds each column's distinct values in one task.
+
+def exact_medians(df: DataFrame, cols: Sequence[str], bins: int = _BINS, fetch: int = _FETCH) -> dict[str, float | None]:
+    """Each column's median, the mean of the two middle values; None where all are null. NaN counts as null, infinities as the largest doubles.
+
+    Rank selection in passes that serve all columns at once: a pass counts the
+    values of a column's open bounds in ``bins`` ranges and keeps the range (or
+    the two) where the middle lies, with its own least and greatest value, until
+    the bounds hold one value or at most ``fetch`` rows, which are fetched.
+    Only counts reach the driver. A value that fills half a column ends the
+    search at once; each pass drops at least one value, usually all but one in
+    ``bins``.
     """
-    middle = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5).cast("double"))
-    medians = df.where(F.col(split) == "train").agg(*[middle(F.col(c)).alias(f"_m_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(medians))  # one row
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols}).select(*df.columns)
+    largest = F.lit(sys.float_info.max)
+    values = [F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.least(v, largest), -largest)) for v in (F.col(c).cast("double") for c in cols)]
+    seen = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    open_ = {i: (seen[f"lo{i}"], seen[f"hi{i}"], 0, seen[f"n{i}"]) for i in range(len(cols)) if seen[f"n{i}"]}
+    middle = {i: ((n - 1) // 2, n // 2) for i, (_, _, _, n) in open_.items()}
+    while wide := {i: x for i, x in open_.items() if x[1] / 2 - x[0] / 2 > 0 and x[3] > fetch}:
+        parts = []
+        for i, (lo, hi, _, _) in wide.items():
+            # Halves, so that a span beyond the largest double does not overflow.
+            place = F.least(F.floor((values[i] / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1)).cast("int")
+            parts.append(F.when(values[i].between(lo, hi), F.struct(F.lit(i).alias("i"), place.alias("b"), values[i].alias("v"))))
+        told = df.select(F.explode(F.array_compact(F.array(*parts))).alias("e")).groupBy("e.i", "e.b")
+        counted: dict[int, list] = {}
+        for r in told.agg(F.count("*").alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi")).collect():
+            counted.setdefault(r.i, []).append(r)
+        for i, (_, _, below, _) in wide.items():
+            kept = []
+            for r in sorted(counted[i], key=lambda r: r.lo):
+                if below + r.n > middle[i][0] and below <= middle[i][1]:
+                    kept.append((r.lo, r.hi, below, r.n))
+                below += r.n
+            # The two middles may lie in two neighbouring ranges; a range that holds one of them at its edge is that value.
+            if len(kept) == 2:
+                at = [kept[0][1], kept[1][0]]
+                open_[i] = (at[0], at[1], middle[i][0], 0)
+            else:
+                open_[i] = kept[0]
+    few = [i for i, x in open_.items() if x[0] < x[1] and x[3]]
+    lists = {}
+    if few:
+        inside = [F.sort_array(F.collect_list(F.when(values[i].between(open_[i][0], open_[i][1]), values[i]))).alias(f"v{i}") for i in few]
+        row = df.agg(*inside).first()
+        lists = {i: row[f"v{i}"] for i in few}
+    out: dict[str, float | None] = dict.fromkeys(cols)
+    for i, (lo, hi, below, _) in open_.items():
+        a, b = (lists[i][m - below] for m in middle[i]) if i in lists else (lo, hi)
+        out[cols[i]] = a if a == b else (a + b) / 2
+    return out
+
+
+def impute_train_median(df: DataFrame, cols: Sequence[str], split: str = "split") -> DataFrame:
+    """Nulls become the train split's :func:`exact_medians`, in all splits; a column that is null throughout stays null."""
+    medians = exact_medians(df.where(F.col(split) == "train"), cols)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items() if m is not None})
 
 
 def leak_guard(df: DataFrame, names: Sequence[str] = POST_MATCH, prefixes: Sequence[str] = POST_MATCH_PREFIXES) -> list[str]:

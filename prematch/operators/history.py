@@ -139,3 +139,52 @@ def attach_player_attributes(df: DataFrame, players: DataFrame, key: str = "play
         side = known.select(F.col("player").alias(f"{s}_key"), F.col("lefty").alias(f"{s}_lefty"), F.col("height_cm").alias(f"{s}_height_cm"))
         df = df.join(side, f"{s}_key", "left")
     return compare_attributes(df)
+
+
+def asof_join(
+    events: DataFrame, history: DataFrame, by: Sequence[str], t: str, t_history: str, values: Sequence[str], tie: Sequence[str] = (), span_days: int = 366
+) -> DataFrame:
+    """Adds ``values`` of each event's last history row of equal ``by`` that is not later than it; null without one.
+
+    Both sides are united and ordered by key and time, history first, and the
+    last known value is carried forward. Time is cut into ranges of
+    ``span_days``; what is known at a range's begin is carried in from a table
+    of one row for each key and range, so a key with very many rows is many
+    tasks. Of history rows of one time the last by ``tie`` counts. Null keys or
+    times, of either side, match nothing.
+    """
+    known = history.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, t_history]))
+    sides = events.select(F.struct(*events.columns).alias("_row"), *by, F.col(t).alias("_t"), F.lit(1).alias("_kind"))
+    past = known.select(
+        *by, F.col(t_history).alias("_t"), F.lit(0).alias("_kind"), F.struct(*values).alias("_v"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(tie)]).alias("_tie"),
+    )
+    both = sides.unionByName(past, allowMissingColumns=True)
+    both = both.withColumn("_b", F.floor(F.unix_date(F.col("_t").cast("date")) / span_days))
+    range_ = Window.partitionBy(*by, "_b").orderBy("_t", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_v", F.last("_v", ignorenulls=True).over(range_)).where("_kind = 1")
+    last = both.groupBy(*by, "_b").agg(F.max_by("_v", F.when(F.col("_kind") == 0, F.struct("_t", "_tie"))).alias("_v"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*by, "_b", F.last("_v", ignorenulls=True).over(earlier).alias("_c")).where("_c IS NOT NULL")
+    out = seen.join(carried, [*by, "_b"], "left").withColumn("_v", F.coalesce("_v", "_c"))
+    return out.select("_row.*", *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def rank_asof(
+    df: DataFrame, rankings: DataFrame, match_id: str = "match_id", w: str = "w", l: str = "l", date: str = "match_date",  # noqa: E741
+    player: str = "player", ranked_on: str = "ranking_date", rank: str = "rank", tie: Sequence[str] = (), span_days: int = 366,
+) -> DataFrame:
+    """Adds ``w_<rank>_asof``, ``l_<rank>_asof`` and the days since then: both sides' last ranking on or before the event's day.
+
+    Sides are long rows, so one as-of join serves both; ids are unique.
+    """
+    side = lambda c, s: F.struct(F.col(c).alias("player"), F.lit(s).alias("side"))
+    long = df.select(match_id, date, F.explode(F.array(side(w, "w"), side(l, "l"))).alias("s")).select(match_id, F.col(date).alias("_on"), "s.*")
+    past = rankings.select(F.col(player).alias("player"), F.col(ranked_on).alias("_since"), F.col(rank).alias("_rank"), *tie)
+    found = asof_join(long, past, ("player",), "_on", "_since", ("_rank", "_since"), tie, span_days)
+    pick = lambda c, s: F.max(F.when(F.col("side") == s, c))
+    wide = found.groupBy(match_id).agg(
+        *[pick(F.col("_rank"), s).alias(f"{s}_{rank}_asof") for s in "wl"],
+        *[pick(F.datediff("_on", "_since"), s).alias(f"{s}_{rank}_days") for s in "wl"],
+    )
+    return df.join(wide, match_id, "left")

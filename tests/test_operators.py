@@ -1,14 +1,18 @@
+import contextlib
 import datetime
 import math
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from prematch.functions import prices
 from prematch.jobs import model, workloads
-from prematch.operators import dataset, evaluate, history, link, ratings
+from prematch.operators import circles, dataset, evaluate, history, link, ratings
 from prematch.sources import tables
+from prematch.sources.stages import StageTables
 
 D = datetime.date
 
@@ -113,7 +117,8 @@ def test_index_is_the_order(spark):
     rows = [(i, rnd.choice([0.5, 0.5, 0.5, rnd.random()])) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, p double").repartition(7)
     want = {i: k for k, (_, i) in enumerate(sorted((p, i) for i, p in rows))}
-    assert {r.id: r.i for r in evaluate.global_index(df, "p", "id").collect()} == want
+    for n in (1 << 20, 40):  # one range, many
+        assert {r.id: r.i for r in evaluate.global_index(df, "p", "id", rows=n).collect()} == want
 
 
 def test_metrics(spark):
@@ -138,6 +143,29 @@ def test_blend_is_no_worse_than_its_ends(spark):
     assert best.logloss <= min(ends) + 1e-12
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_permuted_places_are_a_bijection(spark, n):
+    got = [r.j for r in spark.range(n).select("id", evaluate.permuted_place(F.col("id"), F.lit(n), 5).alias("j")).orderBy("id").collect()]
+    assert sorted(got) == list(range(n))
+    other = [r.j for r in spark.range(n).select("id", evaluate.permuted_place(F.col("id"), F.lit(n), 6).alias("j")).orderBy("id").collect()]
+    if n == 1000:
+        assert sum(i == j for i, j in enumerate(got)) < 10 and sum(i == j for i, j in zip(got, other)) < 10
+        mean = sum((i - 499.5) * (j - 499.5) for i, j in enumerate(got)) / n / (n * n / 12)
+        assert abs(mean) < 0.1
+
+
+def test_ranges_hold_few_rows_at_any_size(spark):
+    df = spark.range(6000).select(F.col("id"), (F.col("id") % 4).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1500)).alias("v"), (F.col("id") % 2).alias("y"))
+    ranged = evaluate._ranges(df, ["v", "id"], 6000, 500, None)
+    sizes = [r["count"] for r in ranged.groupBy("_b").count().collect()]
+    assert len(sizes) > 12 and max(sizes) <= 500 and sum(sizes) == 6000
+    one = {r.g: r.auc for r in evaluate.auc(df, "y", "v", ("g",)).collect()}
+    many = {r.g: r.auc for r in evaluate.auc(df, "y", "v", ("g",), rows=100).collect()}
+    assert one == many
+    bins = lambda n: sorted(map(tuple, evaluate.calibration_table(df, "y", "v", "id", by=("g",), rows=n).collect()))
+    assert bins(1 << 20) == bins(200)
+
+
 def test_permutation_keeps_the_targets(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).cast("int").alias("y"), F.lit("x").alias("z"))
     got = evaluate.permute_target(df, "y", "id", 1)
@@ -148,7 +176,7 @@ def test_permutation_keeps_the_targets(spark):
 
 def test_imputation_and_selection(spark):
     df = spark.createDataFrame([(1, "train", 1.0, None), (2, "train", 3.0, None), (3, "test", None, None)], "match_id long, split string, a double, b double")
-    assert [r.a for r in dataset.impute_train_median(df, ("a", "b"), exact=True).orderBy("match_id").collect()] == [1.0, 3.0, 2.0]
+    assert [r.a for r in dataset.impute_train_median(df, ("a", "b")).orderBy("match_id").collect()] == [1.0, 3.0, 2.0]
     assert dataset.select_features(df) == ["a", "b"]
     assert dataset.leak_guard(df.selectExpr("*", "1 AS w_ace", "2 AS minutes")) == ["w_ace", "minutes"]
 
@@ -178,9 +206,27 @@ def test_columns_of_one_meaning(spark):
     assert [r.Tournament for r in mixed] == ["a", "2", "3"]
 
 
-def test_approximate_medians(spark):
-    df = spark.createDataFrame([(i, "train" if i < 1001 else "test", float(i) if i < 1001 else None) for i in range(1010)], "match_id long, split string, a double")
-    assert {r.a for r in dataset.impute_train_median(df, ("a",)).where("split = 'test'").collect()} == {500.0}
+def test_exact_medians(spark):
+    rnd = random.Random(8)
+    inf = float("inf")
+    columns = {
+        "even": [rnd.gauss(0, 1e6) for _ in range(400)],
+        "odd": [float(i) for i in range(399)] + [None],
+        "ties": [7.0] * 250 + [rnd.random() for _ in range(150)],
+        "edge": [1.0] * 200 + [2.0] * 200,
+        "wide": [2.0**rnd.randrange(-900, 900) * rnd.choice((1, -1)) for _ in range(400)],
+        "odd_values": [None, float("nan"), -inf, inf, inf] * 20 + [3.0] * 300,
+        "few": [1.5, 2.5] + [None] * 398,
+        "none": [None] * 400,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(5)
+    want = {}
+    for c, values in columns.items():
+        v = sorted(x for x in values if x is not None and x == x)
+        want[c] = None if not v else (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    for bins, fetch in ((256, 1000), (4, 3)):
+        assert dataset.exact_medians(df, list(columns), bins, fetch) == want
+    assert dataset.exact_medians(df.where("false"), ["odd"]) == {"odd": None}
 
 
 def _sources(spark):
@@ -223,6 +269,43 @@ def test_from_two_sources_to_features(spark):
     assert feats[3].A_elo == 1516.0 and abs(feats[3].A_elo_decay - (1500 + 16 * 0.5 ** (51 / 180))) < 1e-9 and feats[3].A_selo == 1500.0
 
 
+@contextlib.contextmanager
+def _jobs(spark):
+    """The jobs of the block."""
+    group, told = uuid.uuid4().hex, []
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        yield told
+    finally:
+        told += spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_features_are_computed_once(spark):
+    rows, df = _matches(spark, n=900, players=20, pools=3)
+    odds = lambda k: F.lit(1.2) + F.pmod(F.xxhash64("match_id", F.lit(k)), F.lit(200)) / 100
+    df = df.withColumns({"PSW": odds(1), "PSL": odds(2), "level_ord": F.lit(1), "round_ord": F.lit(2), "best_of": F.lit(3), "w_rank": odds(3), "l_rank": odds(4)})
+    folds = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            folds.add(b.num_rows)
+            yield b
+
+    features = workloads.feature_table(df, pool=("pool",))
+    counted = features.mapInArrow(seen, features.schema)
+    with StageTables(spark) as stages:
+        split = counted.withColumn("match_date", F.make_date(F.lit(2019) + F.floor(F.col("match_id") / 300).cast("int"), F.lit(1), F.lit(1)))
+        with _jobs(spark) as jobs:
+            reports = workloads.evaluated(split, 2019, 2020, 2021, stages, trees=2)
+            told = {k: v.collect() for k, v in reports.items()}
+        assert folds.value == 900
+        assert len(told["predictions"]) == 600 and len(told["calibration"]) == 40 and len(told["metrics"]) == 4 and len(told["blend"]) == 2
+        assert len(jobs) <= 60, len(jobs)
+        base = stages.base
+    assert not os.path.exists(base.removeprefix("file://"))
+
+
 def test_reports_and_diagnosis(spark, tmp_path):
     rnd = random.Random(2)
     rows = []
@@ -232,7 +315,7 @@ def test_reports_and_diagnosis(spark, tmp_path):
     feats = spark.createDataFrame(rows, "match_id long, match_date date, y int, book_used string, p_book_A double, A_form5 double, round_ord double")
     out = workloads.diagnosed(feats, 2019, 2020, 2021, trees=5)
     permuted = out["permuted"].first()
-    assert abs(permuted.logloss - math.log(2)) < 0.1 and permuted.n == 300
+    assert abs(permuted.logloss - math.log(2)) < 0.1 and permuted.n == 300  # 300 rows only
     assert out["single_auc"].first().feature == "A_form5" and out["post_match"].count() == 0
     full = {(r.split, r.forecast): r for r in out["metrics"].collect()}
     assert full["test", "p_model"].auc > 0.7 and {r.n < 300 for r in out["book_metrics"].collect()} == {True}
@@ -261,6 +344,94 @@ def test_isotonic_calibration_equals_pooled_neighbours(spark):
     assert all(abs(got[60 + i] - want[i]) < 1e-9 for i in range(30))
 
 
+def test_a_plateau_ends_nothing():
+    losses = [0.9, 0.8, 0.8, 0.81, 0.82, 0.7, 0.71, 0.7, 0.69, 0.75]
+    assert model.best_prefix(losses) == 9 and model.best_prefix(losses, 3) == 2 and model.best_prefix(losses, 4) == 9
+    assert model.best_prefix([0.5]) == 1 and model.best_prefix([0.5, 0.5]) == 1
+
+
+def test_trees_follow_the_val_split(spark):
+    """Train targets are noise, so few trees are kept; the prefix is that of the same trees."""
+    rnd = random.Random(3)
+    rows = [(i, ("train", "val")[i // 300], rnd.randrange(2), rnd.random(), rnd.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "match_id long, split string, y int, a double, b double").repartition(1).sortWithinPartitions("match_id")
+    fitted, _ = model.train_boosted(df, ("a", "b"), trees=15, least_rows=5)
+    assert fitted.getNumTrees < 15
+    whole, _ = model.train_boosted(df.where("split = 'train'"), ("a", "b"), trees=15, least_rows=5)
+    assert whole.getNumTrees == 15
+    assert [t.toDebugString.split("\n", 1)[1] for t in whole.trees[: fitted.getNumTrees]] == [t.toDebugString.split("\n", 1)[1] for t in fitted.trees]
+
+
+def test_asof_join_equals_a_loop(spark):
+    rnd = random.Random(12)
+    day = lambda n: D(2020, 1, 1) + datetime.timedelta(days=n)
+    events = [(i, rnd.choice(["a", "b", "c", None]), day(rnd.randrange(900)) if i % 20 else None, "z") for i in range(300)]
+    past = [(i, rnd.choice(["a", "a", "a", "b", None]), day(rnd.randrange(900)) if i % 15 else None, rnd.choice([None, rnd.randrange(9)])) for i in range(200)]
+    left = spark.createDataFrame(events, "id long, key string, day date, v2 string").repartition(3)
+    right = spark.createDataFrame(past, "hid long, key string, day date, v long").repartition(3)
+    want = {}
+    for i, k, d, _ in events:
+        found = [(x, h, v) for h, q, x, v in past if k is not None and d is not None and q == k and x is not None and x <= d]
+        want[i] = (max(found)[1:] if found else (None, None))
+    for span in (7, 366, 10_000):
+        got = history.asof_join(left, right.withColumnRenamed("day", "since"), ("key",), "day", "since", ("hid", "v"), ("hid",), span).collect()
+        assert {r.id: (r.hid, r.v) for r in got} == want and len(got) == 300
+        assert set(got[0].asDict()) == {"id", "key", "day", "v2", "hid", "v"}
+    assert history.asof_join(left, right.where("false"), ("key",), "day", "day", ("v",)).where("v IS NOT NULL").count() == 0
+
+
+def test_rank_asof_of_both_sides(spark):
+    df = spark.createDataFrame([(1, D(2020, 5, 1), "a", "b"), (2, D(2020, 1, 1), "b", "c"), (3, None, "a", "b"), (4, D(2021, 5, 1), "a", None)], "match_id long, match_date date, w string, l string")
+    rankings = spark.createDataFrame([("a", D(2020, 4, 1), 5), ("a", D(2020, 5, 1), 6), ("b", D(2020, 4, 30), 9)], "player string, ranking_date date, rank int")
+    got = {r.match_id: r[4:] for r in history.rank_asof(df, rankings).collect()}
+    assert got == {1: (6, 9, 0, 1), 2: (None, None, None, None), 3: (None,) * 4, 4: (6, None, 365, None)}
+
+
+@pytest.mark.parametrize("n", [0, 40])
+def test_circles_are_who_meets_whom(spark, n):
+    rnd = random.Random(n)
+    rows = [(f"p{rnd.randrange(70)}", f"p{rnd.randrange(70)}") for _ in range(n)] + [(f"q{i}", f"q{i + 1}") for i in range(n)] + [("s", "s"), (None, "t"), ("p1", None), (None, None)][: n]
+    root = {x: x for r in rows for x in r if x}
+    def find(x):
+        return x if root[x] == x else find(root[x])
+    for a, b in rows:
+        if a and b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    df = spark.createDataFrame(rows, "w string, l string")
+    got = circles.components(df, "w", "l").collect()
+    assert {r.id: r.component for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+
+
+def test_folds_run_in_the_circles_of_the_data(spark):
+    rows, df = _matches(spark, pools=5)
+    found = circles.with_circle(df.drop("pool"))
+    groups = found.select("circle").distinct().count()
+    assert groups == 5
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    with StageTables(spark) as stages:
+        before, state = ratings.elo_with_state(found, stages, pool=("circle",))
+        assert {r.match_id: (r.elo_w, r.elo_l) for r in before.collect()} == _elo(rows)[0]
+        assert state.select("circle").distinct().count() == groups
+        assert len(before.inputFiles()) > 1  # one file a task
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_two_seasons_equal_one_run(spark):
+    rows, df = _matches(spark)
+    want, state = _elo(rows)
+    with StageTables(spark) as stages:
+        first, then = ratings.elo_with_state(df.where("match_id < 120"), stages, pool=("pool",))
+        second, last = ratings.elo_with_state(df.where("match_id >= 120"), stages, pool=("pool",), initial_state=then)
+        got = {r.match_id: (r.elo_w, r.elo_l) for r in first.unionByName(second).collect()}
+        assert got == want
+        assert {(r.pool, r.player): r.rating for r in last.collect()} == state
+        _, alone = ratings.elo_with_state(df.where("match_id < 120").select("match_id", "match_date", "w", "l"), stages)
+        assert {r.player: r.rating for r in alone.collect()} == {p: v for (_, p), v in _elo(rows[:120])[1].items()}
+        none, empty = ratings.elo_with_state(df.where("false"), stages, pool=("pool",), initial_state=then)
+        assert none.count() == 0 and empty.count() == then.count()
+
+
 def test_boosted_trees_learn(spark):
     rnd = random.Random(9)
     rows = []
