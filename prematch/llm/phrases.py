@@ -1,10 +1,12 @@
 """Phrase collocations by suffix sorting (the Suffix-sigma method of Berberich and Bedathur, 2013).
 
 Every word position gives one suffix of at most ``max_n`` words. Suffixes are
-added up in their task, shuffled by language and first word, sorted in reverse
-lexicographic order, and one pass with a stack of open prefixes counts all
-phrases of all lengths; the parts of a phrase are joined afterwards. As in the
-paper, suffixes end before words that are too rare to be in any phrase.
+added up in their task, shuffled by ranges of language and first word, sorted
+in reverse lexicographic order, and one pass with a stack of open prefixes
+counts all phrases of all lengths; the parts of a phrase are joined afterwards.
+A very frequent first word, pair or triple is cut between ranges by the words
+that follow it; only prefixes open at a range's ends have to be added up. As in
+the paper, suffixes end before words that are too rare to be in any phrase.
 
 Words travel as numbers: the most frequent ones as short codes, all others as
 62-bit hashes of language and word.
@@ -82,8 +84,8 @@ def _flat(column: pa.ChunkedArray) -> list[pa.Array]:
     return [column.combine_chunks()]
 
 
-def _frequent(known: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Hashes in order and counts of the most frequent words, at most ``most``; and whether these are all of ``known``.
+def _frequent(known: DataFrame, most: int) -> tuple[np.ndarray, bool]:
+    """Hashes, in order, of the most frequent words, at most ``most``; and whether these are all of ``known``.
 
     The bound on the count comes from the numbers of words by the power of two of their counts.
     """
@@ -94,10 +96,8 @@ def _frequent(known: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool
         if total > most:
             least = 2 ** (r.p + 1)
             break
-    told = known.where(F.col("n") >= least).select("hash", "n").toArrow()
-    h, n = told["hash"].to_numpy(), told["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order], least == 0
+    told = known.where(F.col("n") >= least).select("hash").toArrow()
+    return np.sort(told["hash"].to_numpy()), least == 0
 
 
 def _codes(h: np.ndarray, frequent: np.ndarray, all_: bool) -> np.ndarray:
@@ -109,11 +109,8 @@ def _codes(h: np.ndarray, frequent: np.ndarray, all_: bool) -> np.ndarray:
     return np.where(frequent[at] == h, at + 1, 0 if all_ else h)
 
 
-def _suffixes(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, all_: bool, max_n: int, partition: int) -> DataFrame:
-    """``(w1 .., n, spread, salt)``: suffixes with their counts in a task; those of a very frequent first word get a salt.
-
-    ``spread``: over how many salts the suffixes of the first word go, by its count.
-    """
+def _suffixes(rows: DataFrame, frequent: np.ndarray, all_: bool, max_n: int) -> DataFrame:
+    """``(w1 .., n)``: suffixes of at least two words with their counts in a task's chunk."""
     names = [f"w{k + 1}" for k in range(max_n)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,17 +121,8 @@ def _suffixes(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, all_: b
             held.clear()
             w = w[:, np.lexsort(w[::-1])]
             first = np.flatnonzero(np.append(True, (w[:, 1:] != w[:, :-1]).any(axis=0)))
-            n = np.diff(np.append(first, w.shape[1]))
-            w = w[:, first]
-            short = w[0] <= len(frequent)
-            spread = np.where(short, 1 + counts[np.where(short, w[0] - 1, 0)] // partition, 1) if len(counts) else np.ones(len(n), np.int64)
-            mixed = np.zeros(len(n), np.uint64)
-            for x in w:
-                mixed = mix64(mixed + x.view(np.uint64))
-            salt = ((mixed >> np.uint64(1)).view(np.int64) % spread).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (*w, n.astype(np.int64), spread.astype(np.int32), salt)], [*names, "n", "spread", "salt"]
-            )
+            n = np.diff(np.append(first, w.shape[1])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*w[:, first], n)], [*names, "n"])
 
         size = 0
         for batch in batches:
@@ -155,7 +143,7 @@ def _suffixes(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, all_: b
         if held:
             yield added()
 
-    return rows.mapInArrow(cut, ", ".join(f"{c} long" for c in names) + ", n long, spread int, salt int")
+    return rows.mapInArrow(cut, ", ".join(f"{c} long" for c in names) + ", n long")
 
 
 def _prefixes(suffixes: DataFrame, max_n: int, least: int) -> DataFrame:
@@ -165,38 +153,38 @@ def _prefixes(suffixes: DataFrame, max_n: int, least: int) -> DataFrame:
     that leaves a prefix closes it and all longer ones. A batch of sorted rows
     does this at once for each length: prefixes that open and close in it are
     runs of rows, the one open at its end stays on the stack. A closed prefix
-    is complete, and dropped below ``least``, unless its first word is spread
-    over partitions and it is shorter than the longest suffix.
+    is complete, and dropped below ``least``, unless it is the first or the
+    last of its partition: those go on in the neighbouring ones.
     """
     names = [f"w{k + 1}" for k in range(max_n)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, wide = np.zeros((max_n, 1), np.int64), np.zeros(1, bool)
-        stack = np.zeros(max_n, np.int64)
+        last, stack = np.zeros((max_n, 1), np.int64), np.zeros(max_n, np.int64)
+        runs = [0] * max_n  # closed so far; the first is that of no words, before all rows
 
-        def closed(k: int, w: np.ndarray, n: np.ndarray, spread: np.ndarray) -> pa.RecordBatch:
-            good = (w[k] != 0) & ((n >= least) | spread & (k + 1 < max_n))
+        def closed(k: int, w: np.ndarray, n: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            good = (w[k] != 0) & ((n >= least) | edge)
             w = np.where(np.arange(max_n)[:, None] <= k, w[:, good], 0)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*w, n[good])], [*names, "n"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w = np.stack([batch.column(c).to_numpy() for c in names])
-            n, spread = batch.column("n").to_numpy(), batch.column("spread").to_numpy() > 1
+            w, n = np.stack([batch.column(c).to_numpy() for c in names]), batch.column("n").to_numpy()
             left = np.logical_or.accumulate(w != np.concatenate([last, w[:, :-1]], axis=1), axis=0)
             for k in range(max_n - 1, 0, -1):
                 first = np.flatnonzero(left[k])
                 if not len(first):
                     stack[k] += n.sum()
                     continue
-                runs = np.add.reduceat(n, first)
-                done = np.append(stack[k] + n[: first[0]].sum(), runs[:-1])
-                yield closed(k, np.concatenate([last, w[:, first[:-1]]], axis=1), done, np.append(wide, spread[first[:-1]]))
-                stack[k] = runs[-1]
-            last, wide = w[:, -1:], spread[-1:]
+                new = np.add.reduceat(n, first)
+                done = np.append(stack[k] + n[: first[0]].sum(), new[:-1])
+                yield closed(k, np.concatenate([last, w[:, first[:-1]]], axis=1), done, runs[k] + np.arange(len(done)) <= 1)
+                runs[k] += len(done)
+                stack[k] = new[-1]
+            last = w[:, -1:]
         for k in range(max_n - 1, 0, -1):
-            yield closed(k, last, stack[k : k + 1], wide)
+            yield closed(k, last, stack[k : k + 1], np.ones(1, bool))
 
     return suffixes.mapInArrow(count, ", ".join(f"{c} long" for c in names) + ", n long")
 
@@ -280,7 +268,7 @@ def collocations(
     rows = _rows(docs, text_col, lang_col)
     counted = written(word_counts(rows).where((F.col("n") >= least) | F.col("hash").isNull()), "words")
     total, known = counted.where("hash IS NULL").select("lang", "n"), counted.where("hash IS NOT NULL")
-    frequent, counts, all_ = _frequent(known, most_codes)
+    frequent, all_ = _frequent(known, most_codes)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,11 +276,11 @@ def collocations(
             yield pa.RecordBatch.from_arrays([code, *(b.column(c) for c in ("lang", "word", "n"))], ["code", "lang", "word", "f"])
 
     known = written(known.mapInArrow(coded, "code long, lang string, word string, f long"), "coded")
-    # A first word has at most half of an even partition's suffixes, or is spread.
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = _suffixes(rows, frequent, counts, all_, max_n, max(1000, int(counts.sum()) // (2 * partitions)))
-    sorted_ = suffixes.repartition("w1", "salt").sortWithinPartitions(*[F.desc(c) for c in names])
+    suffixes = written(_suffixes(rows, frequent, all_, max_n), "suffixes")  # range bounds are found in a first reading
+    order = [F.desc(c) for c in names]
+    sorted_ = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     phrases = written(_prefixes(sorted_, max_n, least).groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+    discard(suffixes)
 
     single = known.select(F.col("code").alias(names[0]), *[F.lit(0).cast("long").alias(c) for c in names[1:]], F.col("f").alias("n"))
     scored = _cuts(_not_inside(phrases, names, inside), phrases.unionByName(single), names)
