@@ -36,7 +36,8 @@ def keyed_odds(odds: DataFrame) -> DataFrame:
 
 def linked(results: DataFrame, odds: DataFrame, players: DataFrame | None = None) -> DataFrame:
     """Results with their odds and the ``stage`` that found them."""
-    return link.link_staged(keyed_results(results, players), keyed_odds(odds), LINK_STAGES, "date_tourney", "Date_dt")
+    left, right = keyed_results(tables.spread(results), players), keyed_odds(tables.spread(odds))
+    return link.link_staged(left, right, LINK_STAGES, "date_tourney", "Date_dt")
 
 
 def match_table(found: DataFrame, match_id: str = "match_id", right_id: str = "td_right_id") -> DataFrame:

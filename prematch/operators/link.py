@@ -109,6 +109,52 @@ class Stage:
     prefer: str | None = None
 
 
+def _parts(df: DataFrame, columns: Sequence[str], *more: Column) -> Column:
+    """One key of several parts; null if a part is null."""
+    return F.concat(*[x for c in [*[df[k].cast("string") for k in columns], *more] for x in (c, F.lit("\u0001"))])
+
+
+def candidates(left: DataFrame, right: DataFrame, stages: Sequence[Stage], t_left: str, t_right: str, left_id: str, right_id: str) -> DataFrame:
+    """``(left id, _met, td_<right id>, td_<right time>)``: pairs with the first stage whose terms they meet; ``right`` is prefixed.
+
+    One equi-join of narrow rows. A strict stage has its own key. The others
+    share the keys that they have in common and the time in blocks as wide as
+    their largest tolerance: a left row looks into three blocks, so a key with
+    very many rows meets its neighbours in time, not all of them.
+    """
+    loose = [s for s in stages if s.tolerance_days is not None]
+    common = [k for k in loose[0].keys if all(k in s.keys for s in loose)] if loose else []
+    if loose and not common:
+        raise ValueError("the stages with a tolerance have no key in common")
+    wide = max([1, *[s.tolerance_days for s in loose]])
+    block = lambda c: F.floor(F.unix_date(c.cast("date")) / wide)
+    told = lambda c: c.cast("string")
+    strict = [(i, s) for i, s in enumerate(stages) if s.tolerance_days is None]
+    of = {k: f"td_{k}" for s in stages for k in s.keys}
+    left_keys = [_parts(left, s.keys, F.lit(f"strict{i}")) for i, s in strict]
+    right_keys = [_parts(right, [of[k] for k in s.keys], F.lit(f"strict{i}")) for i, s in strict]
+    if loose:
+        left_keys += [_parts(left, common, F.lit("near"), told(block(left[t_left]) + d)) for d in (-1, 0, 1)]
+        right_keys += [_parts(right, [of[k] for k in common], F.lit("near"), told(block(right[f"td_{t_right}"])))]
+    need = dict.fromkeys([left_id, t_left, *[k for s in stages for k in s.keys], *[s.prefer for s in loose if s.prefer]])
+    have = dict.fromkeys([f"td_{c}" for c in (right_id, t_right, *[k for s in stages for k in s.keys], *[s.prefer for s in loose if s.prefer])])
+    one = left.select(*need, F.explode(F.array_compact(F.array(*left_keys))).alias("_k"))
+    two = right.select(*have, F.explode(F.array_compact(F.array(*right_keys))).alias("_rk"))
+    gap = F.abs(F.datediff(one[t_left], two[f"td_{t_right}"]))
+    is_near = F.col("_k").contains("\u0001near\u0001")
+    met = []
+    for i, s in enumerate(stages):
+        if s.tolerance_days is None:
+            own = F.col("_k").endswith(f"\u0001strict{i}\u0001")
+            met.append(F.when(own & _same(one, two, s.keys), F.struct(F.lit(i).alias("i"), F.lit(False).alias("other"), F.lit(0).alias("gap"))))
+        else:
+            other = ~F.coalesce(one[s.prefer] == two[f"td_{s.prefer}"], F.lit(False)) if s.prefer else F.lit(False)
+            ok = is_near & _same(one, two, s.keys) & (gap <= s.tolerance_days)
+            met.append(F.when(ok, F.struct(F.lit(i).alias("i"), other.alias("other"), gap.alias("gap"))))
+    pairs = one.join(two, one["_k"] == two["_rk"])
+    return pairs.select(left_id, F.coalesce(*met).alias("_met"), f"td_{right_id}", f"td_{t_right}").where("_met IS NOT NULL")
+
+
 def link_staged(
     left: DataFrame, right: DataFrame, stages: Sequence[Stage], t_left: str, t_right: str, left_id: str = "match_id", right_id: str = "right_id"
 ) -> DataFrame:
@@ -116,34 +162,20 @@ def link_staged(
 
     A stage without a tolerance is a strict one, and gives a row for each right
     row; the others give the nearest as in :func:`link_nearest`. All stages
-    share one join on the keys that they have in common: each candidate pair
-    gets the first stage whose terms it meets, and each left row keeps the best
-    of its best stage, ranked in groups cut short before their shuffle.
-    ``left_id`` is unique.
+    share the join of :func:`candidates`; each left row keeps the best of its
+    best stage, ranked by keys alone in groups cut short before their shuffle.
+    Whole right rows are joined last. ``left_id`` and ``right_id`` are unique.
     """
-    common = [k for k in stages[0].keys if all(k in s.keys for s in stages)]
-    if not common:
-        raise ValueError("the stages have no key in common")
     right = prefixed(right)
-    need = dict.fromkeys([left_id, t_left, *[k for s in stages for k in s.keys], *[s.prefer for s in stages if s.prefer]])
-    one = left.select(*need)
-    gap = F.abs(F.datediff(one[t_left], right[f"td_{t_right}"]))
-    met = []
-    for i, s in enumerate(stages):
-        cond = _same(one, right, s.keys)
-        if s.tolerance_days is None:
-            met.append(F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(False).alias("other"), F.lit(0).alias("gap"))))
-        else:
-            other = ~F.coalesce(one[s.prefer] == right[f"td_{s.prefer}"], F.lit(False)) if s.prefer else F.lit(False)
-            met.append(F.when(cond & (gap <= s.tolerance_days), F.struct(F.lit(i).alias("i"), other.alias("other"), gap.alias("gap"))))
-    pairs = one.join(right, _same(one, right, common)).select(F.col(left_id), F.coalesce(*met).alias("_met"), *[right[c] for c in right.columns])
+    pairs = candidates(left, right, stages, t_left, t_right, left_id, right_id)
     strict = F.col("_met.i").isin([i for i, s in enumerate(stages) if s.tolerance_days is None])
     loose = lambda c: F.when(~strict, F.col(c))
     order = Window.partitionBy(left_id).orderBy("_met", loose(f"td_{t_right}"), loose(f"td_{right_id}"))
-    best = pairs.where("_met IS NOT NULL").withColumn("_rank", F.rank().over(order)).where("_rank = 1")
+    best = pairs.withColumn("_rank", F.rank().over(order)).where("_rank = 1")
     names = F.array(*[F.lit(s.name) for s in stages])
-    best = best.withColumn("stage", names[F.col("_met.i")]).drop("_met", "_rank")
-    return left.join(best, left_id, "left")
+    best = best.select(left_id, F.col(f"td_{right_id}").alias("_right"), names[F.col("_met.i")].alias("stage"))
+    found = best.join(right, F.col("_right") == F.col(f"td_{right_id}")).select(left_id, *right.columns, "stage")
+    return left.join(found, left_id, "left")
 
 
 def link_coverage(df: DataFrame, price_cols: Sequence[str], matched: str = "td_right_id") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import lexicon
 
@@ -20,20 +20,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _columns(spark: SparkSession, path: str) -> StructType:
+    """The columns of one year, from a footer or a header line."""
+    reader = spark.read.option("header", True) if path.endswith(".csv") else spark.read
+    return reader.csv(path).schema if path.endswith(".csv") else reader.parquet(path).schema
+
+
 def read_yearly(
     spark: SparkSession, base: str, years: Sequence[int], schema: StructType | None = None, name: str = "matches_{year}.csv"
 ) -> DataFrame:
-    """All years' files, each tagged ``year``; missing years are skipped, missing columns are null."""
-    found = []
-    for year in years:
-        path = f"{base}/{name.format(year=year)}"
-        if _exists(spark, path):
-            reader = spark.read.schema(schema) if schema is not None else spark.read
-            df = reader.csv(path, header=True) if path.endswith(".csv") else reader.parquet(path)
-            found.append(df.withColumn("year", F.lit(year)))
+    """All years' files or folders, each row tagged ``year``; missing years are skipped, missing columns are null.
+
+    One scan for all years, however many: columns are united from the footers
+    first (CSV files by their header lines; files of one order of columns are
+    one scan, as CSV goes by place), and the year comes from the path of the
+    row's file. ``name`` has ``{year}`` once.
+    """
+    found = {y: f"{base}/{name.format(year=y)}" for y in years if _exists(spark, f"{base}/{name.format(year=y)}")}
     if not found:
         raise FileNotFoundError(f"no file of {years} under {base}")
-    return union_years(found)
+    csv = name.endswith(".csv")
+    before, after = name.split("{year}")
+    year = F.regexp_extract(F.col("_metadata.file_path"), f"/{re.escape(before)}([0-9]+){re.escape(after)}(?:/[^/]*)?$", 1).cast("int").alias("year")
+
+    def scan(paths: Sequence[str], columns: StructType) -> DataFrame:
+        reader = spark.read.schema(columns)
+        df = reader.csv(list(paths), header=True) if csv else reader.option("recursiveFileLookup", "true").parquet(*paths)
+        return df.select(*[F.col(f"`{c}`") for c in columns.names], year)
+
+    if schema is not None and not csv:
+        return scan(list(found.values()), schema)
+    kinds = {p: _columns(spark, p) for p in found.values()}
+    if not csv:
+        united = {f.name: f for kind in kinds.values() for f in kind}
+        return scan(list(found.values()), StructType([StructField(f.name, f.dataType, True) for f in united.values()]))
+    typed = {f.name: f.dataType for f in schema} if schema is not None else {}
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for path, kind in kinds.items():
+        orders.setdefault(tuple(kind.names), []).append(path)
+    scans = [scan(paths, StructType([StructField(c, typed.get(c, StringType()), True) for c in names])) for names, paths in orders.items()]
+    out = union_years(scans)
+    if schema is None:
+        return out
+    return out.select(*[F.col(f"`{c}`") if c in out.columns else F.lit(None).cast(kind).alias(c) for c, kind in typed.items()], "year")
 
 
 def union_years(frames: Sequence[DataFrame]) -> DataFrame:
@@ -90,3 +119,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A source of fewer splits than there are cores goes to all of them, before work that costs more than its shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -191,6 +191,64 @@ def test_yearly_files(spark, tmp_path):
         tables.read_yearly(spark, str(tmp_path), [1999])
 
 
+def test_years_are_one_scan(spark, tmp_path):
+    for year in range(2001, 2013):
+        frame = spark.range(3).select((F.col("id") + year).alias("a"), F.lit("x").alias("b"))
+        tables.write_table(frame if year % 2 else frame.drop("b"), f"{tmp_path}/y={year}")
+        tables.write_table(frame.select("b", "a") if year == 2005 else frame, f"{tmp_path}/m_{year}.csv", "csv")
+    got = tables.read_yearly(spark, str(tmp_path), range(1990, 2020), name="y={year}")
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = got.collect()
+    assert len(rows) == 36 and all(r.year <= r.a < r.year + 3 and (r.b == "x") == (r.year % 2 == 1) for r in rows)
+    text = tables.read_yearly(spark, str(tmp_path), range(1990, 2020), name="m_{year}.csv")
+    assert text._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2  # two orders of columns
+    rows = text.collect()
+    assert len(rows) == 36 and all(r.year <= int(r.a) < r.year + 3 and r.b == "x" for r in rows)
+    kind = spark.createDataFrame([], "a long, c double").schema
+    typed = tables.read_yearly(spark, str(tmp_path), [2001, 2005], kind, "m_{year}.csv")
+    assert typed.columns == ["a", "c", "year"] and sorted(r.a for r in typed.collect()) == [2001, 2002, 2003, 2005, 2006, 2007]
+
+
+def test_a_pair_of_very_many_meetings(spark):
+    n, day = 4000, lambda c, off: F.date_add(F.lit("1980-01-01").cast("date"), (F.col("id") * 3 + off).cast("int"))
+    left = spark.range(n).select(F.col("id").alias("match_id"), F.lit("c").alias("city"), F.lit("p").alias("pair"), (F.col("id") % 50).cast("string").alias("rnd"), day("id", 0).alias("day"))
+    right = spark.range(n).select(F.col("id").alias("right_id"), F.lit("c").alias("city"), F.lit("p").alias("pair"), F.lit("none").alias("rnd"), day("id", 1).alias("day"))
+    stages = (link.Stage("strict", ("city", "rnd", "pair")), link.Stage("near", ("city", "pair"), 21, "rnd"), link.Stage("loose", ("pair",), 14))
+    met = link.candidates(left, link.prefixed(right), stages, "day", "day", "match_id", "right_id")
+    assert met.count() <= 15 * n
+    got = {r.match_id: (r.td_right_id, r.stage) for r in link.link_staged(left, right, stages, "day", "day").collect()}
+    assert got == {i: (i, "near") for i in range(n)}
+
+
+def test_stages_equal_a_loop(spark):
+    rnd = random.Random(20)
+    day = lambda: D(2020, 1, 1) + datetime.timedelta(days=rnd.randrange(120)) if rnd.random() > 0.05 else None
+    pick = lambda *v: rnd.choice([*v, *v, None])
+    lrows = [(i, pick("a", "b"), pick("x", "y"), pick("F", "R"), day()) for i in range(120)]
+    rrows = [(i, pick("a", "b"), pick("x", "y"), pick("F", "R"), day()) for i in range(60)]
+    left = spark.createDataFrame(lrows, "match_id long, city string, pair string, rnd string, day date")
+    right = spark.createDataFrame(rrows, "right_id long, city string, pair string, rnd string, day date")
+    stages = (link.Stage("strict", ("city", "rnd", "pair")), link.Stage("near", ("city", "pair"), 9, "rnd"), link.Stage("loose", ("pair",), 4, "rnd"))
+    at = {"city": 1, "pair": 2, "rnd": 3}
+    want = []
+    for l in lrows:  # noqa: E741
+        for s in stages:
+            same = [r for r in rrows if all(l[at[k]] is not None and l[at[k]] == r[at[k]] for k in s.keys)]
+            if s.tolerance_days is None:
+                found = [r[0] for r in same]
+            else:
+                near = [(not (l[3] is not None and l[3] == r[3]), abs((l[4] - r[4]).days), r[4], r[0]) for r in same if l[4] and r[4]]
+                near = [x for x in near if x[1] <= s.tolerance_days]
+                found = [min(near)[3]] if near else []
+            if found:
+                want += [(l[0], r, s.name) for r in found]
+                break
+        else:
+            want.append((l[0], None, None))
+    got = link.link_staged(left, right, stages, "day", "day").select("match_id", "td_right_id", "stage").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(None, "a", 1.5)], "` Player 1` string, EVENT string, PSW double")
     got = tables.standardize_columns(df, required=("Winner", "Tournament", "Round"))

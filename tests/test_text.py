@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from prematch.functions import text
 
-# Names as results list them, and the keys that belong to them.
+# Names as results list them, and the keys that belong to them.
 GOLDEN = [
     ("Brisbane", "Hard", "R32", "Rafael Nadal", "Alexandr Dolgopolov", "brisbane_hard", "brisbane", "r nadal", "a dolgopolov"),
     ("Brisbane", "Hard", "F", "Grigor Dimitrov", "Kei Nishikori", "brisbane_hard", "brisbane", "g dimitrov", "k nishikori"),
@@ -67,19 +67,36 @@ def test_golden_keys(spark):
         assert got.key_city_round_players == f"{want[5]}__{want[2]}__{pair}"
 
 
-#: place, surface, round, players; the first ones with their key, then rows of known keys.
+# Fixed values, which the keys must equal: place, surface, round | winner | loser | city | pair of keys.
 KNOWN = """
+Brisbane Hard R32 | Rafael Nadal | Alexandr Dolgopolov | brisbane | a dolgopolov__r nadal
+Brisbane Hard F | Grigor Dimitrov | Kei Nishikori | brisbane | g dimitrov__k nishikori
 Chennai Hard R16 | Albert Ramos | Steve Darcis | chennai | a ramos__s darcis
 Chennai Hard QF | Dudi Sela | Albert Ramos | chennai | a ramos__d sela
 Chennai Hard F | Roberto Bautista Agut | Daniil Medvedev | chennai | d medvedev__r bautista agut
 Doha Hard R32 | Jo-Wilfried Tsonga | Andrey Kuznetsov | doha | a kuznetsov__j tsonga
 Doha Hard F | Novak Djokovic | Andy Murray | doha | a murray__n djokovic
+Auckland Hard R32 | Joao Sousa | Albert Ramos | auckland | a ramos__j sousa
 Auckland Hard F | Jack Sock | Joao Sousa | auckland | j sock__j sousa
+Sydney Hard SF | Daniel Evans | Andrey Kuznetsov | sydney | a kuznetsov__d evans
+Sydney Hard R32 | Gilles Muller | Alexandr Dolgopolov | sydney | a dolgopolov__g muller
+Sydney Hard R32 | Andrey Kuznetsov | Martin Klizan | sydney | a kuznetsov__m klizan
 Sydney Hard R32 | Gastao Elias | Christopher Oconnell | sydney | c oconnell__g elias
 Sydney Hard R16 | Andrey Kuznetsov | Alex De Minaur | sydney | a de minaur__a kuznetsov
 Sydney Hard QF | Andrey Kuznetsov | Pablo Carreno Busta | sydney | a kuznetsov__p carreno busta
+Sydney Hard F | Gilles Muller | Daniel Evans | sydney | d evans__g muller
 Australian Open Hard R128 | Lukas Lacko | Albert Ramos | melbourne | a ramos__l lacko
+Australian Open Hard R128 | Kei Nishikori | Andrey Kuznetsov | melbourne | a kuznetsov__k nishikori
+Australian Open Hard R128 | Victor Estrella | Aljaz Bedene | melbourne | a bedene__v estrella
+Australian Open Hard R128 | Alexandr Dolgopolov | Borna Coric | melbourne | a dolgopolov__b coric
+Australian Open Hard R128 | Grigor Dimitrov | Christopher Oconnell | melbourne | c oconnell__g dimitrov
+Australian Open Hard R64 | Bernard Tomic | Victor Estrella | melbourne | b tomic__v estrella
+Australian Open Hard R64 | Gael Monfils | Alexandr Dolgopolov | melbourne | a dolgopolov__g monfils
+Australian Open Hard R16 | Mischa Zverev | Andy Murray | melbourne | a murray__m zverev
+Australian Open Hard R16 | Roger Federer | Kei Nishikori | melbourne | k nishikori__r federer
+Australian Open Hard R16 | Stan Wawrinka | Andreas Seppi | melbourne | a seppi__s wawrinka
 Australian Open Hard R16 | Jo-Wilfried Tsonga | Daniel Evans | melbourne | d evans__j tsonga
+Australian Open Hard R16 | Rafael Nadal | Gael Monfils | melbourne | g monfils__r nadal
 Australian Open Hard R16 | Milos Raonic | Roberto Bautista Agut | melbourne | m raonic__r bautista agut
 Australian Open Hard R16 | David Goffin | Dominic Thiem | melbourne | d goffin__d thiem
 """
