@@ -58,9 +58,9 @@ def remove_repeats(
 
     Null texts have no words. Texts of fewer than ``window`` words lose
     nothing. Repeated rows are copies: all their windows repeat. Ids may be
-    null or repeat, since a text is known by its id and its checksum. Other
-    columns are ignored; ``keep`` passes further columns with their rows. With
-    ``as_is`` a text that loses nothing keeps its white space too.
+    null or repeat, since a row is known by 96 bits of hashes of its id and its
+    text. Other columns are ignored; ``keep`` passes further columns with their
+    rows. With ``as_is`` a text that loses nothing keeps its white space too.
     """
     period, cover, size = cover_for(window)
     on_cover = np.zeros(period, bool)
@@ -70,8 +70,11 @@ def remove_repeats(
         F.col(id_col).cast("long").alias("doc_id"),
         *[c.alias(n) for n, c in (keep or {}).items()],
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("sum", F.crc32("text"))
-    rows = kept_rows.select("doc_id", "text", "sum")
+    )
+    kept_rows = kept_rows.withColumns(
+        {"key": F.xxhash64("doc_id", "text"), "sum": F.shiftrightunsigned(F.xxhash64(F.lit("sum"), "doc_id", "text"), 32)}
+    )
+    rows = kept_rows.select("key", "text", "sum")
 
     def anchors(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,20 +91,21 @@ def remove_repeats(
                 doc, at = doc[good] + lo, at[good]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array(doc)),
+                        batch.column("key").take(pa.array(doc)),
                         pa.array(h[good].view(np.int64)),
                         pa.array((sums[doc] << 32) | at),
                     ],
-                    ["doc_id", "anchor", "place"],
+                    ["key", "anchor", "place"],
                 )
 
-    found = rows.mapInArrow(anchors, "doc_id long, anchor long, place long")
+    found = rows.mapInArrow(anchors, "key long, anchor long, place long")
     twice = written(found.groupBy("anchor").count().where("count > 1").select("anchor"), "repeats")
-    near = found.join(twice, "anchor").select("doc_id", "place")
-    near = near.groupBy("doc_id", F.shiftrightunsigned("place", 32).alias("sum")).agg(
-        F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places")
+    near = found.join(twice, "anchor").select("key", "place")
+    # Rows of equal id and text have one entry: a set, so that very many of them are no long list.
+    near = near.groupBy("key", F.shiftrightunsigned("place", 32).alias("sum")).agg(
+        F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places")
     )
-    # A short number for each such text: its windows carry it instead of id and checksum.
+    # A short number for each such text: its windows carry it instead of both hashes.
     near = written(near.withColumn("slot", F.monotonically_increasing_id()), "repeats")
     discard(twice)
 
@@ -132,13 +136,11 @@ def remove_repeats(
                     ["slot", "a", "b", "start"],
                 )
 
-    keyed = rows.alias("d").join(
-        near.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.sum = n.sum")
-    ).select("n.slot", "d.text", "n.places")
+    keyed = rows.join(near, ["key", "sum"]).select("slot", "text", "places")
     found = written(keyed.mapInArrow(candidates, "slot long, a long, b int, start int"), "repeats")
     twice = written(found.groupBy("a", "b").count().where("count > 1").select("a", "b"), "repeats")
-    starts = found.join(twice, ["a", "b"]).groupBy("slot").agg(F.collect_list("start").alias("places"))
-    gone = written(starts.join(near.select("slot", "doc_id", "sum"), "slot"), "repeats")
+    starts = found.join(twice, ["a", "b"]).groupBy("slot").agg(F.collect_set("start").alias("places"))
+    gone = written(starts.join(near.select("slot", "key", "sum"), "slot").drop("slot"), "repeats")
     discard(found)
     discard(twice)
 
@@ -164,7 +166,7 @@ def remove_repeats(
                 ["doc_id", "n_words", "n_removed", "kept_text", *kept_names],
             )
 
-    marked = kept_rows.alias("d").join(gone.alias("n"), F.expr("d.doc_id <=> n.doc_id AND d.sum = n.sum"), "left")
+    marked = kept_rows.alias("d").join(gone.alias("n"), F.expr("d.key = n.key AND d.sum = n.sum"), "left")
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept_rows.schema if f.name in kept_names)
     return marked.select("d.doc_id", "d.text", "n.places", *[f"d.{c}" for c in kept_names]).mapInArrow(
         cut, f"doc_id long, n_words long, n_removed long, kept_text string{kinds}"

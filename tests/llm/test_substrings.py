@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -59,6 +60,48 @@ def test_equals_brute_force(spark, window):
     assert _got(spark, rows, window) == brute(rows, window)
 
 
+def _clash(long_, rnd):
+    """Another text of the same crc32: words of 32 letters that flip the right bits."""
+    want = zlib.crc32(long_.encode())
+    head = " ".join(f"c{rnd.randrange(10**6)}" for _ in range(3)) + " "
+    base = zlib.crc32(head.encode() + b"@" * 32)
+    flips = []  # crc32 is affine: each letter's lowest bit adds its own difference
+    for i in range(32):
+        word = bytearray(b"@" * 32)
+        word[i] ^= 1
+        flips.append(zlib.crc32(head.encode() + bytes(word)) ^ base)
+    rows, target = [(d, 1 << i) for i, d in enumerate(flips)], base ^ want
+    pick = 0
+    for bit in range(32):
+        at = next((k for k, (d, _) in enumerate(rows) if d >> bit & 1), None)
+        if at is None:
+            continue
+        d, m = rows.pop(at)
+        rows = [(x ^ d, y ^ m) if x >> bit & 1 else (x, y) for x, y in rows]
+        if target >> bit & 1:
+            target, pick = target ^ d, pick ^ m
+    if target:
+        return None
+    return head + "".join("A" if pick >> i & 1 else "@" for i in range(32))
+
+
+@pytest.mark.parametrize("ids", [(None, None), (7, 7)])
+def test_texts_of_one_checksum(spark, ids):
+    rnd = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(40))
+    long_ = " ".join(f"u{i}" for i in range(161)) + " " + passage
+    short = next(s for s in (_clash(long_, rnd) for _ in range(99)) if s)
+    assert zlib.crc32(short.encode()) == zlib.crc32(long_.encode()) and short != long_
+    rows = [(ids[0], long_), (ids[1], short), (1, passage), (2, passage), (ids[0], long_ + " x"), (ids[0], passage), (ids[0], passage)]
+    assert _got(spark, rows, 35) == brute(rows, 35)
+
+
+def test_very_many_equal_rows(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(None, text)] * 300 + [(5, text)] * 300 + [(6, "w1 w2")]
+    assert _got(spark, rows, 35) == brute(rows, 35)
+
+
 def test_empty_table(spark):
     assert _got(spark, [], 35) == []
 
