@@ -76,9 +76,8 @@ def match_table(found: DataFrame, match_id: str = "match_id", right_id: str = "t
 def feature_table(matches: DataFrame, players: DataFrame | None = None, pool: Sequence[str] = ()) -> DataFrame:
     """Features known before each event, oriented to the favourite.
 
-    Windows over the long table share the exchange by player; both ratings are
-    folds, the surface one in parallel; one aggregation by event brings the
-    sides back. ``pool`` names columns that divide the players into circles
+    Windows over the long table share the exchange by player; one fold keeps
+    both ratings; one aggregation by event brings the sides back. ``pool`` names columns that divide the players into circles
     that never meet: their folds run in parallel and give the same ratings.
     """
     base = prices.orient_favourite(prices.pick_price_pair(link.drop_undated(matches, "match_date")))
@@ -92,9 +91,7 @@ def feature_table(matches: DataFrame, players: DataFrame | None = None, pool: Se
     if players is not None:  # joined where the rows lie by player already
         long, sides = long.join(history.player_attributes(players), "player", "left"), [*sides, "lefty", "height_cm"]
     df = history.attach_side_features(base, long, sides)
-    rated = ratings.elo_before(base, order=order, pool=pool)
-    df = df.join(rated, "match_id").join(ratings.elo_before_surface(base, order=order, pool=pool), "match_id")
-    df = ratings.elo_sides(df)
+    df = ratings.elo_sides(df.join(ratings.elo_both(base, order=order, pool=pool), "match_id"))
     days = {"elo": "rest_days", "selo": "rest_ground"}
     df = df.withColumns({f"{s}_{p}_decay": ratings.faded(F.col(f"{s}_{p}"), F.col(f"{s}_{d}")) for p, d in days.items() for s in "AB"})
     df = prices.diff_features(df, {f"{p}_decay": None for p in days}).drop("A_rest_ground", "B_rest_ground")

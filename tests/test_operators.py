@@ -63,6 +63,14 @@ def test_rating_sum_is_constant_and_surfaces_are_apart(spark):
     assert abs(sum(state.values()) - 1500 * len(state)) < 1e-6
 
 
+@pytest.mark.parametrize("pool", [(), ("pool",)])
+def test_both_ratings_in_one_pass(spark, pool):
+    rows, df = _matches(spark, shuffle=2)
+    got = {r.match_id: tuple(r[1:]) for r in ratings.elo_both(df, pool=pool).collect()}
+    all_, own = _elo(rows)[0], _elo(rows, 24.0, lambda r: r[5] if r[5] != "sand" else "hard")[0]
+    assert got == {i: (*all_[i], *own[i]) for i in all_}
+
+
 def test_a_later_event_never_changes_an_earlier_row(spark):
     rows, df = _matches(spark)
     long = lambda d: history.h2h_before(history.rest_days(history.rolling_form(history.to_long(d, extra=("match_date", "surface")), 5)))
