@@ -1,14 +1,16 @@
 """Best-fit packing of tokenized documents, in bulk-synchronous supersteps.
 
-Documents and gaps are kept in order of size as runs of equal sizes (at most
-``capacity`` of each, counted by a distributed aggregation). A superstep is a
-Spark query over these runs. It sorts documents and gaps together and sweeps
-them: each run of documents finds its successor among the gaps, the smallest
-that is large enough. Conflicts are settled by rank, longer documents first;
-then gaps shrink and the next step follows. Where no gap is large enough, new
-sequences open for the longest documents. The number of steps follows the
-capacity, not the documents (15 to 35 at 1024). Their result is a short list
-of rank ranges; each document finds its own by its rank among equals, which is
+Documents and gaps are tables of runs: equal lengths with their ranks, equal
+gaps with their sequences. Both are sorted into ranges of sizes. In a superstep
+every range, a task of its own, sweeps its documents and gaps from the largest
+down: each run of documents finds its successor, the smallest gap of the range
+that is large enough. Conflicts are settled by rank, longer documents first.
+What finds nothing is handed to the next larger range, shrunk gaps go to the
+range of their new size, and the next superstep follows; documents that have
+passed all ranges start again from their own. When no gap is large enough for
+any document, new sequences open for the longest ones. The number of steps
+follows the capacity and the ranges, not the documents (some 25 to 35 at 1024
+and 4). Each document finds its place by its rank among equals, which is
 computed in salted ranges, with one shuffle of the pieces.
 """
 
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._session import written
+from ._session import discard, written
 
 END = 2
 #: At least so many rank ranges of one length, and one for so many pieces.
@@ -107,142 +109,153 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _opened(docs: DataFrame, capacity: int, most: int, sequences: int) -> DataFrame:
+#: Rows of the runs' table. kind 0, gaps: ``n`` sequences from ``first`` with ``size`` free. kind 1, open documents: ``n`` of
+#: length ``size``, ranks from ``lo``. kind 2, placed: ``per`` documents of length ``size``, ranks from ``lo``, at ``place`` of
+#: each of ``n`` sequences from ``first``. ``seek``: the range of sizes in which the row is swept next.
+_RUNS = "kind int, seek int, size long, n long, lo long, per long, first long, place long"
+_NAMES = ("kind", "seek", "size", "n", "lo", "per", "first", "place")
+
+
+def _opened(docs: DataFrame, capacity: int, most: int, sequences: int, width: int) -> DataFrame:
     """New sequences for the longest documents: ``most`` in all, and one for each document of more than half of them.
 
     A run of documents fills whole sequences with as many as they hold; what
-    is left over waits for gaps. ``docs(size, n, lo)``; rows as of :func:`_swept`.
+    is left over waits for gaps. A window over the runs, one row a length.
     """
-    down = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    x = docs.withColumnRenamed("size", "length").coalesce(1)
-    x = x.withColumn("per", F.least(F.col("n"), F.expr(f"{capacity} div length")))
+    down = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    x = docs.select("size", "n", "lo").withColumn("per", F.least(F.col("n"), F.expr(f"{capacity} div size")))
     x = x.withColumn("need", F.expr("n div per")).withColumn("left", F.lit(most) - F.coalesce(F.sum("need").over(down), F.lit(0)))
-    long_ = 2 * F.col("length") > capacity
+    long_ = 2 * F.col("size") > capacity
     x = x.withColumn("count", F.when(long_, F.col("need")).otherwise(F.least("need", F.greatest("left", F.lit(0)))))
     x = x.withColumn("first", F.lit(sequences) + F.coalesce(F.sum("count").over(down), F.lit(0)))
-    return x.where("count > 0").select(F.lit(capacity).cast("long").alias("gap"), "first", "count", "length", "per", "lo")
+
+    def row(when: str, **values: str) -> Column:
+        told = {"lo": "0L", "per": "0L", "first": "0L", "place": "0L"} | values
+        told["seek"] = f"int(({told['size']} - 1) div {width})"
+        return F.when(F.expr(when), F.struct(*[F.expr(told[c]).alias(c) for c in _NAMES]))
+
+    rest = f"{capacity} - per * size"
+    rows = F.array(
+        row("count > 0", kind="2", size="size", n="count", lo="lo", per="per", first="first"),
+        row(f"count > 0 AND {rest} > 0", kind="0", size=rest, n="count", first="first"),
+        row("n > count * per", kind="1", size="size", n="n - count * per", lo="lo + count * per"),
+    )
+    return x.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
 
 
-def _swept(docs: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One superstep: ``(gap, length, count, per, lo)`` of what the gaps take, best gap and document first.
+def _swept(runs: DataFrame, capacity: int, width: int) -> DataFrame:
+    """One superstep over gaps and documents: the same rows, and those that it has placed.
 
-    ``docs(size, n, lo)``, ``gaps(size, n, lo)``. Spark sorts documents and
-    gaps together by size, downwards; the sweep keeps the gaps seen so far that
+    A range's sweep goes down the sizes and keeps the gaps seen so far that
     are still free, the smallest on top. So a run of documents finds its
-    successor on top, the smallest gap that is large enough, and goes there in
-    bundles of as many as the gap holds. Longer documents come first, so they
-    win a conflict, and the losers take the next larger gap in the same sweep.
+    successor on top and goes there in bundles of as many as the gap holds.
+    Longer documents come first, so they win a conflict, and the losers take
+    the next larger gap in the same sweep. Documents from smaller ranges stand
+    at the range's lower end.
     """
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sweep(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "seek", "size", "n", "lo", "first"))))
+        floor = rows[0][1] * width + 1
+        # Larger first; at one size gaps before documents, longer documents first, then by rank or sequence.
+        rows.sort(key=lambda r: (-max(r[2], floor if r[0] else 0), r[0], -r[2], r[4], r[5]))
         free: list[list[int]] = []
         out: list[tuple] = []
-        for batch in batches:
-            for size, kind, n, lo in zip(*(batch.column(c).to_pylist() for c in ("size", "kind", "n", "lo"))):
-                if kind == 0:
-                    free.append([size, n])
-                    continue
-                while n and free:
-                    gap, there = free[-1]
-                    per = min(n, gap // size)
-                    count = min(there, n // per)
-                    out.append((gap, size, count, per, lo))
-                    n, lo = n - per * count, lo + per * count
-                    free[-1][1] -= count
-                    if not free[-1][1]:
-                        free.pop()
-        columns = zip(*out) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gap", "length", "count", "per", "lo"])
-
-    both = gaps.withColumn("kind", F.lit(0)).unionByName(docs.withColumn("kind", F.lit(1)))
-    both = both.coalesce(1).sortWithinPartitions(F.desc("size"), "kind")  # runs: bounded by the capacity
-    return both.mapInArrow(sweep, "gap long, length long, count long, per long, lo long")
-
-
-def _runs(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
-    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], ["size", "n", "lo"]))
-
-
-def _taken(ranges: list[tuple[int, int]], count: int) -> Iterator[tuple[int, int]]:
-    """``count`` sequences from the front of ``ranges(first, number)``."""
-    while count:
-        first, n = ranges.pop()
-        take = min(n, count)
-        if take < n:
-            ranges.append((first + take, n - take))
-        count -= take
-        yield first, take
-
-
-def supersteps(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Packs ``counts[length]`` documents; rows (length, first rank, documents a sequence, sequences, first sequence, offset).
-
-    Between two steps the driver holds the runs: open documents by length
-    (each a range of ranks), free gaps by size (ranges of sequences). Both are
-    bounded by the capacity and the steps, whatever the number of documents.
+        for kind, seek, size, n, lo, first in rows:
+            if kind == 0:
+                free.append([size, n, first])
+                continue
+            while n and free:
+                gap, there, at = free[-1]
+                per = min(n, gap // size)
+                count = min(there, n // per)
+                out.append((2, 0, size, count, lo, per, at, capacity - gap))
+                if rest := gap - per * size:
+                    out.append((0, (rest - 1) // width, rest, count, 0, 0, at, 0))
+                n, lo = n - per * count, lo + per * count
+                free[-1] = [gap, there - count, at + count]
+                if there == count:
+                    free.pop()
+            if n:
+                out.append((1, seek + 1, size, n, lo, 0, 0, 0))
+        out += [(0, (size - 1) // width, size, n, 0, 0, first, 0) for size, n, first in free]
+        columns = list(zip(*out)) if out else [[]] * len(_NAMES)
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (len(_NAMES) - 2)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], list(_NAMES))
+
+    return runs.groupBy("seek").applyInArrow(sweep, _RUNS)
+
+
+def supersteps(counts: DataFrame, capacity: int, ranges: int = 4) -> DataFrame:
+    """Packs ``counts(length, n)``; ``(size, lo, per, n, first, place)``: runs of ranks of a length, in how many sequences from which.
+
+    The runs live in a table of the shared folder, written by each step; the
+    driver sees totals by range.
     """
-    docs, gaps = {n: (0, c) for n, c in counts.items()}, {}
-    plan, sequences = [], 0
-    while docs:
-        left = _runs(spark, [(n, c, lo) for n, (lo, c) in sorted(docs.items())])
-        shortest = min(docs)
-        gaps = {g: r for g, r in gaps.items() if r and g >= shortest}
-        if gaps:
-            free = _runs(spark, [(g, sum(n for _, n in r), 0) for g, r in sorted(gaps.items())])
-            found = [(r, x) for r in _swept(left, free).collect() for x in _taken(gaps[r.gap], r["count"])]
+    width = -(-capacity // ranges)
+    zero = F.lit(0).cast("long")
+    runs = counts.select(
+        F.lit(1).alias("kind"), F.lit(ranges).alias("seek"), F.col("length").cast("long").alias("size"), F.col("n").cast("long").alias("n"),
+        *[zero.alias(c) for c in ("lo", "per", "first", "place")],
+    )
+    runs, sequences = written(runs, "runs"), 0
+    while True:
+        told = runs.groupBy("kind", "seek").agg(
+            F.min("size").alias("low"), F.max("size").alias("high"), F.sum(F.col("size") * F.col("n")).alias("volume"), F.max(F.col("first") + F.col("n")).alias("end")
+        ).collect()
+        docs = [r for r in told if r.kind == 1]
+        if not docs:
+            return runs.where("kind = 2").select("size", "lo", "per", "n", "first", "place")
+        sequences = max([sequences, *[r.end for r in told if r.kind != 1]])
+        shortest, largest = min(r.low for r in docs), max((r.high for r in told if r.kind == 0), default=0)
+        gaps = runs.where(f"kind = 0 AND size >= {shortest}")
+        if shortest <= largest:
+            left = runs.where("kind = 1")
+            if not any(max(r.low, r.seek * width + 1) <= largest for r in docs):  # all have passed: another round from their own ranges
+                left = left.withColumn("seek", F.expr(f"int((size - 1) div {width})"))
+            new = _swept(gaps.unionByName(left), capacity, width)
         else:
-            volume = sum(n * c for n, (_, c) in docs.items())
+            volume = sum(r.volume for r in docs)
             part = _OPEN if volume > _FEW * capacity else (1, 1)
-            rows = _opened(left, capacity, max(1, -(-volume * part[0] // (capacity * part[1]))), sequences).collect()
-            sequences += sum(r["count"] for r in rows)
-            found = [(r, (r.first, r["count"])) for r in rows]
-        at: dict[int, int] = {}
-        for r, (first, n) in found:
-            lo = at.get(r.length, r.lo)
-            plan.append((r.length, lo, r.per, n, first, capacity - r.gap))
-            at[r.length] = lo + n * r.per
-            if rest := r.gap - r.per * r.length:
-                gaps.setdefault(rest, []).append((first, n))
-        # What a step takes of a run are its first ranks.
-        docs = {n: (at.get(n, lo), c - (at.get(n, lo) - lo)) for n, (lo, c) in docs.items()}
-        docs = {n: run for n, run in docs.items() if run[1]}
-    return plan
-
-
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            most = max(1, -(-volume * part[0] // (capacity * part[1])))
+            new = gaps.unionByName(_opened(runs.where("kind = 1"), capacity, most, sequences, width))
+        old, runs = runs, written(new.unionByName(runs.where("kind = 2")), "runs")
+        discard(old)
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, *, capacity: int = 1024, ranges: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one row a piece.
 
     A document is its text's ids and the end id; only one longer than
     ``capacity`` is cut, into pieces of ``capacity`` with the odd piece first.
     Strings of the vocabulary's added tokens (``<|endoftext|>``) in a text are
-    those tokens, as the tokenizer itself reads them. Only counts by length
-    (at most ``capacity`` of them) and runs of gaps reach the driver.
+    those tokens, as the tokenizer itself reads them. Sizes are swept in
+    ``ranges`` ranges at once; only totals by range reach the driver.
     Null and empty texts are the end id alone. Repeated rows and null ids are
     documents of their own. Ties (equal lengths) go by a hash of id and piece,
     then by both; equal rows are interchangeable. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, capacity=capacity, id_col=id_col, text_col=text_col), "pack")
-    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(_SALTS, sum(counts.values()) // _SALT_ROWS)
+    counts = written(cut.groupBy("length").agg(F.count("*").alias("n")), "pack")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    salts = max(_SALTS, total // _SALT_ROWS)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    ranges = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    plan = spark.createDataFrame(
-        supersteps(spark, counts, capacity), "size long, low long, per long, count long, first long, place long"
-    )
+    ranges_ = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    plan = supersteps(counts, capacity, ranges)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranges_ = ranges_.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = cut.withColumn(
         "k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ).join(ranges, ["length", "salt"])
+    ).join(ranges_, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("k") - 1)
     # The plan has some rows for each length up to ``capacity``, whatever the number of documents.
     placed = ranked.join(
-        F.broadcast(plan),
-        (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("per") * F.col("count")),
+        F.broadcast(plan), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("per") * plan["n"])
     )
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        F.expr("first + (rank - low) div per").alias("sequence_id"),
-        F.expr("place + (rank - low) % per * length").alias("offset"),
+        F.expr("first + (rank - lo) div per").alias("sequence_id"),
+        F.expr("place + (rank - lo) % per * length").alias("offset"),
     )
