@@ -465,6 +465,15 @@ def rank_asof(spark: SparkSession, d: str) -> DataFrame:
     return out.select("match_id", "w_rank_asof", "l_rank_asof", "w_rank_days", "l_rank_days")
 
 
+@query(
+    "with_rankings",
+    f"WITH ra AS ({ORACLES['rank_asof']}), {_M} SELECT match_id, coalesce(w_rank, CAST(w_rank_asof AS DOUBLE)) AS w_rank, coalesce(l_rank, CAST(l_rank_asof AS DOUBLE)) AS l_rank FROM m JOIN ra USING (match_id)",
+)
+def with_rankings(spark: SparkSession, d: str) -> DataFrame:
+    out = workloads.with_rankings(_matches(spark, d), standin.derived(spark, d, standin.RANKINGS), tie=("ranking_id",))
+    return out.select("match_id", "w_rank", "l_rank")
+
+
 # ---- 2.5 prices and orientation -----------------------------------------------------------------------------------
 
 

@@ -73,6 +73,16 @@ def match_table(found: DataFrame, match_id: str = "match_id", right_id: str = "t
     )
 
 
+def with_rankings(matches: DataFrame, rankings: DataFrame, **how) -> DataFrame:
+    """Ranks that the match table lacks, from the ranking history: each side's last one on or before the event's day.
+
+    ``rankings(player, ranking_date, rank)``, ``how`` as in :func:`history.rank_asof`; a rank that is there stays.
+    """
+    found = history.rank_asof(matches, rankings, **how)
+    found = found.withColumns({f"{s}_rank": F.coalesce(F.col(f"{s}_rank").cast("double"), F.col(f"{s}_rank_asof").cast("double")) for s in "wl"})
+    return found.select(*matches.columns)
+
+
 def feature_table(matches: DataFrame, players: DataFrame | None = None, pool: Sequence[str] = ()) -> DataFrame:
     """Features known before each event, oriented to the favourite.
 
