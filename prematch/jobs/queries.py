@@ -966,3 +966,12 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 def permuted_refit(spark: SparkSession, d: str) -> DataFrame:
     data, names, stages = _scored(spark, d)
     return workloads.permuted_refit(data, names, stages, seed=42)
+
+
+@query("basic_ablation")
+def basic_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """What the basic features (no ratings, history or rest) reach, beside the market."""
+    data, _, stages = _scored(spark, d)
+    _, calibrated = workloads._fitted(data, dataset.select_features(data, mode="basic"), stages)
+    told = workloads.told_forecasts(model.predictions(calibrated))
+    return evaluate.prob_metrics(told, "y", "p", ("split", "forecast"), stages=stages)
