@@ -29,7 +29,7 @@ def _ok(v):
     return v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("options", [{"list_size": 32, "deviations": None}, {"list_size": 32}, {"list_size": 1, "deviations": None}, {"list_size": 10**6, "block": 64}])
+@pytest.mark.parametrize("options", [{"list_size": 32, "deviations": None}, {"list_size": 32}, {"list_size": 1, "deviations": None}, {"list_size": 10**6, "block": 64}, {"list_size": 4, "most_lists": 6, "fan_out": 3, "deviations": None}])
 def test_pq_equals_brute_force(spark, monkeypatch, options):
     monkeypatch.setattr(pq, "_BLOCK", options.pop("block", pq._BLOCK))
     rows = _rows() + [_rows()[3]]
@@ -42,6 +42,38 @@ def test_pq_equals_brute_force(spark, monkeypatch, options):
     assert got == sorted((r[0], len(near[i]), low[i], r[0] == low[i]) for i, r in enumerate(rows))
 
 
+def test_pq_cells_follow_the_classes():
+    assert pq._levels(0, 256, 4096, 64) == [1]
+    assert pq._levels(51_282, 256, 4096, 64) == [201]
+    for n in (1, 1_000_000, 10**8, 10**11):
+        levels = pq._levels(n, 256, 4096, 64)
+        assert max(levels) <= 4096 and n / 256 <= np.prod(levels, dtype=float) <= max(1, 4 * n / 256)
+
+
+def test_pq_probes_meet_every_pair_within_the_margin():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.05])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    trees, _, _ = pq._train(x, [5, 4, 3], 2, 8)
+    home, rest, q, cell = pq._probes(x, trees, 0.1)
+    assert len(np.unique(home)) > 40
+    assert np.allclose(rest, x - np.array([pq._centre(int(h), trees) for h in home]))
+    asked = set(zip(q.tolist(), cell.tolist()))
+    near = [(i, i + 600) for i in range(600) if np.linalg.norm(x[i] - x[i + 600]) <= 0.1]
+    near = [(a, b) if home[a] < home[b] else (b, a) for a, b in near if home[a] != home[b]]
+    assert len(near) > 20 and all((a, home[b]) in asked for a, b in near)
+    assert len(asked) < 0.2 * len(x) * 60 and all(c >= home[i] for i, c in asked)
+    assert {(i, h) for i, h in enumerate(home)} <= asked
+
+
+def test_pq_blocks_without_any_near_pair(spark, monkeypatch):
+    monkeypatch.setattr(pq, "_BLOCK", 2)
+    rows = [(i, [float(i == j) for j in range(12)], 1, "x", 1) for i in range(12)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), list_size=100, codes=12).collect()
+    assert sorted(map(tuple, got)) == [(i, 0, i, True) for i in range(12)]
+
+
 def test_hnsw_finds_the_nearest(spark):
     rows = _rows() + [_rows()[3]]
     df = spark.createDataFrame(rows, SCHEMA)
