@@ -24,7 +24,9 @@ def _folded_letters() -> tuple[str, str]:
 
 _MARKED, _PLAIN = _folded_letters()
 _PAIRS = {"ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "þ": "th", "Þ": "th"}
-_TRAILING_INITIALS = r"^(.*?)((?:(?:^| )\S)+)$"
+_TRAILING_INITIALS = r"((?:(?:^| )\S)+)$"
+#: Marks and white space that count as a blank.
+_BLANKS = " \t\n\x0b\f\r.,'\"()-–&/"
 
 
 def clean_text(c: Column) -> Column:
@@ -33,10 +35,16 @@ def clean_text(c: Column) -> Column:
     folded = c
     for letter, pair in _PAIRS.items():
         folded = F.replace(folded, F.lit(letter), F.lit(pair))
-    # Letters with marks take more than one byte; most texts have none.
+    # Letters with marks take more than one byte; most texts have none. No regular expression sees a text without two blanks in a row.
     ascii_ = F.octet_length(c) == F.char_length(c)
-    c = F.lower(F.when(ascii_, c).otherwise(F.translate(folded, _MARKED, _PLAIN)))
-    return F.trim(F.regexp_replace(c, r"""[\s.,'"()\-–&/]+""", " "))
+    blank = " " * len(_BLANKS)
+    c = F.when(ascii_, F.translate(c, _BLANKS, blank)).otherwise(F.translate(folded, _MARKED + _BLANKS, _PLAIN + blank))
+    return F.trim(_single_blanks(F.lower(c)))
+
+
+def _single_blanks(c: Column) -> Column:
+    one = F.transform(F.array(c), lambda x: F.when(x.contains("  "), F.regexp_replace(x, " +", " ")).otherwise(x))
+    return F.element_at(one, 1)
 
 
 def lookup(c: Column, mapping: Mapping[str, object], default: Column) -> Column:
@@ -84,7 +92,7 @@ def alias_city(c: Column, aliases: Mapping[str, str] = lexicon.CITY_ALIASES) ->
 
 
 def _place(city: Column, surface: Column) -> Column:
-    return F.regexp_replace(F.concat(city, F.lit("_"), surface), "^_+|_+$", "")
+    return F.btrim(F.concat(city, F.lit("_"), surface), F.lit("_"))
 
 
 def place_surface_key(city: Column, surface: Column) -> Column:
@@ -93,7 +101,9 @@ def place_surface_key(city: Column, surface: Column) -> Column:
 
 
 def _first_initial(cleaned: Column, single_token: str) -> Column:
-    initial = F.trim(F.concat(F.substring(cleaned, 1, 1), F.lit(" "), F.regexp_extract(cleaned, r"^\S+ (.*)$", 1)))
+    blank = F.instr(cleaned, " ")
+    others = F.when(blank > 0, cleaned.substr(blank + 1, F.char_length(cleaned))).otherwise("")
+    initial = F.trim(F.concat(F.substring(cleaned, 1, 1), F.lit(" "), others))
     if single_token == "initial":
         return initial
     if single_token != "name":
@@ -137,12 +147,16 @@ def initial_last_key(
 
 
 def _last_initials(s: Column) -> Column:
-    initials = F.regexp_extract(s, _TRAILING_INITIALS, 2)
-    last = F.regexp_extract(s, _TRAILING_INITIALS, 1)
+    # One initial after a longer token is the usual case; the regular expression finds several, or a name of initials alone.
+    length = F.char_length(s)
+    one = (length >= 4) & (F.substring(s, -4, 1) != " ")
+    initials = F.regexp_extract(s, _TRAILING_INITIALS, 1)
+    last = s.substr(F.lit(1), length - F.char_length(initials))
     return (
         F.when(F.instr(s, " ") == 0, s)
-        .when(initials != "", F.trim(F.concat(F.substring(F.trim(initials), 1, 1), F.lit(" "), last)))
-        .otherwise(_first_initial(s, "initial"))
+        .when(F.substring(s, -2, 1) != " ", _first_initial(s, "initial"))
+        .when(one, F.concat(F.substring(s, -1, 1), F.lit(" "), s.substr(F.lit(1), length - 2)))
+        .otherwise(F.trim(F.concat(F.substring(F.trim(initials), 1, 1), F.lit(" "), last)))
     )
 
 
@@ -179,16 +193,21 @@ def link_keys(df: DataFrame, city: str, surface: str, round_: str, a: str, b: st
         }
     )
     df = df.withColumn("tkey_city", _place(F.col("city_key"), F.col("_surface"))).drop("_city", "_surface", "_round")
-    df = settled(df, (a, b, "tkey_city", "city_key", "rnd_canon", "players_sorted"))
-    join = lambda *parts: F.concat(*[x for p in parts for x in (F.lit("__"), F.col(p))][1:])
-    return df.withColumns(
-        {
-            "key_city_players": join("tkey_city", "players_sorted"),
-            "key_city_round_players": join("tkey_city", "rnd_canon", "players_sorted"),
-            "key_cityonly_players": join("city_key", "players_sorted"),
-            "key_cityonly_round_players": join("city_key", "rnd_canon", "players_sorted"),
-        }
-    )
+    return composite_keys(settled(df, (a, b, "tkey_city", "city_key", "rnd_canon", "players_sorted")))
+
+
+COMPOSITE_KEYS = {
+    "key_city_players": ("tkey_city", "players_sorted"),
+    "key_city_round_players": ("tkey_city", "rnd_canon", "players_sorted"),
+    "key_cityonly_players": ("city_key", "players_sorted"),
+    "key_cityonly_round_players": ("city_key", "rnd_canon", "players_sorted"),
+}
+
+
+def composite_keys(df: DataFrame) -> DataFrame:
+    """Adds the four composite keys made of the parts that :func:`link_keys` adds."""
+    join = lambda parts: F.concat(*[x for p in parts for x in (F.lit("__"), F.col(p))][1:])
+    return df.withColumns({name: join(parts) for name, parts in COMPOSITE_KEYS.items()})
 
 
 def parse_date_multi(c: Column, formats: Sequence[str] = ("yyyyMMdd", "dd/MM/yyyy", "MM/dd/yyyy")) -> Column:

@@ -356,7 +356,7 @@ def single_book_subset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return workloads.keyed_results(tables.spread(_results(spark, d))), workloads.keyed_odds(tables.spread(_odds(spark, d)))
+    return workloads.keyed_sides(_results(spark, d), _odds(spark, d))
 
 
 _LINK_OUT = ("match_id", "td_right_id", "td_PSW", "td_PSL")

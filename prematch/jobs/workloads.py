@@ -34,9 +34,19 @@ def keyed_odds(odds: DataFrame) -> DataFrame:
     return link.filter_main_rounds(df, "rnd_canon", lexicon.MAIN_ROUNDS)
 
 
-def linked(results: DataFrame, odds: DataFrame, players: DataFrame | None = None) -> DataFrame:
+def keyed_sides(results: DataFrame, odds: DataFrame, players: DataFrame | None = None, stages: StageTables | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`keyed_results` and :func:`keyed_odds`, written once: a link reads each side twice, and cleaning names costs more than a write.
+
+    The composite keys are made anew from their parts when they are read.
+    """
+    stages = stages or StageTables(results.sparkSession)
+    kept = lambda df, name: text.composite_keys(stages.keep(df.drop(*text.COMPOSITE_KEYS), name))
+    return kept(keyed_results(tables.spread(results), players), "results"), kept(keyed_odds(tables.spread(odds)), "odds")
+
+
+def linked(results: DataFrame, odds: DataFrame, players: DataFrame | None = None, stages: StageTables | None = None) -> DataFrame:
     """Results with their odds and the ``stage`` that found them."""
-    left, right = keyed_results(tables.spread(results), players), keyed_odds(tables.spread(odds))
+    left, right = keyed_sides(results, odds, players, stages)
     return link.link_staged(left, right, LINK_STAGES, "date_tourney", "Date_dt")
 
 

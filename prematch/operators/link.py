@@ -109,9 +109,13 @@ class Stage:
     prefer: str | None = None
 
 
-def _parts(df: DataFrame, columns: Sequence[str], *more: Column) -> Column:
-    """One key of several parts; null if a part is null."""
-    return F.concat(*[x for c in [*[df[k].cast("string") for k in columns], *more] for x in (c, F.lit("\u0001"))])
+def _parts(df: DataFrame, kind: int, columns: Sequence[str], *more: Column) -> Column:
+    """One number for a key of several parts, with its kind; null if a part is null. Parts are compared again after the join."""
+    parts = [*[df[k].cast("string") for k in columns], *more]
+    whole = F.lit(True)
+    for c in parts:
+        whole = whole & c.isNotNull()
+    return F.when(whole, F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), *parts).alias("h")))
 
 
 def candidates(left: DataFrame, right: DataFrame, stages: Sequence[Stage], t_left: str, t_right: str, left_id: str, right_id: str) -> DataFrame:
@@ -128,30 +132,30 @@ def candidates(left: DataFrame, right: DataFrame, stages: Sequence[Stage], t_lef
         raise ValueError("the stages with a tolerance have no key in common")
     wide = max([1, *[s.tolerance_days for s in loose]])
     block = lambda c: F.floor(F.unix_date(c.cast("date")) / wide)
-    told = lambda c: c.cast("string")
+    near = len(stages)  # kinds of keys: a strict stage's place, or this
     strict = [(i, s) for i, s in enumerate(stages) if s.tolerance_days is None]
     of = {k: f"td_{k}" for s in stages for k in s.keys}
-    left_keys = [_parts(left, s.keys, F.lit(f"strict{i}")) for i, s in strict]
-    right_keys = [_parts(right, [of[k] for k in s.keys], F.lit(f"strict{i}")) for i, s in strict]
+    left_keys = [_parts(left, i, s.keys) for i, s in strict]
+    right_keys = [_parts(right, i, [of[k] for k in s.keys]) for i, s in strict]
     if loose:
-        left_keys += [_parts(left, common, F.lit("near"), told(block(left[t_left]) + d)) for d in (-1, 0, 1)]
-        right_keys += [_parts(right, [of[k] for k in common], F.lit("near"), told(block(right[f"td_{t_right}"])))]
+        left_keys += [_parts(left, near, common, block(left[t_left]) + d) for d in (-1, 0, 1)]
+        right_keys += [_parts(right, near, [of[k] for k in common], block(right[f"td_{t_right}"]))]
     need = dict.fromkeys([left_id, t_left, *[k for s in stages for k in s.keys], *[s.prefer for s in loose if s.prefer]])
     have = dict.fromkeys([f"td_{c}" for c in (right_id, t_right, *[k for s in stages for k in s.keys], *[s.prefer for s in loose if s.prefer])])
     one = left.select(*need, F.explode(F.array_compact(F.array(*left_keys))).alias("_k"))
     two = right.select(*have, F.explode(F.array_compact(F.array(*right_keys))).alias("_rk"))
     gap = F.abs(F.datediff(one[t_left], two[f"td_{t_right}"]))
-    is_near = F.col("_k").contains("\u0001near\u0001")
+    is_near = F.col("_k.kind") == near
     met = []
     for i, s in enumerate(stages):
         if s.tolerance_days is None:
-            own = F.col("_k").endswith(f"\u0001strict{i}\u0001")
+            own = F.col("_k.kind") == i
             met.append(F.when(own & _same(one, two, s.keys), F.struct(F.lit(i).alias("i"), F.lit(False).alias("other"), F.lit(0).alias("gap"))))
         else:
             other = ~F.coalesce(one[s.prefer] == two[f"td_{s.prefer}"], F.lit(False)) if s.prefer else F.lit(False)
             ok = is_near & _same(one, two, s.keys) & (gap <= s.tolerance_days)
             met.append(F.when(ok, F.struct(F.lit(i).alias("i"), other.alias("other"), gap.alias("gap"))))
-    pairs = one.join(two, one["_k"] == two["_rk"])
+    pairs = one.join(two, (one["_k.h"] == two["_rk.h"]) & (one["_k.kind"] == two["_rk.kind"]))
     return pairs.select(left_id, F.coalesce(*met).alias("_met"), f"td_{right_id}", f"td_{t_right}").where("_met IS NOT NULL")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,18 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, no step runs in a generated method so long (8,000 bytes) that the JVM only interprets it."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class StageTables:
     """The stage tables of one job: :meth:`keep` cuts lineage, :meth:`drop` and :meth:`close` delete what has been read.
 
@@ -49,7 +63,8 @@ class StageTables:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, written and read again."""
         path = self.path(name)
-        df.write.parquet(path)
+        with compiled(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def again(self, df: DataFrame, name: str) -> DataFrame:

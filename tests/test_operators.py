@@ -8,7 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from prematch.functions import prices
+from prematch.functions import prices, text
 from prematch.jobs import model, workloads
 from prematch.operators import circles, dataset, evaluate, history, link, ratings
 from prematch.sources import tables
@@ -510,3 +510,26 @@ def test_boosted_trees_learn(spark):
     assert told.auc > 0.8 and told.logloss < 0.6 and scored.count() == 600
     top = model.importances(df, fitted, ("a", "noise", "empty")).orderBy(F.desc("importance")).collect()
     assert top[0].feature == "a" and [r.importance for r in top if r.feature == "empty"] == [0.0]
+
+
+def test_linked_sides_are_cleaned_once(spark):
+    results = spark.createDataFrame(
+        [(1, "2024-01-01", "Ana Bel", "Cyd Dor", "Wien", "Hard", "F"), (2, "2024-01-01", "Eva Fox", "", "Wien", "Hard", "F")],
+        "match_id long, date_tourney string, winner_name string, loser_name string, tourney_name string, surface string, round string",
+    ).withColumn("date_tourney", F.to_date("date_tourney"))
+    odds = spark.createDataFrame(
+        [(7, "2024-01-03", "Bel A.", "Dor C.", "Vienna", "h", "Final", 1.5)],
+        "right_id long, Date_dt string, Winner string, Loser string, Location string, Surface string, Round string, PSW double",
+    ).withColumn("Date_dt", F.to_date("Date_dt"))
+    found = workloads.linked(results, odds)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "translate(" not in plan and "regexp" not in plan  # both sides are read from their stage tables
+    rows = {r.match_id: (r.td_right_id, r.stage, r.td_PSW, r.key_city_players) for r in found.collect()}
+    assert rows == {1: (7, "strict", 1.5, "vienna_hard__a bel__c dor"), 2: (None, None, None, None)}
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"  # changed only while a stage table is written
+
+
+def test_last_initials_of_short_and_many_tokens(spark):
+    names = ["Bel A.", "Bel A.B.", "A B", "A B C", "A Bel", "Bel", "De La Bel A.", "B", "", "Bel  A", "X Bel A.-B."]
+    told = [r.k for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(text.last_initials_key(F.col("n")).alias("k")).collect()]
+    assert told == ["a bel", "a bel", "a", "a", "a bel", "bel", "a de la bel", "b", "", "a bel", "a x bel"]
