@@ -533,3 +533,47 @@ def test_last_initials_of_short_and_many_tokens(spark):
     names = ["Bel A.", "Bel A.B.", "A B", "A B C", "A Bel", "Bel", "De La Bel A.", "B", "", "Bel  A", "X Bel A.-B."]
     told = [r.k for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(text.last_initials_key(F.col("n")).alias("k")).collect()]
     assert told == ["a bel", "a bel", "a", "a", "a bel", "bel", "a de la bel", "b", "", "a bel", "a x bel"]
+
+
+def test_first_trees_are_those_of_a_shorter_fit(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(float(i % 7), float(i % 11), float((i * i) % 13), float((i % 7) + (i % 3) > 4)) for i in range(400)]
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="_features").transform(spark.createDataFrame(rows, "a double, b double, c double, _label double").coalesce(1)).cache()
+    booster = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=6, maxDepth=2, seed=3, subsamplingRate=0.8)
+    cut, short = model.first_trees(booster.fit(df), 2), booster.copy({booster.maxIter: 2}).fit(df)
+    told = [[r.probability for r in m.transform(df).collect()] for m in (cut, short)]
+    assert cut.getNumTrees == 2 and told[0] == told[1]
+    names = ["a", "b", "c", "unused"]
+    assert [r.feature for r in model.importances(df, cut, names).collect()] == names
+
+
+def test_medians_only_of_columns_with_nulls(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(dataset, "exact_medians", lambda df, cols: asked.append(list(cols)) or {c: 5.0 for c in cols})
+    df = spark.createDataFrame([("train", 1.0, 2.0), ("val", 3.0, None)], "split string, a double, b double")
+    assert [(r.a, r.b) for r in dataset.impute_train_median(df, ("a", "b")).orderBy("a").collect()] == [(1.0, 2.0), (3.0, 5.0)]
+    assert asked == [["b"]]
+
+
+def test_permuted_target_orders_ids_alone(spark):
+    df = spark.range(100).select(F.col("id").alias("match_id"), (F.col("id") % 2).alias("y"), (F.col("id") * 3).alias("payload"))
+    out = evaluate.permute_target(df, "y", "match_id", 5)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    deep = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i in [i for i, x in enumerate(lines) if x.lstrip(" :+-").startswith("Window ")]:
+        below = [x for x, d in zip(lines[i:], deep[i:]) if d >= deep[i]]
+        assert not any("payload" in x for x in below[: 1 + next((k for k, d in enumerate(deep[i + 1 :]) if d <= deep[i]), len(below))])
+    rows = out.collect()
+    assert len(rows) == 100 and sum(r.y for r in rows) == 50 and all(r.payload == 3 * r.match_id for r in rows)
+
+
+def test_feature_tasks_sort_so_many_rows_at_most(spark, monkeypatch):
+    df = spark.range(90).select(
+        F.col("id").alias("match_id"), F.expr("date'2024-01-01'").alias("match_date"), F.lit("p").alias("w"), F.lit("q").alias("l"), F.lit("hard").alias("surface"),
+        F.lit(1).alias("level_ord"), F.lit(1).alias("round_ord"), F.lit(3).alias("best_of"), F.lit(1.5).alias("PSW"), F.lit(2.5).alias("PSL"), F.lit(1.0).alias("w_rank"), F.lit(2.0).alias("l_rank"),
+    )
+    monkeypatch.setattr(workloads, "_TASK_ROWS", 10)
+    plan = workloads.feature_table(df, pool=("surface",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 4 and all(", 18), REPARTITION_BY_NUM" in x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x)
