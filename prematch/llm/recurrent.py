@@ -4,7 +4,7 @@ The output is factored: a softmax over word classes (by a word's last two
 bytes), then a softmax over the class's frequent words and one place for all
 its other words, which share that place by their counts. The counts are those
 of all training documents; the recurrent weights come from truncated
-backpropagation over a fixed share of them, so training grows with the corpus.
+backpropagation over all of them too, each once, so training grows with the corpus.
 A document's state is carried from window to window, so its score is the
 log-likelihood of the whole text.
 """
@@ -345,7 +345,7 @@ def score(
     docs: DataFrame,
     held_out: Column,
     *,
-    share: int = 8,
+    share: int = 1,
     rounds: int = 4,
     known: int = 131_072,
     id_col: str = "doc_id",
@@ -354,9 +354,9 @@ def score(
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row.
 
     Tokens are words (A-Z lower-cased) and one end a text. All rows that are
-    not held out are counted, whole; the recurrent weights are fitted on one in
-    ``share`` of them, whole, chosen by a hash of id and text, in ``rounds``
-    rounds. The ``known`` most frequent words travel with the model, the
+    not held out are counted, whole; the recurrent weights are fitted on all of
+    them, whole, dealt by a hash of id and text to ``rounds`` rounds (``share``
+    above 1 would fit on one in so many). The ``known`` most frequent words travel with the model, the
     others' counts are joined, so nothing is cut off. Unknown words share, in
     each class, a reserve as large as its words seen once. Both scores are
     log10 probabilities.
