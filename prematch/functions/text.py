@@ -27,6 +27,8 @@ _PAIRS = {"ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "þ": "th"
 _TRAILING_INITIALS = r"((?:(?:^| )\S)+)$"
 #: Marks and white space that count as a blank.
 _BLANKS = " \t\n\x0b\f\r.,'\"()-–&/"
+#: Texts that cleaning only lowers: ASCII letters and digits with single blanks between, or nothing.
+_WORDS = r"\A(?:[A-Za-z0-9]++(?: [A-Za-z0-9]++)*+)?\z"
 
 
 def clean_text(c: Column) -> Column:
@@ -35,16 +37,13 @@ def clean_text(c: Column) -> Column:
     folded = c
     for letter, pair in _PAIRS.items():
         folded = F.replace(folded, F.lit(letter), F.lit(pair))
-    # Letters with marks take more than one byte; most texts have none. No regular expression sees a text without two blanks in a row.
+    # Letters with marks take more than one byte.
     ascii_ = F.octet_length(c) == F.char_length(c)
     blank = " " * len(_BLANKS)
-    c = F.when(ascii_, F.translate(c, _BLANKS, blank)).otherwise(F.translate(folded, _MARKED + _BLANKS, _PLAIN + blank))
-    return F.trim(_single_blanks(F.lower(c)))
-
-
-def _single_blanks(c: Column) -> Column:
-    one = F.transform(F.array(c), lambda x: F.when(x.contains("  "), F.regexp_replace(x, " +", " ")).otherwise(x))
-    return F.element_at(one, 1)
+    # Most texts are plain words already: a regular expression tells, which costs less than to translate.
+    plain = F.lower(c)
+    marked = F.when(ascii_, F.translate(c, _BLANKS, blank)).otherwise(F.translate(folded, _MARKED + _BLANKS, _PLAIN + blank))
+    return F.when(c.rlike(_WORDS), plain).otherwise(F.trim(F.regexp_replace(F.lower(marked), "  +", " ")))
 
 
 def lookup(c: Column, mapping: Mapping[str, object], default: Column) -> Column:

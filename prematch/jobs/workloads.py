@@ -43,7 +43,7 @@ def keyed_sides(results: DataFrame, odds: DataFrame, players: DataFrame | None =
     """
     stages = stages or StageTables(results.sparkSession)
     kept = lambda df, name: text.composite_keys(stages.keep(df.drop(*text.COMPOSITE_KEYS), name))
-    return kept(keyed_results(tables.spread(results), players), "results"), kept(keyed_odds(tables.spread(odds)), "odds")
+    return kept(keyed_results(tables.spread(results, "match_id"), players), "results"), kept(keyed_odds(tables.spread(odds, "right_id")), "odds")
 
 
 def linked(results: DataFrame, odds: DataFrame, players: DataFrame | None = None, stages: StageTables | None = None) -> DataFrame:

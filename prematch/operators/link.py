@@ -122,40 +122,41 @@ def candidates(left: DataFrame, right: DataFrame, stages: Sequence[Stage], t_lef
     """``(left id, _met, td_<right id>, td_<right time>)``: pairs with the first stage whose terms they meet; ``right`` is prefixed.
 
     One equi-join of narrow rows. A strict stage has its own key. The others
-    share the keys that they have in common and the time in blocks as wide as
-    their largest tolerance: a left row looks into three blocks, so a key with
-    very many rows meets its neighbours in time, not all of them.
+    share the keys that they have in common and the time in blocks of four
+    times their largest tolerance: a left row looks into the one or two blocks
+    that its tolerance reaches, so a key with very many rows meets its
+    neighbours in time, not all of them.
     """
     loose = [s for s in stages if s.tolerance_days is not None]
     common = [k for k in loose[0].keys if all(k in s.keys for s in loose)] if loose else []
     if loose and not common:
         raise ValueError("the stages with a tolerance have no key in common")
     wide = max([1, *[s.tolerance_days for s in loose]])
-    block = lambda c: F.floor(F.unix_date(c.cast("date")) / wide)
+    block = lambda c, days=0: F.floor((F.unix_date(c.cast("date")) + days) / (4 * wide))
     near = len(stages)  # kinds of keys: a strict stage's place, or this
     strict = [(i, s) for i, s in enumerate(stages) if s.tolerance_days is None]
     of = {k: f"td_{k}" for s in stages for k in s.keys}
     left_keys = [_parts(left, i, s.keys) for i, s in strict]
     right_keys = [_parts(right, i, [of[k] for k in s.keys]) for i, s in strict]
     if loose:
-        left_keys += [_parts(left, near, common, block(left[t_left]) + d) for d in (-1, 0, 1)]
+        first, last = (block(left[t_left], days) for days in (-wide, wide))
+        left_keys += [_parts(left, near, common, first), F.when(first != last, _parts(left, near, common, last))]
         right_keys += [_parts(right, near, [of[k] for k in common], block(right[f"td_{t_right}"]))]
     need = dict.fromkeys([left_id, t_left, *[k for s in stages for k in s.keys], *[s.prefer for s in loose if s.prefer]])
     have = dict.fromkeys([f"td_{c}" for c in (right_id, t_right, *[k for s in stages for k in s.keys], *[s.prefer for s in loose if s.prefer])])
     one = left.select(*need, F.explode(F.array_compact(F.array(*left_keys))).alias("_k"))
     two = right.select(*have, F.explode(F.array_compact(F.array(*right_keys))).alias("_rk"))
     gap = F.abs(F.datediff(one[t_left], two[f"td_{t_right}"]))
-    is_near = F.col("_k.kind") == near
+    of_kind = lambda i: (F.col("_k.kind") == i) & (F.col("_rk.kind") == i)
     met = []
     for i, s in enumerate(stages):
         if s.tolerance_days is None:
-            own = F.col("_k.kind") == i
-            met.append(F.when(own & _same(one, two, s.keys), F.struct(F.lit(i).alias("i"), F.lit(False).alias("other"), F.lit(0).alias("gap"))))
+            met.append(F.when(of_kind(i) & _same(one, two, s.keys), F.struct(F.lit(i).alias("i"), F.lit(False).alias("other"), F.lit(0).alias("gap"))))
         else:
             other = ~F.coalesce(one[s.prefer] == two[f"td_{s.prefer}"], F.lit(False)) if s.prefer else F.lit(False)
-            ok = is_near & _same(one, two, s.keys) & (gap <= s.tolerance_days)
+            ok = of_kind(near) & _same(one, two, s.keys) & (gap <= s.tolerance_days)
             met.append(F.when(ok, F.struct(F.lit(i).alias("i"), other.alias("other"), gap.alias("gap"))))
-    pairs = one.join(two, (one["_k.h"] == two["_rk.h"]) & (one["_k.kind"] == two["_rk.kind"]))
+    pairs = one.join(two, one["_k.h"] == two["_rk.h"])
     return pairs.select(left_id, F.coalesce(*met).alias("_met"), f"td_{right_id}", f"td_{t_right}").where("_met IS NOT NULL")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import lexicon
 
 PRICE_PATTERN = r"^[A-Za-z0-9]+[WL]$"
+#: Rows of one task of a source that is spread.
+SPREAD_ROWS = 500_000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -121,7 +123,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     writer.save(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A source of fewer splits than there are cores goes to all of them, before work that costs more than its shuffle."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A source whose rows lie in fewer tasks than there are cores goes to all of them, before work that costs more than its shuffle.
+
+    Splits of a file do not tell: those of a large row group are all empty but
+    one. So the rows of each split are counted; no task shall have more than
+    twice its share. ``by``: columns of many values to deal by, so that the
+    shuffle need not sort.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    if not rows or max(rows) * cores <= 2 * sum(rows):
+        return df
+    return df.repartition(max(cores, -(-sum(rows) // SPREAD_ROWS)), *by)

@@ -228,6 +228,33 @@ def test_a_pair_of_very_many_meetings(spark):
     assert got == {i: (i, "near") for i in range(n)}
 
 
+def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
+    spark.range(400_000).select(F.col("id").alias("a"), F.sha2(F.col("id").cast("string"), 256).alias("b")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = spark.read.parquet(f"{tmp_path}/one")
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # many splits, all rows in one
+        rows = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(rows(df)) == 1
+        assert sum(rows(tables.spread(df, "a"))) == 400_000 and max(rows(tables.spread(df, "a"))) < 150_000
+        even = df.repartition(4)
+        assert tables.spread(even) is even and tables.spread(df.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_few_blocks_of_time_a_row(spark):
+    day = F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int"))
+    left = spark.range(1000).select(F.col("id").alias("match_id"), F.lit("p").alias("pair"), day.alias("day"))
+    right = link.prefixed(left.withColumnRenamed("match_id", "right_id"))
+    met = link.candidates(left, right, (link.Stage("near", ("pair",), 21),), "day", "day", "match_id", "right_id")
+    got = {tuple(r) for r in met.select("match_id", "td_right_id").collect()}
+    assert got == {(a, b) for a in range(1000) for b in range(max(0, a - 21), min(1000, a + 22))} and met.count() == len(got)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("84.0") >= 2 and "xxhash64" in plan  # blocks of four tolerances, of which a row looks into two at most
+
+
 def test_stages_equal_a_loop(spark):
     rnd = random.Random(20)
     day = lambda: D(2020, 1, 1) + datetime.timedelta(days=rnd.randrange(120)) if rnd.random() > 0.05 else None

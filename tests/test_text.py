@@ -123,3 +123,12 @@ def test_numeric_default_of_numbers(spark):
     df = spark.createDataFrame([(5.0, 3), (None, None), (float("nan"), 5)], "d double, i int")
     got = df.select(text.numeric_default(F.col("d")).alias("d"), text.numeric_default(F.col("i")).alias("i")).collect()
     assert [tuple(r) for r in got] == [(5, 3), (3, 3), (3, 5)]
+
+
+def test_plain_words_take_the_short_way(spark):
+    # What needs no translation is only lowered; line ends, outer and double blanks still go, and no text passes a lambda.
+    rows = ["", "Abc", "US Open 2", " Abc", "Abc ", "Abc\n", "A  b", "A\tB", "a-b", "é", "İ", "a" * 300 + "  B", "½ x", "x　y"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, c string").select("i", text.clean_text(F.col("c")).alias("x"))
+    want = ["", "abc", "us open 2", "abc", "abc", "abc", "a b", "a b", "a b", "e", "i", "a" * 300 + " b", "½ x", "x　y"]
+    assert [r.x for r in df.orderBy("i").collect()] == want
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
