@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import lexicon
 
 PRICE_PATTERN = r"^[A-Za-z0-9]+[WL]$"
-#: Rows of one task of a source that is spread.
+#: The most rows of a task of a source that is spread.
 SPREAD_ROWS = 500_000
 
 
@@ -133,6 +133,6 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
-    if not rows or max(rows) * cores <= 2 * sum(rows):
+    if not sum(rows) or max(rows) * cores <= 2 * sum(rows):
         return df
-    return df.repartition(max(cores, -(-sum(rows) // SPREAD_ROWS)), *by)
+    return df.repartition(cores * -(-sum(rows) // (SPREAD_ROWS * cores)), *by)  # whole waves of tasks

@@ -238,6 +238,7 @@ def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
         rows = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
         assert len(rows(df)) == 1
         assert sum(rows(tables.spread(df, "a"))) == 400_000 and max(rows(tables.spread(df, "a"))) < 150_000
+        assert len(rows(tables.spread(df, "a"))) % spark.sparkContext.defaultParallelism == 0  # whole waves
         even = df.repartition(4)
         assert tables.spread(even) is even and tables.spread(df.where("false")).count() == 0
     finally:
