@@ -32,14 +32,25 @@ _END_TAIL = 0xFFFF  # the end of a text as a word: no word ends in two bytes 0xF
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task reads before it trains on them, in at most so many parallel streams.
 _CHUNK, _STREAMS = 1 << 18, 64
+#: Texts that are scored side by side: their states stay in a core's cache.
+_TEXTS = 512
 #: Partial results that one task averages.
 _FAN_IN = 8
 _NO_WORD = -30.0
 State = dict[str, np.ndarray]
 
 
+def _keep_pages() -> None:
+    """Let freed memory stay with the process: glibc returns none below a size that the largest freed block sets.
+
+    Otherwise the temporaries of each window are new pages, which cost as much as the arithmetic.
+    """
+    np.empty(1 << 24, np.uint8)
+
+
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, past last row, word hashes, last two bytes, token offsets): words in lower case, then an end."""
+    _keep_pages()
     for lo, hi, buf, offs in text_chunks(column):
         starts, ends, woffs = words(buf, offs)
         h = word_hashes(buf, starts, ends, lower=True)
@@ -157,80 +168,153 @@ def _start(seed: int, seen: np.ndarray | None = None) -> State:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """Rows of three gates as three blocks of rows."""
+    return x.reshape(len(x), 3, _HIDDEN).swapaxes(0, 1)
 
-def _step(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One gated step: the new state, and what backpropagation needs."""
-    a = h @ w["u"]
-    g = _sigmoid(x[:, : 2 * _HIDDEN] + a[:, : 2 * _HIDDEN])
-    z, r = g[:, :_HIDDEN], g[:, _HIDDEN:]
-    n = np.tanh(x[:, 2 * _HIDDEN :] + r * a[:, 2 * _HIDDEN :])
-    return n + z * (h - n), z, r, n, a[:, 2 * _HIDDEN :]
 
+def _step(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray, out=None, a=None, n=None) -> tuple[np.ndarray, ...]:
+    """One gated step for rows or blocks ``x``: the new state, and what backpropagation needs, in the given arrays.
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(_CLASSES + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        yield int(k), order[cuts[k] : cuts[k + 1]]
+    That is 1 - z, 1 - r and the candidate's recurrent part as three blocks, and the candidate.
+    """
+    x = x if x.ndim == 3 else _by_gate(x)
+    a = np.matmul(h, _by_gate(w["u"]), out=a)
+    g, inner = a[:2], a[2]
+    g += x[:2]
+    np.exp(g, out=g)  # may overflow: a closed gate
+    g += 1
+    np.reciprocal(g, out=g)
+    n = np.multiply(inner, g[1], out=n)
+    np.subtract(inner, n, out=n)
+    n += x[2]
+    np.tanh(n, out=n)
+    new = np.subtract(n, h, out=out)
+    new *= g[0]
+    new += h
+    return new, a, n
+
+
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row, in place, and their sums; rows are shifted only where they could leave a float's range."""
+    if len(x) and not -60 < x.min() <= x.max() < 60:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _by_class(cls: np.ndarray) -> list[tuple[int, slice]]:
+    """Rows of each class that occurs; ``cls`` ascends."""
+    cuts = np.searchsorted(cls, np.arange(_CLASSES + 1)).tolist()
+    return [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+
+
+def _output(w: dict[str, np.ndarray], h: np.ndarray, order: np.ndarray, cls: np.ndarray) -> tuple:
+    """Both output layers for the states ``h[order]``, of ascending classes ``cls``.
+
+    The states with a last column of 1, so that biases are the weights' last
+    row; exponentials over classes and over places, each with their sums; the
+    places' weights; rows by class.
+    """
+    hs = np.empty((len(order), _HIDDEN + 1), h.dtype)
+    hs[:, :-1] = h.take(order, 0)
+    hs[:, -1] = 1
+    m = np.concatenate([w["m"], w["mb"][:, None]], 1)
+    e, groups = np.empty((len(order), _MEMBERS), h.dtype), _by_class(cls)
+    for k, rows in groups:
+        np.matmul(hs[rows], m[k], out=e[rows])
+    return hs, _shares(hs @ np.concatenate([w["c"], w["cb"][None]])), _shares(e), m, groups
 
 
 def _log_prob(w: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
     """Natural log of P(class | state) P(place | class, state) for each row."""
-    out = _log_softmax(h @ w["c"] + w["cb"])[np.arange(len(h)), cls]
-    for k, rows in _by_class(cls):
-        out[rows] += _log_softmax(h[rows] @ w["m"][k] + w["mb"][k])[np.arange(len(rows)), member[rows]]
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    cls, row = cls[order], np.arange(len(order))
+    _, (d, total), (e, part), *_ = _output(w, h, order, cls)
+    out = np.empty(len(order), d.dtype)
+    out[order] = np.log(d[row, cls] / total) + np.log(e[row, member[order]] / part)
     return out
 
 
 def gradients(w: State, part: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray]:
     """Gradients of one window (step, stream) of places from the state ``h``, by stream, and the state after it.
 
-    ``x`` has those of the places that occur: (places, gradients).
+    ``x`` has those of the places that occur: (places, gradients). Only what
+    follows from step to step is computed step by step.
     """
-    streams = part.shape[1]
-    states, tape, dxs = [], [], []
-    for ids_t in part:
-        states.append(h)
-        new, *rest = _step(w, h, w["x"][ids_t])
-        keep = (ids_t != end)[:, None].astype(h.dtype)
-        tape.append((h, *rest, keep))
-        h = new * keep
-    flat, at = np.concatenate(states), part.ravel()
-    cls, member = at // _MEMBERS, at % _MEMBERS
-    g = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
-    d = np.exp(_log_softmax(flat @ w["c"] + w["cb"]))
-    d[np.arange(len(at)), cls] -= 1
-    d /= streams
-    g["c"], g["cb"], dh = flat.T @ d, d.sum(0), d @ w["c"].T
-    for k, rows in _by_class(cls):
-        e = np.exp(_log_softmax(flat[rows] @ w["m"][k] + w["mb"][k]))
-        e[np.arange(len(rows)), member[rows]] -= 1
-        e /= streams
-        g["m"][k], g["mb"][k] = flat[rows].T @ e, e.sum(0)
-        dh[rows] += e @ w["m"][k].T
-    dh, back = dh.reshape(len(part), streams, _HIDDEN), np.zeros_like(h)
-    for t in reversed(range(len(part))):
-        before, z, r, n, a, keep = tape[t]
-        dnew = back * keep
-        dn = dnew * (1 - z) * (1 - n * n)
-        dz = dnew * (before - n) * z * (1 - z)
-        dr = dn * a * r * (1 - r)
-        dxs.append(np.concatenate([dz, dr, dn], 1))
-        da = np.concatenate([dz, dr, dn * r], 1)
-        g["u"] += before.T @ da
-        back = dnew * z + da @ w["u"].T + dh[t]
+    steps, streams = part.shape
+    shape, at, ends = (steps, streams, _HIDDEN), part.ravel(), part == end
+    x = np.ascontiguousarray(_by_gate(w["x"])).take(at, 1).reshape(3, *shape)
+    states, n, a = np.empty((steps + 1, *shape[1:]), h.dtype), np.empty(shape, h.dtype), np.empty((steps, 3, *shape[1:]), h.dtype)
+    states[0] = h
+    with np.errstate(over="ignore"):
+        for t, stop in enumerate(ends.any(1).tolist()):
+            _step(w, states[t], x[:, t], states[t + 1], a[t], n[t])
+            if stop:
+                states[t + 1][ends[t]] = 0
+    # Places in order: the rows of a place, and so of a class, lie together.
     order = np.argsort(at, kind="stable")
-    seen, first = np.unique(at[order], return_index=True)
-    g["x"] = seen, np.add.reduceat(np.concatenate(dxs[::-1])[order], first, 0)
-    return g, h
+    here, row = at[order], np.arange(len(at))
+    cls, flat = here // _MEMBERS, states[:-1].reshape(-1, _HIDDEN)
+    hs, (d, total), (e, sums), m, groups = _output(w, flat, order, cls)
+    d *= (1 / (streams * total))[:, None]
+    d[row, cls] -= 1 / streams
+    e *= (1 / (streams * sums))[:, None]
+    e[row, here - cls * _MEMBERS] -= 1 / streams
+    gc, gm, dm = hs.T @ d, np.zeros_like(m), np.empty((len(at), _HIDDEN), h.dtype)
+    for k, rows in groups:
+        np.matmul(hs[rows].T, e[rows], out=gm[k])
+        np.matmul(e[rows], w["m"][k].T, out=dm[rows])
+    dm += d @ w["c"].T
+    dh = np.empty(shape, h.dtype)
+    dh.reshape(-1, _HIDDEN)[order] = dm
+    # What a unit of the new state's gradient gives to the gates and to the state before; nothing where a text ends.
+    cz, cr, inner = a[:, 0], a[:, 1], a[:, 2]
+    z = 1 - cz
+    dn = (1 - n * n) * cz
+    z[ends] = dn[ends] = 0
+    q = np.empty((steps, streams, 3, _HIDDEN), h.dtype)
+    q[:, :, 0] = (states[:-1] - n) * cz * z
+    q[:, :, 2] = last = dn * (1 - cr)
+    q[:, :, 1] = last * cr * inner
+    back, ut = np.zeros(shape, h.dtype), w["u"].T
+    for t in range(steps - 1, -1, -1):
+        q[t] *= back[t][:, None]
+        if t:
+            np.matmul(q[t].reshape(streams, -1), ut, out=back[t - 1])
+            back[t - 1] += back[t] * z[t]
+            back[t - 1] += dh[t]
+    gates = q.reshape(len(at), 3 * _HIDDEN)
+    g = {"u": flat.T @ gates, "c": gc[:-1], "cb": gc[-1], "m": gm[:, :-1], "mb": gm[:, -1]}
+    q[:, :, 2] = back * dn
+    # Rows are added up by place: a class's rows times which of its places each one has.
+    new = np.diff(here, prepend=-1) != 0
+    place, gates = np.cumsum(new) - 1, gates.take(order, 0)
+    gx, which = np.empty((int(new.sum()), gates.shape[1]), h.dtype), np.zeros((len(at), _MEMBERS), h.dtype)
+    firsts = {k: int(place[rows.start]) for k, rows in groups}
+    which[row, place - np.array([firsts.get(k, 0) for k in range(_CLASSES)])[cls]] = 1
+    for k, rows in groups:
+        lo, hi = firsts[k], int(place[rows.stop - 1]) + 1
+        np.matmul(which[rows, : hi - lo].T, gates[rows], out=gx[lo:hi])
+    g["x"] = here[new], gx
+    return g, states[-1]
+
+
+def _adam(w: np.ndarray, m1: np.ndarray, m2: np.ndarray, g: np.ndarray, pace: float, scale: float) -> None:
+    """One step of Adam, in place."""
+    x = g * g
+    x -= m2
+    x *= 0.01
+    m2 += x
+    np.subtract(g, m1, out=x)
+    x *= 0.1
+    m1 += x
+    d = m2 * scale
+    np.sqrt(d, out=d)
+    d += 1e-8
+    np.divide(m1, d, out=x)
+    x *= pace
+    w -= x
 
 
 def fit(ids: np.ndarray, w: State, end: int, *, rate: float) -> State:
@@ -240,24 +324,30 @@ def fit(ids: np.ndarray, w: State, end: int, *, rate: float) -> State:
     window by window; the recurrent state goes on from window to window,
     gradients stop there, and a text's end clears it.
     """
-    w = {k: v.copy() for k, v in w.items()}
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
+    _keep_pages()
     none = w["mb"] <= _NO_WORD
+    # All weights but those of places lie in one array, which one step changes at once.
+    names = [k for k in w if k != "x"]
+    dense = np.concatenate([w[k].ravel() for k in names])
+    parts = np.split(dense, np.cumsum([w[k].size for k in names])[:-1])
+    w = {k: v.reshape(w[k].shape) for k, v in zip(names, parts)} | {"x": w["x"].copy()}
+    moments = np.zeros((2, *dense.shape), dense.dtype), np.zeros((2, *w["x"].shape), dense.dtype)
     streams = max(1, min(_STREAMS, len(ids) // (_WINDOW * 64)))
     length = -(-len(ids) // streams)
     grid = np.concatenate([ids, np.full(streams * length - len(ids), end, ids.dtype)]).reshape(streams, length).T
     h = np.zeros((streams, _HIDDEN), np.float32)
     for step, lo in enumerate(range(0, length, _WINDOW), 1):
         g, h = gradients(w, grid[lo : lo + _WINDOW], h, end)
-        places, g["x"] = g["x"]
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        places, gx = g.pop("x")
+        g = np.concatenate([g[k].ravel() for k in names])
+        norm = float(g @ g + gx.ravel() @ gx.ravel()) ** 0.5
         pace = rate * min(1.0, step / 8) * min(1.0, 20.0 / (norm + 1e-9)) / (1 - 0.9**step)
-        for k, x in g.items():
-            at = places if k == "x" else slice(None)
-            m1, m2 = moments[k]
-            m1[at] += 0.1 * (x - m1[at])
-            m2[at] += 0.01 * (x * x - m2[at])
-            w[k][at] -= (pace * m1[at] / (np.sqrt(m2[at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        scale = 1 / (1 - 0.99**step)
+        _adam(dense, *moments[0], g, pace, scale)
+        rows = [v.take(places, 0) for v in (w["x"], *moments[1])]
+        _adam(*rows, gx, pace, scale)
+        for v, new in zip((w["x"], *moments[1]), rows):
+            v[places] = new
         w["mb"][none] = _NO_WORD
     return w
 
@@ -317,25 +407,28 @@ def learned(places: DataFrame, rounds: int, state: State, end: int, *, rate: flo
 
 def _likelihoods(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each text's places; texts run side by side, longest first."""
+    _keep_pages()
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
     starts, n = at[:-1][order], n[order]
     out = np.zeros(len(n))
-    h = np.zeros((len(n), _HIDDEN), np.float32)
-    for lo in range(0, int(n[0]) if len(n) else 0, _WINDOW):
-        states, rows, seen = [], [], []
-        for t in range(lo, min(lo + _WINDOW, int(n[0]))):
-            live = int(np.searchsorted(-n, -t, "left"))  # texts longer than t
-            at_t = ids[starts[:live] + t]
-            states.append(h[:live].copy())
-            rows.append(np.arange(live))
-            seen.append(at_t)
-            h[:live] = _step(w, h[:live], w["x"][at_t])[0]
-        states, rows, seen = np.concatenate(states), np.concatenate(rows), np.concatenate(seen)
-        for k in range(0, len(seen), 1 << 14):
-            part = seen[k : k + (1 << 14)]
-            p = _log_prob(w, states[k : k + (1 << 14)], part // _MEMBERS, part % _MEMBERS)
-            out += np.bincount(rows[k : k + (1 << 14)], p, len(out))
+    x = np.ascontiguousarray(_by_gate(w["x"]))
+    for first in range(0, len(n), _TEXTS):
+        begin, size = starts[first : first + _TEXTS], n[first : first + _TEXTS]
+        h, told = np.zeros((len(begin), _HIDDEN), np.float32), out[first : first + _TEXTS]
+        a, inner = np.empty((3, *h.shape), np.float32), np.empty_like(h)
+        for lo in range(0, int(size[0]), _WINDOW):
+            live = np.searchsorted(-size, -np.arange(lo, min(lo + _WINDOW, int(size[0]))), "left")  # texts longer than t
+            cuts = np.append(0, np.cumsum(live))
+            rows = np.arange(cuts[-1]) - np.repeat(cuts[:-1], live)
+            seen = ids[begin[rows] + np.repeat(np.arange(lo, lo + len(live)), live)]
+            states = np.empty((len(seen), _HIDDEN), np.float32)
+            with np.errstate(over="ignore"):
+                for k, here in zip(live, map(slice, cuts, cuts[1:])):
+                    states[here] = h[:k]
+                    _step(w, states[here], x.take(seen[here], 1), h[:k], a[:, :k], inner[:k])
+            p = _log_prob(w, states, seen // _MEMBERS, seen % _MEMBERS)
+            told += np.bincount(rows, p, len(told))
     back = np.empty(len(out))
     back[order] = out
     return back
