@@ -34,6 +34,8 @@ _END_HASH = np.uint64(0x5851F42D4C957F2D)
 _CHUNK, _STREAMS = 1 << 18, 64
 #: Texts that are scored side by side: their states stay in a core's cache.
 _TEXTS = 512
+#: Weights that Adam changes at once.
+_BLOCK = 1 << 13
 #: Partial results that one task averages.
 _FAN_IN = 8
 _NO_WORD = -30.0
@@ -261,10 +263,11 @@ def gradients(w: State, part: np.ndarray, h: np.ndarray, end: int) -> tuple[dict
     d[row, cls] -= 1 / streams
     e *= (1 / (streams * sums))[:, None]
     e[row, here - cls * _MEMBERS] -= 1 / streams
-    gc, gm, dm = hs.T @ d, np.zeros_like(m), np.empty((len(at), _HIDDEN), h.dtype)
+    gc, gm, dm = (d.T @ hs).T, np.zeros_like(m), np.empty((len(at), _HIDDEN), h.dtype)
+    mt = w["m"].swapaxes(1, 2).copy()
     for k, rows in groups:
         np.matmul(hs[rows].T, e[rows], out=gm[k])
-        np.matmul(e[rows], w["m"][k].T, out=dm[rows])
+        np.matmul(e[rows], mt[k], out=dm[rows])
     dm += d @ w["c"].T
     dh = np.empty(shape, h.dtype)
     dh.reshape(-1, _HIDDEN)[order] = dm
@@ -285,7 +288,7 @@ def gradients(w: State, part: np.ndarray, h: np.ndarray, end: int) -> tuple[dict
             back[t - 1] += back[t] * z[t]
             back[t - 1] += dh[t]
     gates = q.reshape(len(at), 3 * _HIDDEN)
-    g = {"u": flat.T @ gates, "c": gc[:-1], "cb": gc[-1], "m": gm[:, :-1], "mb": gm[:, -1]}
+    g = {"u": (gates.T @ flat).T, "c": gc[:-1], "cb": gc[-1], "m": gm[:, :-1], "mb": gm[:, -1]}
     q[:, :, 2] = back * dn
     # Rows are added up by place: a class's rows times which of its places each one has.
     new = np.diff(here, prepend=-1) != 0
@@ -301,20 +304,22 @@ def gradients(w: State, part: np.ndarray, h: np.ndarray, end: int) -> tuple[dict
 
 
 def _adam(w: np.ndarray, m1: np.ndarray, m2: np.ndarray, g: np.ndarray, pace: float, scale: float) -> None:
-    """One step of Adam, in place."""
-    x = g * g
-    x -= m2
-    x *= 0.01
-    m2 += x
-    np.subtract(g, m1, out=x)
-    x *= 0.1
-    m1 += x
-    d = m2 * scale
-    np.sqrt(d, out=d)
-    d += 1e-8
-    np.divide(m1, d, out=x)
-    x *= pace
-    w -= x
+    """One step of Adam, in place; block by block, so that temporaries stay in a core's cache."""
+    for lo in range(0, len(w), _BLOCK):
+        w_, m1_, m2_, g_ = (v[lo : lo + _BLOCK] for v in (w, m1, m2, g))
+        x = g_ * g_
+        x -= m2_
+        x *= 0.01
+        m2_ += x
+        np.subtract(g_, m1_, out=x)
+        x *= 0.1
+        m1_ += x
+        d = m2_ * scale
+        np.sqrt(d, out=d)
+        d += 1e-8
+        np.divide(m1_, d, out=x)
+        x *= pace
+        w_ -= x
 
 
 def fit(ids: np.ndarray, w: State, end: int, *, rate: float) -> State:
@@ -345,7 +350,7 @@ def fit(ids: np.ndarray, w: State, end: int, *, rate: float) -> State:
         scale = 1 / (1 - 0.99**step)
         _adam(dense, *moments[0], g, pace, scale)
         rows = [v.take(places, 0) for v in (w["x"], *moments[1])]
-        _adam(*rows, gx, pace, scale)
+        _adam(*(v.reshape(-1) for v in rows), gx.reshape(-1), pace, scale)
         for v, new in zip((w["x"], *moments[1]), rows):
             v[places] = new
         w["mb"][none] = _NO_WORD
@@ -496,7 +501,7 @@ def score(
         for batch in batches:
             all_ids, at_all = [], [np.zeros(1, np.int64)]
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            rare, rare_at = [], [np.zeros(1, np.int64)]
+            rare, times, rare_at = [], [], [np.zeros(1, np.int64)]
             begin = 0
             for lo, hi, h, tail, at in _tokens(batch.column("text")):
                 key, cls, c, ids = table.places(h, tail)
@@ -507,17 +512,22 @@ def score(
                 part = np.where(in_rest, np.where(known_, np.log10(np.maximum(c, 1)), 0) - table.rest[cls], 0)
                 for column, x in zip(columns, (np.diff(at), sums(known_.astype(np.int64)), sums(np.where(known_, np.log10(c + 1.0), 0)), sums(part))):
                     column.append(x)
-                missing = ~known_
-                rare.append(key[missing])
-                rare_at.append(rare_at[-1][-1] + np.cumsum(sums(missing.astype(np.int64))))
+                # Once for each text and word, with its occurrences there.
+                word, text = key[~known_], np.repeat(np.arange(hi - lo), np.diff(at))[~known_]
+                order = np.lexsort((word, text))
+                word, text = word[order], text[order]
+                first = np.ones(len(word), bool)
+                first[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+                rare.append(word[first])
+                times.append(np.diff(np.flatnonzero(np.append(first, True))))
+                rare_at.append(rare_at[-1][-1] + np.cumsum(np.bincount(text[first], minlength=hi - lo)))
                 all_ids.append(ids)
                 at_all.append(begin + at[1:])
                 begin += at[-1]
             n_tokens, n_known, base_part, rest_part = (np.concatenate(x) for x in columns)
             neural = _likelihoods(w, np.concatenate(all_ids), np.concatenate(at_all)) / np.log(10)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(rare_at), pa.int32()), pa.array(np.concatenate(rare).view(np.int64))
-            )
+            found = pa.StructArray.from_arrays([np.concatenate(rare).view(np.int64), np.concatenate(times)], ["key", "count"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(rare_at), pa.int32()), found)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), batch.column("held_out"),
@@ -529,7 +539,7 @@ def score(
 
     scored = docs.mapInArrow(
         judge,
-        "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>",
+        "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key: long, count: long>>",
     )
     scored = written(scored, "words")
     # Rare words by key: a hash whose last six bits are the class, as in Vocabulary.keys.
@@ -539,8 +549,7 @@ def score(
     )
     keyed = keyed.groupBy("key").agg(F.max("c").alias("c"))
     reserve = F.array(*[F.lit(float(x)) for x in voc.reserve])
-    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").count()
-    rare = rare.join(keyed, "key", "left").select(
+    rare = scored.select("row", F.inline("rare")).join(keyed, "key", "left").select(
         "row", "count", "c", F.coalesce(F.log10("c"), reserve[F.col("key").bitwiseAND(63).cast("int")]).alias("lp")
     )
     rare = rare.groupBy("row").agg(

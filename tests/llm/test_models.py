@@ -1,5 +1,9 @@
 import random
+import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -315,3 +319,32 @@ def test_recurrent_weights_learn_from_every_training_text(spark, monkeypatch):
     df = spark.range(70).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
     assert recurrent.score(df, F.col("doc_id") % 7 == 2).count() == 70
     assert seen["texts"] == 60
+
+
+def test_recurrent_training_keeps_its_pages():
+    """Temporaries of a window are not new pages each time; in a process of its own, as the allocator has a state."""
+    code = """
+import resource
+import numpy as np
+from prematch.llm import recurrent as r
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+ids = np.random.default_rng(1).integers(0, r._CLASSES * r._MEMBERS, 1 << 17).astype(np.int16)
+w = r.fit(ids, r._start(3), 0, rate=0.01)
+before = faults()
+r.fit(ids, w, 0, rate=0.01)
+print(faults() - before)
+"""
+    told = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(told.stdout) < 64 * 16  # 64 windows
+
+
+def test_recurrent_rare_words_are_counted_where_their_text_is(spark):
+    """Words beyond the known ones leave a text once each: no shuffle by text and word. Their occurrences all count."""
+    rows = [(i, f"once{i} twice{i} TWICE{i} all" + f" r{i % 3}" * (i % 5)) for i in range(30)] + [(99, None), (None, "new new all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = recurrent.score(df, F.col("doc_id").isNull() | (F.col("doc_id") == 7), known=1)
+    assert not re.search(r"hashpartitioning\(row#\d+L?, key#", out._jdf.queryExecution().executedPlan().toString())
+    want = _brute_base(rows, lambda d: d is None or d == 7)
+    for r in out.collect():
+        n, known, total, base = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - base) < 1e-6 * -base
