@@ -323,6 +323,20 @@ def test_exact_medians(spark):
     assert dataset.exact_medians(df.where("false"), ["odd"]) == {"odd": None}
 
 
+def test_medians_are_exact_whatever_the_hint(spark, monkeypatch):
+    rows = [(float(i * 7919 % 5003), float(i % 3)) for i in range(5003)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3)
+    want = {"a": 2501.0, "b": 1.0}
+    passes = []
+    explode = F.explode
+    monkeypatch.setattr(dataset.F, "explode", lambda c: passes.append(1) or explode(c))
+    assert dataset.exact_medians(df, ("a", "b")) == want and not passes  # the hint leaves few rows: no pass that deals values to ranges
+    for wrong in ({0: (0.0, 3.0), 1: (2.0, 2.0)}, {0: (4000.0, 4100.0)}, {}):
+        monkeypatch.setattr(dataset, "_hints", lambda df, at, n: wrong)
+        assert dataset.exact_medians(df, ("a", "b")) == want
+    assert passes
+
+
 def _sources(spark):
     results = [
         (1, D(2020, 1, 6), "Rome", "Clay", "Final", "Rafael Nadal", "Kei Nishikori", "M", "5", 30.0),
@@ -577,6 +591,22 @@ def test_first_trees_are_those_of_a_shorter_fit(spark):
     assert [r.feature for r in model.importances(df, cut, names).collect()] == names
 
 
+def test_fit_reads_vectors_from_a_stage_table(spark, monkeypatch):
+    """Every pass of the fit scans the written vectors of the train rows, which are deleted then."""
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = [(i, ("train", "val")[i % 2], i % 3 % 2, float(i % 7) if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "match_id long, split string, y int, a double")
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: seen.append((data.columns, data.inputFiles(), data.count())) or fit(self, data))
+    with StageTables(spark) as stages:
+        base = stages.base
+        model.train_boosted(df, ("a",), trees=2, stages=stages)
+        (columns, files, n), = seen
+        assert columns == ["_features", "_label"] and n == 100 and files and all("vectors-" in f for f in files)
+        assert not [p for p in os.listdir(base.removeprefix("file://")) if p.startswith("vectors")]
+
+
 def test_medians_only_of_columns_with_nulls(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(dataset, "exact_medians", lambda df, cols: asked.append(list(cols)) or {c: 5.0 for c in cols})
