@@ -607,6 +607,25 @@ def test_fit_reads_vectors_from_a_stage_table(spark, monkeypatch):
         assert not [p for p in os.listdir(base.removeprefix("file://")) if p.startswith("vectors")]
 
 
+def test_permuted_scores_and_predictions_are_written_once(spark, monkeypatch):
+    """Metrics of permuted targets read the scores from a stage table; both jobs keep the fit's vectors among their own tables."""
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = [(i, D(2019 + i % 3, 1, 1), ("train", "val", "test")[i % 3], i % 5 % 2, 0.5, float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "match_id long, match_date date, split string, y int, p_book_A double, a double")
+    read, fitted = [], []
+    metrics, fit = evaluate.prob_metrics, GBTClassifier.fit
+    monkeypatch.setattr(evaluate, "prob_metrics", lambda df, *a, **k: read.append(df.inputFiles()) or metrics(df, *a, **k))
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: fitted.append(data.inputFiles()) or fit(self, data))
+    with StageTables(spark) as stages:
+        assert workloads.permuted_refit(df, ("a",), stages, trees=2).first().n == 100
+        _, calibrated = workloads._fitted(df, ("a",), stages, trees=2)
+        assert model.predictions(calibrated).count() == 200
+        own = stages.base.rsplit("/", 1)[1]
+    assert len(read) == 1 and read[0] and all("/blind-" in f for f in read[0])
+    assert len(fitted) == 2 and all(files and all(f"{own}/vectors-" in f for f in files) for files in fitted)
+
+
 def test_medians_only_of_columns_with_nulls(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(dataset, "exact_medians", lambda df, cols: asked.append(list(cols)) or {c: 5.0 for c in cols})
